@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import os
 import sys
 import time
 import traceback
@@ -42,6 +43,7 @@ def main() -> int:
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     args = ap.parse_args()
     want = [w for w in args.names.split(",") if w]
+    os.environ["PYSPARK_SUBMIT_ARGS"] = "--conf spark.ui.showConsoleProgress=false pyspark-shell"
     spark = build_session("check", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()

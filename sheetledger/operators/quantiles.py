@@ -19,6 +19,7 @@ from .common import null_safe_join
 
 _ACCURACY = 10_000
 _MARGIN = 3.0 / _ACCURACY
+_SMALL = 10_000
 
 
 def exact_quantiles(
@@ -32,8 +33,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """``keys`` + one column per probability (+ the number of non-null values).
 
-    ``linear`` interpolates as PERCENTILE_CONT does, ``nearest`` takes the element at
-    ``round(p * (n - 1))`` (half to even), ``lower`` the one at ``floor(p * (n - 1))``.
+    ``linear`` interpolates as PERCENTILE_CONT does; ``index`` takes the element at the zero-based
+    rank ``min(floor(p * n), n - 1)``, without interpolation.
     Groups without a non-null value give no row, so a left join yields null, not zero.
     """
     col = F.col(value) if isinstance(value, str) else value
@@ -52,6 +53,9 @@ def exact_quantiles(
         low, high = F.col("_cuts")[2 * i], F.col("_cuts")[2 * i + 1]
         position = position + (F.col("_v") >= low).cast("int") + (F.col("_v") > high).cast("int")
         inside = inside | F.col("_v").between(low, high)
+    # A group this small is ordered whole: the bracket is meant for ranks that are close in share.
+    inside = inside | (F.col("_n") <= _SMALL)
+    position = F.when(F.col("_n") <= _SMALL, F.lit(0)).otherwise(position)
     counted = (
         placed.select(*keys, "_n", position.alias("_pos"), F.when(inside, F.col("_v")).alias("_v"))
         .groupBy(*keys, "_n", "_pos", "_v").agg(F.count("*").alias("_w")))
@@ -59,13 +63,10 @@ def exact_quantiles(
     ranked = counted.withColumn("_upto", F.sum("_w").over(window))
     aggs = []
     for name in names:
-        rank = F.lit(float(probs[name])) * (F.col("_n") - 1)
         if method == "linear":
-            low_rank = F.floor(rank)
-        elif method == "nearest":
-            low_rank = F.bround(rank, 0).cast("long")
+            low_rank = F.floor(F.lit(float(probs[name])) * (F.col("_n") - 1))
         else:
-            low_rank = F.floor(rank)
+            low_rank = F.least(F.floor(F.lit(float(probs[name])) * F.col("_n")), F.col("_n") - 1)
         for suffix, target in (("lo", low_rank), ("hi", low_rank + 1)):
             hit = (F.col("_upto") - F.col("_w") <= target) & (target < F.col("_upto"))
             aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{suffix}"))
@@ -87,3 +88,11 @@ def exact_quantiles(
 def median_by(df: DataFrame, keys: Sequence[str], value: str | Column, alias: str = "median",
               count_as: str | None = None) -> DataFrame:
     return exact_quantiles(df, keys, value, {alias: 0.5}, count_as=count_as)
+
+
+def small_median_by(df: DataFrame, keys: Sequence[str], value: str | Column, alias: str = "median",
+                    count_as: str | None = None) -> DataFrame:
+    """Median of groups whose size the domain bounds (the labels of one sheet): one shuffle."""
+    col = (F.col(value) if isinstance(value, str) else value).cast("double")
+    aggs = [F.median(col).alias(alias)] + ([F.count(col).alias(count_as)] if count_as else [])
+    return df.where(col.isNotNull()).groupBy(*keys).agg(*aggs)
