@@ -62,14 +62,24 @@ def each_block(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Cal
         for batch in batches:
             if batch.empty:
                 continue
-            if held:
-                batch = pd.concat([*held, batch], ignore_index=True)
             cuts = _starts(batch, keys)
-            if len(cuts) > 1:
-                yield _apply(batch.iloc[:cuts[-1]], cuts[:-1])
-            held = [batch.iloc[cuts[-1]:]]
+            if held and _same(held[-1], batch):
+                cuts = cuts[1:]
+            if held and cuts:
+                first = pd.concat([*held, batch.iloc[:cuts[0]]], ignore_index=True)
+                yield _apply(first, [0])
+                held = []
+            if cuts:
+                if len(cuts) > 1:
+                    yield _apply(batch.iloc[cuts[0]:cuts[-1]], [c - cuts[0] for c in cuts[:-1]])
+                batch = batch.iloc[cuts[-1]:]
+            held.append(batch)
         if held:
-            yield _apply(held[0], [0])
+            yield _apply(pd.concat(held, ignore_index=True), [0])
+
+    def _same(last: pd.DataFrame, batch: pd.DataFrame) -> bool:
+        a, b = last.iloc[-1], batch.iloc[0]
+        return all(a[k] == b[k] or (pd.isna(a[k]) and pd.isna(b[k])) for k in keys)
 
     def _starts(batch: pd.DataFrame, by: Sequence[str]) -> list[int]:
         new = np.zeros(len(batch), dtype=bool)

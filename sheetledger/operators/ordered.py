@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import null_safe_join
 
+# A chunk is a column that grows with the order; a (key, chunk) must fit one task.
+
 
 def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])

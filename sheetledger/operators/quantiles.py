@@ -9,7 +9,7 @@ guaranteed rank error and is used for the bracket only.
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,11 +30,13 @@ def exact_quantiles(
     *,
     method: str = "linear",
     count_as: str | None = None,
+    rank_of: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``keys`` + one column per probability (+ the number of non-null values).
 
     ``linear`` interpolates as PERCENTILE_CONT does; ``index`` takes the element at the zero-based
     rank ``min(floor(p * n), n - 1)``, without interpolation.
+    ``rank_of(n)`` replaces the rank of a linear quantile (it must tend to ``p * n``).
     Groups without a non-null value give no row, so a left join yields null, not zero.
     """
     col = F.col(value) if isinstance(value, str) else value
@@ -61,10 +63,14 @@ def exact_quantiles(
         .groupBy(*keys, "_n", "_pos", "_v").agg(F.count("*").alias("_w")))
     window = W.partitionBy(*keys, "_n").orderBy("_pos", "_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = counted.withColumn("_upto", F.sum("_w").over(window))
+
+    def wanted(name: str) -> Column:
+        return rank_of(F.col("_n")) if rank_of else F.lit(float(probs[name])) * (F.col("_n") - 1)
+
     aggs = []
     for name in names:
         if method == "linear":
-            low_rank = F.floor(F.lit(float(probs[name])) * (F.col("_n") - 1))
+            low_rank = F.floor(wanted(name))
         else:
             low_rank = F.least(F.floor(F.lit(float(probs[name])) * F.col("_n")), F.col("_n") - 1)
         for suffix, target in (("lo", low_rank), ("hi", low_rank + 1)):
@@ -75,8 +81,7 @@ def exact_quantiles(
     for name in names:
         low = F.col(f"_{name}_lo")
         if method == "linear":
-            rank = F.lit(float(probs[name])) * (F.col("_n") - 1)
-            part = rank - F.floor(rank)
+            part = wanted(name) - F.floor(wanted(name))
             out.append(F.when(part > 0, low + (F.col(f"_{name}_hi") - low) * part).otherwise(low).alias(name))
         else:
             out.append(low.alias(name))
