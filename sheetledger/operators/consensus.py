@@ -114,7 +114,7 @@ def robust_consensus(df: DataFrame, group: str, source: str, label: str, pos: st
     Returns (positions per group and label, sources with offset, residual and ``kept``).
     """
     first = axis_consensus(df, [group], label, pos)
-    fit = _fit_sources(df, first, group, source, label, pos).withColumn("kept", F.col("residual") <= max_residual)
+    fit = cut_lineage(_fit_sources(df, first, group, source, label, pos).withColumn("kept", F.col("residual") <= max_residual))
     aligned = null_safe_join(df, fit.where("kept").select(group, source, "offset"), [group, source])
     aligned = aligned.withColumn("_p", F.col(pos) + F.col("offset"))
     return axis_consensus(aligned, [group], label, "_p"), fit

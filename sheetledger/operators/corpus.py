@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import CLOSURE_PATTERNS, COST_WORDS, closure, any_word
+from ..session import cut_lineage
 from .topk import cost_risk
 from .windows import row_bands, split_by_gap
 
@@ -71,13 +72,15 @@ def semantic_candidates(df: DataFrame, key: str, fields: Mapping[str, float], pa
     ``fields`` maps a column to the confidence of a hit in it, in order of preference; a name found
     again in a later field is not repeated.  ``patterns`` maps a node type to a regular expression.
     """
-    found = F.flatten(F.array(*[
-        F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(field), F.lit("")), F.lit(p), F.lit(0))),
-                    lambda v, k=kind, f=field, c=conf, n=i: F.struct(
-                        F.lit(k).alias("node_type"), v.alias("label"), F.lit(n).alias("n"), F.lit(f).alias("source"), F.lit(float(c)).alias("confidence")))
-        for i, (field, conf) in enumerate(fields.items()) for kind, p in patterns.items()]))
-    first = F.filter(found, lambda s, i: ~F.exists(F.slice(found, F.lit(1), i), lambda t: (t["node_type"] == s["node_type"]) & (t["label"] == s["label"])))
-    return df.select(key, F.explode(first).alias("_s")).select(key, "_s.node_type", "_s.label", "_s.source", "_s.confidence")
+    def hits(rank: int, field: str, conf: float, kind: str, pattern: str) -> Column:
+        names = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(field), F.lit("")), F.lit(pattern), F.lit(0)))
+        return F.transform(names, lambda v: F.struct(F.lit(kind).alias("node_type"), v.alias("label"), F.lit(rank).alias("n"),
+                                                     F.lit(field).alias("source"), F.lit(float(conf)).alias("confidence")))
+
+    found = F.flatten(F.array(*[hits(i, field, conf, kind, p) for i, (field, conf) in enumerate(fields.items()) for kind, p in patterns.items()]))
+    rows = df.select(key, F.explode(found).alias("_s")).select(key, "_s.*")
+    return rows.groupBy(key, "node_type", "label").agg(F.min_by(F.struct("source", "confidence"), "n").alias("_f")).select(
+        key, "node_type", "label", "_f.source", "_f.confidence")
 
 
 def to_lines(tokens: DataFrame, keys: Sequence[str], seq: str, chunk_x: Column, chunk_y: Column, gap_factor: float = 6.0,
@@ -87,7 +90,7 @@ def to_lines(tokens: DataFrame, keys: Sequence[str], seq: str, chunk_x: Column,
     Only the tokens of a single line meet in one array.
     """
     spots = tokens.dropDuplicates([*keys, "x", "y", "text"])
-    columns = split_by_gap(spots, keys, "x", seq, chunk_x, gap_factor, min_gap, "column")
+    columns = cut_lineage(split_by_gap(spots, keys, "x", seq, chunk_x, gap_factor, min_gap, "column"))
     rows = row_bands(columns, [*keys, "column"], "y", row_tol, chunk_y)
     ordered = F.array_sort(F.collect_list(F.struct("x", "y", seq, "text")))
     return rows.groupBy(*keys, "column", "row_no").agg(

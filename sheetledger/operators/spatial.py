@@ -14,6 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import null_safe_join
 from .ordered import running
 
@@ -47,7 +48,7 @@ def nearest_1d(points: DataFrame, refs: DataFrame, keys: Sequence[str], pos: str
     flipped = F.when(F.col("_is_ref") == 1, F.struct((-F.col(pos)).alias("p"), F.col("_rid").alias("r")))
     chunk = F.floor(F.col(pos) / chunk_width)
     both = both.withColumn("_flag", F.col("_is_ref"))
-    left = running(both.withColumn("_ord", -F.col("_is_ref")), keys, [pos, "_ord"], chunk, here, "_below", "max")
+    left = cut_lineage(running(both.withColumn("_ord", -F.col("_is_ref")), keys, [pos, "_ord"], chunk, here, "_below", "max"))
     full = running(left.withColumn("_ord", F.col("_is_ref")), keys, [pos, "_ord"], chunk, flipped, "_above", "max",
                    reverse=True)
     low = F.abs(F.col(pos) - F.col("_below.p"))

@@ -169,10 +169,10 @@ COLUMN_GAP_FACTOR, MIN_COLUMN_GAP, SAME_LINE_TOLERANCE = 6.0, 40.0, 3.0
 def split_by_gap(df: DataFrame, keys: Sequence[str], pos: str, tie: str, chunk: Column, factor: float = COLUMN_GAP_FACTOR,
                  minimum: float = MIN_COLUMN_GAP, alias: str = "island") -> DataFrame:
     """Columns by large gaps: threshold = max(factor × median of the lower half of the gaps, minimum)."""
-    rows = neighbour(df, keys, [pos, tie], chunk, {"_prev": pos}, -1).withColumn("_gap", F.col(pos) - F.col("_prev"))
+    rows = cut_lineage(neighbour(df, keys, [pos, tie], chunk, {"_prev": pos}, -1).withColumn("_gap", F.col(pos) - F.col("_prev")))
     half = lambda n: (F.greatest(F.lit(1), F.floor(n / 2)) - 1) / 2.0
     typical = exact_quantiles(rows, keys, "_gap", {"_typical": 0.25}, rank_of=half)
-    joined = null_safe_join(rows, typical, keys, "left")
+    joined = cut_lineage(null_safe_join(rows, typical, keys, "left"))
     starts = F.col("_prev").isNull() | (F.col("_gap") > F.greatest(F.col("_typical") * factor, F.lit(minimum)))
     return islands(joined, keys, [pos, tie], chunk, starts, alias).select(*df.columns, alias)
 
@@ -193,7 +193,7 @@ def row_bands(df: DataFrame, keys: Sequence[str], pos: str, tol: float, chunk: C
     """
     y_chunk = F.col("_c")
     spots = df.where(F.col(pos).isNotNull()).select(*keys, F.col(pos).alias("_y"), chunk.alias("_c")).distinct()
-    prev = neighbour(spots, keys, ["_y"], y_chunk, {"_prev": "_y"}, -1)
+    prev = cut_lineage(neighbour(spots, keys, ["_y"], y_chunk, {"_prev": "_y"}, -1))
     starts = F.col("_prev").isNull() | (F.col("_y") - F.col("_prev") > tol)
     marked = islands(prev, keys, ["_y"], y_chunk, starts)
 
@@ -204,7 +204,7 @@ def row_bands(df: DataFrame, keys: Sequence[str], pos: str, tol: float, chunk: C
                 first, flags[i] = y, 1
         return {"_new": flags}
 
-    flagged = each_block(marked, [*keys, "island"], ["_y"], anchor, [*keys, "_y", "_c"], "_new long")
+    flagged = cut_lineage(each_block(marked, [*keys, "island"], ["_y"], anchor, [*keys, "_y", "_c"], "_new long"))
     rows = islands(flagged, keys, ["_y"], y_chunk, F.col("_new") == 1, "row_no").select(*keys, F.col("_y").alias(pos), "row_no")
     return null_safe_join(df, rows, [*keys, pos], "left")
 
