@@ -41,6 +41,7 @@ def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("names", nargs="?", default="")
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--time", action="store_true", help="run to a noop sink and print seconds only")
     args = ap.parse_args()
     want = [w for w in args.names.split(",") if w]
     os.environ["PYSPARK_SUBMIT_ARGS"] = "--conf spark.ui.showConsoleProgress=false pyspark-shell"
@@ -56,6 +57,10 @@ def main() -> int:
         start = time.time()
         try:
             df = entry.run(spark, args.sf)
+            if args.time:
+                df.write.format("noop").mode("overwrite").save()
+                print(f"rows  {name} {time.time() - start:.1f}s", flush=True)
+                continue
             cols = sorted(df.columns)
             got = [tuple(r[c] for c in cols) for r in df.select(*[f"`{c}`" for c in cols]).collect()]
             took = time.time() - start

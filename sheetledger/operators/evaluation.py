@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggs import rate
 from ..functions.strings import norm_ref
@@ -161,7 +162,7 @@ def match_values(pred: DataFrame, gold_values: DataFrame, keys: Sequence[str], t
     return one_to_one(pairs, [*keys, "pred_id"], [*keys, "gold_id"], F.struct("gap", "gold_id"), F.struct((-F.col("confidence")).alias("c"), "pred_id"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _lcs_share(found: pd.Series, wanted: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(found, wanted):

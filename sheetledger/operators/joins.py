@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import null_safe_join
 from .quantiles import median_by
@@ -217,7 +218,7 @@ MAX_MERGE_SPAN, SCALE_TOLERANCE, MIN_MATCH_GAPS = 3, 0.02, 5
 _STEP = 0.0203  # a little more than ln(1 / 0.98): close values fall in the same or the next bucket
 
 
-@F.pandas_udf("struct<paths:long,end:int>")
+@F.pandas_udf(T.StructType([T.StructField("paths", T.LongType()), T.StructField("end", T.IntegerType())]))
 def _walk(target: pd.Series, anchor: pd.Series, start: pd.Series) -> pd.DataFrame:
     """Ways to lay ``target`` on ``anchor`` from ``start`` on, and where the last one ends."""
     out = []

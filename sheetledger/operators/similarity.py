@@ -7,11 +7,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import null_safe_join
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts, 0 when one is empty."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])

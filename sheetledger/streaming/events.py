@@ -52,8 +52,8 @@ class SuggestionState:
 
     SCHEMA = "project long, changed long, built timestamp, status string"
 
-    def __init__(self, spark: SparkSession, path: str, threshold: int):
-        self.table, self.threshold = VersionedTable(spark, path, ["project"], self.SCHEMA), threshold
+    def __init__(self, spark: SparkSession, path: str, threshold: int, buckets: int = 64):
+        self.table, self.threshold = VersionedTable(spark, path, ["project"], self.SCHEMA, buckets), threshold
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """``batch``: project, ts, kind ('changed' or 'built')."""
@@ -121,8 +121,8 @@ def batch_status(reports: DataFrame, members: DataFrame, batch: str, item: str,
 class BatchCompletion:
     """Keeps the last status per member; batch states are read from it and the static membership."""
 
-    def __init__(self, spark: SparkSession, path: str, item_type: str = "long"):
-        self.table = VersionedTable(spark, path, ["item"], f"item {item_type}, status string, ts timestamp, seq long")
+    def __init__(self, spark: SparkSession, path: str, item_type: str = "long", buckets: int = 64):
+        self.table = VersionedTable(spark, path, ["item"], f"item {item_type}, status string, ts timestamp, seq long", buckets)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         newest = batch.unionByName(self.table.current(batch_id).join(batch.select("item").distinct(), "item", "left_semi"))
@@ -162,7 +162,7 @@ def reap(stream: DataFrame, item: str, ts: str, status: str, hours: float, max_a
             state.setTimeoutTimestamp(max(since + limit_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["item", "reaped_at", "reap_attempts", "requeue"])
 
-    rows = stream.select(F.col(item).alias("item"), F.col(ts).alias("_ts"), F.col(status).alias("_status")).withWatermark("_ts", late)
+    rows = stream.select(F.col(item).cast("long").alias("item"), F.col(ts).alias("_ts"), F.col(status).alias("_status")).withWatermark("_ts", late)
     return rows.groupBy("item").applyInPandasWithState(
         fold, "item long, reaped_at timestamp, reap_attempts int, requeue boolean", "since long, tries int", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -203,7 +203,7 @@ def breaker_states(stream: DataFrame, engine: str, ts: str, seq: str, ok: Column
         state.update(now)
         yield pd.DataFrame(changes, columns=["engine", "at", "from_state", "to_state"])
 
-    rows = stream.select(F.col(engine).alias("engine"), (F.unix_micros(ts) / 1e6).alias("at_seconds"), F.col(seq).alias("seq"), ok.alias("ok"))
+    rows = stream.select(F.col(engine).cast("string").alias("engine"), (F.unix_micros(ts) / 1e6).alias("at_seconds"), F.col(seq).alias("seq"), ok.alias("ok"))
     return rows.groupBy("engine").applyInPandasWithState(
         fold, "engine string, at double, from_state string, to_state string", "state string, failures int, successes int, opened double",
         "append", GroupStateTimeout.NoTimeout)

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.writes import keyed_upsert
 
 
@@ -35,7 +36,7 @@ class VersionedTable:
 
     def upsert(self, batch: DataFrame, batch_id: int, order: Sequence[Column]) -> None:
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        delta = batch.withColumn("bucket", bucket)
+        delta = cut_lineage(batch.withColumn("bucket", bucket))  # read several times below
         base = self.current(batch_id).withColumn("bucket", bucket).join(delta.select("bucket").distinct(), "bucket", "left_semi")
         merged = keyed_upsert(base, delta.select(base.columns), self.keys, order)
         (merged.withColumn("version", F.lit(batch_id).cast("long")).hint("rebalance", "bucket").write.mode("overwrite")
