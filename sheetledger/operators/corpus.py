@@ -1,10 +1,11 @@
-"""Text corpus jobs (TXT): each works inside the row of its document, without a shuffle where it can."""
+"""Text corpus jobs (TXT): each works on the rows of its document, without a shuffle where it can."""
 
 from __future__ import annotations
 
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import CLOSURE_PATTERNS, COST_WORDS, closure, any_word
@@ -21,12 +22,15 @@ MIN_ARTICLE_CHARS, MAX_PAGE_DIGITS, MIN_CHARS_PER_PAGE = 12, 3, 200
 WATERMARKS = ("住房城乡建设部信息公开", "浏览专用", "住房和城乡建设部信息公开")
 
 
+def _article_test(body: Column, rest: Column, words: Sequence[str], sentence_end: str) -> Column:
+    sentence = (F.length(rest) >= MIN_ARTICLE_CHARS) & rest.rlike(sentence_end)
+    return (F.length(body) >= 6) & ~body.rlike(r"^\d+$") & (F.length(rest) >= 4) & (any_word(rest, words) | sentence)
+
+
 def looks_like_article(text: Column, words: Sequence[str] = OBLIGATION_WORDS, sentence_end: str = SENTENCE_END) -> Column:
     """An obligation word, or a full sentence of some length; bare numbers and short headings are not."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    rest = F.regexp_replace(body, r"^[\d.．\s]+", "")
-    sentence = (F.length(rest) >= MIN_ARTICLE_CHARS) & rest.rlike(sentence_end)
-    return (F.length(body) >= 6) & ~body.rlike(r"^\d+$") & (F.length(rest) >= 4) & (any_word(rest, words) | sentence)
+    return _article_test(body, F.regexp_replace(body, r"^[\d.．\s]+", ""), words, sentence_end)
 
 
 def is_page_number(line: Column) -> Column:
@@ -38,17 +42,19 @@ def split_articles(df: DataFrame, key: str, text: str, article: str = ARTICLE_PA
     """Numbered articles of a text: key, idx, article_no, body.
 
     Page-number lines are dropped, continuation lines joined, what precedes the first number is not
-    an article.  The text is cut before every line that starts with a number, inside its own row.
+    an article.  The text is cut before every line that starts with a number.
     """
-    lines = F.filter(F.split(text, r"\r?\n"), lambda l: ~is_page_number(l) & (F.regexp_replace(l, r"\s+", "") != ""))
-    flat = F.array_join(F.transform(lines, lambda l: F.regexp_replace(l, r"^\s+|\s+$", "")), "\n")
-    parts = F.filter(F.split(flat, rf"\n(?={article})"), lambda p: p.rlike(rf"^{article}"))
-    # group 0 of the anchored number, then the rest of the part
-    made = F.transform(parts, lambda p: F.struct(
-        F.regexp_extract(p, rf"^{article}", 0).alias("article_no"),
-        F.regexp_replace(F.regexp_replace(F.regexp_replace(p, rf"^{article}", ""), r"\n", ""), r"^\s+|\s+$", "").alias("body")))
-    kept = F.filter(made, lambda a: looks_like_article(a["body"], words, sentence_end))
-    return df.select(key, F.posexplode(kept).alias("idx", "_a")).select(key, "idx", "_a.article_no", "_a.body")
+    # Each step is a column of its own, so no pattern is evaluated twice.
+    lines = F.filter(F.split(text, r"\r?\n"), lambda l: ~is_page_number(l) & l.rlike(r"\S"))
+    flat = df.select(key, F.array_join(F.transform(lines, lambda l: F.regexp_replace(l, r"^\s+|\s+$", "")), "\n").alias("_t"))
+    parts = flat.select(key, F.posexplode(F.split("_t", rf"\n(?={article})")).alias("_i", "_p")).where(F.col("_p").rlike(rf"^{article}"))
+    made = parts.select(key, "_i", F.regexp_extract("_p", rf"^{article}", 0).alias("article_no"),
+                        F.regexp_replace(F.regexp_replace("_p", rf"^{article}", ""), r"\n|^\s+|\s+$", "").alias("body"))
+    kept = made.withColumn("_rest", F.regexp_replace("body", r"^[\d.．\s]+", "")).where(
+        _article_test(F.col("body"), F.col("_rest"), words, sentence_end))
+    # the articles of one text
+    idx = F.row_number().over(W.partitionBy(key).orderBy("_i")) - 1
+    return kept.select(key, idx.alias("idx"), "article_no", "body")
 
 
 def strip_boilerplate(df: DataFrame, key: str, text: str, watermarks: Sequence[str] = WATERMARKS, toc: str = TOC_PATTERN) -> DataFrame:

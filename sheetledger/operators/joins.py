@@ -262,9 +262,18 @@ def match_gaps(targets: DataFrame, anchors: DataFrame, min_gaps: int = MIN_MATCH
               .withColumn("_sp", F.explode(spans)).where(F.col("start") + F.col("_sp.i") + F.col("_sp.j") <= F.size("gaps"))
               .withColumn("_b1", bucket(total(F.col("start") + 1, F.col("_sp.i"))))
               .withColumn("_b2", bucket(total(F.col("start") + F.col("_sp.i") + 1, F.col("_sp.j"))))
-              .select("anchor_id", F.col("gaps").alias("base"), "_copies", "start", "_b1", "_b2"))
-    cands = (probe.join(places, ["_b1", "_b2"]).where(F.size("gaps") <= F.size("base"))
-             .dropDuplicates(["gaps", "base", "start"]))
+              .withColumn("_s1", total(F.col("start") + 1, F.col("_sp.i")))
+              .withColumn("_s2", total(F.col("start") + F.col("_sp.i") + 1, F.col("_sp.j")))
+              .withColumn("_at", F.col("start") + F.col("_sp.i") + F.col("_sp.j"))
+              .select("anchor_id", F.col("gaps").alias("base"), "_copies", "start", "_b1", "_b2", "_s1", "_s2",
+                      *[F.when(F.col("_at") + w <= F.size("gaps"), total(F.col("_at") + 1, F.lit(w))).alias(f"_n{w}")
+                        for w in range(1, MAX_MERGE_SPAN + 1)]))
+    # the first three gaps are tested in the join itself, so few pairs reach the full walk
+    close = lambda i, c: F.abs(F.element_at("gaps", i) - F.col(c)) <= F.col(c) * SCALE_TOLERANCE
+    third = reduce(lambda a, b: a | b, [F.coalesce(close(3, f"_n{w}"), F.lit(False)) for w in range(1, MAX_MERGE_SPAN + 1)])
+    cands = (probe.join(places, ["_b1", "_b2"])
+             .where((F.size("gaps") <= F.size("base")) & close(1, "_s1") & close(2, "_s2") & ((F.size("gaps") < 3) | third))
+             .select("gaps", "base", "start", "anchor_id", "_copies").dropDuplicates(["gaps", "base", "start"]))
     hits = (cands.withColumn("_w", _walk("gaps", "base", "start")).where("_w.paths > 0")
             .groupBy("gaps").agg(F.sum(F.col("_w.paths") * F.col("_copies")).alias("_n"), F.min("anchor_id").alias("anchor_id"),
                                  F.min("start").alias("start"), F.min("_w.end").alias("end"))

@@ -8,7 +8,6 @@ longer side), so each box covers at most four cells and every join is an equi-jo
 from __future__ import annotations
 
 import math
-from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -108,11 +107,13 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: Sequence[str] = (
                         ).drop("_s", "_cx", "_cy")
 
 
-def enclosing(points: DataFrame, rects: DataFrame, key: str, rect_id: str, min_side: float = 0.0) -> DataFrame:
-    """Smallest rectangle around each point (ties: lower id); rectangles with a short side do not count."""
+def enclosing(points: DataFrame, rects: DataFrame, key: str, rect_id: str, min_side: float = 0.0,
+              sheet: Sequence[str] = ()) -> DataFrame:
+    """Smallest rectangle around each point of the same sheet (ties: lower id); rectangles with a short
+    side do not count."""
     fit = rects.where((F.col("x1") - F.col("x0") >= min_side) & (F.col("y1") - F.col("y0") >= min_side))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    best = (points_in_boxes(points.select(key, "x", "y"), fit).groupBy(key)
+    best = (points_in_boxes(points.select(key, *sheet, "x", "y"), fit, sheet).groupBy(key)
             .agg(F.min(F.struct(area.alias("area"), F.col(rect_id).alias("rid"))).alias("_b")))
     return points.join(best, key, "left").select(*points.columns, F.col("_b.rid").alias(rect_id),
                                                  F.col("_b.area").alias("area"))
@@ -127,16 +128,16 @@ def _segment_distance(px: Column, py: Column) -> tuple[Column, Column]:
     return F.sqrt(F.pow(px - F.col("ax") - tc * dx, 2) + F.pow(py - F.col("ay") - tc * dy, 2)), t
 
 
-def opening_hosts(openings: DataFrame, walls: DataFrame, key: str, wall_id: str) -> DataFrame:
+def opening_hosts(openings: DataFrame, walls: DataFrame, key: str, wall_id: str, sheet: Sequence[str] = ()) -> DataFrame:
     """Wall an opening sits in: within half width plus tolerance; several = nearest, none = orphan."""
     reach = F.col("width") / 2 + OPENING_HOST_TOL
     pad = reach + 0.05 * F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
     boxed = walls.select(
-        wall_id, "ax", "ay", "bx", "by", reach.alias("_reach"),
+        wall_id, *sheet, "ax", "ay", "bx", "by", reach.alias("_reach"),
         (F.least("ax", "bx") - pad).alias("x0"), (F.greatest("ax", "bx") + pad).alias("x1"),
         (F.least("ay", "by") - pad).alias("y0"), (F.greatest("ay", "by") + pad).alias("y1"))
     dist, t = _segment_distance(F.col("x"), F.col("y"))
-    hits = (points_in_boxes(openings.select(key, "x", "y"), boxed).withColumn("_d", dist).withColumn("_t", t)
+    hits = (points_in_boxes(openings.select(key, *sheet, "x", "y"), boxed, sheet).withColumn("_d", dist).withColumn("_t", t)
             .where((F.col("_d") <= F.col("_reach")) & F.col("_t").between(-0.05, 1.05))
             .groupBy(key).agg(F.min(F.struct("_d", wall_id)).alias("_b"), F.count("*").alias("_n")))
     conf = F.when(F.col("_n").isNull(), 0.2).when(F.col("_n") == 1, 0.95).otherwise(0.7)
@@ -145,37 +146,37 @@ def opening_hosts(openings: DataFrame, walls: DataFrame, key: str, wall_id: str)
         F.col("_n").isNull().alias("orphan"))
 
 
-def supports(ends: DataFrame, columns: DataFrame, key: Sequence[str], column_id: str) -> DataFrame:
+def supports(ends: DataFrame, columns: DataFrame, key: Sequence[str], column_id: str, sheet: Sequence[str] = ()) -> DataFrame:
     """Column under each beam end: nearest box centre; inside the box 0.9, inside its margin 0.7."""
     diag = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
     margin = SUPPORT_BASE_TOL + SUPPORT_DIAG_RATIO * diag
     grown = columns.select(
-        column_id, F.struct("x0", "y0", "x1", "y1").alias("_box"),
+        column_id, *sheet, F.struct("x0", "y0", "x1", "y1").alias("_box"),
         (F.col("x0") - margin).alias("x0"), (F.col("y0") - margin).alias("y0"),
         (F.col("x1") + margin).alias("x1"), (F.col("y1") + margin).alias("y1"))
     dist = F.sqrt(F.pow(F.col("x") - (F.col("_box.x0") + F.col("_box.x1")) / 2, 2)
                   + F.pow(F.col("y") - (F.col("_box.y0") + F.col("_box.y1")) / 2, 2))
     inside = (F.col("x").between(F.col("_box.x0"), F.col("_box.x1"))
               & F.col("y").between(F.col("_box.y0"), F.col("_box.y1")))
-    best = (points_in_boxes(ends.select(*key, "x", "y"), grown).groupBy(*key)
+    best = (points_in_boxes(ends.select(*key, *sheet, "x", "y"), grown, sheet).groupBy(*key)
             .agg(F.min(F.struct(dist.alias("d"), F.col(column_id), inside.alias("inside"))).alias("_b")))
     return best.select(*key, F.col(f"_b.{column_id}").alias(column_id),
                        F.when(F.col("_b.inside"), 0.9).otherwise(0.7).alias("confidence"))
 
 
-def slab_supports(edges: DataFrame, beams: DataFrame, slab_id: str, beam_id: str) -> DataFrame:
+def slab_supports(edges: DataFrame, beams: DataFrame, slab_id: str, beam_id: str, sheet: Sequence[str] = ()) -> DataFrame:
     """Beams parallel to a slab edge whose middle lies in the band along it (distinct pairs)."""
     pad = SLAB_BEAM_BAND + 0.05 * F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
-    boxed = edges.select(slab_id, "ax", "ay", "bx", "by",
+    boxed = edges.select(slab_id, *sheet, "ax", "ay", "bx", "by",
                          (F.least("ax", "bx") - pad).alias("x0"), (F.greatest("ax", "bx") + pad).alias("x1"),
                          (F.least("ay", "by") - pad).alias("y0"), (F.greatest("ay", "by") + pad).alias("y1"))
-    mids = beams.select(beam_id, ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"),
+    mids = beams.select(beam_id, *sheet, ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"),
                         (F.col("bx") - F.col("ax")).alias("_vx"), (F.col("by") - F.col("ay")).alias("_vy"))
     dist, t = _segment_distance(F.col("x"), F.col("y"))
     wx, wy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     norm = F.sqrt(F.col("_vx") * F.col("_vx") + F.col("_vy") * F.col("_vy")) * F.sqrt(wx * wx + wy * wy)
     sine = F.when(norm > 0, F.abs(F.col("_vx") * wy - F.col("_vy") * wx) / norm)
-    return (points_in_boxes(mids, boxed)
+    return (points_in_boxes(mids, boxed, sheet)
             .where((sine <= PARALLEL_SIN_TOL) & (dist <= SLAB_BEAM_BAND) & t.between(-0.05, 1.05))
             .select(slab_id, beam_id).distinct())
 

@@ -202,40 +202,41 @@ def grid_cell(spark, d):
     return both.select("c_custkey", S.grid_cell(F.concat(F.lit("S"), F.col("s_suppkey")), F.col("label")).alias("grid_cell"))
 
 
-_POINTS = "p as (select o_orderkey, o_totalprice / 1000 as x, (o_custkey % 100)::double as y from orders)"
-_RECTS = """r as (select p_partkey, p_retailprice % 450 as x0, (p_partkey * 13 % 90)::double as y0,
+_POINTS = "p as (select o_orderkey, o_custkey // 10 as sheet, o_totalprice / 1000 as x, (o_custkey % 100)::double as y from orders)"
+_RECTS = """r as (select p_partkey, p_partkey // 13 as sheet, p_retailprice % 450 as x0, (p_partkey * 13 % 90)::double as y0,
   p_retailprice % 450 + 1 + p_size as x1, (p_partkey * 13 % 90 + 0.5 + p_size % 8)::double as y1 from part)"""
 
 
 def _points(spark, d):
     return read_table(spark, d, "orders").select(
-        "o_orderkey", (F.col("o_totalprice") / 1000).alias("x"), (F.col("o_custkey") % 100).cast("double").alias("y"))
+        "o_orderkey", F.floor(F.col("o_custkey") / 10).alias("sheet"), (F.col("o_totalprice") / 1000).alias("x"),
+        (F.col("o_custkey") % 100).cast("double").alias("y"))
 
 
 def _rects(spark, d):
     x0, y0 = F.col("p_retailprice") % 450, (F.col("p_partkey") * 13) % 90
     return read_table(spark, d, "part").select(
-        "p_partkey", x0.alias("x0"), y0.cast("double").alias("y0"), (x0 + 1 + F.col("p_size")).alias("x1"),
+        "p_partkey", F.floor(F.col("p_partkey") / 13).alias("sheet"), x0.alias("x0"), y0.cast("double").alias("y0"), (x0 + 1 + F.col("p_size")).alias("x1"),
         (y0 + 0.5 + F.col("p_size") % 8).alias("y1"))
 
 
 @query("JOI-14", f"""
 with {_POINTS}, {_RECTS},
 h as (select o_orderkey, min(struct_pack(a := (x1 - x0) * (y1 - y0), k := p_partkey)) as b
-      from p join r on x between x0 and x1 and y between y0 and y1 where x1 - x0 >= 3 and y1 - y0 >= 1 group by 1)
+      from p join r on p.sheet = r.sheet and x between x0 and x1 and y between y0 and y1 where x1 - x0 >= 3 and y1 - y0 >= 1 group by 1)
 select p.o_orderkey, b.k as p_partkey, round(b.a, 6) as area from p left join h using (o_orderkey)""")
 def containment_join(spark, d):
     wide = _rects(spark, d).where("x1 - x0 >= 3")
-    return (S.enclosing(_points(spark, d), wide, "o_orderkey", "p_partkey", 1.0)
+    return (S.enclosing(_points(spark, d), wide, "o_orderkey", "p_partkey", 1.0, ["sheet"])
             .select("o_orderkey", "p_partkey", F.round("area", 6).alias("area")))
 
 
 @query("JOI-14", f"""
-with {_POINTS}, w as (select p_partkey, p_retailprice % 450 as ax, (p_partkey * 13 % 90)::double as ay,
+with {_POINTS}, w as (select p_partkey, p_partkey // 13 as sheet, p_retailprice % 450 as ax, (p_partkey * 13 % 90)::double as ay,
     p_retailprice % 450 + p_size as bx, (p_partkey * 13 % 90 + p_size % 5)::double as "by", (p_size % 3)::double as width from part),
 c as (select o_orderkey, p_partkey, x, y, ax, ay, bx, "by", width,
         ((x - ax) * (bx - ax) + (y - ay) * ("by" - ay)) / ((bx - ax) ** 2 + ("by" - ay) ** 2) as t
-      from p join w on x between least(ax, bx) - 4 and greatest(ax, bx) + 4 and y between least(ay, "by") - 4 and greatest(ay, "by") + 4),
+      from p join w on p.sheet = w.sheet and x between least(ax, bx) - 4 and greatest(ax, bx) + 4 and y between least(ay, "by") - 4 and greatest(ay, "by") + 4),
 dd as (select *, sqrt((x - ax - least(greatest(t, 0), 1) * (bx - ax)) ** 2 + (y - ay - least(greatest(t, 0), 1) * ("by" - ay)) ** 2) as dist from c),
 h as (select o_orderkey, min(struct_pack(d := dist, k := p_partkey)) as b, count(*) as n from dd
       where dist <= width / 2 + 0.3::double and t between -0.05::double and 1.05::double group by 1)
@@ -244,9 +245,9 @@ select p.o_orderkey, b.k as p_partkey, case when n is null then 0.2::double when
 def opening_host(spark, d):
     x0, y0 = F.col("p_retailprice") % 450, (F.col("p_partkey") * 13) % 90
     walls = read_table(spark, d, "part").select(
-        "p_partkey", x0.alias("ax"), y0.cast("double").alias("ay"), (x0 + F.col("p_size")).alias("bx"),
+        "p_partkey", F.floor(F.col("p_partkey") / 13).alias("sheet"), x0.alias("ax"), y0.cast("double").alias("ay"), (x0 + F.col("p_size")).alias("bx"),
         (y0 + F.col("p_size") % 5).cast("double").alias("by"), (F.col("p_size") % 3).cast("double").alias("width"))
-    return S.opening_hosts(_points(spark, d), walls, "o_orderkey", "p_partkey").drop("x", "y")
+    return S.opening_hosts(_points(spark, d), walls, "o_orderkey", "p_partkey", ["sheet"]).drop("x", "y", "sheet")
 
 
 @query("JOI-15", f"""
@@ -254,11 +255,36 @@ with {_POINTS}, {_RECTS},
 g as (select *, 0.15::double + 0.5::double * sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) as m from r),
 c as (select o_orderkey, struct_pack(d := sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2), k := p_partkey,
         i := x between x0 and x1 and y between y0 and y1) as s
-      from p join g on x between x0 - m and x1 + m and y between y0 - m and y1 + m)
+      from p join g on p.sheet = g.sheet and x between x0 - m and x1 + m and y between y0 - m and y1 + m)
 select o_orderkey, b.k as p_partkey, case when b.i then 0.9::double else 0.7::double end as confidence
 from (select o_orderkey, min(s) as b from c group by 1)""")
 def box_support(spark, d):
-    return S.supports(_points(spark, d), _rects(spark, d), ["o_orderkey"], "p_partkey")
+    return S.supports(_points(spark, d), _rects(spark, d), ["o_orderkey"], "p_partkey", ["sheet"])
+
+
+@query("JOI-15", """
+with b as (select p_partkey, p_partkey // 13 as sheet, p_retailprice % 450 as ax, (p_partkey * 13 % 90)::double as ay, p_retailprice % 450 + p_size as bx, (p_partkey * 13 % 90 + p_size % 3)::double as "by" from part),
+e as (select c_custkey, c_custkey // 10 as sheet, c_acctbal / 25 as ax, (c_custkey % 90)::double as ay, c_acctbal / 25 + 60 as bx, (c_custkey % 90 + c_nationkey % 4)::double as "by" from customer),
+j as (select c_custkey, p_partkey, (b.ax + b.bx) / 2 as mx, (b.ay + b."by") / 2 as my, b.bx - b.ax as vx, b."by" - b.ay as vy, e.ax, e.ay, e.bx - e.ax as wx, e."by" - e.ay as wy from b join e on b.sheet = e.sheet),
+t as (select *, ((mx - ax) * wx + (my - ay) * wy) / (wx * wx + wy * wy) as t, abs(vx * wy - vy * wx) / (sqrt(vx * vx + vy * vy) * sqrt(wx * wx + wy * wy)) as sine from j)
+select distinct c_custkey, p_partkey from t where sine <= 0.2 and t between -0.05 and 1.05 and sqrt((mx - ax - least(greatest(t, 0), 1) * wx) ** 2 + (my - ay - least(greatest(t, 0), 1) * wy) ** 2) <= 0.3""")
+def slab_support(spark, d):
+    x0, y0 = F.col("p_retailprice") % 450, (F.col("p_partkey") * 13) % 90
+    beams = read_table(spark, d, "part").select(
+        "p_partkey", F.floor(F.col("p_partkey") / 13).alias("sheet"), x0.alias("ax"), y0.cast("double").alias("ay"), (x0 + F.col("p_size")).alias("bx"),
+        (y0 + F.col("p_size") % 3).cast("double").alias("by"))
+    bal, k = F.col("c_acctbal") / 25, F.col("c_custkey") % 90
+    edges = read_table(spark, d, "customer").select(
+        "c_custkey", F.floor(F.col("c_custkey") / 10).alias("sheet"), bal.alias("ax"), k.cast("double").alias("ay"), (bal + 60).alias("bx"), (k + F.col("c_nationkey") % 4).cast("double").alias("by"))
+    return S.slab_supports(edges, beams, "c_custkey", "p_partkey", ["sheet"])
+
+
+@query("JOI-15")
+def level_pairs(spark, d):
+    side = lambda kind, name: (read_table(spark, d, "events").where(f"event_type = '{kind}'").select(
+        "user_id", F.col("event_id").alias(name), (F.col("value") * 4).alias("x0"), (F.col("value") * 4 + 20).alias("x1"),
+        F.get_json_object("props", "$.k").cast("double").alias("y")))
+    return S.row_pairs(side("click", "name_id"), side("view", "value_id"), ["user_id"])
 
 
 @query("JOI-16")

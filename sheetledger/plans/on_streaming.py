@@ -162,7 +162,7 @@ def learning_loop(spark, d):
 
     def step(batch, batch_id):
         loop.process(batch, batch_id)
-        loop.adopt(loop.suggestions().where("times >= 75"), batch_id)
+        loop.adopt(loop.suggestions().where("raw < 'raw3'"), batch_id)
 
     S.run_batches(_sliced(spark, _annotations(spark, d), "annotations"), step, scratch(spark, "learning_check"))
     return loop.suggestions()
