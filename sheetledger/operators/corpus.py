@@ -44,12 +44,12 @@ def split_articles(df: DataFrame, key: str, text: str, article: str = ARTICLE_PA
     Page-number lines are dropped, continuation lines joined, what precedes the first number is not
     an article.  The text is cut before every line that starts with a number.
     """
-    # Each step is a column of its own, so no pattern is evaluated twice.
-    lines = F.filter(F.split(text, r"\r?\n"), lambda l: ~is_page_number(l) & l.rlike(r"\S"))
-    flat = df.select(key, F.array_join(F.transform(lines, lambda l: F.regexp_replace(l, r"^\s+|\s+$", "")), "\n").alias("_t"))
-    parts = flat.select(key, F.posexplode(F.split("_t", rf"\n(?={article})")).alias("_i", "_p")).where(F.col("_p").rlike(rf"^{article}"))
+    # Whole-text patterns instead of a line loop; each step is a column of its own, so none runs twice.
+    flat = df.select(key, F.regexp_replace(text, rf"(?m)^\s*\d{{1,{MAX_PAGE_DIGITS}}}\s*$", "").alias("_t"))
+    parts = (flat.select(key, F.posexplode(F.split("_t", rf"(?m)^[ \t]*(?={article})")).alias("_i", "_p"))
+             .where(F.col("_p").rlike(rf"^{article}")))
     made = parts.select(key, "_i", F.regexp_extract("_p", rf"^{article}", 0).alias("article_no"),
-                        F.regexp_replace(F.regexp_replace("_p", rf"^{article}", ""), r"\n|^\s+|\s+$", "").alias("body"))
+                        F.regexp_replace(F.regexp_replace("_p", rf"^{article}", ""), r"\s*\n\s*|^\s+|\s+$", "").alias("body"))
     kept = made.withColumn("_rest", F.regexp_replace("body", r"^[\d.．\s]+", "")).where(
         _article_test(F.col("body"), F.col("_rest"), words, sentence_end))
     # the articles of one text

@@ -26,7 +26,11 @@ def shingles(text: Column, n: int = 3) -> Column:
 def _bands(df: DataFrame, bands: int, rows: int) -> DataFrame:
     """(text, band, key): minimum hashes of the shingles, ``rows`` of them to a band."""
     grams = df.select("text", F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("_g"))
-    low = [F.array_min(F.transform("_g", lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(bands * rows)]
+
+    def lowest(seed: int) -> Column:
+        return F.array_min(F.transform("_g", lambda h: F.xxhash64(h, F.lit(seed))))
+
+    low = [lowest(i) for i in range(bands * rows)]
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*low[b * rows:(b + 1) * rows]).alias("key"))
                      for b in range(bands)])
     return grams.select("text", F.explode(keys).alias("_k")).select("text", "_k.band", "_k.key")
