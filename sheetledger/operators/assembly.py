@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggs import noisy_or
+from ..session import cut_lineage
 from .common import each_block, null_safe_join
 from .consensus import vote
 
@@ -64,8 +65,9 @@ def assemble(df: DataFrame, dist: float = MERGE_DIST_M) -> DataFrame:
             .withColumn("_x", F.when(placed, F.round("x", 3))).withColumn("_y", F.when(placed, F.round("y", 3))))
     folded = rows.groupBy(*_BLOCK, "_x", "_y").agg(
         F.count("*").alias("_n"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("_conf"), F.min("obs_id").alias("_first"))
-    spots = each_block(folded.withColumn("_turn", -F.col("_conf")), _BLOCK, ["_turn", "_first"], _greedy(dist),
-                       [*_BLOCK, "_x", "_y"], "_entity long")
+    # read twice below (aggregates and label vote), so the Python pass is kept
+    spots = cut_lineage(each_block(folded.withColumn("_turn", -F.col("_conf")), _BLOCK, ["_turn", "_first"], _greedy(dist),
+                                   [*_BLOCK, "_x", "_y"], "_entity long"))
     joined = null_safe_join(rows, spots, [*_BLOCK, "_x", "_y"])
     keys = [*_BLOCK, "_entity"]
     best = F.when(F.col("outline").isNotNull(), F.struct(F.coalesce("confidence", F.lit(0.0)).alias("c"), F.col("_x")))

@@ -97,5 +97,7 @@ def each_block(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Cal
         extra = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
         return batch.assign(**extra)[names]
 
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # a stated number, so that AQE does not fold the Python work of many cores into a few large partitions
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(spread, *keys).sortWithinPartitions(*keys, *order)
     return placed.mapInPandas(run, schema)

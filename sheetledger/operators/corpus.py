@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,15 +23,17 @@ MIN_ARTICLE_CHARS, MAX_PAGE_DIGITS, MIN_CHARS_PER_PAGE = 12, 3, 200
 WATERMARKS = ("住房城乡建设部信息公开", "浏览专用", "住房和城乡建设部信息公开")
 
 
-def _article_test(body: Column, rest: Column, words: Sequence[str], sentence_end: str) -> Column:
-    sentence = (F.length(rest) >= MIN_ARTICLE_CHARS) & rest.rlike(sentence_end)
-    return (F.length(body) >= 6) & ~body.rlike(r"^\d+$") & (F.length(rest) >= 4) & (any_word(rest, words) | sentence)
+def _article_test(words: Sequence[str], sentence_end: str) -> str:
+    """One pattern over the trimmed text: long enough, not a bare number, and behind its leading number
+    an obligation word or a full sentence."""
+    named = "|".join(re.escape(w) for w in words)
+    return (rf"(?s)^(?=.{{6}})(?!\d+$)[\d.．\s]*+(?=.{{4}})"
+            rf"(?:.*?(?:{named})|(?=.{{{MIN_ARTICLE_CHARS}}}).*?{sentence_end})")
 
 
 def looks_like_article(text: Column, words: Sequence[str] = OBLIGATION_WORDS, sentence_end: str = SENTENCE_END) -> Column:
     """An obligation word, or a full sentence of some length; bare numbers and short headings are not."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    return _article_test(body, F.regexp_replace(body, r"^[\d.．\s]+", ""), words, sentence_end)
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "").rlike(_article_test(words, sentence_end))
 
 
 def is_page_number(line: Column) -> Column:
@@ -50,8 +53,8 @@ def split_articles(df: DataFrame, key: str, text: str, article: str = ARTICLE_PA
              .where(F.col("_p").rlike(rf"^{article}")))
     made = parts.select(key, "_i", F.regexp_extract("_p", rf"^{article}", 0).alias("article_no"),
                         F.regexp_replace(F.regexp_replace("_p", rf"^{article}", ""), r"\s*\n\s*|^\s+|\s+$", "").alias("body"))
-    kept = made.withColumn("_rest", F.regexp_replace("body", r"^[\d.．\s]+", "")).where(
-        _article_test(F.col("body"), F.col("_rest"), words, sentence_end))
+    # one use of the body, as the filter is pushed below it and would repeat its patterns
+    kept = made.where(F.col("body").rlike(_article_test(words, sentence_end)))
     # the articles of one text
     idx = F.row_number().over(W.partitionBy(key).orderBy("_i")) - 1
     return kept.select(key, idx.alias("idx"), "article_no", "body")
