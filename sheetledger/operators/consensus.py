@@ -135,8 +135,8 @@ def _seeds(df: DataFrame, group: str, source: str, pos: str) -> DataFrame:
                   ).select(group, source)
 
 
-def frames(df: DataFrame, group: str, source: str, label: str, pos: str, max_residual: float = MAX_FRAME_RESIDUAL_M,
-           max_frames: int = 50) -> DataFrame:
+def frames(df: DataFrame, group: str, source: str, label: str, pos: str, max_residual: float = MAX_FRAME_RESIDUAL_M
+           ) -> DataFrame:
     """Mutually consistent sources per group: group, source, frame, offset.
 
     A frame grows from its seed: sources that share labels with it and fit are taken in, the
@@ -144,8 +144,8 @@ def frames(df: DataFrame, group: str, source: str, label: str, pos: str, max_res
     grow at once, every round is checkpointed.
     """
     rest = cut_lineage(df.select(group, source, label, pos))
-    done = None
-    for frame in range(max_frames):
+    done, frame = None, 0
+    while True:
         seed = _seeds(rest, group, source, pos)
         members = cut_lineage(seed.withColumn("offset", F.lit(0.0)))
         size = members.count()
@@ -164,6 +164,7 @@ def frames(df: DataFrame, group: str, source: str, label: str, pos: str, max_res
         taken = members.withColumn("frame", F.lit(frame))
         done = taken if done is None else done.unionByName(taken)
         rest = cut_lineage(rest.join(members, [group, source], "left_anti").select(group, source, label, pos))
+        frame += 1
     if done is None:
         return df.select(group, source, F.lit(0).alias("frame"), F.lit(0.0).alias("offset")).limit(0)
     return done.select(group, source, "frame", "offset")

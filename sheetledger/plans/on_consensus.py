@@ -117,7 +117,7 @@ def two_pass_consensus(spark, d):
 @query("AGG-29")
 def frame_clusters(spark, d):
     rows = _axes(spark, d).groupBy("zone", "user_id", "label").agg(F.avg("value").alias("value"))
-    return C.frames(rows, "zone", "user_id", "label", "value", 8.0, 4)
+    return C.frames(rows, "zone", "user_id", "label", "value", 30.0)
 
 
 @query("AGG-30", """
