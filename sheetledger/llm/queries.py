@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, simhash
+from . import byte_bpe, exact_dedup, language_id, packing, quality, simhash
+from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal but for blanks, and the row of each that stays."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("n_points")
+
+
+@_query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all texts by a model that never saw the fold of remainder 0."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs.select("doc_id", "text"), labels))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts by trees that never saw the fold of remainder 2."""
+    docs = _table(spark, sf_dir, "documents")
+    trees = language_id.train(docs.where(remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text"), trees).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
