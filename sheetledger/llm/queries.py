@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, packing, quality, simhash
+from . import byte_bpe, exact_dedup, inner_topk, language_id, packing, quality, simhash
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = language_id.train(docs.where(remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     return language_id.predict(docs.select("doc_id", "text"), trees).select(
         "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query("""
+WITH wide AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, b.vec_id, CAST(list_inner_product(q.v, b.v) AS BIGINT) AS score
+  FROM wide q, wide b WHERE q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""")
+def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    return inner_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
