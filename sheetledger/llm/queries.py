@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, inner_topk, language_id, packing, quality, simhash
+from . import byte_bpe, exact_dedup, inner_topk, language_id, license_scan, packing, quality, simhash, url_filter
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,25 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector with all others."""
     return inner_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+#: Verdicts on a host, with its subdomains, and the start of a path.
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@_query()
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs, by rule or by the model."""
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES, model)
+
+
+PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+TEMPLATES = (("released under the mit license", "mit"), ("licensed under the apache license version 2 0", "apache-2"), ("licensed under cc by nc 4 0", "cc-by-nc"),
+             ("this work is licensed under the gnu general public license version 3", "gpl-3"))
+
+
+@_query()
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of all texts by place, and the labels of lines like a template."""
+    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, TEMPLATES)
