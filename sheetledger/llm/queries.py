@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, inner_topk, language_id, license_scan, packing, quality, simhash, url_filter
+from . import backoff_lm, byte_bpe, exact_dedup, inner_topk, language_id, license_scan, packing, quality, simhash, url_filter
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,12 @@ TEMPLATES = (("released under the mit license", "mit"), ("licensed under the apa
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of all texts by place, and the labels of lines like a template."""
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, TEMPLATES)
+
+
+@_query()
+def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all texts by a model that never saw the fold of remainder 1."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = backoff_lm.train(docs.where(remainder("doc_id", 5) != 1))
+    return backoff_lm.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
