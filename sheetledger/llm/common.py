@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,3 +71,23 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
     view = memoryview(data)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         yield bytes(view[a:b])
+
+
+def filtered(docs: DataFrame, text_col: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose text ``judge`` says to keep, with all their columns; rows keep their places, nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not in ``gone`` (doc_id), a table of its own in the shared folder.
+
+    Spark broadcasts the ids only if the written table is under its limit; else both sides are shuffled.
+    """
+    ids = keep(gone.select("doc_id"), "gone")
+    return docs.join(ids, docs[id_col] == ids["doc_id"], "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, row_runs
+from .common import byte_view, filtered, row_runs
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -169,6 +169,21 @@ def code_lengths(trees: Trees, data: np.ndarray, edges: np.ndarray) -> np.ndarra
     return out
 
 
+def _languages(texts: pa.Array, trees: Trees) -> tuple[list[str], np.ndarray]:
+    offsets, data = byte_view(texts)
+    langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    if not trees.languages:
+        return langs, scores
+    for a, b in row_runs(offsets):
+        body, edges = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        bits = code_lengths(trees, body, edges)
+        share = 1 / np.exp2(np.minimum(bits.min(axis=1, keepdims=True) - bits, 0)).sum(axis=1)
+        for i, k in enumerate(bits.argmin(axis=1).tolist()):
+            if any(map(str.isalpha, body[edges[i]:edges[i + 1]].tobytes().decode("utf-8", "replace"))):
+                langs[a + i], scores[a + i] = trees.languages[k], share[i]
+    return langs, scores
+
+
 def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row; the score is the language's share at equal priors.
 
@@ -178,25 +193,15 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by ``train``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            offsets, data = byte_view(batch.column(1))
-            langs, scores = [], []
-            for a, b in row_runs(offsets):
-                body, edges = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-                if not own.languages:
-                    langs += [UNDETERMINED] * (b - a)
-                    scores += [0.0] * (b - a)
-                    continue
-                bits = code_lengths(own, body, edges)
-                best = bits.argmin(axis=1)
-                share = 1 / np.exp2(np.minimum(bits.min(axis=1, keepdims=True) - bits, 0)).sum(axis=1)
-                for i, k in enumerate(best.tolist()):
-                    text = body[edges[i]:edges[i + 1]].tobytes().decode("utf-8", "replace")
-                    lettered = any(map(str.isalpha, text))
-                    langs.append(own.languages[k] if lettered else UNDETERMINED)
-                    scores.append(float(share[i]) if lettered else 0.0)
+            langs, scores = _languages(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
         run, "doc_id long, lang_pred string, score double")
+
+
+def passing(docs: DataFrame, trees: Trees, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose language is told with a score of ``least`` or more, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    return filtered(docs, text_col, lambda texts: _languages(texts, shared.value)[1] >= least)

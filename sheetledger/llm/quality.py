@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, row_runs
+from .common import byte_view, filtered, row_runs
 
 GRAMS = (3, 4)
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
@@ -146,24 +146,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                    [np.array(r["shares"], dtype=np.float32) for r in got], buckets, dim, epochs, rate, seed)
 
 
+def _scores(texts: pa.Array, margins: np.ndarray, bias: float, buckets: int) -> np.ndarray:
+    offsets, data = byte_view(texts)
+    found = [np.empty(0)]
+    for a, b in row_runs(offsets, 1 << 18):
+        owner, hit = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], buckets)
+        total, n = np.bincount(owner, weights=margins[hit], minlength=b - a), np.bincount(owner, minlength=b - a)
+        found.append(1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias))))
+    return np.concatenate(found)
+
+
+def _shared(docs: DataFrame, model: Embeddings):
+    """The frozen model as one number a bucket: its size is fixed by the number of buckets."""
+    return docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0]), len(model.vectors)))
+
+
 def score(docs: DataFrame, model: Embeddings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row: the softmax output for label 1.
 
     Null and empty texts have no features and get the output of a zero average.  Rows keep their places; other
     columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0]), len(model.vectors)))
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins, bias, buckets = shared.value
         for batch in batches:
-            offsets, data = byte_view(batch.column(1))
-            scores = []
-            for a, b in row_runs(offsets, 1 << 18):
-                owner, found = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], buckets)
-                total = np.bincount(owner, weights=margins[found], minlength=b - a)
-                n = np.bincount(owner, minlength=b - a)
-                scores.append(1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), *shared.value), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
+
+
+def passing(docs: DataFrame, model: Embeddings, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows that score ``least`` or more, with all their columns as they are."""
+    shared = _shared(docs, model)
+    return filtered(docs, text_col, lambda texts: _scores(texts, *shared.value) >= least)

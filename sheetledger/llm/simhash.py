@@ -36,12 +36,18 @@ def shingle_hashes(text: bytes, words: int, lanes: int) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(words, len(tokens))
     spans = zip(starts[:len(tokens) - width + 1].tolist(), ends[width - 1:].tolist())
-    if lanes == 1:
-        digest = xxhash.xxh64_intdigest
-        found = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(tokens) - width + 1)
-        return found[:, None]
-    pieces = [joined[a:b] for a, b in spans]
-    return np.array([[xxhash.xxh64_intdigest(p, SEED + k) for k in range(lanes)] for p in pieces], dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    found = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(tokens) - width + 1)
+    return np.stack([found, *(_mixed(found, k) for k in range(1, lanes))], axis=1)
+
+
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Further bits for longer fingerprints, by a 64-bit finalizer."""
+    with np.errstate(over="ignore"):
+        h = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
