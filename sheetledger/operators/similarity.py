@@ -1,60 +1,92 @@
-"""Fuzzy text join: hashed shingle bands find candidates, the exact ratio decides."""
+"""Fuzzy text join: bounds on the ratio rule pairs out, the exact ratio decides."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import null_safe_join
+from ..session import cut_lineage
 
 
-@F.pandas_udf(T.DoubleType())
-def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two texts, 0 when one is empty."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+def common_length(a: str, b: str) -> int:
+    """Length of a longest common subsequence, all columns of the table at once as the bits of one number.
 
-
-def shingles(text: Column, n: int = 3) -> Column:
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
-
-
-def _bands(df: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(text, band, key): minimum hashes of the shingles, ``rows`` of them to a band."""
-    grams = df.select("text", F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("_g"))
-
-    def lowest(seed: int) -> Column:
-        return F.array_min(F.transform("_g", lambda h: F.xxhash64(h, F.lit(seed))))
-
-    low = [lowest(i) for i in range(bands * rows)]
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*low[b * rows:(b + 1) * rows]).alias("key"))
-                     for b in range(bands)])
-    return grams.select("text", F.explode(keys).alias("_k")).select("text", "_k.band", "_k.key")
-
-
-def similar_texts(a: DataFrame, b: DataFrame, threshold: float, bands: int = 16, rows: int = 2) -> DataFrame:
-    """Pairs of *distinct* texts with ratio at or above the threshold: text_a, text_b, ratio.
-
-    Copies are folded before blocking: a text held by a third of all rows is compared once.
-    Texts that share no band are not compared (see README, deliberate differences).
+    Matching blocks stand in the same order in both texts, so they are never longer together than this.
+    """
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def _tally(texts: list[str], letters: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(texts), len(letters)), dtype=np.int32)
+    for i, t in enumerate(texts):
+        for c, n in Counter(t).items():
+            if c in letters:
+                out[i, letters[c]] = n
+    return out
+
+
+def close_pairs(left: list[str], right: list[str], threshold: float) -> Iterator[tuple[str, str, float]]:
+    """Pairs of two lists with ratio at or above the threshold.
+
+    Each bound is never below the ratio: lengths, then common characters, then the longest common subsequence.
+    """
+    letters = {c: i for i, c in enumerate(sorted(set("".join(right))))}
+    theirs, sizes = _tally(right, letters), np.array([len(t) for t in right])
+    for x, own in zip(left, _tally(left, letters)):
+        least = threshold * (len(x) + sizes) / 2 - 1e-9
+        shared = np.minimum(theirs, own).sum(axis=1)
+        for j in np.flatnonzero((np.minimum(len(x), sizes) >= least) & (shared >= least)).tolist():
+            y = right[j]
+            if x == y or common_length(x, y) >= least[j]:
+                ratio = SequenceMatcher(None, x, y).ratio()
+                if ratio >= threshold:
+                    yield x, y, ratio
+
+
+def _tiles(texts: DataFrame, name: str, spread: float, tile: int) -> DataFrame:
+    """Distinct texts in tiles of about ``tile``, by length: band (lengths within the reach of each other lie at most one
+    band apart), chunk, list.  The number of bands grows with the logarithm of the longest text only, so their sizes may be broadcast."""
+    rows = texts.select("text").where(F.length("text") > 0).distinct().withColumn("band", F.floor(F.log(F.length("text")) / F.log(F.lit(spread))).cast("int"))
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / tile).alias("_n"))
+    return (rows.join(F.broadcast(sizes), "band").withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("_n")))
+            .groupBy("band", "chunk").agg(F.collect_list("text").alias(name)))
+
+
+def similar_texts(a: DataFrame, b: DataFrame, threshold: float, tile: int = 256) -> DataFrame:
+    """Pairs of *distinct* texts with ratio at or above the threshold: text_a, text_b, ratio.  No such pair is missed.
+
+    Copies are folded first: a text held by a third of all rows is compared once.  Texts of lengths that rule the ratio out do not
+    meet; the others meet tile by tile, so the work is the product of the distinct texts of a length.
     """
-    # The ratio is at most 2·shorter/(sum of lengths): texts out of the other side's reach are not hashed.
     spread = (2.0 - threshold) / threshold
-    sides = []
-    for own, other, name in ((a, b, "text_a"), (b, a, "text_b")):
-        reach = other.where(F.length("text") > 0).agg(F.min(F.length("text")).alias("_lo"), F.max(F.length("text")).alias("_hi"))
-        near = null_safe_join(own.select("text").where(F.length("text") > 0).distinct(), reach, []).where(
-            F.length("text").between(F.col("_lo") / spread, F.col("_hi") * spread))
-        sides.append(_bands(near.select("text"), bands, rows).withColumnRenamed("text", name))
-    left, right = sides
-    shorter = F.least(F.length("text_a"), F.length("text_b"))
-    ceiling = 2.0 * shorter / (F.length("text_a") + F.length("text_b"))
-    cands = left.join(right, ["band", "key"]).where(ceiling >= threshold).select("text_a", "text_b").distinct()
-    return cands.withColumn("ratio", text_ratio("text_a", "text_b")).where(F.col("ratio") >= threshold)
+    left, right = cut_lineage(_tiles(a, "left", spread, tile)), cut_lineage(_tiles(b, "right", spread, tile))
+    near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    there = right.select(F.col("band").alias("band_b"), F.col("chunk").alias("chunk_b"), near.alias("_d")).withColumn("band", F.col("band_b") + F.col("_d")).drop("_d")
+    pairs = left.select("band", "chunk").join(there, "band")  # names of tiles only
+    held = right.select(F.col("band").alias("band_b"), F.col("chunk").alias("chunk_b"), "right")
+    met = pairs.join(left, ["band", "chunk"]).join(held, ["band_b", "chunk_b"]).select("left", "right")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x, y in zip(batch["left"], batch["right"]):
+                yield pd.DataFrame(list(close_pairs(list(x), list(y), threshold)), columns=["text_a", "text_b", "ratio"])
+
+    spread_to = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(spread_to).mapInPandas(compare, "text_a string, text_b string, ratio double")
 
 
 def similar_join(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:

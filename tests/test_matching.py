@@ -121,3 +121,22 @@ def test_no_project_in_two_splits(spark):
     df = spark.createDataFrame([(f"p{i % 17}", i) for i in range(170)], "project string, id int")
     one, two = V.split_groups(df, "project"), V.split_groups(df, "project")
     assert V.leaks(one, "project").count() == 0 and rows(one) == rows(two) and one.count() == 170
+
+
+def test_fuzzy_join_misses_no_pair(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    words = ["beam", "column", "slab", "the", "of", "grid", "level", "north", "wall", "pipe"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    other = ["".join(c for c in t if rng.random() > 0.12) + rng.choice(["", " x", " the wall"]) for t in base] + ["", base[0]]
+    left = spark.createDataFrame([(i, None, t) for i, t in enumerate(base)], "id long, ref string, text string")
+    right = spark.createDataFrame([(i, None, t) for i, t in enumerate(other)], "id long, ref string, text string")
+    got = {(r["id_a"], r["id_b"]) for r in similar_join(left, right, 0.8).collect()}
+    assert got == {(i, j) for i, x in enumerate(base) for j, y in enumerate(other) if x and y and SequenceMatcher(None, x, y).ratio() >= 0.8}
+
+
+def test_inversions_of_large_values(spark):
+    df = spark.createDataFrame([("a", 1, 300), ("a", 2, 200), ("a", 3, 100), ("b", 1, 1), ("b", 2, 2), ("b", 3, 1 << 40)], "k string, t long, v long")
+    assert rows(N.inversions(df, ["k"], ["t"], "v", F.lit(0)), "k", "inversion_rate") == [("a", 1.0), ("b", 0.0)]
