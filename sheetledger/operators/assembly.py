@@ -10,36 +10,43 @@ from ..functions.aggs import noisy_or
 from ..session import cut_lineage
 from .common import each_block, null_safe_join
 from .consensus import vote
+from .retrieval import components
 
 # Merge distance, confidence under which an entity needs review, types keyed by grid cell.
 MERGE_DIST_M, CONFLICT_CONFIDENCE, GRID_KEYED_TYPES = 1.0, 0.5, ("column", "pile")
-_BLOCK = ["type", "building", "floor", "_block"]
+_SPACE, _BLOCK = ["type", "building", "floor"], ["type", "building", "floor", "_block"]
+_SPOT = [*_BLOCK, "_cell", "x", "y", "_conf"]
 
 
 def _greedy(dist: float):
     def place(block: dict) -> dict:
-        """Folded positions of one block, surest first, each to the nearest centre in reach, else a new entity."""
-        xs, ys, ns = block["_x"].astype(float), block["_y"].astype(float), block["_n"].astype(float)
-        cx, cy, weight = np.empty(len(xs)), np.empty(len(xs)), np.zeros(len(xs))
+        """Spots of one block, surest first, each to the nearest centre in reach, else a new entity.
+
+        A spot with a grid cell looks at the entities that its cell began only; without a place it takes the first of
+        them, and where none is near, one without a centre.  All others look at every centre.
+        """
+        xs, ys, ns, cells = block["x"].astype(float), block["y"].astype(float), block["_n"].astype(float), block["_cell"]
+        cx, cy, weight = np.full(len(xs), np.nan), np.full(len(xs), np.nan), np.zeros(len(xs))
+        began: dict[str, list[int]] = {}
         entity, used = np.empty(len(xs), dtype=np.int64), 0
         for i in range(len(xs)):
-            lost = np.isnan(xs[i])
-            j = -1
-            if used and lost:
-                j = 0
-            elif used:
-                gap = np.hypot(cx[:used] - xs[i], cy[:used] - ys[i])
-                near = np.flatnonzero(gap <= dist)
-                blank = np.flatnonzero(weight[:used] == 0)
-                j = int(near[gap[near].argmin()]) if len(near) else int(blank[0]) if len(blank) else -1
+            lost, cell = np.isnan(xs[i]), cells[i]
+            mine = np.array(began.get(cell, ()), dtype=np.int64) if cell is not None else np.arange(used)
+            if lost:
+                j = int(mine[0]) if len(mine) and cell is not None else -1
+            else:
+                gap = np.hypot(cx[mine] - xs[i], cy[mine] - ys[i])  # not a number without a centre
+                near = gap <= dist
+                blank = mine[weight[mine] == 0] if cell is not None else ()
+                j = int(mine[np.where(near, gap, np.inf).argmin()]) if near.any() else int(blank[0]) if len(blank) else -1
             if j < 0:
                 j, used = used, used + 1
-                cx[j], cy[j] = xs[i], ys[i]
+                if cell is not None:
+                    began.setdefault(cell, []).append(j)
             if not lost:
                 total = weight[j] + ns[i]
                 share = ns[i] / total
-                cx[j] = xs[i] if weight[j] == 0 else cx[j] + (xs[i] - cx[j]) * share
-                cy[j] = ys[i] if weight[j] == 0 else cy[j] + (ys[i] - cy[j]) * share
+                cx[j], cy[j] = (xs[i], ys[i]) if weight[j] == 0 else (cx[j] + (xs[i] - cx[j]) * share, cy[j] + (ys[i] - cy[j]) * share)
                 weight[j] = total
             entity[i] = j
         return {"_entity": entity}
@@ -47,30 +54,50 @@ def _greedy(dist: float):
     return place
 
 
+def _islands(rows: DataFrame, dist: float) -> DataFrame:
+    """(node, _block): squares of two merge distances, with those they touch, and the grid cells that reach over them.
+
+    Whatever could meet lies in one island: squares are twice as wide as an observation's reach.
+    """
+    squares = rows.where("_square is not null").select(*_SPACE, "_sx", "_sy").distinct()
+    name = lambda x, y: F.concat_ws("|", F.lit("s"), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _SPACE], x, y)
+    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 0), (0, 1), (1, 1), (1, -1))])
+    beside = squares.withColumn("_d", F.explode(steps)).select(
+        name(F.col("_sx"), F.col("_sy")).alias("a"), name(F.col("_sx") + F.col("_d.x"), F.col("_sy") + F.col("_d.y")).alias("b"))
+    there = squares.select(name(F.col("_sx"), F.col("_sy")).alias("b"))
+    held = rows.where("_square is not null and _grid is not null").select(F.col("_square").alias("a"), F.col("_grid").alias("b")).distinct()
+    return components(beside.join(there, "b", "left_semi").select("a", "b").union(held), "a", "b")
+
+
 def assemble(df: DataFrame, dist: float = MERGE_DIST_M) -> DataFrame:
     """Entities from observations (type, building, floor, grid_cell, x, y, confidence, type_label,
     outline, drawing_id, obs_id).
 
-    Blocks are the grid cell for point types and a square of four merge distances otherwise.
-    Observations at one millimetre-exact place are folded first, so what the Python step of a block
-    receives is bounded by the block's area, not by the number of observations; the aggregation
-    runs in SQL afterwards.  Observations without place and grid stay entities of their own.
+    Observations are taken surest first; one joins the nearest entity of its type in reach, or begins one.  Work is split
+    where nothing can meet: islands of occupied squares and grid cells.  Observations of one place, cell and
+    confidence follow each other and so go one way: they are folded before the Python step, which therefore holds the
+    distinct places of an island; the aggregation runs in SQL afterwards.  Observations without place and
+    grid stay entities of their own.
     """
-    full = (F.col("type").isin(*GRID_KEYED_TYPES) & F.col("grid_cell").isNotNull() & ~F.col("grid_cell").contains("?"))
+    full = F.coalesce(F.col("type").isin(*GRID_KEYED_TYPES) & F.col("grid_cell").isNotNull() & ~F.col("grid_cell").contains("?"), F.lit(False))
     placed = F.col("x").isNotNull() & F.col("y").isNotNull()
-    square = F.concat_ws(",", F.floor(F.col("x") / (4 * dist)), F.floor(F.col("y") / (4 * dist)))
-    block = (F.when(full, F.concat(F.lit("g:"), F.col("grid_cell"))).when(placed, F.concat(F.lit("c:"), square))
-             .otherwise(F.concat(F.lit("o:"), F.col("obs_id"))))
-    rows = (df.withColumn("_block", block).withColumn("_full", full)
-            .withColumn("_x", F.when(placed, F.round("x", 3))).withColumn("_y", F.when(placed, F.round("y", 3))))
-    folded = rows.groupBy(*_BLOCK, "_x", "_y").agg(
-        F.count("*").alias("_n"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("_conf"), F.min("obs_id").alias("_first"))
+    space = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _SPACE]
+    at = lambda c: F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.floor(F.col(c) / (2 * dist)))
+    marked = (df.withColumn("_full", full).withColumn("_sx", at("x")).withColumn("_sy", at("y"))
+              .withColumn("x", F.when(placed, F.col("x").cast("double"))).withColumn("y", F.when(F.col("_sx").isNotNull(), F.col("y").cast("double")))
+              .withColumn("_square", F.when(F.col("_sx").isNotNull(), F.concat_ws("|", F.lit("s"), *space, "_sx", "_sy")))
+              .withColumn("_grid", F.when(F.col("_full"), F.concat_ws("|", F.lit("g"), *space, "grid_cell")))
+              .withColumn("_cell", F.when(F.col("_full"), F.col("grid_cell"))).withColumn("_conf", F.coalesce("confidence", F.lit(0.0)))
+              .withColumn("_node", F.coalesce("_square", "_grid", F.concat(F.lit("o|"), F.col("obs_id").cast("string")))))
+    # one row per square or cell; read below for every row
+    of = cut_lineage(_islands(marked, dist)).select(F.col("node").alias("_node"), F.col("component").alias("_c"))
+    rows = marked.join(of, "_node", "left").withColumn("_block", F.coalesce("_c", "_node")).drop("_c", "_node", "_square", "_grid", "_sx", "_sy")
+    folded = rows.groupBy(*_SPOT).agg(F.count("*").alias("_n"), F.min("obs_id").alias("_first"))
     # read twice below (aggregates and label vote), so the Python pass is kept
-    spots = cut_lineage(each_block(folded.withColumn("_turn", -F.col("_conf")), _BLOCK, ["_turn", "_first"], _greedy(dist),
-                                   [*_BLOCK, "_x", "_y"], "_entity long"))
-    joined = null_safe_join(rows, spots, [*_BLOCK, "_x", "_y"])
+    spots = cut_lineage(each_block(folded.withColumn("_turn", -F.col("_conf")), _BLOCK, ["_turn", "_first"], _greedy(dist), _SPOT, "_entity long"))
+    joined = null_safe_join(rows, spots, _SPOT)
     keys = [*_BLOCK, "_entity"]
-    best = F.when(F.col("outline").isNotNull(), F.struct(F.coalesce("confidence", F.lit(0.0)).alias("c"), F.col("_x")))
+    best = F.when(F.col("outline").isNotNull(), F.struct(F.col("_conf").alias("c"), F.col("x")))
     entities = joined.groupBy(*keys).agg(
         F.round(F.avg("x"), 3).alias("cx"), F.round(F.avg("y"), 3).alias("cy"), noisy_or("confidence").alias("confidence"),
         F.max_by("outline", best).alias("outline"), F.count("*").alias("observations"),

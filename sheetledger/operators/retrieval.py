@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from typing import Sequence
 
 import numpy as np
@@ -99,14 +100,16 @@ def tree(nodes: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def tree_paths(spark, nodes: DataFrame) -> DataFrame:
-    """Path from the root of every live node (id, name, parent_id, status) with its depth."""
-    live = nodes.where("status not in ('rejected', 'merged')").select("id", "name", "parent_id")
-    return spark.sql("""
-        with recursive walk (id, path, depth) as (
-          select id, name, 1 from {live} where parent_id is null
-          union all
-          select n.id, concat(w.path, '/', n.name), w.depth + 1 from {live} n join walk w on n.parent_id = w.id)
-        select id, path, depth from walk""", live=live)
+    """Path from the root of every live node (id, name, parent_id, status) with its depth; level by level, to any depth."""
+    live = cut_lineage(nodes.where("status not in ('rejected', 'merged')").select("id", "name", "parent_id"))
+    level = cut_lineage(live.where("parent_id is null").select("id", F.col("name").alias("path"), F.lit(1).alias("depth")))
+    walked = level
+    while True:
+        above = level.select(F.col("id").alias("parent_id"), "path", "depth")
+        level = cut_lineage(live.join(above, "parent_id").select("id", F.concat("path", F.lit("/"), "name").alias("path"), (F.col("depth") + 1).alias("depth")))
+        if level.isEmpty():
+            return walked
+        walked = walked.unionByName(level)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -151,15 +154,16 @@ def isolation(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
                       F.coalesce(F.round(F.try_divide(isolated, total), 4), F.lit(0.0)).alias("isolated_ratio"), F.coalesce(F.sum("d"), F.lit(0)).alias("dangling"))
 
 
-def propagate(anchors: DataFrame, pairs: DataFrame, confirmed: DataFrame, max_residual: float, generations: int = 5) -> DataFrame:
+def propagate(anchors: DataFrame, pairs: DataFrame, confirmed: DataFrame, max_residual: float, generations: int | None = None) -> DataFrame:
     """Labels from confirmed anchors to what uniquely matches one of them; the sound ones anchor the next round.
 
     ``anchors``: id, label; ``pairs``: src, dst, residual; ``confirmed``: id.  Out: id, label, generation, anchor.
+    Rounds go on until nothing is new, or for ``generations``, if given.
     """
     front = anchors.select("id", "label")
     known = confirmed.select("id").union(anchors.select("id")).distinct()
     done = None
-    for generation in range(generations):
+    for generation in range(generations) if generations is not None else itertools.count():
         reach = pairs.join(front.select(F.col("id").alias("src"), "label"), "src").join(known.select(F.col("id").alias("dst")), "dst", "left_anti")
         hits = reach.groupBy("dst").agg(F.count("*").alias("_n"), F.min("label").alias("label"), F.min("src").alias("anchor"),
                                         F.min("residual").alias("_r")).where("_n = 1")

@@ -114,3 +114,22 @@ def test_three_equal_words_make_one_suggestion(spark):
     events = spark.createDataFrame(data, "kind string, human_value string, auto_value string, context string, event_id long")
     assert rows(E.new_vocabulary(events), "word", "times", "confidence") == [("建筑", 3, 0.8)]
     assert rows(E.corrections(events)) == [("建 个人", "建筑", 3, 0.76)]
+
+
+def test_entities_do_not_split_at_borders(spark):
+    """Two beams 0.2 m apart are one wherever they lie, and so are a column on a grid cell and one beside it without."""
+    schema = "type string, building string, floor string, grid_cell string, x double, y double, confidence double, type_label string, outline string, drawing_id long, obs_id string"
+    beams = [("beam", "b", "F1", None, x, 1.0, c, "B1", None, 1, f"o{x}") for x, c in ((3.9, 0.9), (4.1, 0.8), (7.9, 0.7))]
+    columns = [("column", "b", "F1", "C-3", 3.95, 1.0, 0.9, "KZ", None, 1, "c1"), ("column", "b", "F1", None, 4.05, 1.0, 0.5, "KZ", None, 2, "c2"),
+               ("column", "b", "F1", "D-3", 4.0, 1.0, 0.4, "KZ", None, 3, "c3"), ("column", "b", "F1", "D-3", None, None, 0.3, "KZ", None, 3, "c4"),
+               ("pile", "b", "F1", None, None, None, 0.3, "P", None, 3, "p1"), ("pile", "b", "F1", None, None, None, 0.3, "P", None, 3, "p2")]
+    got = rows(B.assemble(spark.createDataFrame(beams + columns, schema)), "type", "observations")
+    assert got == [("beam", 1), ("beam", 2), ("column", 2), ("column", 2), ("pile", 1), ("pile", 1)]
+
+
+def test_paths_go_as_deep_as_the_tree(spark):
+    from sheetledger.operators.retrieval import tree_paths
+
+    nodes = spark.createDataFrame([(i, f"n{i}", i - 1 if i else None, "confirmed") for i in range(9)] + [(20, "x", 19, "confirmed"), (30, "y", 0, "rejected")], "id long, name string, parent_id long, status string")
+    got = {r["id"]: (r["path"], r["depth"]) for r in tree_paths(spark, nodes).collect()}
+    assert got == {i: ("/".join(f"n{k}" for k in range(i + 1)), i + 1) for i in range(9)}
