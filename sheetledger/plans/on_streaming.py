@@ -11,17 +11,23 @@ from .catalog import query
 from .on_aggregates import _annotations
 from .on_sources import scratch
 
-# The month of events in three consecutive parts, so that a stream meets them in time order.
-CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
+#: Micro-batches that a table is streamed in.
+PARTS = 3
 
 
 def _sliced(spark, frame, name):
-    """Write the parts one after the other and stream them back, one part to a micro-batch."""
+    """Write consecutive parts of the data's own time range and stream them back, one part to a micro-batch.
+
+    A part has as many files as a shuffle has tasks, and the stream takes so many at a time.
+    """
     path = scratch(spark, name)
-    for low, high in zip(CUTS, CUTS[1:]):
-        part = frame.where((F.col("ts") >= F.lit(low).cast("timestamp")) & (F.col("ts") < F.lit(high).cast("timestamp")))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    low, high = (float(v or 0) for v in frame.select(F.unix_micros("ts").alias("t")).agg(F.min("t"), F.max("t")).first())
+    step = (high - low) / PARTS
+    part = F.when(F.col("ts").isNull(), 0).otherwise(F.least(F.lit(PARTS - 1), F.floor((F.unix_micros("ts") - low) / max(step, 1.0))))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i in range(PARTS):
+        frame.where(part == i).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _k():
@@ -124,13 +130,6 @@ def stale_reaper_stream(spark, d):
     return drain(out, scratch(spark, "reap"))
 
 
-@query("STM-08")
-def health_state(spark, d):
-    frame = read_table(spark, d, "events").select((F.col("user_id") % 12).alias("engine"), "ts", "event_id", "value")
-    out = S.breaker_states(_sliced(spark, frame, "calls"), "engine", "ts", "event_id", F.col("value") < 25)
-    return drain(out, scratch(spark, "breaker"))
-
-
 @query("STM-09", """
 select user_id, event_id, event_type as status from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1""")
 def stream_upsert(spark, d):

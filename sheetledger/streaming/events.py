@@ -47,25 +47,35 @@ def branches(routed: DataFrame, handlers: Mapping[str, Callable[[DataFrame], Dat
 class SuggestionState:
     """Changes per project since its last build; at the threshold one suggestion is open and is refreshed.
 
-    A micro-batch is reduced per project before it meets the state, so a busy project costs one row.
+    Changes of the last ``late`` are kept as counts by time, so a build that arrives late closes what came before it and
+    keeps what came after; older ones are one number, and a build that is later still than ``late`` changes nothing.  A
+    micro-batch is reduced per project and time before it meets the state.
     """
 
-    SCHEMA = "project long, changed long, built timestamp, status string"
+    SCHEMA = "project long, changed long, built timestamp, status string, newest timestamp, settled long, counts array<struct<ts:timestamp,n:long>>"
 
-    def __init__(self, spark: SparkSession, path: str, threshold: int, buckets: int = 64):
-        self.table, self.threshold = VersionedTable(spark, path, ["project"], self.SCHEMA, buckets), threshold
+    def __init__(self, spark: SparkSession, path: str, threshold: int, buckets: int = 64, late: str = "1 day"):
+        self.table, self.threshold, self.late = VersionedTable(spark, path, ["project"], self.SCHEMA, buckets), threshold, F.expr(f"interval {late}")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """``batch``: project, ts, kind ('changed' or 'built')."""
-        state = self.table.current(batch_id)
-        builds = batch.where("kind = 'built'").groupBy("project").agg(F.max("ts").alias("_b"))
-        seen = batch.select("project").distinct().join(builds, "project", "left").join(state, "project", "left")
-        built = F.greatest("built", "_b")
-        marks = seen.select("project", built.alias("built"), F.col("_b").isNotNull().alias("_reset"), F.coalesce("changed", F.lit(0)).alias("_old"))
-        fresh = (changed_since(batch.where("kind = 'changed'"), marks, "project", "ts", "built").groupBy("project").agg(F.count("*").alias("_new")))
-        total = F.when(F.col("_reset"), 0).otherwise(F.col("_old")) + F.coalesce("_new", F.lit(0))
-        rows = marks.join(fresh, "project", "left").select(
-            "project", total.alias("changed"), "built", F.when(total >= self.threshold, "open").otherwise("none").alias("status"))
+        times = batch.groupBy("project", "ts").agg(F.count_if(F.col("kind") == "changed").alias("n"), F.max(F.col("kind") == "built").alias("_is"))
+        news = times.groupBy("project").agg(F.collect_list(F.when(F.col("n") > 0, F.struct("ts", "n"))).alias("_new"), F.collect_list(F.when(F.col("_is"), F.col("ts"))).alias("_bs"), F.max("ts").alias("_top"))
+        seen = news.join(self.table.current(batch_id), "project", "left")
+        none, zero = F.array().cast("array<struct<ts:timestamp,n:bigint>>"), F.lit(0).cast("long")
+        horizon = F.col("newest") - self.late
+        build = F.array_max(F.filter("_bs", lambda b: horizon.isNull() | (b >= horizon)))
+        fresh = F.coalesce(build > F.col("built"), build.isNotNull())
+        marks = seen.withColumn("_fresh", F.coalesce(build > F.col("built"), build.isNotNull())).select(
+            "project", F.greatest("built", build).alias("_built"), F.greatest("newest", "_top").alias("_newest"),
+            F.when(F.col("_fresh"), zero).otherwise(F.coalesce("settled", zero)).alias("_old"), F.concat(F.coalesce("counts", none), "_new").alias("_all"))
+        marks = marks.withColumnsRenamed({"_built": "built", "_newest": "newest"})
+        open_ = marks.withColumn("_open", F.filter("_all", lambda c: F.coalesce(c["ts"] > F.col("built"), F.lit(True))))
+        add = lambda items: F.aggregate(items, zero, lambda a, c: a + c["n"])
+        edge = F.col("newest") - self.late
+        changed = F.col("_old") + add(F.col("_open"))
+        rows = open_.select("project", changed.alias("changed"), "built", F.when(changed >= self.threshold, "open").otherwise("none").alias("status"), "newest",
+                            (F.col("_old") + add(F.filter("_open", lambda c: c["ts"] < edge))).alias("settled"), F.filter("_open", lambda c: c["ts"] >= edge).alias("counts"))
         self.table.upsert(rows, batch_id, [F.col("changed").desc()])
 
     def suggestions(self) -> DataFrame:
@@ -167,48 +177,6 @@ def reap(stream: DataFrame, item: str, ts: str, status: str, hours: float, max_a
         fold, "item long, reaped_at timestamp, reap_attempts int, requeue boolean", "since long, tries int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-# ---- STM-08 ---------------------------------------------------------------------------
-
-# Failures that open, seconds until half-open, successes that close.
-FAILURES_TO_OPEN, RECOVERY_SECONDS, SUCCESSES_TO_CLOSE = 5, 60, 2
-
-
-def breaker_step(state: str, failures: int, successes: int, opened: float, at: float, ok: bool) -> tuple[str, int, int, float]:
-    """One call of an engine: straight failures open, the recovery time makes half-open, successes close."""
-    if state == "open" and at - opened > RECOVERY_SECONDS:
-        state = "half_open"
-    if ok:
-        failures = 0
-        if state == "half_open":
-            successes += 1
-            if successes >= SUCCESSES_TO_CLOSE:
-                state, successes = "closed", 0
-        return state, failures, successes, opened
-    failures, successes = failures + 1, 0
-    if failures >= FAILURES_TO_OPEN:
-        state, opened = "open", at
-    return state, failures, successes, opened
-
-
-def breaker_states(stream: DataFrame, engine: str, ts: str, seq: str, ok: Column) -> DataFrame:
-    """State changes per engine: engine, at, from_state, to_state.  State is four numbers per engine."""
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("closed", 0, 0, 0.0)
-        changes = []
-        for row in pd.concat(list(batches)).sort_values(["at_seconds", "seq"]).itertuples(index=False):
-            nxt = breaker_step(*now, float(row.at_seconds), bool(row.ok))
-            if nxt[0] != now[0]:
-                changes.append((key[0], float(row.at_seconds), now[0], nxt[0]))
-            now = nxt
-        state.update(now)
-        yield pd.DataFrame(changes, columns=["engine", "at", "from_state", "to_state"])
-
-    rows = stream.select(F.col(engine).cast("string").alias("engine"), (F.unix_micros(ts) / 1e6).alias("at_seconds"), F.col(seq).alias("seq"), ok.alias("ok"))
-    return rows.groupBy("engine").applyInPandasWithState(
-        fold, "engine string, at double, from_state string, to_state string", "state string, failures int, successes int, opened double",
-        "append", GroupStateTimeout.NoTimeout)
-
-
 # ---- STM-09 … STM-11 -------------------------------------------------------------------
 
 def sink_upsert(stream: DataFrame, table: VersionedTable, order: Sequence[Column], checkpoint: str):

@@ -12,6 +12,16 @@ from ..session import cut_lineage
 from ..sources.writes import keyed_upsert
 
 
+def _begun(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table under a path, None before its first write; any other trouble with it fails."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as trouble:
+        if trouble.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 class VersionedTable:
     """Parquet table under ``bucket=…/version=…``; a batch rewrites the buckets it touches only."""
 
@@ -19,10 +29,7 @@ class VersionedTable:
         self.spark, self.path, self.keys, self.schema, self.buckets = spark, path, list(keys), schema, buckets
 
     def _all(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(f"{self.schema}, bucket int, version long").parquet(self.path)
-        except AnalysisException:
-            return None
+        return _begun(self.spark, self.path, f"{self.schema}, bucket int, version long")
 
     def current(self, before: int | None = None) -> DataFrame:
         """Newest version of every bucket (of those below ``before``)."""
@@ -49,10 +56,8 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(f"{schema}, batch long").parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{schema}, batch long")
+    rows = _begun(spark, path, f"{schema}, batch long")
+    return spark.createDataFrame([], f"{schema}, batch long") if rows is None else rows
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

@@ -49,11 +49,26 @@ def test_upsert_replay_changes_nothing(spark, tmp_path):
     assert rows(table.current()) == [(1, 1), (2, 5), (3, 5)]
 
 
-def test_breaker_opens_half_opens_and_closes(spark, tmp_path):
-    calls = [(1, at(seconds=i), i, False) for i in range(5)] + [(1, at(seconds=100 + i), 10 + i, True) for i in range(2)]
-    stream = feed(spark, str(tmp_path / "in"), [calls[:3], calls[3:]], "engine long, ts timestamp, seq long, ok boolean")
-    out = drain(S.breaker_states(stream, "engine", "ts", "seq", F.col("ok")), str(tmp_path / "b"))
-    assert [(r.from_state, r.to_state) for r in out.orderBy("at", "to_state").collect()] == [("closed", "open"), ("open", "half_open"), ("half_open", "closed")]
+def test_late_builds_close_only_what_came_before_them(spark, tmp_path):
+    schema = "project long, ts timestamp, kind string"
+    changes = [(1, at(hours=h), "changed") for h in (10, 11, 12)]
+    feeds = {"older": ([*changes, (1, at(hours=9), "built")], [(1, at(hours=8), "built")], 3), "between": (changes, [(1, at(hours=10, minutes=30), "built")], 2),
+             "too late": ([*changes, (1, at(days=9), "changed")], [(1, at(hours=11), "built")], 4), "newer": (changes, [(1, at(hours=13), "built"), (1, at(hours=14), "changed")], 1)}
+    for name, (first, second, n) in feeds.items():
+        state = S.SuggestionState(spark, str(tmp_path / name), 1, 2, late="1 day")
+        for i, part in enumerate((first, second, [(2, at(), "changed")])):
+            state.process(spark.createDataFrame(part, schema), i)
+        assert rows(state.suggestions().where("project = 1"), "changed") == [(n,)], name
+
+
+def test_a_broken_table_is_not_an_empty_one(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        VersionedTable(spark, str(tmp_path / "t"), ["k"], "k long", 2).current().collect()
+    assert VersionedTable(spark, str(tmp_path / "none"), ["k"], "k long", 2).current().count() == 0
 
 
 def test_stale_work_is_reaped_by_the_event_clock(spark, tmp_path):
