@@ -229,18 +229,17 @@ def scale_ballot(df: DataFrame, keys: Sequence[str], text: str, in_title_block:
                       F.explode(F.regexp_extract_all(text, F.lit(SCALE_PATTERN), F.lit(1))).alias("_t"))
     read = found.withColumn("_d", F.col("_t").cast("int")).where(F.col("_d").between(MIN_DENOMINATOR, MAX_DENOMINATOR))
     per = read.groupBy(*keys, "_d").agg(F.sum("_w").alias("_w"))
-    table = literal_table(df.sparkSession, [(d, *_snap(d)) for d in range(MIN_DENOMINATOR, MAX_DENOMINATOR + 1)],
-                          "_d int, denominator int, is_standard boolean")
-    votes = (per.join(F.broadcast(table), "_d").groupBy(*keys, "denominator", "is_standard")
-             .agg(F.sum("_w").alias("votes")))
+    near = per.withColumn("_n", _nearest(F.col("_d"))).withColumn("is_standard", F.col("_n.off") <= SNAP_SHARE)
+    votes = (near.withColumn("denominator", F.when(F.col("is_standard"), F.col("_n.to")).otherwise(F.col("_d")))
+             .groupBy(*keys, "denominator", "is_standard").agg(F.sum("_w").alias("votes")))
     # at most 1,996 denominators per group, so the share window is bounded
     total = F.sum("votes").over(W.partitionBy(*keys))
     return votes.withColumn("share", F.round(F.col("votes") / total, 3))
 
 
-def _snap(denominator: int) -> tuple[int, bool]:
-    best = min(STANDARD_DENOMINATORS, key=lambda s: abs(s - denominator) / s)
-    return (best, True) if abs(best - denominator) / best <= SNAP_SHARE else (denominator, False)
+def _nearest(denominator: Column) -> Column:
+    """Standard denominator with the smallest relative distance, with that distance."""
+    return F.array_min(F.array(*[F.struct((F.abs(denominator - s) / s).alias("off"), F.lit(s).alias("to")) for s in STANDARD_DENOMINATORS]))
 
 
 def fit_similarity(df: DataFrame, keys: Sequence[str], ax: str, ay: str, bx: str, by: str, min_pairs: int = 2) -> DataFrame:

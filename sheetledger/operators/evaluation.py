@@ -215,23 +215,23 @@ MIN_TILE_KEEP = 0.5
 def tiles(df: DataFrame, page_w: int, page_h: int, tile: int, overlap: int) -> DataFrame:
     """Boxes (cx, cy, w, h as page shares) to the overlapping tiles that hold their centre, clipped and
     normalized to the tile; a box cut to less than half its area is left out."""
-    step = max(1, tile - overlap)
-    out = df
-    for axis, size, centre in (("x", page_w, "cx"), ("y", page_h, "cy")):
-        last = max(0, -(-(size - tile) // step))  # index of the last tile
-        at = F.col(centre) * size
+    step, out, left = max(1, tile - overlap), df, F.lit(1.0)
+    cut: dict[str, Column] = {}
+    for axis, page, centre, extent in (("x", page_w, "cx", "w"), ("y", page_h, "cy", "h")):
+        last = max(0, -(-(page - tile) // step))  # index of the last tile
+        at, half = F.col(centre) * page, F.col(extent) * page / 2
         low = F.greatest(F.lit(0), F.least(F.lit(last), F.ceil((at - tile) / step)))
         high = F.least(F.lit(last), F.greatest(F.lit(0), F.floor(at / step)))
-        out = out.where(at.between(0, size)).where(low <= high).withColumn(f"t{axis}", F.explode(F.sequence(low, high)))
-    x0, y0 = F.col("tx") * step, F.col("ty") * step
-    x1, y1 = F.least(x0 + tile, F.lit(page_w)), F.least(y0 + tile, F.lit(page_h))
-    px, py, pw, ph = F.col("cx") * page_w, F.col("cy") * page_h, F.col("w") * page_w, F.col("h") * page_h
-    bx0, by0, bx1, by1 = F.greatest(px - pw / 2, x0), F.greatest(py - ph / 2, y0), F.least(px + pw / 2, x1), F.least(py + ph / 2, y1)
-    kept = out.where(px.between(x0, x1) & py.between(y0, y1) & (bx1 > bx0) & (by1 > by0)
-                     & ((bx1 - bx0) * (by1 - by0) >= MIN_TILE_KEEP * F.greatest(pw * ph, F.lit(1e-9))))
-    rest = [c for c in df.columns if c not in ("cx", "cy", "w", "h")]
-    return kept.select(*rest, "tx", "ty", (((bx0 + bx1) / 2 - x0) / (x1 - x0)).alias("cx"), (((by0 + by1) / 2 - y0) / (y1 - y0)).alias("cy"),
-                       ((bx1 - bx0) / (x1 - x0)).alias("w"), ((by1 - by0) / (y1 - y0)).alias("h"))
+        out = out.where(at.between(0, page)).where(low <= high).withColumn(f"t{axis}", F.explode(F.sequence(low, high)))
+        start = F.col(f"t{axis}") * step
+        stop = F.least(start + tile, F.lit(page))
+        head, tail = F.greatest(at - half, start), F.least(at + half, stop)  # what of the box lies inside, on this axis
+        left = left * (tail - head)
+        cut[centre], cut[extent] = ((head + tail) / 2 - start) / (stop - start), (tail - head) / (stop - start)
+    whole = F.greatest(F.col("w") * page_w * (F.col("h") * page_h), F.lit(1e-9))
+    kept = out.where((left > 0) & (left >= MIN_TILE_KEEP * whole))
+    rest = [c for c in df.columns if c not in cut]
+    return kept.select(*rest, "tx", "ty", *[c.alias(n) for n, c in cut.items()])
 
 
 def acceptance(entities: DataFrame, bom: DataFrame, key: str) -> DataFrame:

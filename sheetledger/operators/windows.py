@@ -104,21 +104,22 @@ def cross_check(elevation_rows: DataFrame, height_rows: DataFrame, keys: Sequenc
 def monotone(df: DataFrame, keys: Sequence[str], order: str, value: str, support: str) -> DataFrame:
     """Increasing run of levels; on a clash the better supported side stays.
 
-    Blocks are the levels of one unit, one row per story.
+    A unit's levels (one row per story: a short list) are folded inside the JVM.  A new level puts out those above
+    the last one that holds its ground, by a smaller value or no less support, and enters if it is higher than that one.
     """
-    def keep(block: dict) -> dict:
-        stack: list[int] = []
-        values, backing = block[value], block[support]
-        for i in range(len(values)):
-            while stack and values[i] <= values[stack[-1]] and backing[i] > backing[stack[-1]]:
-                stack.pop()
-            if not stack or values[i] > values[stack[-1]]:
-                stack.append(i)
-        flags = np.zeros(len(values), dtype=bool)
-        flags[stack] = True
-        return {"kept": flags}
+    rows = df.where(F.col(value).isNotNull())
+    level = F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col(support).alias("s"))
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(level)).alias("_l"))
+    kind = lists.schema["_l"].dataType
 
-    return each_block(df.where(F.col(value).isNotNull()), keys, [order], keep, df.columns, "kept boolean")
+    def enter(run: Column, new: Column) -> Column:
+        firm = F.array_max(F.transform(run, lambda old, i: F.when((old["v"] < new["v"]) | (old["s"] >= new["s"]), i + 1).otherwise(0)))
+        stay = F.slice(run, F.lit(1), F.coalesce(firm, F.lit(0)))
+        last = F.get(stay, F.size(stay) - 1)["v"]
+        return F.when(last.isNull() | (last < new["v"]), F.concat(stay, F.array(new))).otherwise(stay)
+
+    runs = lists.select(*keys, F.transform(F.aggregate("_l", F.array().cast(kind), enter), lambda x: x["o"]).alias("_kept"))
+    return null_safe_join(rows, runs, keys).withColumn("kept", F.array_contains("_kept", F.col(order))).drop("_kept")
 
 
 # When a direction is too disordered to use.
@@ -141,14 +142,18 @@ def lis_outliers(df: DataFrame, keys: Sequence[str], pos: str, rank: str, tie: s
                                    ((off >= MIN_OUTLIERS_TO_DROP) & (off / total >= MAX_OUTLIER_RATIO)).alias("drop"))
 
 
-def inversions(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column, bits: int = 31) -> DataFrame:
+def inversions(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column) -> DataFrame:
     """Share of inverted pairs (earlier row, larger value), null under three rows.
 
     Two values are inverted at the highest bit in which they differ: the earlier has 1, the later 0.
     So the pairs are counted with running sums of bits per common prefix — no pairs are formed.
-    Values are non-negative integers below 2^bits.
+    Values are non-negative integers; the number of bits is that of the largest.
     """
     rows = df.select(*keys, *order, F.col(value).cast("long").alias("_v"), chunk.alias("_part"))
+    low, high = rows.agg(F.min("_v"), F.max("_v")).first()
+    if low is not None and low < 0:
+        raise ValueError("values must not be negative")
+    bits = max(1, int(high or 0).bit_length())
     levels = rows.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     split = levels.select(*keys, *order, "_part", "_bit", F.expr("shiftright(_v, _bit + 1)").alias("_prefix"),
                           F.expr("shiftright(_v, _bit) & 1").alias("_one"))

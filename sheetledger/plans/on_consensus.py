@@ -121,17 +121,17 @@ def frame_clusters(spark, d):
 
 
 @query("AGG-30", """
-with s as (select l_partkey % 50 as grp, l_partkey, max(l_extendedprice) - min(l_extendedprice) as span from lineitem where l_quantity < 4 group by 1, 2),
+with s as (select l_orderkey % 50 as grp, l_orderkey, max(l_extendedprice * l_discount) - min(l_extendedprice * l_discount) as span from lineitem group by 1, 2),
 m as (select grp, median(span) as md, count(*) as n from s where span > 0 group by 1)
-select s.grp, l_partkey, span, round(md, 6) as median_span from s join m using (grp) where n >= 4 and span > md * 2""")
+select s.grp, l_orderkey, span, round(md, 6) as median_span from s join m using (grp) where n >= 4 and span > md * 2""")
 def span_outliers(spark, d):
-    spans = (read_table(spark, d, "lineitem").where("l_quantity < 4").groupBy((F.col("l_partkey") % 50).alias("grp"), "l_partkey")
-             .agg((F.max("l_extendedprice") - F.min("l_extendedprice")).alias("span")))
-    return C.span_outliers(spans, ["grp"], "l_partkey", "span", 2.0)
+    spans = (read_table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("grp"), "l_orderkey")
+             .agg((F.max(F.col("l_extendedprice") * F.col("l_discount")) - F.min(F.col("l_extendedprice") * F.col("l_discount"))).alias("span")))
+    return C.span_outliers(spans, ["grp"], "l_orderkey", "span", 2.0)
 
 
 @query("AGG-31", """
-with g as (select l_returnflag, l_orderkey, l_quantity as gap from lineitem where l_linenumber = 1),
+with g as (select l_returnflag, l_orderkey, l_quantity as gap from lineitem),
 c as (select l_returnflag, median(gap) as consensus from g group by 1),
 w as (select l_returnflag, gap, count(distinct l_orderkey) as witnesses from g group by 1, 2)
 select g.l_returnflag, l_orderkey, g.gap, round(consensus, 2) as consensus, round(g.gap / consensus, 3) as ratio, witnesses,
@@ -139,7 +139,7 @@ select g.l_returnflag, l_orderkey, g.gap, round(consensus, 2) as consensus, roun
 from g join c using (l_returnflag) join w on w.l_returnflag = g.l_returnflag and w.gap = g.gap
 where (g.gap / consensus < 0.5 or g.gap / consensus > 2) and not (g.gap > 30 and witnesses >= 2)""")
 def ratio_anomaly(spark, d):
-    rows = read_table(spark, d, "lineitem").where("l_linenumber = 1").select("l_returnflag", "l_orderkey", F.col("l_quantity").alias("gap"))
+    rows = read_table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", F.col("l_quantity").alias("gap"))
     return C.gap_anomaly(rows, ["l_returnflag"], "l_orderkey", "gap")
 
 
@@ -249,9 +249,9 @@ def sign_repair(spark, d):
     return C.repair_sign(rows, ["grp"], "v").groupBy("grp", "flipped").agg(F.count("*").alias("n"), F.sum("repaired").alias("total"))
 
 
-_VIEWS = """m as (select l_suppkey as key, l_linenumber as section, min(l_orderkey) as seq, max(l_quantity) as top, min(l_quantity) as low from lineitem where l_returnflag = 'A' and l_quantity < 30 group by 1, 2),
+_VIEWS = """m as (select l_suppkey as key, l_linenumber as section, min(l_orderkey) as seq, max(l_quantity / 2) as top, min(l_quantity / 2) as low from lineitem where l_returnflag = 'A' group by 1, 2),
 s as (select key, min(low) as lo, max(top) as hi from m group by 1),
-h as (select l_suppkey as key, l_orderkey as view, l_quantity as head from lineitem where l_returnflag = 'R' and l_quantity < 31),
+h as (select l_suppkey as key, l_orderkey as view, l_quantity as head from lineitem where l_returnflag <> 'A'),
 r as (select key, arg_min(struct_pack(s := section, t := top), struct_pack(q := seq, s := section)) as r from m group by 1),
 o as (select m.key, section, top, abs(top - r.r.t) <= 0.6 as ok from m join r using (key) where section <> r.r.s),
 c as (select h.key, head between lo - 0.6 and hi + 0.6 as ok from h join s using (key) union all select key, ok from o)"""
@@ -259,9 +259,9 @@ c as (select h.key, head between lo - 0.6 and hi + 0.6 as ok from h join s using
 
 def _views(spark, d):
     line = read_table(spark, d, "lineitem")
-    marks = line.where("l_returnflag = 'A' and l_quantity < 30").select(
-        F.col("l_suppkey").alias("key"), F.col("l_linenumber").alias("section"), F.col("l_orderkey").alias("seq"), F.col("l_quantity").alias("elevation"))
-    openings = line.where("l_returnflag = 'R' and l_quantity < 31").select(
+    marks = line.where("l_returnflag = 'A'").select(
+        F.col("l_suppkey").alias("key"), F.col("l_linenumber").alias("section"), F.col("l_orderkey").alias("seq"), (F.col("l_quantity") / 2).alias("elevation"))
+    openings = line.where("l_returnflag <> 'A'").select(
         F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("view"), F.col("l_quantity").alias("head"))
     return marks, openings
 

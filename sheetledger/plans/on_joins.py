@@ -343,18 +343,18 @@ def right_neighbour(spark, d):
 
 
 @query("JOI-20", """
-with t as (select distinct p_name as title, case when p_size % 10 <> 0 then p_type end as unit from part where p_brand < 'Brand#13'),
+with t as (select distinct p_name || ' ' || p_partkey as title, case when p_size % 10 = 1 then 'PROMO' when p_size % 10 <> 0 then p_type || ' ' || p_partkey end as unit from part),
 a as (select distinct split_part(p_name, ' ', 1) as alias from part union select distinct right(p_name, 3) from part
-      union select distinct p_name from part),
+      union select distinct p_name || ' ' || p_partkey from part),
 v as (select distinct alias, unit from a join t on contains(title, alias) where unit is not null and unit <> 'PROMO'),
 o as (select alias, min(unit) as unit from v group by 1 having count(distinct unit) = 1)
 select alias, unit from o where unit in (select unit from o group by 1 having count(*) = 1)""")
 def contains_learn(spark, d):
     part = read_table(spark, d, "part")
-    titled = part.where("p_brand < 'Brand#13'").select(
-        F.col("p_name").alias("title"), F.when(F.col("p_size") % 10 != 0, F.col("p_type")).alias("unit"))
+    title = F.concat_ws(" ", "p_name", "p_partkey")
+    titled = part.select(title.alias("title"), F.when(F.col("p_size") % 10 == 1, "PROMO").when(F.col("p_size") % 10 != 0, F.concat_ws(" ", "p_type", "p_partkey")).alias("unit"))
     aliases = (part.select(F.split("p_name", " ")[0].alias("alias")).union(part.select(F.expr("right(p_name, 3)")))
-               .union(part.select("p_name")))
+               .union(part.select(title)))
     return J.learn_aliases(aliases, titled, ["PROMO"])
 
 

@@ -134,15 +134,15 @@ def skip_reason(spark, d):
 
 @query("PRJ-12", """
 with first_layer as (select l_partkey, max(l_quantity) as height, max(l_linenumber) as width, count(*) as samples,
-    bool_and(l_returnflag = 'N') as estimated from lineitem where l_quantity > 45 group by 1)
+    coalesce(bool_and(case when l_quantity > 45 then l_returnflag = 'N' end), false) as estimated from lineitem group by 1)
 select l_partkey, case when estimated and p_size >= 10 then p_retailprice else height end as height,
   case when estimated and p_size >= 10 then p_size else width end as width,
   case when estimated and p_size >= 10 then 'secondary' else 'primary' end as layer
 from first_layer left join part on p_partkey = l_partkey""")
 def layered_fill(spark, d):
-    first = (read_table(spark, d, "lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(
+    first = (read_table(spark, d, "lineitem").groupBy("l_partkey").agg(
         F.max("l_quantity").alias("height"), F.max("l_linenumber").alias("width"),
-        F.bool_and(F.col("l_returnflag") == "N").alias("estimated")))
+        F.coalesce(F.bool_and(F.when(F.col("l_quantity") > 45, F.col("l_returnflag") == "N")), F.lit(False)).alias("estimated")))
     second = read_table(spark, d, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("height"), F.col("p_size").alias("width"))
     return (P.fill_from(first, second, ["l_partkey"], ["height", "width"], F.col("estimated"), F.col("width") >= 10)

@@ -22,7 +22,7 @@ def vector_topk(spark, d):
 
 
 _RECALL = """k as (select o_custkey, case when o_totalprice > 60000 then 'R' || o_orderkey % 40 else '' end as ref, o_orderpriority as snippet, case o_orderstatus when 'F' then 'info' when 'O' then 'minor' else 'critical' end as severity from orders),
-r as (select o_custkey, 'R' || l_partkey % 40 as ref, l_returnflag as snippet, 'info' as severity from lineitem join orders on o_orderkey = l_orderkey where l_quantity > 25)"""
+r as (select o_custkey, 'R' || l_partkey % 40 as ref, l_returnflag as snippet, 'info' as severity from lineitem join orders on o_orderkey = l_orderkey)"""
 
 
 @query("RET-02", f"""
@@ -34,7 +34,7 @@ def hybrid_fusion(spark, d):
     orders = read_table(spark, d, "orders")
     kg = orders.select("o_custkey", F.when(F.col("o_totalprice") > 60000, F.concat(F.lit("R"), F.col("o_orderkey") % 40)).otherwise("").alias("ref"),
                        F.col("o_orderpriority").alias("snippet"), F.when(F.col("o_orderstatus") == "F", "info").when(F.col("o_orderstatus") == "O", "minor").otherwise("critical").alias("severity"))
-    rag = read_table(spark, d, "lineitem").where("l_quantity > 25").join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select(
+    rag = read_table(spark, d, "lineitem").join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select(
         "o_custkey", F.concat(F.lit("R"), F.col("l_partkey") % 40).alias("ref"), F.col("l_returnflag").alias("snippet"), F.lit("info").alias("severity"))
     return R.fuse_candidates(kg, rag, ["o_custkey"])
 
@@ -84,22 +84,25 @@ def semantic_paths(spark, d):
 
 
 @query("RET-05", """
-with recursive e as (select distinct l_orderkey as a, -l_partkey - 1 as b from lineitem where l_quantity > 49),
+with recursive e as (select distinct l_orderkey as a, -((l_partkey * 1000000 + l_suppkey) * 64 + l_quantity::bigint) - 1 as b from lineitem),
 s as (select a, b from e union select b, a from e),
 w as (select a as node, a as seen from s union select w.node, s.b from w join s on s.a = w.seen)
 select node, min(seen) as component from w group by 1""")
 def connected_zones(spark, d):
-    edges = read_table(spark, d, "lineitem").where("l_quantity > 49").select("l_orderkey", (-F.col("l_partkey") - 1).alias("part_node"))
+    edges = read_table(spark, d, "lineitem").select(
+        "l_orderkey", (-((F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")) * 64 + F.col("l_quantity").cast("long")) - 1).alias("part_node"))
     return R.components(edges, "l_orderkey", "part_node")
 
 
 @query("RET-06", """
-with n as (select o_orderkey as id from orders where o_totalprice > 100000), e as (select l_orderkey as src, l_orderkey + l_linenumber as dst from lineitem where l_quantity > 40),
+with n as (select o_orderkey as id from orders), e as (select case when l_quantity > 40 then l_orderkey else -l_linenumber end as src, case when l_quantity > 40 then l_orderkey + l_linenumber else -l_linenumber - 1 end as dst from lineitem),
 i as (select id from n where id not in (select src from e) and id not in (select dst from e))
 select (select count(*) from n) as nodes, (select count(*) from i) as isolated, round((select count(*) from i) / (select count(*) from n), 4) as isolated_ratio, (select count(*) from e where dst not in (select id from n)) as dangling""")
 def isolated_ratio(spark, d):
-    nodes = read_table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("id"))
-    edges = read_table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("src"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("dst"))
+    nodes = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    linked = F.col("l_quantity") > 40  # other lines join two keys that no order has
+    edges = read_table(spark, d, "lineitem").select(F.when(linked, F.col("l_orderkey")).otherwise(-F.col("l_linenumber")).alias("src"),
+                                                    F.when(linked, F.col("l_orderkey") + F.col("l_linenumber")).otherwise(-F.col("l_linenumber") - 1).alias("dst"))
     out = R.isolation(nodes, edges, "id")
     return out.select(*[F.col(c).cast("long").alias(c) for c in ("nodes", "isolated")], "isolated_ratio", F.col("dangling").cast("long").alias("dangling"))
 
@@ -109,7 +112,7 @@ def generation_propagation(spark, d):
     anchors = read_table(spark, d, "orders").where("o_totalprice > 490000").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"))
     pairs = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), ((F.col("l_orderkey") * 31 + F.col("l_partkey")) % 15000).alias("dst"), (F.col("l_discount") * 10).alias("residual"))
     confirmed = read_table(spark, d, "orders").where("o_totalprice < 20000").select(F.col("o_orderkey").alias("id"))
-    return R.propagate(anchors, pairs, confirmed, 0.5, 4)
+    return R.propagate(anchors, pairs, confirmed, 0.5)
 
 
 @query("RET-08", """
@@ -183,13 +186,13 @@ def gold_from_actions(spark, d):
 
 
 _GT = """g as (select doc_id, case when toxic = 1 then 'toxic' when quality = 1 then 'good' else 'poor' end as g from labels),
-p as (select doc_id, case when n_chars > 3000 then 'good' when n_chars < 500 then 'toxic' else 'poor' end as p from documents where lang in ('en', 'fr')),
+p as (select doc_id, case when n_chars > 3000 then 'good' when n_chars < 500 then 'toxic' else 'poor' end as p from documents),
 b as (select coalesce(g.doc_id, p.doc_id) as doc_id, g, p from g full join p on p.doc_id = g.doc_id)"""
 
 
 def _gold_and_pred(spark, d):
     gt = read_table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor").alias("gt_class"))
-    pred = read_table(spark, d, "documents").where("lang in ('en', 'fr')").select(
+    pred = read_table(spark, d, "documents").select(
         "doc_id", F.when(F.col("n_chars") > 3000, "good").when(F.col("n_chars") < 500, "toxic").otherwise("poor").alias("pred_class"))
     return gt, pred
 

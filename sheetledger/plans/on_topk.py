@@ -106,10 +106,10 @@ def natural_order(spark, d):
 
 
 @query("TOP-06", """
-with s as (select l_suppkey as drawing_id, count(distinct l_returnflag) - 1 as directions, max(l_linenumber) - 1 as zones, max(l_quantity)::int as max_gaps, count(*) as total_gaps, max(l_orderkey) % 4 = 0 as zone_confirmed from lineitem where l_discount < 0.005::double group by 1)
+with s as (select l_suppkey as drawing_id, count(distinct l_returnflag) - 1 as directions, max(l_linenumber) - 1 as zones, max(l_quantity)::int as max_gaps, count(*) as total_gaps, max(l_orderkey) % 4 = 0 as zone_confirmed from lineitem group by 1)
 select drawing_id, directions * 1000 + least(max_gaps, 40) as coverage_score from s where not zone_confirmed and zones <= 6 and total_gaps > 0 order by 2 desc, 1 limit 25""")
 def candidate_ranking(spark, d):
-    sheets = read_table(spark, d, "lineitem").where(F.col("l_discount") < 0.005).groupBy(F.col("l_suppkey").alias("drawing_id")).agg(
+    sheets = read_table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("drawing_id")).agg(
         (F.count_distinct("l_returnflag") - 1).alias("directions"), (F.max("l_linenumber") - 1).alias("zones"), F.max("l_quantity").cast("int").alias("max_gaps"),
         F.count("*").alias("total_gaps"), (F.max("l_orderkey") % 4 == 0).alias("zone_confirmed"))
     return K.rank_anchors(sheets, 25).select("drawing_id", "coverage_score")

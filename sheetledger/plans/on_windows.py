@@ -122,7 +122,7 @@ n as (select user_id, count(*) as n from e group by 1)
 select user_id, n, case when n >= 3 then round(coalesce(inv, 0) / (n * (n - 1) / 2), 6) end as inversion_rate from n left join i using (user_id)""")
 def inversion_rate(spark, d):
     rows = read_table(spark, d, "events").select("user_id", "ts", "event_id", _k().alias("k"))
-    return (N.inversions(rows, ["user_id"], ["ts", "event_id"], "k", F.to_date("ts"), 8)
+    return (N.inversions(rows, ["user_id"], ["ts", "event_id"], "k", F.to_date("ts"))
             .withColumn("inversion_rate", F.round("inversion_rate", 6)))
 
 
@@ -159,13 +159,13 @@ def tolerance_rows(spark, d):
 
 
 @query("WIN-14", """
-with p as (select l_suppkey, l_partkey % 30 as cell, l_linenumber as o from lineitem where l_quantity > 25 group by 1, 2, 3),
+with p as (select l_suppkey, l_partkey % 30 as cell, l_linenumber as o from lineitem group by 1, 2, 3),
 b as (select l_suppkey, cell, min(o) as lo, max(o) as hi, string_agg(o::varchar, ',' order by o) as present from p group by 1, 2),
 m as (select b.*, unnest(range(lo, hi + 1)) as o from b)
 select l_suppkey, cell, present, string_agg(o::varchar, ',' order by o) as missing from m
 where not exists (select 1 from p where p.l_suppkey = m.l_suppkey and p.cell = m.cell and p.o = m.o) group by 1, 2, 3""")
 def floor_gap_check(spark, d):
-    rows = read_table(spark, d, "lineitem").where("l_quantity > 25").select("l_suppkey", (F.col("l_partkey") % 30).alias("cell"), "l_linenumber")
+    rows = read_table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 30).alias("cell"), "l_linenumber")
     return N.missing_between(rows, ["l_suppkey", "cell"], "l_linenumber").select(
         "l_suppkey", "cell", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"))
 
@@ -226,12 +226,12 @@ def majority_mode_cluster(spark, d):
 
 
 @query("WIN-18", """
-with v as (select distinct event_type, value from events where value > 60),
+with v as (select distinct event_type, value from events),
 g as (select *, value - lag(value) over (partition by event_type order by value) as gap from v),
-i as (select event_type, value, sum((gap is null or gap > 0.4)::int) over (partition by event_type order by value) as island from g),
+i as (select event_type, value, sum((gap is null or gap > 0.02)::int) over (partition by event_type order by value) as island from g),
 s as (select i.event_type, island, count(*) as members, avg(e.value) as m from i join events e on e.event_type = i.event_type and e.value = i.value group by 1, 2)
 select event_type, members, round(m, 2) as dominant from (select *, row_number() over (partition by event_type order by members desc, island) as r from s) where r = 1""")
 def dominant_chain(spark, d):
-    rows = read_table(spark, d, "events").where("value > 60").select("event_type", "value")
-    out = N.dominant_value(rows, ["event_type"], "value", 0.4, F.floor(F.col("value") / 25))
+    rows = read_table(spark, d, "events").select("event_type", "value")
+    out = N.dominant_value(rows, ["event_type"], "value", 0.02, F.floor(F.col("value") / 25))
     return out.select("event_type", "members", "dominant")
