@@ -47,12 +47,12 @@ def cost_by(df: DataFrame, engine: str, ts: str, now: str, days: int, tokens: Co
 def cost_summary(calls: DataFrame, keys: Sequence[str], latency: str, prompt: str, completion: str, cost: Column,
                  ok: Column) -> DataFrame:
     """Calls, successes, mean and exact interpolated p95 latency, tokens and cost per group."""
-    sums = calls.groupBy(*keys).agg(
+    sums = [
         F.count("*").alias("total_calls"), F.count_if(ok).alias("success_calls"),
         F.round(F.avg(latency)).alias("avg_latency"), F.sum(prompt).cast("long").alias("prompt_tokens"),
         F.sum(completion).cast("long").alias("completion_tokens"),
-        F.round(F.sum(cost.cast("decimal(28,6)")), 4).cast("double").alias("total_cost"))
-    return null_safe_join(sums, exact_quantiles(calls, keys, latency, {"p95_latency": 0.95}), keys, "left")
+        F.round(F.sum(cost.cast("decimal(28,6)")), 4).cast("double").alias("total_cost")]
+    return exact_quantiles(calls, keys, latency, {"p95_latency": 0.95}, also=sums)
 
 
 def daily(df: DataFrame, ts: str, key: str, now: str, days: int, cost: Column) -> DataFrame:
@@ -91,10 +91,11 @@ def with_sources(df: DataFrame, keys: Sequence[str], source: str, page: int = 10
 
 
 def facets(df: DataFrame, dims: Sequence[str], flag: Column) -> DataFrame:
-    """Total, per-dimension and flagged counts in one aggregate over grouping sets."""
+    """Total, per-dimension and flagged counts: counted once by all dimensions, then added up over grouping sets."""
     sets = [[]] + [[F.col(x)] for x in dims]
-    grouped = (df.withColumn("_flag", flag.cast("int")).groupingSets(sets, *[F.col(x) for x in dims])
-               .agg(F.count("*").alias("n"), F.coalesce(F.sum("_flag"), F.lit(0)).cast("long").alias("flagged"),
+    fine = df.groupBy(*dims).agg(F.count("*").alias("_n"), F.coalesce(F.sum(flag.cast("int")), F.lit(0)).alias("_flag"))
+    grouped = (fine.groupingSets(sets, *[F.col(x) for x in dims])
+               .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_flag"), F.lit(0)).cast("long").alias("flagged"),
                     *[F.grouping(x).alias(f"_g_{x}") for x in dims]))
     name, value = F.lit("total"), F.lit(None).cast("string")
     for x in dims:
@@ -105,12 +106,19 @@ def facets(df: DataFrame, dims: Sequence[str], flag: Column) -> DataFrame:
 
 def qto_rollup(df: DataFrame, dims: Sequence[str], gross: Column, net: Column, formwork: Column,
                estimated: Column) -> DataFrame:
-    """Quantities for every prefix of ``dims`` (project, building, floor, type …) in one pass."""
-    money = lambda c: F.sum(c.cast("decimal(28,4)")).cast("double")
-    return df.rollup(*dims).agg(
-        F.grouping_id().cast("long").alias("level"), F.count("*").alias("elements"), money(gross).alias("gross"),
-        money(net).alias("net"), money(formwork).alias("formwork"), F.count_if(~estimated).alias("measured"),
-        F.count_if(estimated).alias("estimated"), F.count_if(gross <= 0).alias("uncovered"))
+    """Quantities for every prefix of ``dims`` (project, building, floor, type …): summed at the finest level, then rolled up.
+
+    Sums are exact to ten places and rounded to four once.
+    """
+    exact = lambda c: F.sum(c.cast("decimal(28,10)"))
+    fine = df.groupBy(*dims).agg(
+        F.count("*").alias("elements"), exact(gross).alias("gross"), exact(net).alias("net"), exact(formwork).alias("formwork"),
+        F.count_if(~estimated).alias("measured"), F.count_if(estimated).alias("estimated"), F.count_if(gross <= 0).alias("uncovered"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    money = lambda c: F.round(F.sum(c), 4).cast("double").alias(c)
+    return fine.rollup(*dims).agg(
+        F.grouping_id().cast("long").alias("level"), total("elements"), money("gross"), money("net"), money("formwork"),
+        total("measured"), total("estimated"), total("uncovered"))
 
 
 # Actions that mean rework, name of the bucket without a label.

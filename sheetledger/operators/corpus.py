@@ -47,17 +47,14 @@ def split_articles(df: DataFrame, key: str, text: str, article: str = ARTICLE_PA
     Page-number lines are dropped, continuation lines joined, what precedes the first number is not
     an article.  The text is cut before every line that starts with a number.
     """
-    # Whole-text patterns instead of a line loop; each step is a column of its own, so none runs twice.
+    # Whole-text patterns instead of a line loop; each step is a column of its own, so none runs twice.  Articles are cut, kept
+    # and numbered inside their row: no text is shuffled.
     flat = df.select(key, F.regexp_replace(text, rf"(?m)^\s*\d{{1,{MAX_PAGE_DIGITS}}}\s*$", "").alias("_t"))
-    parts = (flat.select(key, F.posexplode(F.split("_t", rf"(?m)^[ \t]*(?={article})")).alias("_i", "_p"))
-             .where(F.col("_p").rlike(rf"^{article}")))
-    made = parts.select(key, "_i", F.regexp_extract("_p", rf"^{article}", 0).alias("article_no"),
-                        F.regexp_replace(F.regexp_replace("_p", rf"^{article}", ""), r"\s*\n\s*|^\s+|\s+$", "").alias("body"))
-    # one use of the body, as the filter is pushed below it and would repeat its patterns
-    kept = made.where(F.col("body").rlike(_article_test(words, sentence_end)))
-    # the articles of one text
-    idx = F.row_number().over(W.partitionBy(key).orderBy("_i")) - 1
-    return kept.select(key, idx.alias("idx"), "article_no", "body")
+    parts = flat.select(key, F.filter(F.split("_t", rf"(?m)^[ \t]*(?={article})"), lambda p: p.rlike(rf"^{article}")).alias("_p"))
+    body = lambda p: F.regexp_replace(F.regexp_replace(p, rf"^{article}", ""), r"\s*\n\s*|^\s+|\s+$", "")
+    made = parts.select(key, F.transform("_p", lambda p: F.struct(F.regexp_extract(p, rf"^{article}", 0).alias("article_no"), body(p).alias("body"))).alias("_a"))
+    kept = made.select(key, F.filter("_a", lambda a: a["body"].rlike(_article_test(words, sentence_end))).alias("_a"))
+    return kept.select(key, F.posexplode("_a").alias("idx", "_r")).select(key, "idx", "_r.article_no", "_r.body")
 
 
 def strip_boilerplate(df: DataFrame, key: str, text: str, watermarks: Sequence[str] = WATERMARKS, toc: str = TOC_PATTERN) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import null_safe_join
 
 _ACCURACY = 10_000
@@ -31,6 +32,7 @@ def exact_quantiles(
     method: str = "linear",
     count_as: str | None = None,
     rank_of: Callable[[Column], Column] | None = None,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """``keys`` + one column per probability (+ the number of non-null values).
 
@@ -38,17 +40,21 @@ def exact_quantiles(
     rank ``min(floor(p * n), n - 1)``, without interpolation.
     ``rank_of(n)`` replaces the rank of a linear quantile (it must tend to ``p * n``).
     Groups without a non-null value give no row, so a left join yields null, not zero.
+    ``also``: named aggregates over all rows, made in the pass that makes the sketch; every group then has a row.
     """
     col = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, col.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    valued = df.withColumn("_v", col.cast("double"))
+    rows = valued.select(*keys, "_v").where(F.col("_v").isNotNull())
     names = list(probs)
     cuts = []
     for name in names:
         cuts += [max(0.0, probs[name] - _MARGIN), min(1.0, probs[name] + _MARGIN)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", cuts, _ACCURACY).alias("_cuts"))
-    placed = null_safe_join(rows, sketch, keys)
+    sketch = (valued if also else rows).groupBy(*keys).agg(
+        F.count("_v").alias("_n"),
+        F.percentile_approx("_v", cuts, _ACCURACY).alias("_cuts"), *also)
+    if also:
+        sketch = cut_lineage(sketch)  # one row per group, read twice: the input is not
+    placed = null_safe_join(rows, sketch.select(*keys, "_n", "_cuts"), keys)
     position = F.lit(0)
     inside = F.lit(False)
     for i in range(len(names)):
@@ -87,7 +93,8 @@ def exact_quantiles(
             out.append(low.alias(name))
     if count_as:
         out.append(F.col("_n").alias(count_as))
-    return wide.select(*out)
+    found = wide.select(*out)
+    return null_safe_join(sketch.drop("_n", "_cuts"), found, keys, "left") if also else found
 
 
 def median_by(df: DataFrame, keys: Sequence[str], value: str | Column, alias: str = "median",

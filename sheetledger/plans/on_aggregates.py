@@ -125,8 +125,8 @@ def multi_dim_counts(spark, d):
 
 @query("AGG-12", """
 select l_returnflag, l_linestatus, p_brand, grouping_id(l_returnflag, l_linestatus, p_brand)::bigint as level, count(*) as elements,
-  sum((l_quantity * p_size)::decimal(28,4))::double as gross, sum((l_quantity * p_size * 0.9::double)::decimal(28,4))::double as net,
-  sum((l_quantity * 2)::decimal(28,4))::double as formwork, count(*) filter (where not l_discount > 0.05::double) as measured,
+  round(sum((l_quantity * p_size)::decimal(28,10)), 4)::double as gross, round(sum((l_quantity * p_size * 0.9::double)::decimal(28,10)), 4)::double as net,
+  round(sum((l_quantity * 2)::decimal(28,10)), 4)::double as formwork, count(*) filter (where not l_discount > 0.05::double) as measured,
   count(*) filter (where l_discount > 0.05::double) as estimated, count(*) filter (where l_quantity * p_size <= 0) as uncovered
 from lineitem join part on p_partkey = l_partkey group by rollup (l_returnflag, l_linestatus, p_brand)""")
 def quantity_rollup(spark, d):
