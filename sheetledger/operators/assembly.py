@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggs import noisy_or
 from ..session import cut_lineage
 from .common import each_block, null_safe_join
 from .consensus import vote
-from .retrieval import components
 
 # Merge distance, confidence under which an entity needs review, types keyed by grid cell.
 MERGE_DIST_M, CONFLICT_CONFIDENCE, GRID_KEYED_TYPES = 1.0, 0.5, ("column", "pile")
@@ -54,19 +53,42 @@ def _greedy(dist: float):
     return place
 
 
+def _fill(block: dict) -> dict:
+    """Number of the island of each occupied square of one space: squares that touch, or that a grid cell reaches over."""
+    above: dict = {}
+
+    def top(n):
+        while above.setdefault(n, n) != n:
+            above[n] = n = above[above[n]]
+        return n
+
+    places = list(zip(block["_sx"].tolist(), block["_sy"].tolist()))
+    there = set(places)
+    for (x, y), grid in zip(places, block["_grid"]):
+        beside = [(x + i, y + j) for i, j in ((1, 0), (0, 1), (1, 1), (1, -1)) if (x + i, y + j) in there]
+        for other in [*beside, *([] if grid is None else [("grid", grid)])]:
+            above[top(other)] = top((x, y))
+    number: dict = {}
+    return {"_isle": np.array([number.setdefault(top(p), len(number)) for p in places], dtype=np.int64)}
+
+
+def _names() -> dict[str, Column]:
+    """Names of an observation's square and of its grid cell; null without one."""
+    space = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _SPACE]
+    return {"_square": F.when(F.col("_sx").isNotNull(), F.concat_ws("|", F.lit("s"), *space, "_sx", "_sy")),
+            "_grid": F.when(F.col("_cell").isNotNull(), F.concat_ws("|", F.lit("g"), *space, "_cell"))}
+
+
 def _islands(rows: DataFrame, dist: float) -> DataFrame:
-    """(node, _block): squares of two merge distances, with those they touch, and the grid cells that reach over them.
+    """(_node, _c): squares of two merge distances and grid cells, with the island they are part of.
 
-    Whatever could meet lies in one island: squares are twice as wide as an observation's reach.
+    Whatever could meet lies in one island: squares are twice as wide as an observation's reach.  A task holds the
+    occupied squares of one type, building and floor, however many observations lie in them.
     """
-    squares = rows.where("_square is not null").select(*_SPACE, "_sx", "_sy").distinct()
-    name = lambda x, y: F.concat_ws("|", F.lit("s"), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _SPACE], x, y)
-    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 0), (0, 1), (1, 1), (1, -1))])
-    beside = squares.withColumn("_d", F.explode(steps)).select(
-        name(F.col("_sx"), F.col("_sy")).alias("a"), name(F.col("_sx") + F.col("_d.x"), F.col("_sy") + F.col("_d.y")).alias("b"))
-    there = squares.select(name(F.col("_sx"), F.col("_sy")).alias("b"))
-    held = rows.where("_square is not null and _grid is not null").select(F.col("_square").alias("a"), F.col("_grid").alias("b")).distinct()
-    return components(beside.join(there, "b", "left_semi").select("a", "b").union(held), "a", "b")
+    cells = rows.where("_sx is not null").select(*_SPACE, "_sx", "_sy", "_cell").distinct()
+    filled = each_block(cells.withColumns(_names()), _SPACE, ["_sx", "_sy"], _fill, [*_SPACE, "_square", "_grid"], "_isle long")
+    isle = F.concat_ws("|", F.lit("i"), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _SPACE], "_isle").alias("_c")
+    return cut_lineage(filled.select(F.explode(F.array("_square", "_grid")).alias("_node"), isle).where("_node is not null").distinct())
 
 
 def assemble(df: DataFrame, dist: float = MERGE_DIST_M) -> DataFrame:
@@ -81,17 +103,14 @@ def assemble(df: DataFrame, dist: float = MERGE_DIST_M) -> DataFrame:
     """
     full = F.coalesce(F.col("type").isin(*GRID_KEYED_TYPES) & F.col("grid_cell").isNotNull() & ~F.col("grid_cell").contains("?"), F.lit(False))
     placed = F.col("x").isNotNull() & F.col("y").isNotNull()
-    space = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _SPACE]
     at = lambda c: F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.floor(F.col(c) / (2 * dist)))
     marked = (df.withColumn("_full", full).withColumn("_sx", at("x")).withColumn("_sy", at("y"))
               .withColumn("x", F.when(placed, F.col("x").cast("double"))).withColumn("y", F.when(F.col("_sx").isNotNull(), F.col("y").cast("double")))
-              .withColumn("_square", F.when(F.col("_sx").isNotNull(), F.concat_ws("|", F.lit("s"), *space, "_sx", "_sy")))
-              .withColumn("_grid", F.when(F.col("_full"), F.concat_ws("|", F.lit("g"), *space, "grid_cell")))
               .withColumn("_cell", F.when(F.col("_full"), F.col("grid_cell"))).withColumn("_conf", F.coalesce("confidence", F.lit(0.0)))
+              .withColumns(_names())
               .withColumn("_node", F.coalesce("_square", "_grid", F.concat(F.lit("o|"), F.col("obs_id").cast("string")))))
     # one row per square or cell; read below for every row
-    of = cut_lineage(_islands(marked, dist)).select(F.col("node").alias("_node"), F.col("component").alias("_c"))
-    rows = marked.join(of, "_node", "left").withColumn("_block", F.coalesce("_c", "_node")).drop("_c", "_node", "_square", "_grid", "_sx", "_sy")
+    rows = marked.join(_islands(marked, dist), "_node", "left").withColumn("_block", F.coalesce("_c", "_node")).drop("_c", "_node", "_square", "_grid", "_sx", "_sy")
     folded = rows.groupBy(*_SPOT).agg(F.count("*").alias("_n"), F.min("obs_id").alias("_first"))
     # read twice below (aggregates and label vote), so the Python pass is kept
     spots = cut_lineage(each_block(folded.withColumn("_turn", -F.col("_conf")), _BLOCK, ["_turn", "_first"], _greedy(dist), _SPOT, "_entity long"))
