@@ -139,11 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = known.where(place < F.lit(min(1.0, rows / max(1, total))))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    got = bags(texts.join(F.broadcast(chosen), "_id").orderBy("_id"), "_text", "_label", buckets).collect()  # about ``rows`` rows on either side
-    if not got:
+    chosen_bags = bags(texts.join(F.broadcast(chosen), "_id").orderBy("_id"), "_text", "_label", buckets)  # about ``rows`` rows on either side
+    got = chosen_bags.toArrow().combine_chunks()
+    if not got.num_rows:
         return Embeddings(np.zeros((buckets, dim), np.float32), np.zeros((dim, 2), np.float32), np.zeros(2, np.float32))
-    return descend(np.array([r["label"] for r in got]), [np.array(r["buckets"], dtype=np.int64) for r in got],
-                   [np.array(r["shares"], dtype=np.float32) for r in got], buckets, dim, epochs, rate, seed)
+    label, found, shares = (got.column(i).combine_chunks() for i in range(3))
+    edges = found.offsets.to_numpy()[1:-1]
+    return descend(label.to_numpy(), np.split(found.flatten().to_numpy(), edges), np.split(shares.flatten().to_numpy(), edges), buckets, dim, epochs, rate, seed)
 
 
 def _scores(texts: pa.Array, margins: np.ndarray, bias: float, buckets: int) -> np.ndarray:
