@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join in which null keys meet (as in GROUP BY); the right keys are dropped.
 
-    The null-safe equality is still a hash/merge join key, so nothing falls back to a loop.
+    The null-safe equality is still a hash/merge join key, so nothing falls back to a loop.  Without keys the right
+    side is an aggregate of one row, and only then is it broadcast.
     """
     if not keys:
         return (left.withColumn("_one", F.lit(0))

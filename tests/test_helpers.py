@@ -46,3 +46,37 @@ def test_neighbour_and_running_cross_chunks_and_null_keys(spark):
     assert rows(numbered(df, ["k"], ["t"], chunk).where("k = 'a'"), "t", "seq") == [(1, 1), (2, 2), (11, 3), (12, 4), (35, 5)]
     runs = islands(lag, ["k"], ["t"], chunk, F.col("prev").isNull() | (F.col("t") - F.col("prev") > 5))
     assert rows(runs.where("k = 'a'"), "t", "island") == [(1, 1), (2, 1), (11, 2), (12, 2), (35, 3)]
+
+
+def test_component_marks_and_what_only_looks_like_one(spark):
+    from sheetledger.functions.strings import component_mark
+
+    # fixed values: marks with their kinds, and strings of the same shape that are none
+    kinds = {"KZZ3": "column", "KZ1": "column", "GZ2": "column", "YBZ1": "wall", "GBZ12": "wall", "AZ1": "wall", "YZ1": "wall", "KL1(3A)": "beam", "L999": "beam", "LB1": "slab",
+             "M1124": "door", "M0824": "door", "C1518": "window", "C1": "window", "FM1": "door", "MC1": "door"}
+    none = ["C65H-C16A/2P+V", "C16A/1P+N", "C30", "M10", "M7.5", "C12@200", "2C25", "", "KZ", "123", "M0", "Q0", "KZ0", "q35", "L1200", "KZ1234", "Q9999", "C769", "M0000", "C0102", "Q235", "Q355", "±0.000", None]
+    texts = [*kinds, *none]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {texts[r.i]: r.kind for r in df.select("i", component_mark(F.col("t")).kind.alias("kind")).collect()}
+    assert got == {**kinds, **dict.fromkeys(none)}
+
+
+def test_file_names_with_stage_segments(spark):
+    from sheetledger.functions.strings import parse_name
+
+    # fixed values: names with the number, the title and the discipline they carry
+    cases = [("基坑支护-竣工图-01-基坑围护设计施工总说明.pdf", "01", "基坑围护设计施工总说明", "structure"), ("结构-竣工图-S-31-07A-首层框架梁平面整体配筋图.pdf", "S-31-07A", "首层框架梁平面整体配筋图", "structure"),
+             ("装饰-竣工图-I-10-02-A- 2F平面布置图.pdf", "I-10-02", "2F平面布置图", "decoration"), ("幕墙-竣工图-C1-H58-C1玻璃幕墙横剖节点详图.pdf", "C1-H58", "C1玻璃幕墙横剖节点详图", "architecture"),
+             ("电气-竣工图-ZNH-20-102-四层公共广播及紧急广播平面图（二）.pdf", "ZNH-20-102", "四层公共广播及紧急广播平面图（二）", "mep"),
+             ("结构-竣工图-ST-41-032C--楼梯ST-28、29、30结构详图.pdf", "ST-41-032C", "楼梯ST-28、29、30结构详图", "structure"), ("竣工图.pdf", "竣工图", "竣工图", "general")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "n string").select("n", parse_name(F.col("n")).alias("p"))
+    assert {(r.n, r.p.number, r.p.title, r.p.discipline) for r in df.collect()} == set(cases)
+
+
+def test_places_of_every_kind(spark):
+    from sheetledger.functions.strings import locations
+
+    text = "结施-12 第3页 地上二层 B2 1-5轴 交A轴 节点详图3 空调系统 水泵房 屋顶 消防喷淋泵 AHU-1"
+    got = spark.createDataFrame([(text,)], "t string").select(locations(F.col("t")).alias("l")).first().l
+    assert "第3页" in got.drawings and "地上二层" in got.levels and "1-5轴" in got.axes and "交A轴" in got.axes
+    assert got.spaces and any(e.endswith("喷淋泵") for e in got.equipment) and "AHU-1" in got.equipment
