@@ -251,9 +251,13 @@ def dedupe_near(df: DataFrame, item: str, x: str, y: str, score: str, tol: float
 
 
 def dedupe_boxes(df: DataFrame, item: str, score: str, keys: Sequence[str], threshold: float) -> DataFrame:
-    """Drop boxes (x0, y0, x1, y1) that overlap a better kept one of the same keys by IoU ≥ threshold."""
+    """Drop boxes (x0, y0, x1, y1) that overlap a better kept one of the same keys by IoU ≥ threshold.
+
+    Of equal boxes only the best meets others: whatever strikes it out strikes out its copies, and else it does so itself.
+    """
     from .spatial import overlapping
 
+    df = latest(df, [*keys, "x0", "y0", "x1", "y1"], [F.desc(score), F.asc(item)])
     scores = df.select(F.col(item).alias("_id"), F.struct(F.col(score), (-F.col(item)).alias("i")).alias("_r"))
     other = df.select(*keys, F.col(item).alias("_other"), "x0", "y0", "x1", "y1")
     pairs = overlapping(df.select(*keys, F.col(item).alias("_id"), "x0", "y0", "x1", "y1"), other, "_id", "_other", threshold, keys)
