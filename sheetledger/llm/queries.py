@@ -112,7 +112,30 @@ TEMPLATES = (("released under the mit license", "mit"), ("licensed under the apa
              ("this work is licensed under the gnu general public license version 3", "gpl-3"))
 
 
-@_query()
+def _license_sql() -> str:
+    """The scan by list functions: places of phrases in the words, and each line's tokens against each template."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    places, labels = [], []
+    for phrase, label in PHRASES:
+        same = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1))
+        places.append(f"list_filter(range(len(words)), lambda i: {same})")
+        labels.append(f"CASE WHEN len({places[-1]}) > 0 THEN '{label}' END")
+    sets = [(sorted(set(words.split())), label) for words, label in TEMPLATES]
+    shares = ", ".join("{'label': '%s', 'share': len(list_intersect(have, %s)) / %d}" % (label, list(tokens), len(tokens)) for tokens, label in sets)
+    return f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS words FROM t),
+p AS (SELECT doc_id, t, len(words) AS n_words, list_concat({", ".join(places)}) AS spots, list_filter([{", ".join(labels)}], lambda x: x IS NOT NULL) AS base FROM w),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS have FROM p),
+s AS (SELECT doc_id, unnest([{shares}]) AS hit FROM l),
+b AS (SELECT doc_id, list(DISTINCT hit.label) AS more, max(hit.share) AS share FROM s WHERE hit.share >= 0.8 GROUP BY 1)
+SELECT p.doc_id, n_words, len(spots) AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+  CASE WHEN len(spots) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM p LEFT JOIN b ON b.doc_id = p.doc_id"""
+
+
+@_query(_license_sql())
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of all texts by place, and the labels of lines like a template."""
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, TEMPLATES)
