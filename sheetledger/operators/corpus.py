@@ -6,7 +6,6 @@ import re
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import CLOSURE_PATTERNS, COST_WORDS, closure, any_word
