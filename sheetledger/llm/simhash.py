@@ -3,8 +3,8 @@
 Distinct fingerprints are dealt into classes by the population counts of their parts.  A pair
 differs in at least as many bits as its population counts do, summed over the parts, so tiles of
 classes further apart than the radius never meet.  Tiles that meet are compared pair by pair with
-numpy exclusive-or and bit counts.  From each pair of tiles comes a spanning forest of its links,
-never all pairs of a group.
+numpy exclusive-or and bit counts.  Groups are found inside each tile first; two tiles then give one
+link for every two groups that have any, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -78,59 +78,46 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits:
         run, "doc_id long, fp binary, n_shingles long")
 
 
-def _forest(left: np.ndarray, right: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most n + m of the links (left i, right j) that connect the same nodes as all of them."""
-    if len(left) <= n + m:
-        return left, right
-    low = np.arange(n + m)
-    other = right + n
-    while True:
-        at = np.minimum(low[left], low[other])
-        new = low.copy()
-        np.minimum.at(new, left, at)
-        np.minimum.at(new, other, at)
-        if (new == low).all():
-            break
-        low = new
-    # one link from each node towards a node with the same label that was reached before it: a breadth-first tree
-    reached, take = np.zeros(n + m, dtype=bool), []
-    reached[np.unique(low)] = True
-    while True:
-        for a, b in ((left, other), (other, left)):
-            fresh = np.flatnonzero(reached[a] & ~reached[b])
-            _, first = np.unique(b[fresh], return_index=True)
-            take.append(fresh[first])
-            reached[b[fresh[first]]] = True
-        if not len(take[-1]) and not len(take[-2]):
-            break
-    chosen = np.concatenate(take)
-    return left[chosen], right[chosen]
-
-
-def tile_links(a: bytes, b: bytes, width: int, radius: int, same: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two tiles of packed fingerprints (of one tile with itself: each pair once)."""
-    x = np.frombuffer(a, dtype=np.uint64).reshape(-1, width)
-    y = np.frombuffer(b, dtype=np.uint64).reshape(-1, width)
+def tile_hits(x: np.ndarray, y: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of two tiles within the radius; blocks whose population counts differ by more are skipped."""
     px, py = np.bitwise_count(x).sum(axis=1, dtype=np.int64), np.bitwise_count(y).sum(axis=1, dtype=np.int64)
-    lefts, rights = [], []
+    lefts, rights = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     for s in range(0, len(x), block):
         for t in range(0, len(y), block):
             p, q = px[s:s + block], py[t:t + block]
             if p.min() - q.max() > radius or q.min() - p.max() > radius:
                 continue
             gap = np.zeros((len(p), len(q)), dtype=np.uint16)
-            for k in range(width):
+            for k in range(x.shape[1]):
                 gap += np.bitwise_count(x[s:s + block, k, None] ^ y[None, t:t + block, k])
             i, j = np.nonzero(gap <= radius)
-            i, j = i + s, j + t
-            if same:
-                once = i < j
-                i, j = i[once], j[once]
-            lefts.append(i)
-            rights.append(j)
-    if not lefts:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return _forest(np.concatenate(lefts), np.concatenate(rights), len(x), len(y))
+            lefts.append(i + s)
+            rights.append(j + t)
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+def tile_labels(x: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint of a tile the first one that links inside the tile lead to."""
+    i, j = tile_hits(x, x, radius)
+    low = np.arange(len(x))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def cross_links(x: np.ndarray, y: np.ndarray, own: np.ndarray, theirs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """One link (i, j) for every two groups, by label, of two tiles that have any."""
+    i, j = tile_hits(x, y, radius)
+    _, first = np.unique(own[i] * len(y) + theirs[j], return_index=True)
+    return i[first], j[first]
+
+
+def _matrix(packed: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.uint64).reshape(-1, width)
 
 
 def near_offsets(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -151,24 +138,36 @@ def links(nodes: DataFrame, bits: int, radius: int, offsets: list[tuple[int, ...
     dealt = nodes.join(F.broadcast(sizes), "class").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("_n")).cast("int"))
     # sorted by population count, so that blocks inside a tile can be skipped too
     ordered = F.array_sort(F.collect_list(F.struct(_popcount("fp", bits).alias("p"), "fp")))
-    tiles = keep(dealt.groupBy("class", "chunk").agg(ordered.alias("_f")).select(
-        "class", "chunk", F.unhex(F.array_join(F.transform("_f", lambda s: F.hex(s["fp"])), "")).alias("packed")), "tiles")
+    packed = dealt.groupBy("class", "chunk").agg(ordered.alias("_f")).select(
+        "class", "chunk", F.unhex(F.array_join(F.transform("_f", lambda s: F.hex(s["fp"])), "")).alias("packed"))
+    width = bits // 64
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tile_labels(_matrix(p, width), radius).astype("<i4").tobytes() for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "labels"])
+
+    tiles = keep(packed.mapInArrow(label, "class array<int>, chunk int, packed binary, labels binary"), "tiles")
     moves = F.array(*[F.array(*[F.lit(v) for v in d]) for d in offsets])
     there = tiles.select("class", F.col("chunk").alias("chunk_b"), F.explode(moves).alias("_d"))
     there = there.select(F.zip_with("class", "_d", lambda c, d: c + d).alias("class"), F.col("class").alias("class_b"), "chunk_b")
     own = F.col("class") == F.col("class_b")
     pairs = tiles.select("class", "chunk").join(there, "class").where(~own | (F.col("chunk") <= F.col("chunk_b")))
-    met = (pairs.join(tiles.withColumnRenamed("packed", "a"), ["class", "chunk"])
-           .join(tiles.select(F.col("class").alias("class_b"), F.col("chunk").alias("chunk_b"), F.col("packed").alias("b")), ["class_b", "chunk_b"])
-           .select("a", "b", (own & (F.col("chunk") == F.col("chunk_b"))).alias("same")))
-    width = bits // 64
+    far = tiles.select(F.col("class").alias("class_b"), F.col("chunk").alias("chunk_b"), F.col("packed").alias("b"), F.col("labels").alias("labels_b"))
+    met = (pairs.join(tiles.withColumnsRenamed({"packed": "a", "labels": "labels_a"}), ["class", "chunk"]).join(far, ["class_b", "chunk_b"])
+           .select("a", "labels_a", "b", "labels_b", (own & (F.col("chunk") == F.col("chunk_b"))).alias("same")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         octets = width * 8
         for batch in batches:
             lefts, rights = [], []
-            for a, b, same in zip(*(c.to_pylist() for c in batch.columns)):
-                i, j = tile_links(a, b, width, radius, same)
+            for a, labels_a, b, labels_b, same in zip(*(c.to_pylist() for c in batch.columns)):
+                own_ = np.frombuffer(labels_a, dtype="<i4").astype(np.int64)
+                if same:  # inside a tile each is linked to the first of its group
+                    i = np.flatnonzero(own_ != np.arange(len(own_)))
+                    j = own_[i]
+                else:
+                    i, j = cross_links(_matrix(a, width), _matrix(b, width), own_, np.frombuffer(labels_b, dtype="<i4").astype(np.int64), radius)
                 lefts += [a[k * octets:(k + 1) * octets] for k in i.tolist()]
                 rights += [b[k * octets:(k + 1) * octets] for k in j.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["a", "b"])
@@ -211,9 +210,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = links(folded.select("fp", "class"), bits, radius, offsets)
     reach = connected(found)
     firsts = folded.groupBy("fp").agg(F.min("first").alias("first"))
-    named = firsts.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
-    roots = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = keep(firsts.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first"), "named")
+    roots = keep(named.groupBy("component").agg(F.min("first").alias("component_id")), "groups")
+    # plain scans on both sides: a component, or a fingerprint, that a third of all rows have can be split
     table = keep(named.join(roots, "component").select(F.col("fp").alias("_fp"), "component_id"), "classes")
-    # plain scans on both sides: a fingerprint that a third of all rows have can be split
     return prints.join(table, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -103,27 +103,31 @@ def test_simhash_groups(documents):
     assert simhash.near_groups(documents([])).count() == 0
 
 
-def test_tile_links_connect_what_all_links_connect():
+def test_links_of_tiles_connect_what_all_links_connect():
     rng = np.random.default_rng(5)
     for radius in (3, 9):
         seeds = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
         x = np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for s in seeds])
         y = np.concatenate([x[::3] ^ np.uint64(5), rng.integers(0, 1 << 63, 50, dtype=np.uint64)])
-        i, j = simhash.tile_links(x.tobytes(), y.tobytes(), 1, radius, False, block=64)
-        wanted = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
+        own, theirs = simhash.tile_labels(x[:, None], radius), simhash.tile_labels(y[:, None], radius)
+        i, j = simhash.cross_links(x[:, None], y[:, None], own, theirs, radius)
+        both = np.concatenate([x, y])
+        wanted = np.nonzero(np.bitwise_count(both[:, None] ^ both[None, :]) <= radius)
 
         def joined(left, right):
-            low = np.arange(len(x) + len(y))
+            low = np.arange(len(both))
             while True:
                 new = low.copy()
-                np.minimum.at(new, left, low[right + len(x)])
-                np.minimum.at(new, right + len(x), low[left])
+                np.minimum.at(new, left, low[right])
+                np.minimum.at(new, right, low[left])
                 if (new == low).all():
                     return low.tolist()
                 low = new
 
-        assert all(wanted[i, j]) and len(i) <= len(x) + len(y)
-        assert joined(i, j) == joined(*np.nonzero(wanted))
+        left = np.concatenate([np.arange(len(x)), np.arange(len(y)) + len(x), i])
+        right = np.concatenate([own, theirs + len(x), j + len(x)])
+        assert (np.bitwise_count(x[i] ^ y[j]) <= radius).all() and len(i) < len(both)
+        assert joined(left, right) == joined(*wanted)
 
 
 def test_near_offsets_miss_no_pair():
