@@ -182,6 +182,14 @@ def split_by_gap(df: DataFrame, keys: Sequence[str], pos: str, tie: str, chunk:
     return islands(joined, keys, [pos, tie], chunk, starts, alias).select(*df.columns, alias)
 
 
+def failure_runs(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ok: str, chunk: Column, least: int = 5) -> DataFrame:
+    """Runs of at least ``least`` failures one after another per key: when an engine went down, until when, and how often it failed."""
+    rows = neighbour(df, keys, [ts, tie], chunk, {"_was": ok}, -1)
+    marked = islands(rows, keys, [ts, tie], chunk, F.col("_was").isNull() | (F.col("_was") != F.col(ok)))
+    return marked.where(~F.col(ok)).groupBy(*keys, "island").agg(
+        F.min(ts).alias("down_at"), F.max(ts).alias("last_at"), F.count("*").alias("failures")).where(F.col("failures") >= least).drop("island")
+
+
 def merge_spans(df: DataFrame, keys: Sequence[str], low: str, high: str, tie: str, chunk: Column, tol: float) -> DataFrame:
     """Overlapping or near spans (gap ≤ tol) to their envelopes."""
     rows = running(df, keys, [low, tie], chunk, F.col(high), "_reach", "max", before=True)

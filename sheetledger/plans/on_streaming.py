@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import windows as N
 from ..sources.tables import read_table
 from ..streaming import events as S
 from ..streaming.tables import VersionedTable, drain, last_state
@@ -130,6 +131,16 @@ def stale_reaper_stream(spark, d):
     return drain(out, scratch(spark, "reap"))
 
 
+@query("STM-08", """
+with e as (select user_id % 12 as engine, ts, event_id, coalesce(value < 25, false) as ok from events),
+r as (select *, row_number() over (partition by engine order by ts, event_id) - row_number() over (partition by engine, ok order by ts, event_id) as run from e)
+select engine, epoch_us(min(ts)) as down_us, epoch_us(max(ts)) as last_us, count(*) as failures from r where not ok group by engine, run having count(*) >= 5""")
+def failure_runs(spark, d):
+    calls = read_table(spark, d, "events").select((F.col("user_id") % 12).alias("engine"), "ts", "event_id", F.coalesce(F.col("value") < 25, F.lit(False)).alias("ok"))
+    runs = N.failure_runs(calls, ["engine"], "ts", "event_id", "ok", F.to_date("ts"))
+    return runs.select("engine", F.unix_micros("down_at").alias("down_us"), F.unix_micros("last_at").alias("last_us"), "failures")
+
+
 @query("STM-09", """
 select user_id, event_id, event_type as status from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1""")
 def stream_upsert(spark, d):
