@@ -152,7 +152,8 @@ def links(nodes: DataFrame, bits: int, radius: int, offsets: list[tuple[int, ...
     there = tiles.select("class", F.col("chunk").alias("chunk_b"), F.explode(moves).alias("_d"))
     there = there.select(F.zip_with("class", "_d", lambda c, d: c + d).alias("class"), F.col("class").alias("class_b"), "chunk_b")
     own = F.col("class") == F.col("class_b")
-    pairs = tiles.select("class", "chunk").join(there, "class").where(~own | (F.col("chunk") <= F.col("chunk_b")))
+    # the list grows with the data, which its size before the explosion does not tell: never broadcast
+    pairs = tiles.select("class", "chunk").join(there.hint("merge"), "class").where(~own | (F.col("chunk") <= F.col("chunk_b")))
     far = tiles.select(F.col("class").alias("class_b"), F.col("chunk").alias("chunk_b"), F.col("packed").alias("b"), F.col("labels").alias("labels_b"))
     met = (pairs.join(tiles.withColumnsRenamed({"packed": "a", "labels": "labels_a"}), ["class", "chunk"]).join(far, ["class_b", "chunk_b"])
            .select("a", "labels_a", "b", "labels_b", (own & (F.col("chunk") == F.col("chunk_b"))).alias("same")))
