@@ -188,6 +188,50 @@ def test_backoff_lm_probabilities_add_up(documents):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def brute_backoff(train, texts, discount=0.75):
+    tok = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [b""]
+    one, two, three, next_one, next_two = Counter(), Counter(), Counter(), {}, {}
+    for t in train:
+        w = [b" ", *tok(t)]
+        one.update(w[1:])
+        two.update(zip(w, w[1:]))
+        three.update(zip(w, w[1:], w[2:]))
+    for (b, c), n in two.items():
+        next_one.setdefault(b, {})[c] = n
+    for (a, b, c), n in three.items():
+        next_two.setdefault((a, b), {})[c] = n
+    scale = sum(one.values()) + 0.5 * (len(one) + 1)
+    p1 = lambda c: (one[c] + 0.5) / scale
+
+    def after(seen, c, lower):
+        if not seen:
+            return lower(c)
+        total = sum(seen.values())
+        if c in seen:
+            return (seen[c] - discount) / total
+        return max(1e-12, discount * len(seen) / total) / max(1e-12, 1 - sum(map(lower, seen))) * lower(c)
+
+    def p2(b, c):
+        return after(next_one.get(b), c, p1)
+
+    out = {}
+    for i, t in enumerate(texts):
+        w = [b" ", *tok(t)]
+        out[i] = sum(math.log10(after(next_two.get((w[k - 2], w[k - 1])) if k > 1 else None, w[k], lambda c: p2(w[k - 1], c))) for k in range(1, len(w)))
+    return out
+
+
+def test_backoff_lm_scores_by_every_ngram(documents):
+    """More words than any shortlist had, most n-grams once, and phrases of rare words repeated."""
+    filler = [" ".join(f"f{(i * 37 + j * 101) % 5000}" for j in range(300)) for i in range(60)]
+    train = [*filler, *filler[:20], "rareone raretwo rarethree rarefour"] + ["oncea onceb oncec", None, "", "X y Z"] * 2
+    texts = ["rareone raretwo rarethree rarefour", "raretwo rarethree zebra rarefour", "onceb oncec oncea onceb", "zebra zebra", None, "x Y z", *filler[:3], "f1 f102 rareone raretwo"]
+    for bound in ({}, {"words": 4, "shortlist": 3, "arcs": 5}):
+        model = backoff_lm.train(documents(train, extra=True).repartition(3), **bound)
+        got = {r["doc_id"]: r["score"] for r in backoff_lm.score(documents(texts, extra=True).repartition(3), model).collect()}
+        assert got == pytest.approx(brute_backoff(train, texts), abs=1e-6)
+
+
 def brute_top(vectors, k, scale):
     ints = {i: np.floor(scale * np.array(v, dtype=np.float64)).astype(np.int64) for i, v in vectors.items()
             if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)}
