@@ -11,12 +11,12 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetledger.llm import exact_dedup, language_id, packing, quality, simhash
+from sheetledger.llm import exact_dedup, language_id, near_sets, packing, quality
 from sheetledger.llm.common import remainder, shared_folder, without
 
-#: Near copies share 0.8 of their five-word shingles: 256-bit fingerprints of such texts differ in 39 bits on
-#: average, with a deviation of 6; unrelated ones in 128, with a deviation of 8.
-NEAR = {"words": 5, "bits": 256, "radius": 48, "size_ratio": 0.8}
+#: Near copies share 0.8 of their distinct five-word shingles. Fingerprints of 256 bits find candidates: those of such texts differ
+#: in 39 bits on average, with a deviation of 6 (48 for the shortest texts); unrelated ones in 128, with a deviation of 8.
+NEAR = {"words": 5, "bits": 256, "radius": 72, "least": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest id stays."""
-    return without(docs, simhash.near_groups(docs, **NEAR).where("doc_id <> component_id"))
+    return without(docs, near_sets.similar_groups(docs, **NEAR).where("doc_id <> component_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

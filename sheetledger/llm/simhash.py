@@ -38,7 +38,12 @@ def shingle_hashes(text: bytes, words: int, lanes: int) -> np.ndarray:
     spans = zip(starts[:len(tokens) - width + 1].tolist(), ends[width - 1:].tolist())
     digest = xxhash.xxh64_intdigest
     found = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(tokens) - width + 1)
-    return np.stack([found, *(_mixed(found, k) for k in range(1, lanes))], axis=1)
+    return spread(found, lanes)
+
+
+def spread(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """(shingles, lanes): hashes with further bits for longer fingerprints."""
+    return np.stack([hashes, *(_mixed(hashes, k) for k in range(1, lanes))], axis=1)
 
 
 def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:

@@ -39,6 +39,39 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert kept == [0, 9, 10, 11]
 
 
+def brute_near(texts):
+    """The smallest id that links of exact similarity 0.8 lead to, for each text."""
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    ids = list(range(len(texts)))
+    while True:
+        new = [min(ids[j] for j in range(len(texts)) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])) for i in range(len(texts))]
+        if new == ids:
+            return ids
+        ids = new
+
+
+def test_near_stage_decides_by_exact_similarity(spark):
+    """Pairs around 0.8, chains of them, and passages repeated inside a text, against brute force."""
+    texts = []
+    for g, (words, changed) in enumerate([(w, c) for w in (64, 104, 204, 304) for c in (0.70, 0.75, 0.79, 0.80, 0.82, 0.85)] * 4):
+        base = [f"g{g}w{i}" for i in range(words)]
+        texts.append(" ".join(base))
+        cut = words - 4 - round((words - 4) * 2 * changed / (1 + changed))  # this many shingles at the end are others
+        texts.append(" ".join([*base[:words - cut], *(f"g{g}x{i}" for i in range(cut))]))
+    passage = [f"p{i}" for i in range(400)]
+    texts += [" ".join(passage), " ".join(passage + passage[:60] * 4), " ".join(passage[:200] * 5), " ".join(passage[:200])]
+    chain = [f"c{i}" for i in range(204)]
+    texts += [" ".join([f"d{i}" for i in range(k)] + chain[k:]) for k in range(0, 100, 15)]
+    wanted = [i for i, c in enumerate(brute_near(texts)) if i == c]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, SMALL).collect()) == wanted
+    assert len(texts) // 2 < len(wanted) < len(texts) - 40
+
+
 def test_run_and_queries_give_rows(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 100
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
