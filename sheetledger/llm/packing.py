@@ -154,7 +154,7 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 2, size: int = 4096, w
         def batch_of(taken: list[tuple], open_: bool) -> pa.RecordBatch:
             cols = list(zip(*taken)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), pa.array([open_] * len(taken)), pa.array([part] * len(taken), pa.int32())],
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), pa.array([open_] * len(taken), pa.bool_()), pa.array([part] * len(taken), pa.int32())],
                                               [*_NAMES, "open", "part"])
 
         for batch in batches:

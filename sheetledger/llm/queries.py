@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, exact_dedup, inner_topk, language_id, license_scan, packing, quality, simhash, url_filter
+from . import backoff_lm, byte_bpe, centroids, cross_polytope, exact_dedup, inner_topk, language_id, license_scan, merkle, packing, quality, simhash, url_filter
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,75 @@ def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = backoff_lm.train(docs.where(remainder("doc_id", 5) != 1))
     return backoff_lm.score(docs, model).select(
         "doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@_query()
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found by cosine to every fiftieth vector."""
+    return cross_polytope.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def _cluster_sql(k: int, rounds: int) -> str:
+    """The rounds one after another; whole numbers of this size are exact in doubles."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (SELECT vec_id, v, n, CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT) AS d FROM x, c{r}),
+a{r} AS (SELECT vec_id, v, CAST(min(n) AS INTEGER) AS cluster, d AS distance FROM d{r} WHERE d = (SELECT min(e.d) FROM d{r} e WHERE e.vec_id = d{r}.vec_id) GROUP BY vec_id, v, d)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT cluster, i, floor(sum(y) / count(*)) AS y FROM (SELECT cluster, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i),
+m{r} AS (SELECT cluster, list(y ORDER BY i) AS c FROM s{r} GROUP BY cluster),
+c{r + 1} AS (SELECT n, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.cluster = n)""")
+    return f"""
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS n, v AS c FROM x ORDER BY sha256('2:' || vec_id) LIMIT {k}),
+{",".join(steps).replace(" AS (", " AS MATERIALIZED (")}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON n = cluster"""
+
+
+@_query(_cluster_sql(40, 5))
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors around 40 centroids after 5 rounds."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256.0, seed=2)
+
+
+def _merkle_sql() -> str:
+    """Levels by recursion over grouped nodes; proofs and folds by recursion over each row's levels."""
+    def leaf(n_chars: str) -> str:
+        values = ["doc_id", "source", "lang", n_chars, "text"]
+        return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+    bits = "list_concat([4294967295::UBIGINT], flatten(list_transform(range(1, length(t) + 1), lambda i: list_concat([ascii(t[i])::UBIGINT], list_transform(range(8), lambda j: 256::UBIGINT)))))"
+    crc = f"xor(list_reduce({bits}, lambda a, e: CASE WHEN e < 256 THEN xor(a, e) ELSE xor(a >> 1, 3988292384::UBIGINT * (a & 1)) END), 4294967295::UBIGINT)"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT *, {leaf("n_chars")} AS leaf, {leaf("n_chars + 1")} AS bad, CAST(doc_id AS VARCHAR) AS t FROM documents),
+g AS (SELECT lang AS grp, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+p AS MATERIALIZED (SELECT doc_id, leaf, CASE WHEN {crc} % 7 = 0 THEN bad ELSE leaf END AS used, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM d JOIN g ON lang IS NOT DISTINCT FROM grp),
+low AS (SELECT tree, 0 AS lvl, pos, leaf AS h FROM p
+  UNION ALL SELECT tree, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM low) WHERE n > 1 GROUP BY tree, lvl, pos // 2),
+sub AS MATERIALIZED (SELECT tree, lvl AS tall, h AS subroot FROM low QUALIFY row_number() OVER (PARTITION BY tree ORDER BY lvl DESC) = 1),
+high AS (SELECT 0 AS lvl, tree AS pos, subroot AS h FROM sub
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY lvl, pos // 2),
+top AS (SELECT lvl AS tall, h AS root FROM high ORDER BY lvl DESC LIMIT 1),
+steps AS MATERIALIZED (
+  SELECT p.tree, p.pos, r.lvl AS k, (p.pos >> r.lvl) & 1 AS side, n.h FROM p JOIN sub USING (tree), LATERAL (SELECT unnest(range(tall))) r(lvl) LEFT JOIN low n ON n.tree = p.tree AND n.lvl = r.lvl AND n.pos = xor(p.pos >> r.lvl, 1)
+  UNION ALL
+  SELECT p.tree, p.pos, s.tall + r.lvl, (p.tree >> r.lvl) & 1, n.h FROM p JOIN sub s USING (tree), top, LATERAL (SELECT unnest(range(top.tall))) r(lvl) LEFT JOIN high n ON n.lvl = r.lvl AND n.pos = xor(p.tree >> r.lvl, 1)),
+proof AS (SELECT tree, pos, sha256(coalesce(string_agg(h, '' ORDER BY k), '')) AS proof_sha256, count(*) AS n FROM steps GROUP BY tree, pos),
+fold AS (SELECT tree, pos, CAST(0 AS BIGINT) AS k, used AS h FROM p
+  UNION ALL SELECT tree, pos, f.k + 1, sha256(CASE WHEN side = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END) FROM fold f JOIN steps s USING (tree, pos, k))
+SELECT p.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified
+FROM p JOIN sub USING (tree) CROSS JOIN top LEFT JOIN proof USING (tree, pos) JOIN fold ON fold.tree = p.tree AND fold.pos = p.pos AND fold.k = coalesce(proof.n, 0)"""
+
+
+@_query(_merkle_sql())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, proofs and the root of all documents by language; every seventh, by crc32, is tampered with."""
+    tamper = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    longer = (F.col("n_chars").cast("decimal(38,0)") + 1).alias("n_chars")
+    return merkle.manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], {"n_chars": longer}, tamper)

@@ -74,4 +74,4 @@ def test_near_stage_decides_by_exact_similarity(spark):
 
 def test_run_and_queries_give_rows(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 100
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -179,6 +179,13 @@ def test_packing(documents):
     assert packing.pack(documents([]), WORDS).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["a b", "c", "d e f"], [None], ["word " * 30] * 2, ["a", "", None, "b c", "d"], ["some words " * 200, "x", None]])
+def test_packing_of_few_tokens(documents, texts):
+    """Partitions without a row, with one text, and with less than a window."""
+    for parts in (1, 4, 9):
+        check_pieces(packing.pack(documents(texts).repartition(parts), WORDS, size=64).collect(), texts, 64)
+
+
 def test_packer_fits_best():
     out = []
     packer = packing.Packer(10, 2, out.append)
