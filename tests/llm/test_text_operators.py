@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 import public_tokenizers
 import tiktoken
 import xxhash
