@@ -326,9 +326,9 @@ def reason_summary(df: DataFrame, keys: Sequence[str], reason: str, not_applicab
 
 
 def scale_from_spacing(df: DataFrame, keys: Sequence[str], direction: str, pos: str, spacing_mm: str, tie: str,
-                       chunk: Column, page_height: float) -> DataFrame:
+                       page_height: float) -> DataFrame:
     """Scale from stated spacing over drawn spacing: middle sample, sample count, spread."""
-    prev = neighbour(df, [*keys, direction], [pos, tie], chunk, {"_prev": pos}, -1)
+    prev = neighbour(df, [*keys, direction], [pos, tie], {"_prev": pos}, -1)
     drawn = F.abs(F.col(pos) - F.col("_prev")) * page_height
     samples = (prev.where(F.col("_prev").isNotNull() & (F.col(spacing_mm) > 0)).withColumn("_d", drawn)
                .where("_d > 1e-6").withColumn("_s", F.col(spacing_mm) / 1000.0 / F.col("_d")))

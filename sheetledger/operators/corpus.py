@@ -88,15 +88,15 @@ def semantic_candidates(df: DataFrame, key: str, fields: Mapping[str, float], pa
         key, "node_type", "label", "_f.source", "_f.confidence")
 
 
-def to_lines(tokens: DataFrame, keys: Sequence[str], seq: str, chunk_x: Column, chunk_y: Column, gap_factor: float = 6.0,
+def to_lines(tokens: DataFrame, keys: Sequence[str], seq: str, gap_factor: float = 6.0,
              min_gap: float = 40.0, row_tol: float = 3.0) -> DataFrame:
     """Tokens (x, y, text) of a page to lines: columns by large gaps, then rows, then x; repeats at one spot once.
 
     Only the tokens of a single line meet in one array.
     """
     spots = tokens.dropDuplicates([*keys, "x", "y", "text"])
-    columns = cut_lineage(split_by_gap(spots, keys, "x", seq, chunk_x, gap_factor, min_gap, "column"))
-    rows = row_bands(columns, [*keys, "column"], "y", row_tol, chunk_y)
+    columns = cut_lineage(split_by_gap(spots, keys, "x", seq, gap_factor, min_gap, "column"))
+    rows = row_bands(columns, [*keys, "column"], "y", row_tol)
     ordered = F.array_sort(F.collect_list(F.struct("x", "y", seq, "text")))
     return rows.groupBy(*keys, "column", "row_no").agg(
         F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("line"), F.count("*").alias("tokens"))

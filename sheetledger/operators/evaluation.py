@@ -20,12 +20,12 @@ def split_groups(df: DataFrame, project: str, ratios: Sequence[float] = (0.7, 0.
     """train/val/test per project: no project in two splits, the same seed gives the same split.
 
     Projects are ordered by a seeded hash and cut where the running sample count passes the ratios;
-    the running sum goes hash prefix by hash prefix.
+    the running sum goes part by part of the order.
     """
     total_ratio = float(sum(ratios))
     sizes = df.groupBy(project).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), project)))
-    summed = running(sizes, [], ["_h"], F.substring("_h", 1, 2), F.col("_n"), "_before", before=True)
+    summed = running(sizes, [], ["_h"], F.col("_n"), "_before", before=True)
     total = sizes.agg(F.sum("_n").alias("_all")).withColumn("_k", F.lit(0))
     at = (F.col("_before") + F.col("_n") / 2) / F.col("_all")
     named = summed.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").withColumn(

@@ -34,10 +34,10 @@ def notice_ends(proposals: DataFrame, approvals: DataFrame, key: str, roles: Seq
     return proposals.select(key).join(signed, key).select(key, (F.col("_last") + F.make_interval(days=F.lit(days))).alias("notice_ends_at"))
 
 
-def bad_transitions(log: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, chunk: Column,
+def bad_transitions(log: DataFrame, keys: Sequence[str], order: Sequence[str], state: str,
                     allowed: Sequence[tuple[str, str]], ranking: Sequence[str]) -> DataFrame:
     """Moves that are not allowed, and those that go backwards in the ranking."""
-    moves = neighbour(log, keys, order, chunk, {"_from": state}, -1).where("_from is not null")
+    moves = neighbour(log, keys, order, {"_from": state}, -1).where("_from is not null")
     legal = literal_table(log.sparkSession, allowed, f"_from string, {state} string").withColumn("_ok", F.lit(True))
     rank = lambda c: ladder(c, [(f"{i:03d}", f"^{s}$") for i, s in enumerate(ranking)], "999")
     judged = moves.join(F.broadcast(legal), ["_from", state], "left")

@@ -1,76 +1,101 @@
 """Ordered scans over groups that may be very large.
 
-A plain window needs all rows of a key in one task.  These versions take a *chunk*
-column that grows with the order (a day, an hour, a value band): rows are ordered only
-inside (key, chunk), and what crosses a chunk border travels through a table with one
-row per (key, chunk).
+A plain window needs all rows of a key in one task.  Here rows are dealt out in ranges of (keys, order), so a key with
+very many rows lies in many parts, one after another.  Each part hands on one row per key: its last and first values and its totals.
+These small rows, shifted or summed over the parts before, come back as a head (or, for what looks ahead, a tail) of
+the next part's rows, so windows never reach beyond a part.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from dataclasses import dataclass
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import null_safe_join
+from ..session import cut_lineage
 
-# A chunk is a column that grows with the order; a (key, chunk) must fit one task.
 
+@dataclass(frozen=True)
+class Run:
+    """A running ``sum`` or ``max`` of ``value`` up to each row, or up to the one before; ``reverse`` runs from the end."""
 
-def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+    value: Column
+    how: str = "sum"
+    before: bool = False
+    reverse: bool = False
 
+    def over(self, col: str, window) -> Column:
+        return {"sum": F.sum, "max": F.max}[self.how](col).over(window)
 
-def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-              cols: dict[str, str], step: int = -1) -> DataFrame:
-    """``lag`` (step -1) or ``lead`` (step 1) of columns; ``cols`` maps new name to source.
+
+def in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` dealt out in ranges of (keys, order), with the number of its part as ``_part``.
+
+    Borders come from a sample, so they are written down before two plans read them.
+    """
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: Mapping[str, str] | None = None,
+         leads: Mapping[str, str] | None = None, runs: Mapping[str, Run] | None = None) -> DataFrame:
+    """``df`` with columns of the row before (``lags``: new name to source), the row after (``leads``) and running totals.
 
     ``order`` is ascending and must be total within a key.
     """
-    base = df.withColumn("_chunk", chunk)
-    inner = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    shift = F.lag if step < 0 else F.lead
-    pick = F.max_by if step < 0 else F.min_by
-    edges = base.groupBy(*keys, "_chunk").agg(
-        pick(F.struct(*[F.col(s).alias(n) for n, s in cols.items()]), _order_struct(order)).alias("_edge"))
-    outer = W.partitionBy(*keys).orderBy("_chunk")
-    carry = edges.select(*keys, "_chunk", shift("_edge").over(outer).alias("_carry"))
-    marked = base.withColumn("_in", shift(F.struct(*[F.col(s).alias(n) for n, s in cols.items()])).over(inner))
-    joined = null_safe_join(marked, carry, [*keys, "_chunk"], "left")
-    picked = F.coalesce(F.col("_in"), F.col("_carry"))
-    return joined.select(*df.columns, *[picked[n].alias(n) for n in cols])
-
-
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column,
-            alias: str, how: str = "sum", before: bool = False, reverse: bool = False) -> DataFrame:
+    lags, leads, runs = lags or {}, leads or {}, runs or {}
+    back = {n for n, r in runs.items() if r.reverse}
+    ranged = in_parts(df.withColumns({f"_x_{n}": r.value for n, r in runs.items()}), keys, order)
+    place = F.struct(*[F.col(c) for c in order])
+    ends = {}
+    if lags:
+        ends["_last"] = F.max_by(F.struct(*sorted(set(lags.values()))), place)
+    if leads:
+        ends["_first"] = F.min_by(F.struct(*sorted(set(leads.values()))), place)
+    ends |= {f"_t_{n}": {"sum": F.sum, "max": F.max}[r.how](f"_x_{n}") for n, r in runs.items()}
+    edges = ranged.groupBy(*keys, "_part").agg(*[c.alias(n) for n, c in ends.items()])
+    ahead, behind = W.partitionBy(*keys).orderBy("_part"), W.partitionBy(*keys).orderBy(F.desc("_part"))
+
+    def carried(n: str, parts) -> Column:
+        return runs[n].over(f"_t_{n}", parts.rowsBetween(W.unboundedPreceding, -1)).alias(f"_x_{n}")
+
+    rows = ranged.withColumn("_at", F.lit(0))
+    if lags or set(runs) - back:
+        last = F.lag("_last").over(ahead) if lags else None
+        rows = rows.unionByName(edges.select(*keys, "_part", F.lit(-1).alias("_at"), *[last[c].alias(c) for c in sorted(set(lags.values()) - set(keys))],
+                                             *[carried(n, ahead) for n in runs if n not in back]), allowMissingColumns=True)
+    if leads or back:
+        first = F.lag("_first").over(behind) if leads else None
+        rows = rows.unionByName(edges.select(*keys, "_part", F.lit(1).alias("_at"), *[first[c].alias(c) for c in sorted(set(leads.values()) - set(keys))],
+                                             *[carried(n, behind) for n in back]), allowMissingColumns=True)
+    inner = W.partitionBy(*keys, "_part").orderBy("_at", *order)
+    turned = W.partitionBy(*keys, "_part").orderBy(F.desc("_at"), *[F.desc(c) for c in order])
+    new = {n: F.lag(c).over(inner) for n, c in lags.items()} | {n: F.lead(c).over(inner) for n, c in leads.items()}
+    for n, r in runs.items():
+        total = r.over(f"_x_{n}", (turned if r.reverse else inner).rowsBetween(W.unboundedPreceding, -1 if r.before else 0))
+        new[n] = F.coalesce(total, F.lit(0)) if r.how == "sum" else total
+    kept = [c for c in df.columns if c not in new]
+    return rows.select("_at", *kept, *[c.alias(n) for n, c in new.items()]).where("_at = 0").drop("_at")
+
+
+def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Mapping[str, str], step: int = -1) -> DataFrame:
+    """``lag`` (step -1) or ``lead`` (step 1) of columns; ``cols`` maps new name to source."""
+    return scan(df, keys, order, lags=cols) if step < 0 else scan(df, keys, order, leads=cols)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str, how: str = "sum",
+            before: bool = False, reverse: bool = False) -> DataFrame:
     """Running ``sum`` or ``max`` up to each row (or up to the row before, with ``before``)."""
-    agg = {"sum": F.sum, "max": F.max}[how]
-    base = df.withColumn("_chunk", chunk).withColumn("_x", value)
-    turn = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    frame_end = -1 if before else 0
-    inner = (W.partitionBy(*keys, "_chunk").orderBy(*[turn(c) for c in order])
-             .rowsBetween(W.unboundedPreceding, frame_end))
-    totals = base.groupBy(*keys, "_chunk").agg(agg("_x").alias("_total"))
-    outer = W.partitionBy(*keys).orderBy(turn("_chunk")).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_chunk", agg("_total").over(outer).alias("_carry"))
-    joined = null_safe_join(base.withColumn("_in", agg("_x").over(inner)), carry, [*keys, "_chunk"], "left")
-    if how == "sum":
-        total = F.coalesce(F.col("_in"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
-    else:
-        total = F.greatest(F.col("_in"), F.col("_carry"))
-    return joined.select(*df.columns, total.alias(alias))
-
-
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, alias: str = "seq") -> DataFrame:
+    return scan(df, keys, order, runs={alias: Run(value, how, before, reverse)})
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str = "seq") -> DataFrame:
     """``row_number`` over a group of any size (``order`` total within a key)."""
-    out = running(df, keys, order, chunk, F.lit(1), alias)
-    return out.withColumn(alias, F.col(alias).cast("long"))
+    return running(df, keys, order, F.lit(1).cast("long"), alias)
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, starts: Column,
-            alias: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, alias: str = "island") -> DataFrame:
     """Number the runs that begin where ``starts`` holds."""
-    out = running(df, keys, order, chunk, starts.cast("long"), alias)
-    return out.withColumn(alias, F.col(alias).cast("long"))
+    return running(df, keys, order, starts.cast("long"), alias)

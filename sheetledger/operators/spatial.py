@@ -13,9 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import null_safe_join
-from .ordered import running
+from .ordered import Run, scan
 
 # Host tolerance, support margins, aligned band, parallel limit, row and gap tolerance.
 OPENING_HOST_TOL, SUPPORT_BASE_TOL, SUPPORT_DIAG_RATIO = 0.3, 0.15, 0.5
@@ -31,8 +30,7 @@ def _cell(col: Column, scale: Column) -> Column:
     return F.floor(col / F.pow(F.lit(2.0), scale))
 
 
-def nearest_1d(points: DataFrame, refs: DataFrame, keys: Sequence[str], pos: str, ref_id: str, tol: float,
-               chunk_width: float) -> DataFrame:
+def nearest_1d(points: DataFrame, refs: DataFrame, keys: Sequence[str], pos: str, ref_id: str, tol: float) -> DataFrame:
     """Nearest reference on a line within ``tol``, else null (ties: the lower position, then id).
 
     Both sides are merged into one ordered scan that carries the last reference forward and the
@@ -45,17 +43,15 @@ def nearest_1d(points: DataFrame, refs: DataFrame, keys: Sequence[str], pos: str
     both = rows.unionByName(slim.withColumn("_is_ref", F.lit(1)), allowMissingColumns=True)
     here = F.when(F.col("_is_ref") == 1, F.struct(F.col(pos).alias("p"), F.col("_rid").alias("r")))
     flipped = F.when(F.col("_is_ref") == 1, F.struct((-F.col(pos)).alias("p"), F.col("_rid").alias("r")))
-    chunk = F.floor(F.col(pos) / chunk_width)
-    both = both.withColumn("_flag", F.col("_is_ref"))
-    left = cut_lineage(running(both.withColumn("_ord", -F.col("_is_ref")), keys, [pos, "_ord"], chunk, here, "_below", "max"))
-    full = running(left.withColumn("_ord", F.col("_is_ref")), keys, [pos, "_ord"], chunk, flipped, "_above", "max",
-                   reverse=True)
+    # references come before points at the same place; the hash lets points that share a place lie in several parts
+    both = both.withColumn("_ord", -F.col("_is_ref")).withColumn("_tie", F.xxhash64(*points.columns))
+    full = scan(both, keys, [pos, "_ord", "_tie"], runs={"_below": Run(here, "max"), "_above": Run(flipped, "max", reverse=True)})
     low = F.abs(F.col(pos) - F.col("_below.p"))
     high = F.abs(F.col(pos) + F.col("_above.p"))
     take_low = F.col("_above").isNull() | (low <= high)
     gap = F.when(take_low, low).otherwise(high)
     found = F.when(take_low, F.col("_below.r")).otherwise(F.col("_above.r"))
-    return (full.where("_flag = 0")
+    return (full.where("_is_ref = 0")
             .select(*points.columns, F.when(gap <= tol, found).alias(ref_id), F.when(gap <= tol, gap).alias("gap")))
 
 

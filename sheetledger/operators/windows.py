@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from typing import Mapping, Sequence
 
 import numpy as np
@@ -12,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import each_block, null_safe_join
-from .ordered import islands, neighbour, numbered, running
+from .ordered import Run, islands, neighbour, numbered, running, scan
 from .quantiles import exact_quantiles, median_by
+from .ranks import inverted_pairs, longest_runs
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -54,10 +54,10 @@ def choose(df: DataFrame, keys: Sequence[str], source: str, conf: str, priority:
     return latest(df, keys, [rank.desc(), F.desc(conf), F.asc(tie)])
 
 
-def gap_median(df: DataFrame, reviewer: str, ts: str, tie: str, chunk: Column | None = None) -> DataFrame:
+def gap_median(df: DataFrame, reviewer: str, ts: str, tie: str) -> DataFrame:
     """Median seconds between adjacent actions of one reviewer; actions without reviewer are pooled."""
     rows = df.where(F.col(ts).isNotNull()).select(F.coalesce(F.col(reviewer).cast("string"), F.lit("unknown")).alias("_who"), ts, tie)
-    lagged = neighbour(rows, ["_who"], [ts, tie], chunk if chunk is not None else F.to_date(ts), {"_prev": ts}, -1)
+    lagged = neighbour(rows, ["_who"], [ts, tie], {"_prev": ts}, -1)
     gaps = lagged.select(((F.unix_micros(ts) - F.unix_micros("_prev")) / 1e6).alias("_g")).where("_g is not null")
     out = median_by(gaps, [], "_g", "_m", "sample_size")
     return df.sparkSession.range(1).select().join(out, F.lit(True), "left").select(
@@ -68,23 +68,22 @@ def gap_median(df: DataFrame, reviewer: str, ts: str, tie: str, chunk: Column |
 MIN_STORY_HEIGHT_M, MAX_STORY_HEIGHT_M, CONSISTENCY_TOLERANCE_M = 2.5, 9.0, 0.05
 
 
-def heights(df: DataFrame, keys: Sequence[str], order: Sequence[str], elevation: str, chunk: Column) -> DataFrame:
+def heights(df: DataFrame, keys: Sequence[str], order: Sequence[str], elevation: str) -> DataFrame:
     """Height = next elevation − this one; null for the last; with a reasonableness flag."""
-    rows = neighbour(df.where(F.col(elevation).isNotNull()), keys, order, chunk, {"_next": elevation}, 1)
+    rows = neighbour(df.where(F.col(elevation).isNotNull()), keys, order, {"_next": elevation}, 1)
     height = F.round(F.col("_next") - F.col(elevation), 3)
     return rows.withColumn("height", height).withColumn(
         "reasonable", F.col("height").between(MIN_STORY_HEIGHT_M, MAX_STORY_HEIGHT_M)).drop("_next")
 
 
-def elevations(df: DataFrame, base: DataFrame, keys: Sequence[str], order: Sequence[str], height: str, chunk: Column,
+def elevations(df: DataFrame, base: DataFrame, keys: Sequence[str], order: Sequence[str], height: str,
                base_flag: Column) -> DataFrame:
     """Elevations from a base story upwards and downwards; stops at the first missing height.
 
     The height of a story leads to the next one, so with P the heights below a story and N the
     missing ones below it, elevation = base + P − P(base) wherever N = N(base).
     """
-    rows = running(df, keys, order, chunk, F.coalesce(height, F.lit(0.0)), "_p", before=True)
-    rows = running(rows, keys, order, chunk, F.col(height).isNull().cast("long"), "_m", before=True)
+    rows = scan(df, keys, order, runs={"_p": Run(F.coalesce(height, F.lit(0.0)), before=True), "_m": Run(F.col(height).isNull().cast("long"), before=True)})
     start = rows.where(base_flag).groupBy(*keys).agg(F.min(F.struct("_p", "_m")).alias("_b"))
     joined = null_safe_join(null_safe_join(rows, start, keys), base, keys)
     return joined.where(F.col("_m") == F.col("_b._m")).select(
@@ -92,9 +91,9 @@ def elevations(df: DataFrame, base: DataFrame, keys: Sequence[str], order: Seque
 
 
 def cross_check(elevation_rows: DataFrame, height_rows: DataFrame, keys: Sequence[str], story: str, order: Sequence[str],
-                elevation: str, height: str, chunk: Column, tol: float = CONSISTENCY_TOLERANCE_M) -> DataFrame:
+                elevation: str, height: str, tol: float = CONSISTENCY_TOLERANCE_M) -> DataFrame:
     """Stories whose derived height differs from the stated one by more than the tolerance."""
-    derived = heights(elevation_rows, keys, order, elevation, chunk).select(*keys, story, F.col("height").alias("derived"))
+    derived = heights(elevation_rows, keys, order, elevation).select(*keys, story, F.col("height").alias("derived"))
     stated = height_rows.select(*keys, story, F.col(height).alias("stated"))
     diff = F.abs(F.col("derived") - F.col("stated"))
     return (derived.where("derived is not null").join(stated.where("stated is not null"), [*keys, story])
@@ -127,88 +126,64 @@ MAX_OUTLIER_RATIO, MIN_OUTLIERS_TO_DROP = 0.2, 2
 
 
 def lis_outliers(df: DataFrame, keys: Sequence[str], pos: str, rank: str, tie: str) -> DataFrame:
-    """Per direction: rows off a longest strictly increasing run of ranks in position order."""
-    def count(block: dict) -> dict:
-        tails: list = []
-        for r in block[rank]:
-            i = bisect_left(tails, r)
-            tails[i:i + 1] = [r]
-        size = len(block[rank])
-        return {"_off": np.full(size, size - len(tails), dtype=np.int64)}
-
-    rows = each_block(df.select(*keys, pos, rank, tie), keys, [pos, tie], count, list(keys), "_off long")
-    off, total = F.max("_off"), F.count("*")
-    return rows.groupBy(*keys).agg(total.alias("total"), off.alias("outliers"),
-                                   ((off >= MIN_OUTLIERS_TO_DROP) & (off / total >= MAX_OUTLIER_RATIO)).alias("drop"))
-
-
-def inversions(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column) -> DataFrame:
-    """Share of inverted pairs (earlier row, larger value), null under three rows.
-
-    Two values are inverted at the highest bit in which they differ: the earlier has 1, the later 0.
-    So the pairs are counted with running sums of bits per common prefix — no pairs are formed.
-    Values are non-negative integers; the number of bits is that of the largest.
-    """
-    rows = df.select(*keys, *order, F.col(value).cast("long").alias("_v"), chunk.alias("_part"))
-    low, high = rows.agg(F.min("_v"), F.max("_v")).first()
-    if low is not None and low < 0:
-        raise ValueError("values must not be negative")
-    bits = max(1, int(high or 0).bit_length())
-    levels = rows.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-    split = levels.select(*keys, *order, "_part", "_bit", F.expr("shiftright(_v, _bit + 1)").alias("_prefix"),
-                          F.expr("shiftright(_v, _bit) & 1").alias("_one"))
-    mixed = split.groupBy(*keys, "_bit", "_prefix").agg((F.min("_one") < F.max("_one")).alias("_mixed")).where("_mixed")
-    live = null_safe_join(split, mixed.drop("_mixed"), [*keys, "_bit", "_prefix"])
-    seen = running(live, [*keys, "_bit", "_prefix"], order, F.col("_part"), F.col("_one"), "_ones", before=True)
-    found = seen.where("_one = 0").groupBy(*keys).agg(F.sum("_ones").alias("_inv"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    """Per direction: how many rows lie off a longest strictly increasing run of ranks in position order; null ranks always do."""
+    longest = longest_runs(df.where(F.col(rank).isNotNull()), keys, [pos, tie], rank)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("total"))
+    off = F.col("total") - F.coalesce("length", F.lit(0))
+    return null_safe_join(sizes, longest, keys, "left").select(
+        *keys, "total", off.alias("outliers"), ((off >= MIN_OUTLIERS_TO_DROP) & (off / F.col("total") >= MAX_OUTLIER_RATIO)).alias("drop"))
+
+
+def inversions(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Share of inverted pairs (earlier row, larger value), null under three rows; null values are in no such pair."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
+    found = inverted_pairs(df.where(F.col(value).isNotNull()), keys, order, value)
     return null_safe_join(sizes, found, keys, "left").select(
-        *keys, "n", F.when(F.col("n") >= 3, F.coalesce("_inv", F.lit(0)) / pairs).alias("inversion_rate"))
+        *keys, "n", F.when(F.col("n") >= 3, F.coalesce("inverted", F.lit(0)) / pairs).alias("inversion_rate"))
 
 
 # Column gaps in reading order.
 COLUMN_GAP_FACTOR, MIN_COLUMN_GAP, SAME_LINE_TOLERANCE = 6.0, 40.0, 3.0
 
 
-def split_by_gap(df: DataFrame, keys: Sequence[str], pos: str, tie: str, chunk: Column, factor: float = COLUMN_GAP_FACTOR,
+def split_by_gap(df: DataFrame, keys: Sequence[str], pos: str, tie: str, factor: float = COLUMN_GAP_FACTOR,
                  minimum: float = MIN_COLUMN_GAP, alias: str = "island") -> DataFrame:
     """Columns by large gaps: threshold = max(factor × median of the lower half of the gaps, minimum)."""
-    rows = cut_lineage(neighbour(df, keys, [pos, tie], chunk, {"_prev": pos}, -1).withColumn("_gap", F.col(pos) - F.col("_prev")))
+    rows = cut_lineage(neighbour(df, keys, [pos, tie], {"_prev": pos}, -1).withColumn("_gap", F.col(pos) - F.col("_prev")))
     half = lambda n: (F.greatest(F.lit(1), F.floor(n / 2)) - 1) / 2.0
     typical = exact_quantiles(rows, keys, "_gap", {"_typical": 0.25}, rank_of=half)
     joined = cut_lineage(null_safe_join(rows, typical, keys, "left"))
     starts = F.col("_prev").isNull() | (F.col("_gap") > F.greatest(F.col("_typical") * factor, F.lit(minimum)))
-    return islands(joined, keys, [pos, tie], chunk, starts, alias).select(*df.columns, alias)
+    return islands(joined, keys, [pos, tie], starts, alias).select(*df.columns, alias)
 
 
-def failure_runs(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ok: str, chunk: Column, least: int = 5) -> DataFrame:
+def failure_runs(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ok: str, least: int = 5) -> DataFrame:
     """Runs of at least ``least`` failures one after another per key: when an engine went down, until when, and how often it failed."""
-    rows = neighbour(df, keys, [ts, tie], chunk, {"_was": ok}, -1)
-    marked = islands(rows, keys, [ts, tie], chunk, F.col("_was").isNull() | (F.col("_was") != F.col(ok)))
+    rows = neighbour(df, keys, [ts, tie], {"_was": ok}, -1)
+    marked = islands(rows, keys, [ts, tie], F.col("_was").isNull() | (F.col("_was") != F.col(ok)))
     return marked.where(~F.col(ok)).groupBy(*keys, "island").agg(
         F.min(ts).alias("down_at"), F.max(ts).alias("last_at"), F.count("*").alias("failures")).where(F.col("failures") >= least).drop("island")
 
 
-def merge_spans(df: DataFrame, keys: Sequence[str], low: str, high: str, tie: str, chunk: Column, tol: float) -> DataFrame:
+def merge_spans(df: DataFrame, keys: Sequence[str], low: str, high: str, tie: str, tol: float) -> DataFrame:
     """Overlapping or near spans (gap ≤ tol) to their envelopes."""
-    rows = running(df, keys, [low, tie], chunk, F.col(high), "_reach", "max", before=True)
+    rows = running(df, keys, [low, tie], F.col(high), "_reach", "max", before=True)
     starts = F.col("_reach").isNull() | (F.col(low) - F.col("_reach") > tol)
-    marked = islands(rows, keys, [low, tie], chunk, starts)
+    marked = islands(rows, keys, [low, tie], starts)
     return marked.groupBy(*keys, "island").agg(F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("pieces"))
 
 
-def row_bands(df: DataFrame, keys: Sequence[str], pos: str, tol: float, chunk: Column) -> DataFrame:
+def row_bands(df: DataFrame, keys: Sequence[str], pos: str, tol: float) -> DataFrame:
     """Values in rows when within ``tol`` of the row's first value; adds ``row_no`` from 1 per key.
 
     A gap above ``tol`` always starts a row, so the anchored scan runs on gap-free islands only, and
     on their distinct values: what one task holds is bounded by length over resolution.
     """
-    y_chunk = F.col("_c")
-    spots = df.where(F.col(pos).isNotNull()).select(*keys, F.col(pos).alias("_y"), chunk.alias("_c")).distinct()
-    prev = cut_lineage(neighbour(spots, keys, ["_y"], y_chunk, {"_prev": "_y"}, -1))
+    spots = df.where(F.col(pos).isNotNull()).select(*keys, F.col(pos).alias("_y")).distinct()
+    prev = neighbour(spots, keys, ["_y"], {"_prev": "_y"}, -1)
     starts = F.col("_prev").isNull() | (F.col("_y") - F.col("_prev") > tol)
-    marked = islands(prev, keys, ["_y"], y_chunk, starts)
+    marked = islands(prev, keys, ["_y"], starts)
 
     def anchor(block: dict) -> dict:
         ys, flags, first = block["_y"], np.zeros(len(block["_y"]), dtype=np.int64), None
@@ -217,8 +192,8 @@ def row_bands(df: DataFrame, keys: Sequence[str], pos: str, tol: float, chunk: C
                 first, flags[i] = y, 1
         return {"_new": flags}
 
-    flagged = cut_lineage(each_block(marked, [*keys, "island"], ["_y"], anchor, [*keys, "_y", "_c"], "_new long"))
-    rows = islands(flagged, keys, ["_y"], y_chunk, F.col("_new") == 1, "row_no").select(*keys, F.col("_y").alias(pos), "row_no")
+    flagged = cut_lineage(each_block(marked, [*keys, "island"], ["_y"], anchor, [*keys, "_y"], "_new long"))
+    rows = islands(flagged, keys, ["_y"], F.col("_new") == 1, "row_no").select(*keys, F.col("_y").alias(pos), "row_no")
     return null_safe_join(df, rows, [*keys, pos], "left")
 
 
@@ -282,9 +257,9 @@ def dedupe_boxes(df: DataFrame, item: str, score: str, keys: Sequence[str], thre
     return df if out is None else df.join(out.select(F.col("_id").alias(item)), item, "left_anti")
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, alias: str = "seq") -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str = "seq") -> DataFrame:
     """Dense index in page or directory order, for groups of any size."""
-    return numbered(df, keys, order, chunk, alias)
+    return numbered(df, keys, order, alias)
 
 
 # Letters used for axes, in order.
@@ -332,11 +307,11 @@ def modal_cluster(df: DataFrame, keys: Sequence[str], value: str, width: float)
         (F.col(value) >= -F.col("_m._lo")) & (F.col(value) < -F.col("_m._lo") + width)).select(*df.columns)
 
 
-def dominant_value(df: DataFrame, keys: Sequence[str], value: str, tol: float, chunk: Column) -> DataFrame:
+def dominant_value(df: DataFrame, keys: Sequence[str], value: str, tol: float) -> DataFrame:
     """Mean of the largest chain of values whose neighbours are at most ``tol`` apart."""
-    freq = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"), chunk.alias("_c")).agg(F.count("*").alias("_n"))
-    prev = neighbour(freq, keys, ["_v"], F.col("_c"), {"_prev": "_v"}, -1)
-    marked = islands(prev, keys, ["_v"], F.col("_c"), F.col("_prev").isNull() | (F.col("_v") - F.col("_prev") > tol))
+    freq = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    prev = neighbour(freq, keys, ["_v"], {"_prev": "_v"}, -1)
+    marked = islands(prev, keys, ["_v"], F.col("_prev").isNull() | (F.col("_v") - F.col("_prev") > tol))
     sums = marked.groupBy(*keys, "island").agg(F.sum("_n").alias("members"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"))
     best = sums.groupBy(*keys).agg(F.max_by(F.struct("members", "_mean"), F.struct("members", (-F.col("island")).alias("i"))).alias("_b"))
     return best.select(*keys, "_b.members", F.round("_b._mean", 2).alias("dominant"))

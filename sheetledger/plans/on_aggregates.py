@@ -403,7 +403,7 @@ r as (select *, row_number() over (partition by p_brand order by s) - 1 as rn, c
 select p_brand, round(max(case when rn = n // 2 then s end), 8) as scale, max(n) as samples, round((max(s) - min(s)) / max(case when rn = n // 2 then s end), 4) as spread from r group by 1""")
 def scale_from_spacing(spark, d):
     rows = read_table(spark, d, "part").withColumn("spacing", F.col("p_size") * 100)
-    return A.scale_from_spacing(rows, ["p_brand"], "p_type", "p_retailprice", "spacing", "p_partkey", F.floor(F.col("p_retailprice") / 50), 2.0)
+    return A.scale_from_spacing(rows, ["p_brand"], "p_type", "p_retailprice", "spacing", "p_partkey", 2.0)
 
 
 @query("AGG-60", """

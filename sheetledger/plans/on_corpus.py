@@ -61,7 +61,7 @@ def reading_order(spark, d):
     k = F.get_json_object("props", "$.k").cast("double")
     tokens = read_table(spark, d, "events").select(
         "user_id", "event_id", (k * 8).alias("x"), (F.col("value") * 4).alias("y"), F.substring("event_type", 1, 1).alias("text"))
-    return C.to_lines(tokens, ["user_id"], "event_id", F.floor(F.col("x") / 100), F.floor(F.col("y") / 100))
+    return C.to_lines(tokens, ["user_id"], "event_id")
 
 
 @query("TXT-06", """
@@ -167,7 +167,7 @@ select user_id, event_id, from_state, to_state, list_position(['signup', 'view',
 from m where from_state is not null and (from_state, to_state) not in (('signup', 'view'), ('view', 'click'), ('click', 'purchase'), ('view', 'view'), ('error', 'view'))""")
 def transition_check(spark, d):
     allowed = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("error", "view")]
-    out = G.bad_transitions(read_table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", F.to_date("ts"), allowed,
+    out = G.bad_transitions(read_table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", allowed,
                             ["signup", "view", "click", "purchase", "error"])
     return out.drop("ts")
 

@@ -162,7 +162,7 @@ select o_orderkey, case when b.g <= 150 then b.s end as s_suppkey, case when b.g
 def nearest_tolerance(spark, d):
     points = read_table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 50).alias("pos"))
     refs = read_table(spark, d, "supplier").select(F.col("s_acctbal").alias("pos"), "s_suppkey")
-    return (S.nearest_1d(points, refs, [], "pos", "s_suppkey", 150.0, 500.0)
+    return (S.nearest_1d(points, refs, [], "pos", "s_suppkey", 150.0)
             .select("o_orderkey", "s_suppkey", F.round("gap", 6).alias("gap")))
 
 
@@ -197,8 +197,8 @@ def grid_cell(spark, d):
     xs = read_table(spark, d, "supplier").select(F.col("s_acctbal").alias("pos"), "s_suppkey")
     ys = read_table(spark, d, "nation").select((F.col("n_nationkey") * 20.0).alias("pos"),
                                                F.concat(F.lit("N"), F.col("n_nationkey")).alias("label"))
-    on_x = S.nearest_1d(points, xs, [], "pos", "s_suppkey", 30.0, 500.0).drop("gap", "pos").withColumnRenamed("y", "pos")
-    both = S.nearest_1d(on_x, ys, [], "pos", "label", 5.0, 50.0)
+    on_x = S.nearest_1d(points, xs, [], "pos", "s_suppkey", 30.0).drop("gap", "pos").withColumnRenamed("y", "pos")
+    both = S.nearest_1d(on_x, ys, [], "pos", "label", 5.0)
     return both.select("c_custkey", S.grid_cell(F.concat(F.lit("S"), F.col("s_suppkey")), F.col("label")).alias("grid_cell"))
 
 

@@ -137,7 +137,7 @@ r as (select *, row_number() over (partition by engine order by ts, event_id) -
 select engine, epoch_us(min(ts)) as down_us, epoch_us(max(ts)) as last_us, count(*) as failures from r where not ok group by engine, run having count(*) >= 5""")
 def failure_runs(spark, d):
     calls = read_table(spark, d, "events").select((F.col("user_id") % 12).alias("engine"), "ts", "event_id", F.coalesce(F.col("value") < 25, F.lit(False)).alias("ok"))
-    runs = N.failure_runs(calls, ["engine"], "ts", "event_id", "ok", F.to_date("ts"))
+    runs = N.failure_runs(calls, ["engine"], "ts", "event_id", "ok")
     return runs.select("engine", F.unix_micros("down_at").alias("down_us"), F.unix_micros("last_at").alias("last_us"), "failures")
 
 

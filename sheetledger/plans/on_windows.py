@@ -80,7 +80,7 @@ def _levels(spark, d):
 with {_LEVELS}, n as (select *, round(lead(elev) over (partition by l_suppkey order by ord) - elev, 3) as height from s)
 select l_suppkey, ord, height, height between 2.5 and 9 as reasonable from n""")
 def lead_difference(spark, d):
-    return N.heights(_levels(spark, d), ["l_suppkey"], ["ord"], "elev", F.floor(F.col("ord") / 10)).select("l_suppkey", "ord", "height", "reasonable")
+    return N.heights(_levels(spark, d), ["l_suppkey"], ["ord"], "elev").select("l_suppkey", "ord", "height", "reasonable")
 
 
 @query("WIN-06", f"""
@@ -90,7 +90,7 @@ b as (select l_suppkey, p as bp, m as bm from p where ord = 30)
 select p.l_suppkey, ord, round(s_acctbal + p - bp, 3) as elevation from p join b using (l_suppkey) join supplier on s_suppkey = l_suppkey where m = bm""")
 def running_from_base(spark, d):
     base = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("base_elevation"))
-    return (N.elevations(_levels(spark, d), base, ["l_suppkey"], ["ord"], "h", F.floor(F.col("ord") / 10), F.col("ord") == 30)
+    return (N.elevations(_levels(spark, d), base, ["l_suppkey"], ["ord"], "h", F.col("ord") == 30)
             .select("l_suppkey", "ord", "elevation"))
 
 
@@ -99,7 +99,7 @@ with {_LEVELS}, n as (select *, round(lead(elev) over (partition by l_suppkey or
 select l_suppkey, ord, derived, h as stated, round(abs(derived - h), 3) as diff from n where derived is not null and h is not null and abs(derived - h) > 2""")
 def cross_validate(spark, d):
     rows = _levels(spark, d)
-    return N.cross_check(rows, rows, ["l_suppkey"], "ord", ["ord"], "elev", "h", F.floor(F.col("ord") / 10), 2.0)
+    return N.cross_check(rows, rows, ["l_suppkey"], "ord", ["ord"], "elev", "h", 2.0)
 
 
 @query("WIN-08")
@@ -109,7 +109,13 @@ def monotone_keep(spark, d):
     return N.monotone(rows, ["l_suppkey"], "ord", "elev", "support")
 
 
-@query("WIN-09")
+@query("WIN-09", """
+with recursive e as (select user_id, json_extract(props, '$.k')::bigint as k, row_number() over (partition by user_id order by value, event_id) as rn from events),
+n as (select user_id, count(*) as n from e group by 1),
+t as (select user_id, 0::bigint as rn, []::bigint[] as tails from n
+  union all select t.user_id, e.rn, list_concat(list_filter(tails, lambda x: x < k), [k], list_filter(tails, lambda x: x >= k)[2:]) from t join e on e.user_id = t.user_id and e.rn = t.rn + 1),
+l as (select user_id, max_by(len(tails), rn) as l from t group by 1)
+select user_id, n as total, n - l as outliers, n - l >= 2 and (n - l) / n >= 0.2 as drop from n join l using (user_id)""")
 def lis_outliers(spark, d):
     rows = read_table(spark, d, "events").select("user_id", "value", _k().alias("k"), "event_id")
     return N.lis_outliers(rows, ["user_id"], "value", "k", "event_id")
@@ -122,7 +128,7 @@ n as (select user_id, count(*) as n from e group by 1)
 select user_id, n, case when n >= 3 then round(coalesce(inv, 0) / (n * (n - 1) / 2), 6) end as inversion_rate from n left join i using (user_id)""")
 def inversion_rate(spark, d):
     rows = read_table(spark, d, "events").select("user_id", "ts", "event_id", _k().alias("k"))
-    return (N.inversions(rows, ["user_id"], ["ts", "event_id"], "k", F.to_date("ts"))
+    return (N.inversions(rows, ["user_id"], ["ts", "event_id"], "k")
             .withColumn("inversion_rate", F.round("inversion_rate", 6)))
 
 
@@ -134,7 +140,7 @@ f as (select g.*, (gap is null or gap > greatest(m * 6, 8))::int as s from g lef
 select user_id, event_id, sum(s) over (partition by user_id order by value, event_id)::bigint as island from f""")
 def gaps_and_islands(spark, d):
     rows = read_table(spark, d, "events").select("user_id", "value", "event_id")
-    return (N.split_by_gap(rows, ["user_id"], "value", "event_id", F.floor(F.col("value") / 25), 6.0, 8.0)
+    return (N.split_by_gap(rows, ["user_id"], "value", "event_id", 6.0, 8.0)
             .select("user_id", "event_id", "island"))
 
 
@@ -145,7 +151,7 @@ f as (select *, sum((reach is null or lo - reach > 0.5)::int) over (partition by
 select user_id, island::bigint as island, min(lo) as lo, max(hi) as hi, count(*) as pieces from f group by 1, 2""")
 def merge_spans(spark, d):
     rows = read_table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("lo"), (F.col("value") + _k() % 3).alias("hi"))
-    return N.merge_spans(rows, ["user_id"], "lo", "hi", "event_id", F.floor(F.col("lo") / 25), 0.5)
+    return N.merge_spans(rows, ["user_id"], "lo", "hi", "event_id", 0.5)
 
 
 @query("WIN-13", """
@@ -155,7 +161,7 @@ b as (select user_id, ys, ys[1] as first, 1 as row_no from v
 select e.user_id, e.event_id, max(row_no)::bigint as row_no from events e join b on b.user_id = e.user_id and b.first <= e.value group by 1, 2""")
 def tolerance_rows(spark, d):
     rows = read_table(spark, d, "events").select("user_id", "event_id", "value")
-    return N.row_bands(rows, ["user_id"], "value", 1.5, F.floor(F.col("value") / 25)).select("user_id", "event_id", "row_no")
+    return N.row_bands(rows, ["user_id"], "value", 1.5).select("user_id", "event_id", "row_no")
 
 
 @query("WIN-14", """
@@ -188,8 +194,7 @@ def overlap_dedupe(spark, d):
 @query("WIN-16", """
 select p_partkey, p_brand, row_number() over (partition by p_brand order by p_name, p_partkey) as seq from part""")
 def sequence_numbering(spark, d):
-    return N.number_rows(read_table(spark, d, "part").select("p_partkey", "p_brand", "p_name"), ["p_brand"], ["p_name", "p_partkey"],
-                         F.substring("p_name", 1, 1)).select("p_partkey", "p_brand", "seq")
+    return N.number_rows(read_table(spark, d, "part").select("p_partkey", "p_brand", "p_name"), ["p_brand"], ["p_name", "p_partkey"]).select("p_partkey", "p_brand", "seq")
 
 
 @query("WIN-16", """
@@ -233,5 +238,5 @@ s as (select i.event_type, island, count(*) as members, avg(e.value) as m from i
 select event_type, members, round(m, 2) as dominant from (select *, row_number() over (partition by event_type order by members desc, island) as r from s) where r = 1""")
 def dominant_chain(spark, d):
     rows = read_table(spark, d, "events").select("event_type", "value")
-    out = N.dominant_value(rows, ["event_type"], "value", 0.02, F.floor(F.col("value") / 25))
+    out = N.dominant_value(rows, ["event_type"], "value", 0.02)
     return out.select("event_type", "members", "dominant")

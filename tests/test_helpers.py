@@ -31,20 +31,19 @@ def test_ranked_quantile_is_not_interpolated(spark):
     assert rows(median_by(df, [], "v")) == [(25.0,)]
 
 
-def test_neighbour_and_running_cross_chunks_and_null_keys(spark):
+def test_neighbour_and_running_cross_parts_and_null_keys(spark):
     data = [(k, t) for k in ("a", None) for t in (1, 2, 11, 12, 35)]
     df = spark.createDataFrame(data, "k string, t int")
-    chunk = F.floor(F.col("t") / 10)
-    lag = neighbour(df, ["k"], ["t"], chunk, {"prev": "t"}, -1)
+    lag = neighbour(df, ["k"], ["t"], {"prev": "t"}, -1)
     assert rows(lag.where("k is null"), "t", "prev") == [(1, None), (2, 1), (11, 2), (12, 11), (35, 12)]
-    lead = neighbour(df, ["k"], ["t"], chunk, {"nxt": "t"}, 1)
+    lead = neighbour(df, ["k"], ["t"], {"nxt": "t"}, 1)
     assert rows(lead.where("k = 'a'"), "t", "nxt") == [(1, 2), (2, 11), (11, 12), (12, 35), (35, None)]
-    total = running(df, ["k"], ["t"], chunk, F.col("t"), "s")
+    total = running(df, ["k"], ["t"], F.col("t"), "s")
     assert rows(total.where("k = 'a'"), "t", "s") == [(1, 1), (2, 3), (11, 14), (12, 26), (35, 61)]
-    back = running(df, ["k"], ["t"], chunk, F.col("t"), "s", before=True, reverse=True)
+    back = running(df, ["k"], ["t"], F.col("t"), "s", before=True, reverse=True)
     assert rows(back.where("k = 'a'"), "t", "s") == [(1, 60), (2, 58), (11, 47), (12, 35), (35, 0)]
-    assert rows(numbered(df, ["k"], ["t"], chunk).where("k = 'a'"), "t", "seq") == [(1, 1), (2, 2), (11, 3), (12, 4), (35, 5)]
-    runs = islands(lag, ["k"], ["t"], chunk, F.col("prev").isNull() | (F.col("t") - F.col("prev") > 5))
+    assert rows(numbered(df, ["k"], ["t"]).where("k = 'a'"), "t", "seq") == [(1, 1), (2, 2), (11, 3), (12, 4), (35, 5)]
+    runs = islands(lag, ["k"], ["t"], F.col("prev").isNull() | (F.col("t") - F.col("prev") > 5))
     assert rows(runs.where("k = 'a'"), "t", "island") == [(1, 1), (2, 1), (11, 2), (12, 2), (35, 3)]
 
 
