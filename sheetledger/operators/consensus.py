@@ -16,7 +16,7 @@ from .quantiles import exact_quantiles, median_by, small_median_by
 ROUND_M, MIN_ELEVATION_M, MAX_ELEVATION_M, MIN_SUPPORT, MIN_WITNESSES = 0.01, -60.0, 300.0, 2, 2
 
 
-def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Best row per key; Spark applies the rank limit before the shuffle as well."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
@@ -26,7 +26,7 @@ def vote(df: DataFrame, keys: Sequence[str], label: str, conf: str) -> DataFrame
     """Most frequent non-null label; a tie goes to the label seen with the highest confidence."""
     tally = (df.where(F.col(label).isNotNull() & (F.col(label) != "")).groupBy(*keys, label)
              .agg(F.count("*").alias("votes"), F.max(conf).alias("_c")))
-    return _first(tally, keys, [F.desc("votes"), F.desc("_c"), F.asc(label)]).drop("_c")
+    return first_per_key(tally, keys, [F.desc("votes"), F.desc("_c"), F.asc(label)]).drop("_c")
 
 
 def candidate_value(col: Column) -> Column:
@@ -43,7 +43,7 @@ def _ballots(df: DataFrame, keys: Sequence[str], drawing: str, value: str) -> Da
 
 def vote_min_support(df: DataFrame, keys: Sequence[str], drawing: str, value: str, k: int = MIN_SUPPORT) -> DataFrame:
     """Winner needs ``k`` votes, a tie goes to the smaller value; (null, 0) where none has them."""
-    best = _first(_ballots(df, keys, drawing, value), keys, [F.desc("votes"), F.asc("value")])
+    best = first_per_key(_ballots(df, keys, drawing, value), keys, [F.desc("votes"), F.asc("value")])
     won = F.col("votes") >= k
     return best.select(*keys, F.when(won, F.col("value")).alias("value"), F.when(won, F.col("votes")).otherwise(0).alias("support"))
 
@@ -53,7 +53,7 @@ def discriminative_vote(df: DataFrame, group: str, drawing: str, value: str, k:
     tally = _ballots(df, [group], drawing, value)
     spread = tally.groupBy("value").agg(F.count("*").alias("_groups"))
     scored = tally.join(spread, "value").where(F.col("votes") >= k).withColumn("score", F.col("votes") / F.col("_groups"))
-    best = _first(scored, [group], [F.desc("score"), F.asc("value")]).select(
+    best = first_per_key(scored, [group], [F.desc("score"), F.asc("value")]).select(
         group, "value", F.col("votes").alias("support"), "score")
     return tally.select(group).distinct().join(best, group, "left").withColumn("support", F.coalesce("support", F.lit(0)))
 
@@ -120,7 +120,7 @@ def robust_consensus(df: DataFrame, group: str, source: str, label: str, pos: st
     return axis_consensus(aligned, [group], label, "_p"), fit
 
 
-def _seeds(df: DataFrame, group: str, source: str, pos: str) -> DataFrame:
+def seed_sources(df: DataFrame, group: str, source: str, pos: str) -> DataFrame:
     """Per group the source whose middle spacing is nearest to the typical one (then most labels, then id)."""
     w = W.partitionBy(group, source).orderBy(pos)  # labels of one sheet
     gaps = df.withColumn("_gap", F.lead(pos).over(w) - F.col(pos))
@@ -131,7 +131,7 @@ def _seeds(df: DataFrame, group: str, source: str, pos: str) -> DataFrame:
     sizes = df.groupBy(group, source).agg(F.count("*").alias("_n"))
     joined = null_safe_join(null_safe_join(sizes, spacing, [group, source], "left"), typical, [group], "left")
     away = F.abs(F.coalesce("spacing", F.col("typical") * 10) - F.col("typical"))
-    return _first(joined.withColumn("_away", away), [group], [F.asc_nulls_last("_away"), F.desc("_n"), F.asc(source)]
+    return first_per_key(joined.withColumn("_away", away), [group], [F.asc_nulls_last("_away"), F.desc("_n"), F.asc(source)]
                   ).select(group, source)
 
 
@@ -146,7 +146,7 @@ def frames(df: DataFrame, group: str, source: str, label: str, pos: str, max_res
     rest = cut_lineage(df.select(group, source, label, pos))
     done, frame = None, 0
     while True:
-        seed = _seeds(rest, group, source, pos)
+        seed = seed_sources(rest, group, source, pos)
         members = cut_lineage(seed.withColumn("offset", F.lit(0.0)))
         size = members.count()
         if size == 0:
@@ -273,31 +273,40 @@ MIN_R_SQUARED, OUTLIER_RESIDUAL_M, MIN_INLIERS = 0.98, 0.5, 4
 
 
 def fit_line(df: DataFrame, keys: Sequence[str], x: str, y: str, residual: float = OUTLIER_RESIDUAL_M) -> DataFrame:
-    """Straight line per group by trimmed least squares.
+    """Straight line per group by votes of point pairs: keys, points, inliers, slope, intercept, r_squared, ok.
 
-    First trim: residuals above 1.5 × their median (never tighter than the gate); second trim: the gate.
+    The line through each two points of a group counts the points within ``residual`` of it; the first one, by (x, y) of its points, with the most wins and
+    is fitted again to these points.  A single wrong reading cannot pull it away.  A group is one drawing's points, a short list that
+    stays an array in the JVM; points of one place are folded and count as often as they occur.  Points with a null side are left out.
     """
-    rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
-        "_x is not null and _y is not null")
-
-    def residuals(sample: DataFrame) -> DataFrame:
-        fit = sample.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("_a"), F.regr_intercept("_y", "_x").alias("_b"))
-        return null_safe_join(rows, fit, keys).withColumn("_r", F.abs(F.col("_y") - (F.col("_a") * F.col("_x") + F.col("_b"))))
-
-    first = residuals(rows)
-    middle = median_by(first, keys, "_r", "_m")
-    near = null_safe_join(first, middle, keys).where(F.col("_r") <= F.greatest(F.lit(residual), F.col("_m") * 1.5))
-    gated = residuals(near.select(*keys, "_x", "_y")).where(F.col("_r") <= residual)
-    final = gated.groupBy(*keys).agg(
-        F.count("*").alias("inliers"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"),
-        F.regr_r2("_y", "_x").alias("r_squared"))
-    total = rows.groupBy(*keys).agg(F.count("*").alias("points"))
-    out = null_safe_join(total, final, keys, "left")
-    enough = F.coalesce(F.col("inliers"), F.lit(0)) >= MIN_INLIERS
-    return out.select(*keys, "points", F.coalesce("inliers", F.lit(0)).alias("inliers"),
-                      F.when(enough, F.col("slope")).alias("slope"), F.when(enough, F.col("intercept")).alias("intercept"),
-                      F.when(enough, F.col("r_squared")).otherwise(0.0).alias("r_squared"),
-                      (enough & (F.coalesce("r_squared", F.lit(0.0)) >= MIN_R_SQUARED)).alias("ok"))
+    points = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    lists = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w")).groupBy(*keys).agg(
+        F.sum("w").alias("points"), F.array_sort(F.collect_list(F.struct("x", "y", "w"))).alias("_p"))
+
+    def near(line: Column) -> Column:
+        return F.filter("_p", lambda p: F.abs(p["y"] - (line["a"] * p["x"] + line["b"])) <= residual)
+
+    def total(pts: Column, term) -> Column:
+        return F.aggregate(pts, F.lit(0.0), lambda s, p: s + p["w"] * term(p))
+
+    def through(p: Column, q: Column) -> Column:
+        slope = (q["y"] - p["y"]) / (q["x"] - p["x"])
+        return F.when(F.abs(q["x"] - p["x"]) >= 1e-6, F.struct(slope.alias("a"), (p["y"] - slope * p["x"]).alias("b")))
+
+    pairs = F.flatten(F.transform("_p", lambda p, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda q: through(p, q))))
+    voted = F.transform(F.filter(pairs, lambda l: l.isNotNull()), lambda l, i: F.struct(total(near(l), lambda p: F.lit(1.0)).alias("n"), (-i).alias("i"), l.alias("l")))
+    chosen = lists.select(*keys, "points", F.array_max(voted)["l"].alias("_l"), "_p").withColumn("_in", F.coalesce(near(F.col("_l")), F.filter("_p", lambda p: F.lit(False))))
+    n = lambda c: total(F.col("_in"), c)
+    sums = chosen.select(*keys, "points", "_in", n(lambda p: F.lit(1.0)).alias("_n"), n(lambda p: p["x"]).alias("_sx"), n(lambda p: p["y"]).alias("_sy"))
+    mean_x, mean_y = F.try_divide("_sx", "_n"), F.try_divide("_sy", "_n")
+    sums = sums.withColumns({"_mx": mean_x, "_my": mean_y})
+    sums = sums.withColumns({"_xx": n(lambda p: (p["x"] - F.col("_mx")) * (p["x"] - F.col("_mx"))), "_xy": n(lambda p: (p["x"] - F.col("_mx")) * (p["y"] - F.col("_my"))),
+                             "_yy": n(lambda p: (p["y"] - F.col("_my")) * (p["y"] - F.col("_my")))})
+    enough = F.coalesce((F.col("_n") >= MIN_INLIERS) & (F.col("_xx") > 1e-9), F.lit(False))
+    slope = F.try_divide("_xy", "_xx")
+    r2 = F.when(enough & (F.col("_yy") > 1e-12), F.col("_xy") * F.col("_xy") / (F.col("_xx") * F.col("_yy"))).otherwise(0.0)
+    return sums.select(*keys, "points", F.col("_n").cast("long").alias("inliers"), F.when(enough, slope).alias("slope"),
+                       F.when(enough, F.col("_my") - slope * F.col("_mx")).alias("intercept"), r2.alias("r_squared"), (enough & (r2 >= MIN_R_SQUARED)).alias("ok"))
 
 
 # Fixed values of the sign repair.

@@ -146,7 +146,8 @@ def inverted_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     """
     ranged = df.select(*keys, *order, F.col(value).alias("_v")).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     rows = cut_lineage(ranged.select(*keys, "_v", F.spark_partition_id().cast("long").alias("_p"), F.monotonically_increasing_id().alias("_s")))
-    counts = in_parts(rows.groupBy(*keys, "_p", "_v").agg(F.count("*").alias("_n")), keys, ["_v"])
+    folded = rows.groupBy(*keys, "_p", "_v").agg(F.count("*").alias("_n")).repartitionByRange(*keys, "_v")
+    counts = cut_lineage(folded.withColumn("_part", F.spark_partition_id()))
     cells = counts.groupBy(*keys, "_p", F.col("_part").cast("long").alias("_v")).agg(F.sum("_n").alias("_n"))
     inside = _counted(rows.withColumn("_n", F.lit(1).cast("long")).select(*keys, F.col("_p").alias("_part"), "_s", "_v", "_n"), keys)  # sorted as they lie
     banded = _counted(counts.select(*keys, "_part", "_p", "_v", "_n").sortWithinPartitions(*keys, "_part"), keys)

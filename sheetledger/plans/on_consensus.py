@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggs import noisy_or, unanimous
 from ..operators import assembly as B
+from ..operators import axis_frames as X
 from ..operators import consensus as C
 from ..sources.tables import read_table
 from .catalog import query
@@ -120,6 +121,30 @@ def frame_clusters(spark, d):
     return C.frames(rows, "zone", "user_id", "label", "value", 30.0)
 
 
+def _sheet_axes(spark, d):
+    """Axes of sheets in both directions: customers' sheets of a nation's building, whose origins and, for some, grids differ."""
+    orders = read_table(spark, d, "orders").join(read_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    axis = F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("y")
+    number = F.floor(F.col("o_orderkey") / 32) % 12
+    module = F.when(F.col("c_custkey") % 5 == 0, 11.0).otherwise(8.0)
+    return orders.select(F.col("c_nationkey").alias("building"), F.col("c_custkey").alias("sheet"), axis.alias("axis"), number.cast("string").alias("label"),
+                         (number * module + F.col("c_custkey") % 977 + (F.col("o_totalprice") % 1) * 0.2).alias("pos"))
+
+
+@query("AGG-29")
+def joint_frames(spark, d):
+    """Frames of all buildings, with the offset of every sheet in its frame."""
+    members, _ = X.joint_frames(_sheet_axes(spark, d), "building", "sheet", "axis", "label", "pos")
+    return members.withColumnRenamed("group", "building").withColumnRenamed("source", "sheet")
+
+
+@query("AGG-29")
+def frame_registration(spark, d):
+    """Shifts of all frames of a building against its largest one."""
+    members, axes = X.joint_frames(_sheet_axes(spark, d), "building", "sheet", "axis", "label", "pos")
+    return X.register(axes, members.groupBy("group", "frame").agg(F.count("*").alias("n"))).withColumnRenamed("group", "building")
+
+
 @query("AGG-30", """
 with s as (select l_orderkey % 50 as grp, l_orderkey, max(l_extendedprice * l_discount) - min(l_extendedprice * l_discount) as span from lineitem group by 1, 2),
 m as (select grp, median(span) as md, count(*) as n from s where span > 0 group by 1)
@@ -188,13 +213,11 @@ def similarity_fit(spark, d):
 
 @query("AGG-35", """
 with e as (select user_id, json_extract(props, '$.k')::double as x, json_extract(props, '$.k')::double * 0.5::double + 2 + case when value > 40 then value else (event_id % 5) * 0.05::double end as y from events),
-f1 as (select user_id, regr_slope(y, x) as a, regr_intercept(y, x) as b from e group by 1),
-r1 as (select e.*, abs(y - (a * x + b)) as r from e join f1 using (user_id)),
-m as (select user_id, median(r) as m from r1 group by 1),
-n as (select r1.* from r1 join m using (user_id) where r <= greatest(0.5, m * 1.5::double)),
-f2 as (select user_id, regr_slope(y, x) as a, regr_intercept(y, x) as b from n group by 1),
-g as (select e.* from e join f2 using (user_id) where abs(y - (a * x + b)) <= 0.5),
-f as (select user_id, count(*) as inliers, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, regr_r2(y, x) as r2 from g group by 1)
+p as (select user_id, x, y, count(*) as w, row_number() over (partition by user_id order by x, y) as i from e group by 1, 2, 3),
+l as (select p.user_id, p.i, q.i as j, (q.y - p.y) / (q.x - p.x) as a, p.y - (q.y - p.y) / (q.x - p.x) * p.x as b from p join p q on q.user_id = p.user_id and q.i > p.i and abs(q.x - p.x) >= 1e-6),
+v as (select l.user_id, l.i, j, a, b, sum(w) as n from l join p on p.user_id = l.user_id and abs(y - (a * x + b)) <= 0.5 group by all),
+c as (select * from v qualify row_number() over (partition by user_id order by n desc, i, j) = 1),
+f as (select e.user_id, count(*) as inliers, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, regr_r2(y, x) as r2 from e join c on c.user_id = e.user_id and abs(y - (a * x + b)) <= 0.5 group by 1)
 select t.user_id, points, coalesce(inliers, 0) as inliers, round(case when inliers >= 4 then slope end, 6) as slope, round(case when inliers >= 4 then intercept end, 6) as intercept,
   round(case when inliers >= 4 then r2 else 0 end, 6) as r_squared, coalesce(inliers >= 4 and r2 >= 0.98, false) as ok
 from (select user_id, count(*) as points from e group by 1) t left join f using (user_id)""")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 from ..sources.export import to_coco
 from ..sources.feeds import extract_text, flatten_feed
 from ..sources.logs import due_sources, partition_gaps, read_months, write_month_partitioned
@@ -17,8 +17,7 @@ from .catalog import query
 
 def scratch(spark, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SRC-01", """

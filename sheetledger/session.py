@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,21 +29,35 @@ def build_session(app: str = "sheetledger", master: str | None = None, partition
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a local one only on a local master without the setting."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor reaches, as spark.checkpoint.dir names it.
+
+    Where the setting is missing on a local master (tests), one is made and set for the session.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and keeps iterative plans short."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Reliable checkpoint: survives executor loss and keeps iterative plans short; rows keep their partitions."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def write_down(df: DataFrame) -> DataFrame:
+    """Write a round's rows to the shared folder and read them back, for loops of many rounds.
+
+    A checkpoint carries its plan's size estimate on, which joins multiply from round to round; a written table has its true size, and
+    later joins are planned by it.  Rows do not keep their partitions.
+    """
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
