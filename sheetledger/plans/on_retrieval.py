@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
+from ..operators import compliance as K
 from ..operators import evaluation as V
+from ..operators import fusion as U
 from ..operators import retrieval as R
 from ..operators.spatial import pair_boxes
 from ..sources.tables import read_table
@@ -39,6 +43,44 @@ def hybrid_fusion(spark, d):
     return R.fuse_candidates(kg, rag, ["o_custkey"])
 
 
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_NOTES = (*_PRIORITIES, *(f"{p} {f}" for p in _PRIORITIES for f in "ANR"))
+
+
+def _alike_values(left, right) -> str:
+    """Pairs of the tables' few texts that are alike, for the SQL form: SQL has no such ratio."""
+    return ", ".join(f"('{a}', '{b}')" for a in left for b in right if SequenceMatcher(None, a, b).ratio() >= U.SIMILAR_TEXT)
+
+
+@query("RET-02", f"""
+with recursive s(later, earlier) as (values {_alike_values(_NOTES, _NOTES)}),
+a as (select later, list(earlier) as alike from s group by 1),
+k as (select distinct o_custkey, 0 as o, o_orderkey as id, 0 as n, 0 as part, case when o_totalprice > 60000 then 'R' || o_orderkey % 40 else '' end as ref, o_orderpriority as snippet,
+  case o_orderstatus when 'F' then 'info' when 'O' then 'minor' else 'critical' end as severity, 'kg' as source from orders),
+r as (select distinct o_custkey, 1, l_orderkey, l_linenumber, l_partkey, case when l_linenumber % 2 = 0 then 'R' || l_partkey % 40 else '' end, o_orderpriority || ' ' || l_returnflag, 'info', 'rag' from lineitem join orders on o_orderkey = l_orderkey),
+c as (select u.*, alike, row_number() over (partition by o_custkey order by o, id, n, part, snippet) as turn from (from k union all from r) u join a on later = snippet),
+g as (select o_custkey, 0::bigint as turn, []::struct(turn bigint, ref varchar, snippet varchar, severity varchar, sources varchar[])[] as held from c group by 1
+  union all select o_custkey, turn, case when hit > 0 then list_transform(held, lambda x, i: case when i = hit and not list_contains(x.sources, source)
+      then struct_pack(turn := x.turn, ref := x.ref, snippet := x.snippet, severity := x.severity, sources := list_append(x.sources, source)) else x end)
+    else list_append(held, struct_pack(turn := turn, ref := ref, snippet := snippet, severity := severity, sources := [source])) end
+  from (select c.*, held, list_position(list_transform(held, lambda x: (c.ref <> '' and x.ref = c.ref) or list_contains(c.alike, x.snippet)), true) as hit from g join c on c.o_custkey = g.o_custkey and c.turn = g.turn + 1)),
+f as (select o_custkey, unnest(max_by(held, turn)[:20]) as x from g group by 1)
+select o_custkey, x.ref as ref, x.snippet as snippet, case when len(x.sources) = 2 then case x.severity when 'info' then 'minor' when 'minor' then 'major' else x.severity end else x.severity end as severity,
+  array_to_string(x.sources, '+') as sources from f""")
+def merged_candidates(spark, d):
+    """Recalls of all customers, merged in their order by reference or by similar text."""
+    orders = read_table(spark, d, "orders")
+    kg = orders.select("o_custkey", F.lit(0).alias("o"), F.col("o_orderkey").alias("id"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("part"),
+                       F.when(F.col("o_totalprice") > 60000, F.concat(F.lit("R"), F.col("o_orderkey") % 40)).otherwise("").alias("ref"), F.col("o_orderpriority").alias("snippet"),
+                       F.when(F.col("o_orderstatus") == "F", "info").when(F.col("o_orderstatus") == "O", "minor").otherwise("critical").alias("severity"), F.lit("kg").alias("source"))
+    lines = read_table(spark, d, "lineitem").join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    rag = lines.select("o_custkey", F.lit(1).alias("o"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("long").alias("part"),
+                       F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("R"), F.col("l_partkey") % 40)).otherwise("").alias("ref"),
+                       F.concat_ws(" ", "o_orderpriority", "l_returnflag").alias("snippet"), F.lit("info").alias("severity"), F.lit("rag").alias("source"))
+    rows = kg.unionByName(rag).distinct().withColumn("at", F.struct("o", "id", "n", "part", "snippet"))
+    return U.merge_candidates(rows, ["o_custkey"], "at").drop("at")
+
+
 @query("RET-03", """
 select r_name as discipline, n_name as standard, s_suppkey from region join nation on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey and s_acctbal > 4000""")
 def graph_pattern(spark, d):
@@ -206,6 +248,42 @@ def prf_by_key(spark, d):
     return V.prf(*_gold_and_pred(spark, d), ["doc_id"])
 
 
+_LEVELS = ("[MUST] ", "[MAY] ", "")
+_SAID = tuple(f"{level}{p} {f}" for level in _LEVELS for p in _PRIORITIES for f in "ANR")
+
+
+@query("EVL-06", f"""
+with s(description, snippet) as (values {_alike_values(_SAID, _PRIORITIES)}),
+g as (select o_custkey, o_orderkey as id, 'GB' || o_orderkey % 23 as ref, o_orderpriority as snippet, case o_orderstatus when 'F' then 0 when 'O' then 2 else 3 end as sev, case o_orderkey % 3 when 0 then 'MUST' else 'SHOULD' end as level from orders),
+p as (select o_custkey, l_orderkey * 100 + l_linenumber as id, 'GB' || min(l_partkey) % 23 as ref, case l_linenumber % 3 when 0 then '[MUST] ' when 1 then '[MAY] ' else '' end || o_orderpriority || ' ' || min(l_returnflag) as description,
+  case when l_linenumber % 4 = 0 then 0 else 2 end as sev, case l_linenumber % 3 when 0 then 'MUST' when 1 then 'MAY' else 'SHOULD' end as level from lineitem join orders on o_orderkey = l_orderkey group by o_custkey, l_orderkey, l_linenumber, o_orderpriority),
+u as (select distinct o_custkey, 'GB' || o_orderkey % 29 as ref from orders where o_orderkey % 2 = 0),
+gn as (select *, row_number() over (partition by o_custkey, ref order by id) as n from g), pn as (select *, row_number() over (partition by o_custkey, ref order by id) as n from p),
+m as (select gn.o_custkey, gn.id as g, pn.id as p, case when abs(gn.sev - pn.sev) <= 1 then 'tp' else 'wrong_severity' end as mark, gn.level as gl, pn.level as pl from gn join pn on gn.o_custkey = pn.o_custkey and gn.ref = pn.ref and gn.n = pn.n),
+x as (select o_custkey, mark, gl, pl from m
+  union all select p.o_custkey, case when exists (select 1 from s join g on g.snippet = s.snippet where g.o_custkey = p.o_custkey and s.description = p.description) then 'wrong_ref' else 'spurious' end, null, null from p where id not in (select p from m)
+  union all select g.o_custkey, case when exists (select 1 from u where u.o_custkey = g.o_custkey and u.ref = g.ref) then 'dropped' else 'missed' end, null, null from g where id not in (select g from m)),
+c as (select o_custkey, count(*) filter (where mark = 'tp') as tp, count(*) filter (where mark in ('spurious', 'wrong_ref', 'wrong_severity')) as fp, count(*) filter (where mark in ('missed', 'dropped')) as fn,
+  count(*) filter (where mark = 'spurious') as spurious, count(*) filter (where mark = 'wrong_ref') as wrong_ref, count(*) filter (where mark = 'wrong_severity') as wrong_severity, count(*) filter (where mark = 'missed') as missed,
+  count(*) filter (where mark = 'dropped') as dropped, count(*) filter (where mark = 'tp' and gl = 'MUST') as must, count(*) filter (where mark = 'tp' and gl = 'MUST' and pl <> 'MUST') as down from x group by 1)
+select o_custkey, tp, fp, fn, coalesce(round(tp / nullif(tp + fp, 0), 4), 0) as precision, coalesce(round(tp / nullif(tp + fn, 0), 4), 0) as recall, coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 4), 0) as f1, tp as ref_hits,
+  case when tp > 0 then 1.0 else 0.0 end::double as hit_rate, spurious, wrong_ref, wrong_severity, missed, dropped, coalesce(round(down / nullif(must, 0), 4), 0) as downgrade_rate from c""")
+def compliance_scores(spark, d):
+    """Found issues of all customers against gold ones: matches by reference, causes of the rest."""
+    orders = read_table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    gold = orders.select("o_custkey", key.alias("gold_id"), F.concat(F.lit("GB"), key % 23, F.lit("-2010")).alias("ref"), F.col("o_orderpriority").alias("snippet"),
+                         F.when(F.col("o_orderstatus") == "F", "info").when(F.col("o_orderstatus") == "O", "major").otherwise("critical").alias("severity"), F.when(key % 3 == 0, "MUST").alias("obligation"))
+    lines = read_table(spark, d, "lineitem").join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").groupBy("o_custkey", "l_orderkey", "l_linenumber", "o_orderpriority").agg(
+        F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"))
+    number = F.col("l_linenumber")
+    level = F.when(number % 3 == 0, _LEVELS[0]).when(number % 3 == 1, _LEVELS[1]).otherwise(_LEVELS[2])
+    found = lines.select("o_custkey", (F.col("l_orderkey") * 100 + number).alias("found_id"), F.concat(F.lit(" gb"), F.col("part") % 23, F.lit("-2015")).alias("ref"),
+                         F.concat(level, "o_orderpriority", F.lit(" "), "flag").alias("description"), F.when(number % 4 == 0, "info").otherwise("major").alias("severity"))
+    recalled = orders.where(key % 2 == 0).select("o_custkey", key.alias("found_id"), F.concat(F.lit("GB"), key % 29).alias("ref"), F.lit("").alias("description"))
+    return K.issue_scores(K.match_issues(gold, found, ["o_custkey"], recalled), ["o_custkey"])
+
+
 @query("EVL-07")
 def panoptic_quality(spark, d):
     box = lambda k, x, y: [(x).alias("x0"), (y).alias("y0"), (x + 5).alias("x1"), (y + 4).alias("y1")]
