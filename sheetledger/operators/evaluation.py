@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import Mapping, Sequence
 
 import numpy as np
@@ -174,6 +175,13 @@ def _lcs_share(found: pd.Series, wanted: pd.Series) -> pd.Series:
         if not a:
             out.append(None)
             continue
+        if len(known) == len(b):  # of distinct items a longest common subsequence is a longest rising run of their places
+            place, ends = {x: i for i, x in enumerate(b)}, []
+            for at in map(place.__getitem__, a):
+                i = bisect_left(ends, at)
+                ends[i:i + 1] = [at]
+            out.append(len(ends) / len(b))
+            continue
         row = np.zeros(len(b) + 1, dtype=np.int64)
         goal = np.array(list(b), dtype=object)
         for item in a:

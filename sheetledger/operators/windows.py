@@ -299,9 +299,10 @@ def modal_cluster(df: DataFrame, keys: Sequence[str], value: str, width: float)
     """
     freq = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     by = ", ".join(f"`{k}`" for k in keys)
-    sized = freq.withColumn("_band", F.expr(
-        f"sum(_n) over ({'partition by ' + by if keys else ''} order by `{value}` "
-        f"range between current row and cast({width - 1e-9!r} as double) following)"))
+    over = f"over ({'partition by ' + by if keys else ''} order by `{value}` range between"
+    far = f"cast({width!r} as double) following"
+    # the closed band less what lies on its far end
+    sized = freq.withColumn("_band", F.expr(f"sum(_n) {over} current row and {far}) - coalesce(sum(_n) {over} {far} and {far}), 0)"))
     best = sized.groupBy(*keys).agg(F.max(F.struct("_band", (-F.col(value)).alias("_lo"))).alias("_m"))
     return null_safe_join(df, best, keys).where(
         (F.col(value) >= -F.col("_m._lo")) & (F.col(value) < -F.col("_m._lo") + width)).select(*df.columns)

@@ -230,7 +230,7 @@ def line_fit(spark, d):
 
 
 @query("AGG-49", """
-with c as (select case lang when 'en' then 'unit' when 'fr' then 'zone' else 'space' end as node_type, substr(text, 1, 3) as key, source, least(n_chars, 5000) / 5000.0::double as confidence from documents),
+with c as (select case lang when 'en' then 'unit' when 'fr' then 'zone' else 'space' end as node_type, unnest(string_split(text, ' ')) as key, source, n_chars / (n_chars + 500.0::double) as confidence from documents),
 n as (select node_type, key, round(max(confidence), 4) as confidence, count(distinct source) as sources, count(*) as evidence from c group by 1, 2),
 t as (select key, count(*) as types, string_agg(node_type, ',' order by node_type) as rival from n group by 1)
 select node_type, n.key, confidence, sources, evidence, case when confidence >= 0.88 and sources >= 2 and types = 1 then 'confirmed' else 'candidate' end as status,
@@ -238,7 +238,7 @@ select node_type, n.key, confidence, sources, evidence, case when confidence >=
 def candidate_resolution(spark, d):
     kind = F.when(F.col("lang") == "en", "unit").when(F.col("lang") == "fr", "zone").otherwise("space")
     rows = read_table(spark, d, "documents").select(
-        kind.alias("node_type"), F.substring("text", 1, 3).alias("key"), "source", (F.least("n_chars", F.lit(5000)) / 5000.0).alias("confidence"))
+        kind.alias("node_type"), F.explode(F.split("text", " ")).alias("key"), "source", (F.col("n_chars") / (F.col("n_chars") + 500.0)).alias("confidence"))
     return C.resolve(rows).withColumn("conflict", F.array_join("conflict", ","))
 
 

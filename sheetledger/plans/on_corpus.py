@@ -60,7 +60,7 @@ def semantic_candidates(spark, d):
 def reading_order(spark, d):
     k = F.get_json_object("props", "$.k").cast("double")
     tokens = read_table(spark, d, "events").select(
-        "user_id", "event_id", (k * 8).alias("x"), (F.col("value") * 4).alias("y"), F.substring("event_type", 1, 1).alias("text"))
+        "user_id", "event_id", (k * 8).alias("x"), (F.col("value") * 4).alias("y"), F.col("event_type").alias("text"))
     return C.to_lines(tokens, ["user_id"], "event_id")
 
 

@@ -157,14 +157,14 @@ def obligation_level(spark, d):
 
 
 @query("STR-12", r"""
-with t as (select doc_id, case when doc_id % 11 = 0 then '' when doc_id % 11 = 1 then repeat('(cid:12)', (n_chars % 40)::int) || substr(text, 1, 60) when doc_id % 11 = 2 then repeat(chr(57600), (n_chars % 30)::int) || substr(text, 1, 40) else text end as t from documents),
+with t as (select doc_id, case when doc_id % 11 = 0 then '' when doc_id % 11 = 1 then repeat('(cid:12)', (n_chars // (10 + doc_id % 13))::int) || text when doc_id % 11 = 2 then repeat(chr(57600), (n_chars // (2 + doc_id % 2))::int) || text else text end as t from documents),
 m as (select doc_id, t, length(t) as n, length(t) - length(regexp_replace(t, '[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{3400}-\x{4dbf}\x{e000}-\x{f8ff}\x{fffd}\x{f0000}-\x{10fffd}]', '', 'g')) as bad, length(t) - length(regexp_replace(t, '\(cid:\d+\)', '', 'g')) as cid from t)
 select doc_id, n::bigint as length, round(coalesce(bad / nullif(n, 0), 0), 3) as bad_ratio, round(coalesce(cid / nullif(n, 0), 0), 3) as cid_ratio,
   case when regexp_replace(t, '\s+', '', 'g') = '' then 'empty' when cid / n > 0.3 or case when n < 8 then bad > 0 else bad / n > 0.3 end then 'mojibake' else 'ok' end as verdict from m""")
 def text_integrity(spark, d):
     k = F.col("doc_id") % 11
-    text = (F.when(k == 0, "").when(k == 1, F.concat(F.expr("repeat('(cid:12)', int(n_chars % 40))"), F.substring("text", 1, 60)))
-            .when(k == 2, F.concat(F.expr("repeat('', int(n_chars % 30))"), F.substring("text", 1, 40))).otherwise(F.col("text")))
+    text = (F.when(k == 0, "").when(k == 1, F.concat(F.expr("repeat('(cid:12)', int(n_chars div (10 + doc_id % 13)))"), "text"))
+            .when(k == 2, F.concat(F.expr("repeat('', int(n_chars div (2 + doc_id % 2)))"), "text")).otherwise(F.col("text")))
     return read_table(spark, d, "documents").select("doc_id", S.integrity(text).alias("i")).select("doc_id", "i.*")
 
 
@@ -345,9 +345,10 @@ def sample_lists(spark, d):
 
 
 @query("ARR-05", """
-select doc_id, case when n_chars < 100 then '' else array_to_string(string_split(substr(text, 1, 100000), ' ')[1:50], '_') end as words, case when n_chars < 100 then 0 else least(len(string_split(text, ' ')), 50) end::bigint as n from documents""")
+with w as (select doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') as words from documents)
+select doc_id, array_to_string(words, '_') as words, len(words)::bigint as n from w""")
 def explode_codes(spark, d):
-    words = F.when(F.col("n_chars") < 100, F.array().cast("array<string>")).otherwise(F.slice(F.split("text", " "), 1, 50))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
     rows = A.explode_keep(read_table(spark, d, "documents").select("doc_id", words.alias("codes")), "codes", "code")
     back = A.collect_keep(rows, ["doc_id"], "pos", "code", "codes")
     return back.select("doc_id", F.array_join("codes", "_").alias("words"), F.size("codes").cast("long").alias("n"))

@@ -406,6 +406,6 @@ def gap_sequence_match(spark, d):
         F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_quantity"))),
         lambda s: s["l_quantity"]).alias("gaps"))
     anchors = lines.select(F.col("l_orderkey").alias("anchor_id"), "gaps")
-    merged = F.concat(F.array(F.get("gaps", F.lit(1)) + F.get("gaps", F.lit(2))), F.slice("gaps", 4, 4))
-    targets = lines.where(F.size("gaps") >= 7).select(F.col("l_orderkey").alias("target_id"), merged.alias("gaps"))
+    merged = F.array_compact(F.concat(F.array(F.get("gaps", F.lit(1)) + F.get("gaps", F.lit(2))), F.slice("gaps", 4, F.size("gaps"))))
+    targets = lines.select(F.col("l_orderkey").alias("target_id"), merged.alias("gaps"))
     return J.match_gaps(targets, anchors)

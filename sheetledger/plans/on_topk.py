@@ -185,12 +185,12 @@ def changed_only(spark, d):
 
 
 @query("SET-05", """
-with a as (select source, substr(w, 1, 4) as label, count(*) as a from (select source, unnest(string_split(text, ' ')) as w from documents where lang = 'en') group by 1, 2),
-b as (select source, substr(w, 1, 4) as label, count(*) as b from (select source, unnest(string_split(text, ' ')) as w from documents where lang <> 'en') group by 1, 2)
+with a as (select source, w as label, count(*) as a from (select source, unnest(string_split(text, ' ')) as w from documents where lang = 'en') group by 1, 2),
+b as (select source, w as label, count(*) as b from (select source, unnest(string_split(text, ' ')) as w from documents where lang <> 'en') group by 1, 2)
 select source, sum(least(coalesce(a, 0), coalesce(b, 0)))::bigint as matched, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0))::bigint as only_a,
   sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0))::bigint as only_b, round(sum(least(coalesce(a, 0), coalesce(b, 0))) / sum(greatest(coalesce(a, 0), coalesce(b, 0))), 4) as jaccard
 from a full join b using (source, label) group by 1""")
 def multiset_agreement(spark, d):
     words = read_table(spark, d, "documents").select("source", "lang", F.explode(F.split("text", " ")).alias("w"))
-    words = words.select("source", "lang", F.substring("w", 1, 4).alias("label"))
+    words = words.withColumnRenamed("w", "label")
     return X.agreement(words.where("lang = 'en'"), words.where("lang <> 'en'"), ["source"], "label")

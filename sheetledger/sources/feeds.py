@@ -29,11 +29,11 @@ def flatten_feed(df: DataFrame, json_col: str, path: str = "items", keep: tuple[
     return df.select(*keep, F.posexplode(filled).alias("_pos", "_a")).select(
         *keep,
         F.when(number != "", number).otherwise(F.concat(F.lit("auto_"), F.col("_pos"))).alias("article_no"),
-        F.substring(F.coalesce(F.col("_a.title"), F.lit("")), 1, 200).alias("title"),
+        F.coalesce(F.col("_a.title"), F.lit("")).alias("title"),
         strip(F.col("_a.content")).alias("content"),
         F.coalesce(F.col("_a.obligation_level"), F.lit("SHOULD")).alias("obligation_level"),
         F.coalesce(F.col("_a.is_mandatory"), F.lit(False)).alias("is_mandatory"),
-        F.substring(F.coalesce(F.col("_a.chapter_no"), F.lit("")), 1, 50).alias("chapter_no"))
+        F.coalesce(F.col("_a.chapter_no"), F.lit("")).alias("chapter_no"))
 
 
 # Markup entities decoded by extract_text.
