@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,39 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for all tables kept inside; ``drop_folder`` removes it when they are not needed any more."""
+    _SCRATCH.append(f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        _SCRATCH.pop()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove kept tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            drop_folder(table.sparkSession, folder)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a step's result to the shared folder and read it back: later steps survive lost executors.
 
     Texts and ids are not worth a dictionary of values, so none is tried.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

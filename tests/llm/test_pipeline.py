@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sheetledger.llm import near_sets
 from sheetledger.llm.queries import QUERIES
 
+from .conftest import CLASHES
+
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 
@@ -75,3 +78,44 @@ def test_near_stage_decides_by_exact_similarity(spark):
 def test_run_and_queries_give_rows(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 100
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark):
+    empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    extra = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 40").select("*", *[F.lit("x").alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SMALL).count() == 0, name
+        got = stage(spark, extra, SMALL)
+        assert name == "packing" or got.columns == extra.columns, name
+        assert got.count() > 0, name
+
+
+def test_near_groups_lie_in_several_tiles(spark):
+    """A neighbourhood of many nodes, cut into small tiles: the same groups as brute force, and few links."""
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base)] + [" ".join(w if (i * 31 + k * 17) % 43 else f"x{k}" for i, w in enumerate(base)) for k in range(40)]
+    texts += [" ".join(w if (i * 29 + k * 13) % 9 else f"y{k}" for i, w in enumerate(base)) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kinds = docs.select("doc_id", "text")
+    prints = near_sets._nodes(kinds, "doc_id", "text", 5, 256).select(F.col("doc_id").alias("id"), "fp", "size", F.lit(1).cast("long").alias("part"))
+    links = near_sets.verified(prints, docs, "doc_id", "text", 5, 256, 256, 0.8, tile=6).collect()
+    root = list(range(len(texts)))
+    for r in links:
+        a, b = root[r["a"]], root[r["b"]]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert root == brute_near(texts)
+    assert len(links) < len(texts) * 12
+
+
+def test_working_tables_go(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60")
+    corpus_pipeline._WORK.clear()
+    before = None
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        out = stage(spark, docs, SMALL)
+        rows_ = out.collect()
+        if before:
+            assert not os.path.exists(before.removeprefix("file:"))
+        before = corpus_pipeline._WORK[max(corpus_pipeline._WORK)][-1]
+        docs = spark.createDataFrame(rows_, out.schema)
+    assert os.path.exists(before.removeprefix("file:"))
