@@ -11,7 +11,9 @@ place of a piece is given up once at most, so time is linear.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -143,8 +145,20 @@ class Coder:
             return self._pieces(text)
         return self._pieces(first) + b"".join(out)
 
+    @cached_property
+    def _bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens' bytes one after another, and where each id's begin."""
+        tokens = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
+        return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum([0, *map(len, tokens)])
+
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """The bytes that ids stand for, taken from one buffer: a run of places for each id."""
+        numbers = np.frombuffer(ids, dtype="<u4").astype(np.int64)
+        data, starts = self._bytes
+        sizes = starts[numbers + 1] - starts[numbers]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[numbers] - ends + sizes, sizes)
+        return data[places].tobytes()
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -161,7 +175,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """doc_id, ids: the ids of each whole text, as binary of little-endian unsigned 32-bit numbers.
 
     Each match of ``pattern`` is encoded by itself, without special tokens.  Null and empty texts have no ids.
-    Rows keep their places: nothing is shuffled.  Other columns are ignored; an empty table gives an empty result.
+    Rows keep their places: nothing is shuffled.  Rows of repeated or null ids give a row each.  Other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,3 +197,25 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encode``, then ``decode`` of its ids, as digests; ids and bytes stay in the task.
+
+    Null and empty texts have no ids; rows of repeated or null ids give a row each.  Rows keep their places; an empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path, pattern)
+        for batch in batches:
+            sizes, of_ids, of_bytes = [], [], []
+            for text in batch.column(1).to_pylist():
+                ids = own.encode(text or "")
+                sizes.append(len(ids) // 4)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -45,11 +45,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all texts and the bytes that they decode to, as digests."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, path, public_tokenizers.PATTERN).select(
-        "doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 # Spark's and DuckDB's texts are the same code points, so sha256 of the UTF-8 bytes agrees.

@@ -205,7 +205,11 @@ def test_byte_bpe(documents):
         for r in got:
             text = texts[r["doc_id"]] or ""
             assert np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() == own.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
-    assert byte_bpe.encode(documents([]), RANKS, public_tokenizers.PATTERN).count() == 0
+        for r in byte_bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).collect():
+            ids = np.array(own.encode_ordinary(texts[r["doc_id"]] or ""), dtype="<u4").tobytes()
+            assert (r["n_tokens"], r["ids_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
+            assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+    assert byte_bpe.encode(documents([]), RANKS, public_tokenizers.PATTERN).count() == byte_bpe.round_trip(documents([]), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_rows_pass_with_all_columns(documents):
