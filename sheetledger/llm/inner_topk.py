@@ -22,15 +22,35 @@ from .common import keep
 _SLACK = 1e-6  # relative; what doubles may be off in a bound
 
 
+#: Components beyond this, after scaling, are an error: their scores need not fit 64 bits.
+_MOST = float(1 << 62)
+_NONE = np.iinfo(np.int64).min
+
+
 def quantized(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of every component, x as double; null for vectors null, or with null or non-finite components."""
+    """floor(scale * x) of every component, x as double, as long; null for vectors null, or with null or non-finite components."""
     wide = F.transform(vector, lambda x: x.cast("double"))
-    sound = F.forall(wide, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float(1 << 30)) / scale), F.lit(False)))
-    return F.when(sound, F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("int")))
+    sound = F.forall(wide, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    whole = F.transform(wide, lambda x: F.when(F.abs(x * F.lit(float(scale))) < _MOST, F.floor(x * F.lit(float(scale)))).otherwise(
+        F.raise_error(F.lit("a component is too large for whole-number scores")).cast("long")))
+    return F.when(sound, whole)
+
+
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exact: in doubles or 64 bits where they surely fit, else number by number."""
+    most = len(query) * float(np.abs(rows).max(initial=0)) * float(np.abs(query).max(initial=0))
+    if most < 1 << 52:
+        return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+    if most < 1 << 62:
+        return rows @ query
+    found = rows.astype(object) @ query.astype(object)
+    if any(abs(s) >= 1 << 63 for s in found):
+        raise ValueError("a score does not fit 64 bits")
+    return found.astype(np.int64)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _gram(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -40,7 +60,7 @@ def _gram(vectors: DataFrame, dim: int) -> np.ndarray:
         total = np.zeros((dim, dim))
         for batch in batches:
             if len(batch):
-                x = _matrix(batch.column(0), dim)
+                x = _matrix(batch.column(0), dim).astype(np.float64)
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(range(dim * dim), pa.int32()), pa.array(total.ravel())], ["cell", "part"])
 
@@ -56,20 +76,22 @@ class _Block:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, basis: np.ndarray, k: int, lead: int):
         self.ids, self.rows, self.k, self.lead = ids, rows, k, lead
-        self.turned = rows @ basis
-        self.length = np.sqrt((rows ** 2).sum(axis=1))
+        wide = rows.astype(np.float64)
+        self.turned = wide @ basis
+        self.length = np.sqrt((wide ** 2).sum(axis=1))
         self.rest = np.sqrt((self.turned[:, lead:] ** 2).sum(axis=1))
-        self.score = np.full((len(ids), k), -np.inf)
+        self.score = np.full((len(ids), k), _NONE)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def meet(self, ids: np.ndarray, rows: np.ndarray, basis: np.ndarray) -> None:
-        floor = self.score[:, -1]
-        length = np.sqrt((rows ** 2).sum(axis=1))
+        floor = np.where(self.score[:, -1] == _NONE, -np.inf, self.score[:, -1].astype(np.float64))
+        wide = rows.astype(np.float64)
+        length = np.sqrt((wide ** 2).sum(axis=1))
         reach = self.length * length.max() * (1 + _SLACK) + _SLACK
         live = np.flatnonzero(reach >= floor)
         if not len(live):
             return
-        turned = rows @ basis[:, :self.lead]
+        turned = wide @ basis[:, :self.lead]
         rest = np.sqrt(np.maximum(length ** 2 - (turned ** 2).sum(axis=1), 0))
         bound = self.turned[live, :self.lead] @ turned.T + self.rest[live, None] * rest[None, :]
         open_ = bound + _SLACK * (1 + self.length[live, None] * length[None, :]) >= floor[live, None]
@@ -77,17 +99,17 @@ class _Block:
             at = np.flatnonzero(open_[i] & (ids != self.ids[q]))
             if not len(at):
                 continue
-            score = rows[at] @ self.rows[q]
+            score = exact_scores(rows[at], self.rows[q])
             if len(at) > 4 * self.k:  # only ties with the k-th best of these can matter beyond it
                 low = np.partition(score, len(score) - self.k)[len(score) - self.k]
                 at, score = at[score >= low], score[score >= low]
             score, vec = np.concatenate([self.score[q], score]), np.concatenate([self.vec[q], ids[at]])
-            order = np.lexsort((vec, -score))[:self.k]
+            order = np.lexsort((vec, ~score))[:self.k]
             self.score[q], self.vec[q] = score[order], vec[order]
 
     def rows_out(self) -> list[np.ndarray]:
-        q, j = np.nonzero(np.isfinite(self.score))
-        return [self.ids[q], self.vec[q, j], self.score[q, j].astype(np.int64)]
+        q, j = np.nonzero(self.score != _NONE)
+        return [self.ids[q], self.vec[q, j], self.score[q, j]]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -95,8 +117,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     """query_id, rank (from 1), vec_id, score: the k highest inner products of every query with all rows but its own.
 
     Scores are of ``floor(scale * component)``, whole numbers, so they are exact; ties go to the smaller id.
-    Vectors that are null, or hold null or non-finite components, take no part, nor do those of another
-    dimension than the smallest id's.  Fewer than k other rows: all of them.  Rows repeated under other ids
+    Vectors that are null or empty, or hold null or non-finite components, take no part; vectors of several lengths, components of 2^62 and more after scaling and
+    scores beyond 64 bits are errors.  Fewer than k other rows: all of them.  Rows repeated under other ids
     count each.  Other columns are ignored; no queries or an empty table give an empty result.
 
     Every block of queries has to meet every tile, so blocks and tiles are spread over keys of their
@@ -105,12 +127,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     spark = vectors.sparkSession
     ints = quantized(F.col(vec_col), scale)
     rows = keep(vectors.select(F.col(id_col).cast("long").alias("id"), ints.alias("ints"), is_query.alias("asks")).where("ints is not null and size(ints) > 0"), "vectors")
-    head = rows.agg(F.min_by(F.size("ints"), "id").alias("dim"), F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    head = rows.agg(F.min(F.size("ints")).alias("dim"), F.max(F.size("ints")).alias("most"), F.max(F.array_max(F.transform("ints", lambda x: F.abs(x)))).alias("largest"), F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     out = "query_id long, vec_id long, score long"
     if not head["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = head["dim"]
-    rows = rows.where(F.size("ints") == dim)
+    if dim != head["most"]:
+        raise ValueError("vectors of several lengths have no inner product")
+    kind = "<i4" if head["largest"] < 1 << 31 else "<i8"  # bytes of a number on the way
     energy, basis = np.linalg.eigh(_gram(rows, dim))
     basis = np.ascontiguousarray(basis[:, np.argsort(-energy)])
     lead_ = min(lead, dim)
@@ -123,8 +147,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
                 if len(part):
                     x = _matrix(part.column(1), dim)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([float((x ** 2).sum(axis=1).max())]), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()),
-                         pa.array([x.astype("<i4").tobytes()], pa.binary())], ["longest", "ids", "ints"])
+                        [pa.array([float((x.astype(np.float64) ** 2).sum(axis=1).max())]), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()),
+                         pa.array([x.astype(kind).tobytes()], pa.binary())], ["longest", "ids", "ints"])
 
     form = "longest double, ids binary, ints binary"
     norm = F.aggregate("ints", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
@@ -138,7 +162,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         "blk", "lane", F.lit(float("inf")).alias("longest"), "id", "ints", F.lit(None).cast("binary").alias("ids_b"), F.lit(None).cast("binary").alias("ints_b"))
     visits = tiles.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(
         "blk", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), "longest", F.lit(None).cast("long").alias("id"),
-        F.lit(None).cast("array<int>").alias("ints"), F.col("ids").alias("ids_b"), F.col("ints").alias("ints_b"))
+        F.lit(None).cast("array<bigint>").alias("ints"), F.col("ids").alias("ids_b"), F.col("ints").alias("ints_b"))
     placed = queries.unionByName(visits).repartition(n_blocks * lanes, "blk", "lane").sortWithinPartitions("blk", "lane", F.col("longest").desc(), "id")
     shared = spark.sparkContext.broadcast(basis)  # dim x dim
 
@@ -159,9 +183,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
                     asked[1].append(ints_)
                     continue
                 if block_ is None:
-                    block_ = _Block(np.array(asked[0]), np.array(asked[1], dtype=np.float64), turn, k, lead_) if asked[0] else None
+                    block_ = _Block(np.array(asked[0]), np.array(asked[1], dtype=np.int64), turn, k, lead_) if asked[0] else None
                 if block_ is not None:
-                    block_.meet(np.frombuffer(ids_b, dtype=np.int64), np.frombuffer(ints_b, dtype="<i4").astype(np.float64).reshape(-1, dim), turn)
+                    block_.meet(np.frombuffer(ids_b, dtype=np.int64), np.frombuffer(ints_b, dtype=kind).astype(np.int64).reshape(-1, dim), turn)
         yield from done()
 
     best = placed.mapInArrow(search, out)

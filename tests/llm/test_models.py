@@ -256,3 +256,25 @@ def test_inner_top_k(spark):
     few = df.where("vec_id < 4")
     assert sorted(map(tuple, inner_topk.top_k(few, F.col("vec_id") % 20 == 0).collect())) == brute_top({i: vectors[i] for i in range(4)}, 20, 64.0)
     assert inner_topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_scores_of_large_components_are_exact(spark):
+    rng = np.random.default_rng(9)
+    vectors = {i: [float(x) for x in rng.integers(-16_000_000, 16_000_000, 8)] for i in range(60)} | {60: [3e7] + [1.0] * 7, 61: [2.0 ** 20] * 8}
+    df = spark.createDataFrame([(i, v, 0) for i, v in vectors.items()], "vec_id long, embedding array<double>, label int").repartition(3)
+    for scale in (1.0, 64.0):
+        whole = {i: [math.floor(scale * x) for x in v] for i, v in vectors.items()}
+        wanted = []
+        for q in range(0, 62, 20):
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:20]
+            wanted += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+        got = inner_topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, scale=scale, block=2, tile=9)
+        assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    x, q = np.array([[1 << 40, -5], [7, 1 << 33]], dtype=np.int64), np.array([(1 << 22) + 1, 3], dtype=np.int64)
+    assert inner_topk.exact_scores(x, q).tolist() == [(1 << 40) * ((1 << 22) + 1) - 15, 7 * ((1 << 22) + 1) + 3 * (1 << 33)]
+    with pytest.raises(ValueError):
+        inner_topk.exact_scores(np.array([[1 << 40]]), np.array([1 << 40]))
+    with pytest.raises(Exception, match="too large"):
+        inner_topk.top_k(df.limit(1).withColumn("embedding", F.array(F.lit(1e300))), F.lit(True)).collect()
+    with pytest.raises(ValueError):
+        inner_topk.top_k(df.unionByName(df.limit(1).withColumn("embedding", F.array(F.lit(1.0)))), F.lit(True))
