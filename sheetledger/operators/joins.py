@@ -218,31 +218,35 @@ MAX_MERGE_SPAN, SCALE_TOLERANCE, MIN_MATCH_GAPS = 3, 0.02, 5
 _STEP = 0.0203  # a little more than ln(1 / 0.98): close values fall in the same or the next bucket
 
 
-@F.pandas_udf(T.StructType([T.StructField("paths", T.LongType()), T.StructField("end", T.IntegerType())]))
+@F.pandas_udf(T.StructType([T.StructField("paths", T.LongType()), T.StructField("end", T.IntegerType()), T.StructField("spans", T.ArrayType(T.IntegerType()))]))
 def _walk(target: pd.Series, anchor: pd.Series, start: pd.Series) -> pd.DataFrame:
-    """Ways to lay ``target`` on ``anchor`` from ``start`` on, and where the last one ends."""
+    """Ways to lay ``target`` on ``anchor`` from ``start`` on, where the last one ends, and how many anchor gaps each target gap takes on the way there."""
     out = []
     for gaps, base, first in zip(target, anchor, start):
-        ways = {int(first): 1}
+        ways: dict[int, tuple[int, list[int]]] = {int(first): (1, [])}
         for gap in gaps:
-            nxt: dict[int, int] = {}
-            for pos, n in ways.items():
+            nxt: dict[int, tuple[int, list[int]]] = {}
+            for pos, (n, taken) in ways.items():
                 total = 0.0
                 for w in range(1, MAX_MERGE_SPAN + 1):
                     if pos + w > len(base):
                         break
                     total += base[pos + w - 1]
                     if abs(gap - total) <= total * SCALE_TOLERANCE:
-                        nxt[pos + w] = nxt.get(pos + w, 0) + n
+                        more = nxt.get(pos + w)
+                        nxt[pos + w] = (n + more[0], more[1]) if more else (n, [*taken, w])
             ways = nxt
             if not ways:
                 break
-        out.append((sum(ways.values()), max(ways, default=-1)))
-    return pd.DataFrame(out, columns=["paths", "end"])
+        end = max(ways, default=-1)
+        out.append((sum(n for n, _ in ways.values()), end, ways[end][1] if ways else []))
+    return pd.DataFrame(out, columns=["paths", "end", "spans"])
 
 
 def match_gaps(targets: DataFrame, anchors: DataFrame, min_gaps: int = MIN_MATCH_GAPS) -> DataFrame:
-    """Target gap sequences with exactly one place over *all* anchors: target_id, anchor_id, start, end.
+    """Target gap sequences with exactly one place over *all* anchors: target_id, anchor_id, start, end, spans, scale_ratio.
+
+    ``spans`` says how many anchor gaps each target gap took, ``scale_ratio`` is the target's length over the length of these.
 
     ``targets``: target_id, gaps; ``anchors``: anchor_id, gaps (arrays of positive numbers; adjacent
     anchor gaps may merge).  Equal sequences are folded first — two equal anchors make any hit
@@ -276,6 +280,32 @@ def match_gaps(targets: DataFrame, anchors: DataFrame, min_gaps: int = MIN_MATCH
              .select("gaps", "base", "start", "anchor_id", "_copies").dropDuplicates(["gaps", "base", "start"]))
     hits = (cands.withColumn("_w", _walk("gaps", "base", "start")).where("_w.paths > 0")
             .groupBy("gaps").agg(F.sum(F.col("_w.paths") * F.col("_copies")).alias("_n"), F.min("anchor_id").alias("anchor_id"),
-                                 F.min("start").alias("start"), F.min("_w.end").alias("end"))
+                                 F.min("start").alias("start"), F.min("_w.end").alias("end"), F.min("_w.spans").alias("spans"), F.min("base").alias("base"))
             .where("_n = 1"))
-    return targets.join(hits, "gaps").select("target_id", "anchor_id", "start", "end")
+    whole = lambda c: F.aggregate(c, F.lit(0.0), lambda a, g: a + g)
+    ratio = whole(F.col("gaps")) / whole(F.slice("base", F.col("start") + 1, F.col("end") - F.col("start")))
+    return targets.join(hits, "gaps").select("target_id", "anchor_id", "start", "end", "spans", ratio.alias("scale_ratio"))
+
+
+# A ratio further from 1 than this is to be looked at.
+SCALE_RATIO_REVIEW = 0.01
+
+
+def propagate_zones(candidates: DataFrame, anchors: DataFrame, confirmed: DataFrame | None = None, review: float = SCALE_RATIO_REVIEW) -> DataFrame:
+    """Zone labels of anchors for the candidates whose gaps lie in one place only: drawing_id, zone_index, zone_label, anchor_drawing_id, anchor_zone_index,
+    scale_ratio, needs_review.
+
+    ``candidates`` (drawing_id, zone_index, gaps); ``anchors`` (drawing_id, zone_index, direction, zone_label, gaps).  Drawings that are anchors, and zones in ``confirmed``
+    (drawing_id, zone_index), get none.  A ratio further than ``review`` from 1 marks a label for review, it does not reject it.  A candidate's zone may have
+    several sequences; each is matched by itself.
+    """
+    open_ = candidates.join(anchors.select("drawing_id").distinct(), "drawing_id", "left_anti")
+    if confirmed is not None:
+        open_ = open_.join(confirmed.select("drawing_id", "zone_index"), ["drawing_id", "zone_index"], "left_anti")
+    number = F.struct("drawing_id", "zone_index", "direction")
+    library = anchors.select(number.alias("anchor_id"), F.col("gaps").cast("array<double>").alias("gaps"))
+    places = match_gaps(open_.select(F.struct("drawing_id", "zone_index").alias("target_id"), F.col("gaps").cast("array<double>").alias("gaps")), library)
+    labels = anchors.select(number.alias("anchor_id"), F.trim(F.coalesce("zone_label", F.lit(""))).alias("zone_label"))
+    return places.join(labels, "anchor_id").select(
+        "target_id.drawing_id", "target_id.zone_index", "zone_label", F.col("anchor_id.drawing_id").alias("anchor_drawing_id"), F.col("anchor_id.zone_index").alias("anchor_zone_index"),
+        F.round("scale_ratio", 4).alias("scale_ratio"), (F.abs(F.col("scale_ratio") - 1) > review).alias("needs_review"))

@@ -79,6 +79,21 @@ def parse_measures(spark, d):
             .agg(F.count("*").alias("n"), F.round(F.sum("m.value"), 3).alias("total")))
 
 
+@query("STR-05", r"""
+with t as (select l_linenumber as line, case l_linenumber when 1 then '标高' || (l_quantity::int - 20) || '.' || (l_partkey % 900 + 100) when 2 then '窗顶标高' || l_quantity::int || '.100，窗底标高42.350' when 3 then '地下' || (l_quantity::int % 9 + 1) || '层'
+  when 4 then '大厅' || l_quantity::int || 'F' when 5 then case when l_partkey % 2 = 0 then '审核' else 'Drawing  No.' end when 6 then '办公室' || l_partkey % 10 else l_quantity::int || '厚防水层' end as t from lineitem)
+select case line when 1 then 'elevation' when 2 then 'note' when 3 then 'level_name' when 4 then 'level_name' when 5 then 'title_block_label' when 6 then 'room_name' else 'construction_layer' end as kind, count(*) as n,
+  round(sum(case when line = 1 then replace(t, '标高', '')::double when line = 7 then replace(t, '厚防水层', '')::double end), 3) as total from t group by 1""")
+def short_texts(spark, d):
+    """Kinds of Chinese notes: levels against prose, storeys with and without a place, title-block labels, rooms, layers."""
+    q, line, part = F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.col("l_partkey")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    text = (F.when(line == 1, say("标高", q - 20, ".", part % 900 + 100)).when(line == 2, say("窗顶标高", q, ".100，窗底标高42.350")).when(line == 3, say("地下", q % 9 + 1, "层"))
+            .when(line == 4, say("大厅", q, "F")).when(line == 5, F.when(part % 2 == 0, "审核").otherwise("Drawing  No.")).when(line == 6, say("办公室", part % 10)).otherwise(say(q, "厚防水层")))
+    return (read_table(spark, d, "lineitem").select(S.parse_measures(text).alias("m")).groupBy("m.kind")
+            .agg(F.count("*").alias("n"), F.round(F.sum("m.value"), 3).alias("total")))
+
+
 @query("STR-06", r"""
 with u as (select page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) as f0, url from pages),
 s as (select page_id, regexp_replace(coalesce(regexp_extract(url, '^https?://([^?#]*)', 1), ''), '\.[A-Za-z0-9]{1,5}$', '') as stem from u),

@@ -409,3 +409,15 @@ def gap_sequence_match(spark, d):
     merged = F.array_compact(F.concat(F.array(F.get("gaps", F.lit(1)) + F.get("gaps", F.lit(2))), F.slice("gaps", 4, F.size("gaps"))))
     targets = lines.select(F.col("l_orderkey").alias("target_id"), merged.alias("gaps"))
     return J.match_gaps(targets, anchors)
+
+
+@query("JOI-24")
+def zone_propagation(spark, d):
+    """Zone labels of customers' longest-known sheets for orders whose gaps lie on one of them only, with scale and review mark."""
+    lines = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_quantity"))), lambda s: s["l_quantity"]).alias("gaps"))
+    anchors = lines.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("drawing_id"), F.lit(0).alias("zone_index"), F.lit("x").alias("direction"),
+                                                       F.concat(F.lit("Z"), F.col("l_orderkey") % 7).alias("zone_label"), "gaps")
+    scaled = F.transform("gaps", lambda g: g * (1 + (F.col("l_orderkey") % 3) * 0.006))
+    candidates = lines.select((-F.col("l_orderkey")).alias("drawing_id"), F.lit(0).alias("zone_index"), scaled.alias("gaps"))
+    return J.propagate_zones(candidates, anchors)
