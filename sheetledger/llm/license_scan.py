@@ -1,6 +1,7 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text.  Tokens are ordered by how many blocks of the whole table hold them, rarest
+A block is a window of words, line ends or not: twice as many as the longest template has, and every so many words a new one
+starts, so whatever is as long as a template lies whole in one.  Tokens are ordered by how many blocks of the whole table hold them, rarest
 first.  A block that holds the threshold's share of a template's tokens shares one of the template's first
 tokens (prefix filter), has enough tokens itself (length filter), and from the place of the
 shared token on both sides enough tokens are left (positional filter).  Only pairs that pass are counted out.
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from ..operators.common import literal_table
 from .common import keep
 
-#: What separates words, after lower-casing A-Z, but for the line end.
-_GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words, after lower-casing A-Z.
+_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,8 +33,10 @@ def lowered(text: Column) -> Column:
     return F.when(odd, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+def _windows(words: Column, stride: int) -> Column:
+    """Runs of twice ``stride`` words, one from every ``stride``-th word on."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride))
+    return F.transform(starts, lambda i: F.slice(words, i + 1, F.lit(2 * stride)))
 
 
 def _places(words: Column, whole: Column, phrase: Sequence[str]) -> Column:
@@ -57,8 +60,8 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]], templates: Sequenc
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every document.
 
     ``phrases``: (words, label), found wherever the words stand one after another, also over line ends and overlapping;
-    ``templates``: (words, label), found in every line that holds at least ``threshold`` of the template's
-    distinct tokens.  Labels are distinct, sorted and joined by commas ('' without any); ``score`` is the best share of a template
+    ``templates``: (words, label), found in every window (twice the words of the longest template) that holds at least ``threshold`` of the template's
+    distinct tokens, so over line ends, too.  Labels are distinct, sorted and joined by commas ('' without any); ``score`` is the best share of a template
     found, 1 with a phrase, 0 without anything.  Null counts as empty; a document without words has null places.
     Other columns are ignored; an empty table gives an empty result.  Ids are unique and not null.
     """
@@ -68,19 +71,19 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]], templates: Sequenc
     vocab = F.array(*[F.lit(t) for t in vocabulary]).cast("array<string>")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.regexp_replace(lowered(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), _GAPS, " ").alias("_t"))
-    lined = plain.select("doc_id", "_t", F.transform(F.split("_t", "\n"), _words).alias("_l"))
-    worded = lined.select("doc_id", "_t", "_l", F.flatten("_l").alias("_w"))
+    stride = max((len(words.split()) for words, _ in templates), default=1)
+    worded = plain.select("doc_id", "_t", F.filter(F.split("_t", " "), lambda w: w != "").alias("_w"))
     placed = worded.select(
         "doc_id", F.size("_w").cast("long").alias("n_words"),
         *[_places(F.col("_w"), F.col("_t"), words.split()).alias(f"_p{i}") for i, (words, _) in enumerate(phrases)],
-        F.filter(F.transform("_l", lambda ws: F.struct(F.size(ws).alias("size"), F.array_intersect(ws, vocab).alias("hits"))),
+        F.filter(F.transform(_windows(F.col("_w"), stride), lambda ws: F.struct(F.size(ws).alias("size"), F.array_intersect(ws, vocab).alias("hits"))),
                  lambda b: F.size(b["hits"]) > 0).alias("blocks"))
     found = [F.col(f"_p{i}") for i in range(len(phrases))]
     every = F.flatten(F.array(*found)) if found else F.array().cast("array<int>")
     names = F.array_compact(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, (_, label) in zip(found, phrases)])) if found else F.array()
     scanned = keep(placed.select(
         "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(names.cast("array<string>"))).alias("base"), "blocks"), "lines")
+        F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(names.cast("array<string>"))).alias("base"), "blocks"), "windows")
 
     blocks = scanned.select("doc_id", F.posexplode("blocks").alias("block", "_b")).select("doc_id", "block", "_b.size", "_b.hits")
     # one row per template token: bounded by the templates

@@ -109,7 +109,8 @@ TEMPLATES = (("released under the mit license", "mit"), ("licensed under the apa
 
 
 def _license_sql() -> str:
-    """The scan by list functions: places of phrases in the words, and each line's tokens against each template."""
+    """The scan by list functions: places of phrases in the words, and each window's tokens against each template."""
+    stride = max(len(words.split()) for words, _ in TEMPLATES)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     places, labels = [], []
     for phrase, label in PHRASES:
@@ -121,8 +122,8 @@ def _license_sql() -> str:
     return f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS words FROM t),
-p AS (SELECT doc_id, t, len(words) AS n_words, list_concat({", ".join(places)}) AS spots, list_filter([{", ".join(labels)}], lambda x: x IS NOT NULL) AS base FROM w),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS have FROM p),
+p AS (SELECT doc_id, words, len(words) AS n_words, list_concat({", ".join(places)}) AS spots, list_filter([{", ".join(labels)}], lambda x: x IS NOT NULL) AS base FROM w),
+l AS (SELECT doc_id, list_distinct(unnest(list_transform(range(0, greatest(len(words), 1), {stride}), lambda i: words[i + 1:i + {2 * stride}]))) AS have FROM p),
 s AS (SELECT doc_id, unnest([{shares}]) AS hit FROM l),
 b AS (SELECT doc_id, list(DISTINCT hit.label) AS more, max(hit.share) AS share FROM s WHERE hit.share >= 0.8 GROUP BY 1)
 SELECT p.doc_id, n_words, len(spots) AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word,
@@ -133,7 +134,7 @@ FROM p LEFT JOIN b ON b.doc_id = p.doc_id"""
 
 @_query(_license_sql())
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases of all texts by place, and the labels of lines like a template."""
+    """License phrases of all texts by place, and the labels of passages like a template."""
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, TEMPLATES)
 
 

@@ -109,8 +109,9 @@ def brute_scan(text):
         at = [k for k in range(len(words) - len(p) + 1) if words[k:k + len(p)] == p]
         starts += at
         base |= {label} if at else set()
-    for line in t.split("\n"):
-        have = set(re.findall(cut, line))
+    stride = max(len(words_.split()) for words_, _ in TEMPLATES)
+    for start in range(0, len(words), stride):
+        have = set(words[start:start + 2 * stride])
         for words_, label in TEMPLATES:
             share = len(have & set(words_.split())) / len(set(words_.split()))
             if share >= 0.8:
@@ -121,10 +122,12 @@ def brute_scan(text):
 
 def test_license_scan(documents):
     texts = [*HARD, "Released under the MIT License.", "x under\nthe mit, license under the MIT license", "cc by nc cc-by-NC 4.0", "This work is licensed under GNU general public license, version 3",
-             "licensed under the Apache software License Version 2.0", "under the \u212aMIT license", "\u0130 UNDER THE MIT LICENSE", "public license version 3 gnu general work is", "APACHE LICENSE VERSION 2" * 2]
+             "licensed under the Apache software License Version 2.0", "under the \u212aMIT license", "\u0130 UNDER THE MIT LICENSE", "public license version 3 gnu general work is", "APACHE LICENSE VERSION 2" * 2,
+             "This work is licensed under the GNU General\nPublic License, version 3", "Licensed under the\nApache software License,\nVersion 2.0", "some other words " * 9 + "licensed under CC\n\nBY the NC 4.0"]
     for df in (documents(texts), documents(texts, extra=True).repartition(3)):
         got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.scan(df, PHRASES, TEMPLATES).collect()}
         assert got == {i: brute_scan(t) for i, t in enumerate(texts)}
+        assert [got[len(texts) - 3 + i][5] for i in range(3)] == ["gpl-3", "apache-2", "cc-by-nc"]
     assert license_scan.scan(documents([]), PHRASES, TEMPLATES).count() == 0
     assert [r["labels"] for r in license_scan.scan(documents(["a b a b a"]), [("a b a", "x")], []).collect()] == ["x"]
 
