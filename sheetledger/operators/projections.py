@@ -196,7 +196,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Mapping[str, Any]], keys: Sequenc
     for rule in rules:
         fired.append(F.when(condition(df, rule.get("condition", {})), F.struct(
             F.lit(rule.get("id", "")).alias("rule_id"),
-            F.lit(ENGINE_RULE_SEVERITY.get(rule.get("severity", "info"), "info")).alias("severity"),
+            F.lit(rule["severity"] if rule.get("severity") in RULE_SEVERITIES else "info").alias("severity"),
             F.lit(rule.get("category", "")).alias("category"),
             fmt(df, rule.get("message", rule.get("name", ""))).alias("message"),
             fmt(df, rule.get("suggestion", "")).alias("suggestion"),
@@ -206,4 +206,4 @@ def apply_rules(df: DataFrame, rules: Sequence[Mapping[str, Any]], keys: Sequenc
 
 
 # Severities a rule may name.
-ENGINE_RULE_SEVERITY = {"critical": "critical", "major": "major", "minor": "minor", "info": "info"}
+RULE_SEVERITIES = ("critical", "major", "minor", "info")

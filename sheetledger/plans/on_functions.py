@@ -103,7 +103,7 @@ select page_id, case when num <> '' then num else stem end as number,
   case when regexp_matches(stem, '(?i)/en') then 'plan' when regexp_matches(stem, '(?i)/fr') then 'section' else 'unknown' end as view from n""")
 def parse_filename(spark, d):
     name = F.regexp_extract("url", r"^https?://([^?#]*)", 1)
-    parsed = S.parse_name(name, (("structure", r"m\.|www"),), (("mep", "blog"), ("architecture", "org|net")), (("plan", "(?i)/en"), ("section", "(?i)/fr")),
+    parsed = S.parse_name(name, (("structure", (r"m\.", "www")),), (("mep", ("blog",)), ("architecture", ("org", "net"))), (("plan", "(?i)/en"), ("section", "(?i)/fr")),
                           numbers=(r"[A-Za-z]{1,4}[-_ ]?\d{1,4}",))
     return read_table(spark, d, "pages").select("page_id", parsed.alias("p")).select("page_id", "p.number", "p.discipline", "p.view")
 
