@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from sheetledger.operators import evaluation as V
 from sheetledger.operators import joins as J
