@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.aggs import noisy_or, unanimous
 from ..operators import assembly as B
-from ..operators import axis_frames as X
 from ..operators import consensus as C
 from ..sources.tables import read_table
 from .catalog import query
@@ -121,30 +120,6 @@ def frame_clusters(spark, d):
     return C.frames(rows, "zone", "user_id", "label", "value", 30.0)
 
 
-def _sheet_axes(spark, d):
-    """Axes of sheets in both directions: customers' sheets of a nation's building, whose origins and, for some, grids differ."""
-    orders = read_table(spark, d, "orders").join(read_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    axis = F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("y")
-    number = F.floor(F.col("o_orderkey") / 32) % 12
-    module = F.when(F.col("c_custkey") % 5 == 0, 11.0).otherwise(8.0)
-    return orders.select(F.col("c_nationkey").alias("building"), F.col("c_custkey").alias("sheet"), axis.alias("axis"), number.cast("string").alias("label"),
-                         (number * module + F.col("c_custkey") % 977 + (F.col("o_totalprice") % 1) * 0.2).alias("pos"))
-
-
-@query("AGG-29")
-def joint_frames(spark, d):
-    """Frames of all buildings, with the offset of every sheet in its frame."""
-    members, _ = X.joint_frames(_sheet_axes(spark, d), "building", "sheet", "axis", "label", "pos")
-    return members.withColumnRenamed("group", "building").withColumnRenamed("source", "sheet")
-
-
-@query("AGG-29")
-def frame_registration(spark, d):
-    """Shifts of all frames of a building against its largest one."""
-    members, axes = X.joint_frames(_sheet_axes(spark, d), "building", "sheet", "axis", "label", "pos")
-    return X.register(axes, members.groupBy("group", "frame").agg(F.count("*").alias("n"))).withColumnRenamed("group", "building")
-
-
 @query("AGG-30", """
 with s as (select l_orderkey % 50 as grp, l_orderkey, max(l_extendedprice * l_discount) - min(l_extendedprice * l_discount) as span from lineitem group by 1, 2),
 m as (select grp, median(span) as md, count(*) as n from s where span > 0 group by 1)
