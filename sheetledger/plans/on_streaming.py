@@ -87,6 +87,26 @@ def sliding_cost(spark, d):
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
+@query("STM-04", """
+with w as (select date_trunc('day', ts) - to_days(i::int) as start, event_type, value from events, range(0, 7) r(i)), m as (select max(ts) - interval 2 hours as mark, date_trunc('day', max(ts) - interval 2 hours) as pane from events)
+select strftime(start, '%Y-%m-%d') as start, event_type, count(*) as calls, count(*) filter (where value > 60) as errors, sum(value::decimal(28,4))::double as cost from w, m where start + interval 7 days <= pane group by 1, 2""")
+def trailing_cost(spark, d):
+    """Closed windows of seven days, from panes of a day."""
+    out = S.cost_trailing(S.event_stream(spark, d), "ts", "event_type", F.col("value"), F.col("value") > 60, "7 days", "1 day")
+    return drain(out, scratch(spark, "trailing")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+@query("STM-05", """
+with g as (select user_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) >= 6 * 3600000000 as brk from events),
+s as (select *, sum(coalesce(brk, true)::int) over (partition by user_id order by ts) as sid from g),
+e as (select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) + 6 * 3600000000 as end_us, count(*) as actions from s group by user_id, sid)
+select * from e where end_us // 1000 <= (select epoch_ms(max(ts)) from events) - 2 * 3600000""")
+def closed_sessions(spark, d):
+    """Sessions that the watermark has passed: each comes out once and leaves the state."""
+    out = drain(S.sessions(S.event_stream(spark, d), "user_id", "ts", "6 hours"), scratch(spark, "closed"))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "actions")
+
+
 @query("STM-05", """
 with g as (select user_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) >= 6 * 3600000000 as brk from events),
 s as (select *, sum(coalesce(brk, true)::int) over (partition by user_id order by ts) as sid from g)

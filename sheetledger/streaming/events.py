@@ -110,8 +110,24 @@ def cost_sliding(stream: DataFrame, ts: str, key: str, cost: Column, failed: Col
     return out.select(F.col("window.start").alias("start"), key, "calls", "errors", "cost")
 
 
+def cost_trailing(stream: DataFrame, ts: str, key: str, cost: Column, failed: Column, size: str = "30 days", step: str = "1 day",
+                  late: str = "2 hours") -> DataFrame:
+    """Trailing windows from panes, for append mode: closed windows only, each once.
+
+    A first stateful step sums rows per pane of one step, a second one deals out closed panes to the windows over them.  An event
+    is counted in one pane, however many windows are open; only a pane's single row is repeated.
+    """
+    panes = _costs(stream.withWatermark(ts, late).groupBy(F.window(ts, step), key), cost, failed)
+    sums = panes.groupBy(F.window(F.window_time("window"), size, step), key).agg(
+        F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.sum(F.col("cost").cast("decimal(28,4)")).cast("double").alias("cost"))
+    return sums.select(F.col("window.start").alias("start"), key, "calls", "errors", "cost")
+
+
 def sessions(stream: DataFrame, who: str, ts: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    """Work sessions of a reviewer: a gap longer than the limit starts a new one."""
+    """Work sessions of a reviewer: a gap longer than the limit starts a new one.
+
+    In append mode a session comes out once, when the watermark has passed its end, and leaves the state; in complete mode all stay.
+    """
     grouped = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), who).agg(F.count("*").alias("actions"))
     return grouped.select(who, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "actions")
 

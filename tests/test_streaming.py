@@ -30,6 +30,24 @@ def test_windows_drop_rows_later_than_the_watermark(spark, tmp_path):
     assert rows(out, "start", "calls", "cost") == [(at(), 1, 1.0), (at(days=3), 1, 4.0), (at(days=3), 2, 5.0)]
 
 
+def test_trailing_windows_count_an_event_in_one_pane(spark, tmp_path):
+    parts = [[(at(hours=1), "a", 1.0), (at(hours=5), "a", 2.0)], [(at(days=1, hours=2), "a", 60.0)], [(at(days=6), "b", 4.0)], [(at(hours=2), "a", 100.0)], [(at(days=9), "b", 8.0)]]
+    schema = "ts timestamp, k string, v double"
+    out = drain(S.cost_trailing(feed(spark, str(tmp_path / "in"), parts, schema), "ts", "k", F.col("v"), F.col("v") > 50, "3 days", "1 day"), str(tmp_path / "t"))
+    closed = {(k, at(days=d)): (n, e, c) for k, d, n, e, c in [("a", -2, 2, 0, 3.0), ("a", -1, 3, 1, 63.0), ("a", 0, 3, 1, 63.0), ("a", 1, 1, 1, 60.0), ("b", 4, 1, 0, 4.0), ("b", 5, 1, 0, 4.0)]}
+    got = {(r.k, r.start): (r.calls, r.errors, r.cost) for r in out.collect()}
+    assert got == closed and out.count() == len(closed)
+
+
+def test_closed_sessions_come_out_once_and_leave_the_state(spark, tmp_path):
+    parts = [[("a", at(minutes=1)), ("a", at(minutes=20)), ("b", at(minutes=5))], [("a", at(minutes=45))], [("b", at(hours=9))], [("b", at(hours=10))]]
+    stream = S.sessions(feed(spark, str(tmp_path / "in"), parts, "who string, ts timestamp"), "who", "ts")
+    out = drain(stream, str(tmp_path / "s"))
+    assert rows(out, "who", "start", "actions") == [("a", at(minutes=1), 3), ("b", at(minutes=5), 1)]
+    state = spark.read.format("statestore").load(str(tmp_path / "s" / "checkpoint"))
+    assert {r.who for r in state.select("key.who").collect()} == {"b"}  # what is open alone
+
+
 def test_suggestions_equal_the_batch_twin(spark, tmp_path):
     def part(day, built=()):
         return [(p, at(days=day, hours=h), "changed") for p in (1, 2) for h in range(3)] + [(p, at(days=day, hours=1, minutes=30), "built") for p in built]
