@@ -216,13 +216,30 @@ def overlapping(a: DataFrame, b: DataFrame, a_id: str, b_id: str, threshold: flo
     return joined.select(*keys, a_id, b_id, score.alias("iou")).where(F.col("iou") >= threshold)
 
 
+_UNITS = 10_000  # matched copies that one row is unfolded into
+
+
 def pair_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
-    """One-to-one pairs in falling IoU (ties by ids)."""
-    from .matching import one_to_one
+    """One-to-one pairs in falling IoU; of equal IoU the pair of the boxes that the smallest ids have comes first.
 
-    pairs = overlapping(a, b, a_id, b_id, threshold, keys)
-    cost = F.struct((-F.col("iou")).alias("c"), F.col(a_id), F.col(b_id))
-    return one_to_one(pairs, [*keys, a_id], [*keys, b_id], cost, cost)
+    Equal boxes of a side are one box with a number: copies meet and are matched as numbers, and only the matches are unfolded, the
+    copies of a box in the order of their ids.
+    """
+    from .matching import shared_out
+    from .ordered import numbered
+
+    corners = ["x0", "y0", "x1", "y1"]
+    kinds = [df.groupBy(*keys, *corners).agg(F.min(item).alias(kind), F.count("*").alias(room))
+             for df, item, kind, room in ((a, a_id, "_a", "_na"), (b, b_id, "_b", "_nb"))]
+    met = (overlapping(*kinds, "_a", "_b", threshold, keys).join(kinds[0].select(*keys, "_a", "_na"), [*keys, "_a"]).join(kinds[1].select(*keys, "_b", "_nb"), [*keys, "_b"]))
+    chosen = shared_out(met, [*keys, "_a"], [*keys, "_b"], F.struct((-F.col("iou")).alias("c"), F.col("_a"), F.col("_b")), "_na", "_nb")
+    # many copies of one pair: parts of a bounded size go to several tasks before they are unfolded
+    parts = chosen.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / _UNITS)))).repartition(*keys, "_a", "_b", "_c")
+    units = parts.withColumn("_t", F.explode(F.sequence(F.col("_c") * _UNITS, F.least(F.col("taken"), (F.col("_c") + 1) * _UNITS) - 1)))
+    for df, item, kind, kinds_of, start in ((a, a_id, "_a", kinds[0], "from_a"), (b, b_id, "_b", kinds[1], "from_b")):
+        items = numbered(df.select(*keys, *corners, item), [*keys, *corners], [item], "_rank").join(kinds_of.select(*keys, *corners, kind), [*keys, *corners])
+        units = units.withColumn("_rank", F.col(start) + F.col("_t") + 1).join(items.select(*keys, kind, "_rank", item), [*keys, kind, "_rank"]).drop("_rank")
+    return units.select(*keys, a_id, b_id, "iou")
 
 
 def row_pairs(names: DataFrame, values: DataFrame, keys: Sequence[str], row_tol: float = SAME_ROW_TOLERANCE,

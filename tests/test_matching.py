@@ -37,6 +37,35 @@ def test_iou_pairing_is_the_greedy_choice(spark):
     assert got == want and want
 
 
+def test_copies_of_boxes_are_matched_as_numbers(spark, monkeypatch):
+    rnd = random.Random(3)
+    monkeypatch.setattr(S, "_UNITS", 3)  # matches of one pair in several parts
+    places = [(x * 2.0, y * 2.0, x * 2.0 + 4, y * 2.0 + 4) for x in range(4) for y in range(3)]
+    for n, m in ((60, 45), (0, 5)):
+        a, b = [(i, *rnd.choice(places)) for i in range(n)], [(i, *rnd.choice(places)) for i in range(m)]
+        left, right = spark.createDataFrame(a, BOX).withColumnRenamed("id", "ia"), spark.createDataFrame(b, BOX).withColumnRenamed("id", "ib")
+        got = {(r.ia, r.ib) for r in S.pair_boxes(left, right, "ia", "ib", 0.3).collect()}
+        first = lambda box, side: min(x[0] for x in side if x[1:] == box[1:])
+        used_a, used_b, want = set(), set(), set()
+        for *_, i, j in sorted((-iou(x, y), first(x, a), first(y, b), x[0], y[0]) for x in a for y in b if iou(x, y) >= 0.3):
+            if i not in used_a and j not in used_b:
+                used_a.add(i), used_b.add(j), want.add((i, j))
+        assert got == want and len(want) == min(n, m, len(want))
+
+
+def test_a_hundred_copies_on_both_sides_meet_once(spark):
+    copies = [(i, 1.0, 1.0, 5.0, 5.0) for i in range(100)]
+    side = lambda name: spark.createDataFrame(copies, BOX).withColumnRenamed("id", name)
+    met = []
+    plain = S.overlapping
+    try:
+        S.overlapping = lambda *args: met.append(plain(*args)) or met[-1]
+        got = rows(S.pair_boxes(side("ia"), side("ib"), "ia", "ib", 0.5))
+    finally:
+        S.overlapping = plain
+    assert got == [(i, i, 1.0) for i in range(100)] and met[0].count() == 1
+
+
 def test_tolerance_match_serves_confident_predictions_first(spark):
     rnd = random.Random(5)
     pred = [(i % 3, i, rnd.uniform(0, 20), rnd.random()) for i in range(60)]
