@@ -164,7 +164,7 @@ def brute_lm(train, texts):
     return {i: (len(tok(t)), sum(c[w] > 0 for w in tok(t)), sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok(t))) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("bound", [{}, {"words": 4, "shortlist": 3, "arcs": 5}])
+@pytest.mark.parametrize("bound", [{}, {"words": 4}])
 def test_backoff_lm_base_and_bounds(documents, bound):
     train = [*ENGLISH * 2, *HARD]
     texts = [*HARD, "the river zebra zebra", *ENGLISH]
@@ -180,15 +180,19 @@ def test_backoff_lm_base_and_bounds(documents, bound):
 
 def test_backoff_lm_probabilities_add_up(documents):
     """After any words, the next word's probabilities over all words, the end and one unknown word make one."""
-    model = backoff_lm.train(documents(ENGLISH * 4 + ["the river", "the garden"]))
-    machine = model.machine
-    unknown = math.log10(0.5 / (model.total + 0.5 * (model.kinds + 1)))
-    for before in ([], ["the"], ["the", "river"], ["zebra"], ["of", "the"]):
-        state = machine.start
-        for w in before:
-            state, _ = machine.step(state, machine.words.get(w.encode(), -1))
-        total = sum(10 ** machine.step(state, w)[1] for w in range(len(machine.unigram))) + 10 ** (machine.step(state, -1)[1] + unknown)
-        assert total == pytest.approx(1.0, abs=1e-9)
+    train = ENGLISH * 4 + ["the river", "the garden"]
+    model = backoff_lm.train(documents(train))
+    known = sorted({w for t in train for w in t.split()})
+    befores = ([], ["the"], ["the", "river"], ["zebra"], ["of", "the"])
+    texts = [" ".join([*before, w]).strip() for before in befores for w in [*known, "unseen"]] + [" ".join(before) for before in befores]
+    runs = backoff_lm.segments(documents(texts), "text", "doc_id").withColumn("shard", F.lit(0))
+    machine = backoff_lm.automaton(backoff_lm.slices(runs, model).toArrow())
+    number = lambda words: machine.numbers(backoff_lm._hashed([w.encode() for w in words]))
+    for before in befores:
+        state = machine.after(number([" "]))
+        for w in number(before):
+            state, _ = machine.step(state, w)
+        assert sum(10 ** machine.step(state, w)[1] for w in number([*known, "", "unseen"])) == pytest.approx(1.0, abs=1e-9)
 
 
 def brute_backoff(train, texts, discount=0.75):
@@ -229,9 +233,9 @@ def test_backoff_lm_scores_by_every_ngram(documents):
     filler = [" ".join(f"f{(i * 37 + j * 101) % 5000}" for j in range(300)) for i in range(60)]
     train = [*filler, *filler[:20], "rareone raretwo rarethree rarefour"] + ["oncea onceb oncec", None, "", "X y Z"] * 2
     texts = ["rareone raretwo rarethree rarefour", "raretwo rarethree zebra rarefour", "onceb oncec oncea onceb", "zebra zebra", None, "x Y z", *filler[:3], "f1 f102 rareone raretwo"]
-    for bound in ({}, {"words": 4, "shortlist": 3, "arcs": 5}):
+    for bound, cuts in (({}, {}), ({"words": 4}, {"size": 7, "shard": 100})):  # one shard; short segments in many shards
         model = backoff_lm.train(documents(train, extra=True).repartition(3), **bound)
-        got = {r["doc_id"]: r["score"] for r in backoff_lm.score(documents(texts, extra=True).repartition(3), model).collect()}
+        got = {r["doc_id"]: r["score"] for r in backoff_lm.score(documents(texts, extra=True).repartition(3), model, **cuts).collect()}
         assert got == pytest.approx(brute_backoff(train, texts), abs=1e-6)
 
 
