@@ -11,45 +11,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, write_down
 
 
-def _blocks(df: DataFrame, key: str, vector: str, label: str, size: int, mark: str) -> DataFrame:
-    """Vectors packed into blocks of about ``size`` rows per label."""
-    counts = df.groupBy(label).agg(F.ceil(F.count("*") / size).alias("_n"))
-    placed = df.join(counts, label).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")))
-    return placed.groupBy(label, "_b").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v"))).alias(mark)).drop("_b")
+_PLANES, _SLACK = 16, 1e-5  # the slack covers scores that are equal after rounding
+
+
+def vector_blocks(df: DataFrame, key: str, vector: str, label: str, size: int) -> DataFrame:
+    """label, block, rows, centre, radius: vectors packed into blocks of about ``size`` rows per label, by direction.
+
+    A cell is a pattern of sides of fixed random planes, as many as the label's rows call for; a cell of many rows is several blocks.  Centre
+    and radius are those of the unit vectors (a zero vector stays zero).  The blocks are written down, as the search reads them more than once.
+    """
+    @F.pandas_udf("long")
+    def side(vectors: pd.Series) -> pd.Series:
+        if vectors.empty:
+            return pd.Series([], dtype=np.int64)
+        x = np.stack(vectors.to_list()).astype(np.float64)
+        planes = np.random.default_rng(7).normal(size=(x.shape[1], _PLANES))
+        return pd.Series((x @ planes > 0) @ (1 << np.arange(_PLANES)))
+
+    @F.pandas_udf("struct<centre:array<double>,radius:double>")
+    def ball(blocks: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows in blocks:
+            x = _unit(rows)
+            out.append((x.mean(axis=0), float(np.linalg.norm(x - x.mean(axis=0), axis=1).max())))
+        return pd.DataFrame(out, columns=["centre", "radius"])
+
+    bits = F.least(F.lit(_PLANES), F.greatest(F.lit(0), F.floor(F.log2(F.count("*") / size)))).cast("int")
+    counts = df.groupBy(label).agg(F.pow(F.lit(2), bits).cast("long").alias("_m"))
+    placed = df.select(label, F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("_r"), side(vector).alias("_side")).join(counts, label).withColumn("_cell", F.pmod("_side", "_m"))
+    cells = placed.groupBy(label, "_cell").agg(F.ceil(F.count("*") / size).alias("_n"))
+    placed = placed.join(cells, [label, "_cell"]).withColumn("block", F.shiftleft("_cell", 40) + F.pmod(F.xxhash64("_r.k"), F.col("_n")))
+    packed = placed.groupBy(label, "block").agg(F.collect_list("_r").alias("rows"))
+    return write_down(packed.withColumn("_b", ball("rows")).select(label, "block", "rows", "_b.centre", "_b.radius"))
+
+
+def _unit(rows: Sequence) -> np.ndarray:
+    x = np.array([r["v"] for r in rows], dtype=np.float64)
+    norm = np.linalg.norm(x, axis=1)[:, None]
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _scores(qs: Sequence, bs: Sequence, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of both blocks and all cosines, rounded; a query does not meet itself."""
+    qk, bk = np.array([q["k"] for q in qs]), np.array([b["k"] for b in bs])
+    qv, bv = np.array([q["v"] for q in qs], dtype=np.float64), np.array([b["v"] for b in bs], dtype=np.float64)
+    norm = np.linalg.norm(qv, axis=1)[:, None] * np.linalg.norm(bv, axis=1)[None, :]
+    score = np.round(np.divide(qv @ bv.T, norm, out=np.zeros_like(norm), where=norm > 0), 12)
+    return qk, bk, np.where(qk[:, None] == bk[None, :], -np.inf, score) if skip_self else score
+
+
+def meeting_blocks(queries: DataFrame, base: DataFrame, label: str, k: int, skip_self: bool = False) -> DataFrame:
+    """The pairs of blocks that can hold a hit: label, query_rows, base_rows.
+
+    Every query block first meets the base block of the nearest centre.  The farthest k-th neighbour found there is its reach, and a base block whose
+    ball lies beyond it, by the triangle inequality, is left out.
+    """
+    @F.pandas_udf("double")
+    def reach(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for qs, bs in zip(left, right):
+            score = _scores(qs, bs, skip_self)[2]
+            least = np.partition(score, -k, axis=1)[:, -k].min() if score.shape[1] >= k else -np.inf
+            out.append(float(np.sqrt(max(0.0, 2 - 2 * least))))
+        return pd.Series(out)
+
+    gap = F.sqrt(F.aggregate(F.zip_with("_qc", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    asked = queries.select(label, F.col("block").alias("_q"), F.col("centre").alias("_qc"))
+    nearest = asked.join(base.select(label, "block", "centre"), label).groupBy(label, "_q").agg(F.min_by("block", F.struct(gap.alias("g"), "block")).alias("block"))
+    left = queries.select(label, F.col("block").alias("_q"), F.col("rows").alias("query_rows"), F.col("centre").alias("_qc"), F.col("radius").alias("_qr"))
+    first = left.join(nearest, [label, "_q"]).join(base.select(label, "block", "rows"), [label, "block"])
+    reached = write_down(first.select(label, "_q", reach("query_rows", "rows").alias("_reach")))
+    return (left.join(reached, [label, "_q"]).join(base.withColumnRenamed("rows", "base_rows"), label)
+            .where(gap - F.col("_qr") - F.col("radius") <= F.col("_reach") + _SLACK).select(label, "query_rows", "base_rows"))
 
 
 def topk_cosine(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, k: int, query_block: int = 256,
                 base_block: int = 1024, skip_self: bool = False) -> DataFrame:
     """Exact k nearest vectors by cosine among those with the label of the query.
 
-    Both sides are packed into blocks and met by label; a block pair is one matrix product and gives
+    Both sides are packed into blocks by direction and met by label, unless their balls lie too far apart; a block pair is one matrix product and gives
     at most k hits per query, so pairs of rows are never materialized; the last cut uses a rank limit
-    that runs before the shuffle too.  A frequent label is many blocks, hence many tasks.
+    that runs before the shuffle too.  A frequent label is many blocks, hence many tasks.  A table that asks for itself is packed once.
     """
     @F.pandas_udf("array<struct<q:long,k:long,s:double>>")
     def nearest(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for qs, bs in zip(left, right):
-            qk, bk = np.array([q["k"] for q in qs]), np.array([b["k"] for b in bs])
-            qv, bv = np.array([q["v"] for q in qs], dtype=np.float64), np.array([b["v"] for b in bs], dtype=np.float64)
-            norm = np.linalg.norm(qv, axis=1)[:, None] * np.linalg.norm(bv, axis=1)[None, :]
-            score = np.divide(qv @ bv.T, norm, out=np.zeros_like(norm), where=norm > 0)
-            if skip_self:
-                score = np.where(qk[:, None] == bk[None, :], -np.inf, score)
+            qk, bk, score = _scores(qs, bs, skip_self)
+            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(qk), -np.inf)
             found = []
             for i, q in enumerate(qk):
-                row = np.round(score[i], 12)
-                order = np.lexsort((bk, -row))[:k]
-                found += [(int(q), int(bk[j]), float(row[j])) for j in order if np.isfinite(row[j])]
-            out.append([{"q": a, "k": b, "s": s} for a, b, s in found])
+                row = score[i]
+                near = np.flatnonzero((row >= least[i]) & np.isfinite(row))
+                order = near[np.lexsort((bk[near], -row[near]))[:k]]
+                found += [{"q": int(q), "k": int(bk[j]), "s": float(row[j])} for j in order]
+            out.append(found)
         return pd.Series(out)
 
-    left, right = _blocks(queries, key, vector, label, query_block, "_q"), _blocks(base, key, vector, label, base_block, "_v")
-    pairs = left.join(right, label)
-    hits = pairs.select(label, F.explode(nearest("_q", "_v")).alias("_h")).select(
+    blocks = vector_blocks(base, key, vector, label, base_block)
+    asked = blocks if queries is base else vector_blocks(queries, key, vector, label, query_block)
+    pairs = meeting_blocks(asked, blocks, label, k, skip_self)
+    hits = pairs.select(label, F.explode(nearest("query_rows", "base_rows")).alias("_h")).select(
         label, F.col("_h.q").alias("query_id"), F.col("_h.k").alias("match_id"), F.col("_h.s").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "match_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)

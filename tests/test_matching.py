@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 
 from sheetledger.operators import evaluation as V
 from sheetledger.operators import joins as J
@@ -66,6 +68,28 @@ def test_a_hundred_copies_on_both_sides_meet_once(spark):
     assert got == [(i, i, 1.0) for i in range(100)] and met[0].count() == 1
 
 
+def test_vector_search_leaves_out_far_blocks(spark):
+    rng = np.random.default_rng(4)
+    tops = rng.normal(size=(12, 8))
+    vectors = [(i, "a" if i % 5 else "b", [float(x) for x in tops[i % 12] + rng.normal(size=8) * 0.02]) for i in range(600)]
+    vectors += [(600, "a", [0.0] * 8), (601, "a", vectors[1][2]), (602, "c", vectors[2][2])]
+    df = spark.createDataFrame(vectors, "id long, label string, v array<double>")
+    x = np.array([v for *_, v in vectors])
+    unit = np.divide(x, np.linalg.norm(x, axis=1)[:, None], out=np.zeros_like(x), where=np.linalg.norm(x, axis=1)[:, None] > 0)
+    labels = np.array([label for _, label, _ in vectors])
+    for queries in (df, df.where("id % 3 = 0")):
+        got = {}
+        for r in R.topk_cosine(queries, df, "id", "v", "label", 3, 20, 40, skip_self=True).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], round(r.score, 9)))
+        for i in range(0, len(x), 1 if queries is df else 3):
+            score = np.sort([unit[i] @ unit[j] for j in np.flatnonzero(labels == labels[i]) if j != i])[::-1][:3]
+            assert sorted(got.pop(i, [])) == [(n, pytest.approx(s, abs=1e-9)) for n, s in enumerate(score, 1)]
+        assert not got
+    left, right = R.vector_blocks(df, "id", "v", "label", 20), R.vector_blocks(df, "id", "v", "label", 40)
+    every = left.join(right.select("label"), "label").count()
+    assert R.meeting_blocks(left, right, "label", 3, True).count() < every / 2
+
+
 def test_tolerance_match_serves_confident_predictions_first(spark):
     rnd = random.Random(5)
     pred = [(i % 3, i, rnd.uniform(0, 20), rnd.random()) for i in range(60)]
