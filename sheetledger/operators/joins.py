@@ -156,10 +156,15 @@ def field_value(tokens: DataFrame, keys: Sequence[str], label: str, other_labels
 
     ``tokens``: keys, text, x0, y0, x1, y1, seq.  One label row per sheet, so each token meets at most one.
     """
-    clean = F.regexp_replace(F.trim("text"), r"^[:：]+|[:：]+$", "")
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    placed = tokens.select(*keys, "text", "seq", clean.alias("_clean"), cx.alias("_x"), cy.alias("_y"),
-                           F.greatest(F.abs(F.col("y1") - F.col("y0")), F.lit(1.0)).alias("_h"))
+    height = F.greatest(F.abs(F.col("y1") - F.col("y0")), F.lit(1.0))
+    return field_value_at(tokens.select(*keys, "text", "seq", cx.alias("x"), cy.alias("y"), height.alias("h")), keys, label, other_labels)
+
+
+def field_value_at(tokens: DataFrame, keys: Sequence[str], label: str, other_labels: Sequence[str]) -> DataFrame:
+    """``field_value`` of tokens with known centre and height (keys, text, x, y, h, seq): nothing is rounded on the way to the comparison."""
+    clean = F.regexp_replace(F.trim("text"), r"^[:：]+|[:：]+$", "")
+    placed = tokens.select(*keys, "text", "seq", clean.alias("_clean"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("h").alias("_h"))
     anchor = (placed.where(F.col("_clean") == label).groupBy(*keys)
               .agg(F.min_by(F.struct("_x", "_y", "_h"), "seq").alias("_l")))
     right = placed.where((F.col("_clean") != label) & ~F.col("_clean").isin(list(other_labels)))

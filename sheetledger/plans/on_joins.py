@@ -333,13 +333,13 @@ l as (select user_id, arg_min(struct_pack(x := x, y := y), event_id) as l from t
 select t.user_id, arg_min(event_id || ':' || text, struct_pack(x := t.x, e := event_id)) as value
 from t join l using (user_id) where text not in ('signup', 'error') and t.x > l.l.x and abs(t.y - l.l.y) <= 6 group by 1""")
 def right_neighbour(spark, d):
-    x = F.unix_micros("ts") / 1e6 % 86400 / 100
-    tokens = read_table(spark, d, "events").select(
+    # centres and height as they are: half of (value - 2.5) + (value + 2.5) is not always the value again, which moves rows that lie exactly 6 apart
+    tokens = read_table(spark, d, "events").where("user_id is not null").select(
         "user_id", F.col("event_id").alias("seq"),
         F.when(F.col("event_type").isin("signup", "error"), F.col("event_type"))
-        .otherwise(F.concat_ws(":", "event_id", "event_type")).alias("text"),
-        (x - 1).alias("x0"), (x + 1).alias("x1"), (F.col("value") - 2.5).alias("y0"), (F.col("value") + 2.5).alias("y1"))
-    return J.field_value(tokens, ["user_id"], "signup", ["error"])
+        .otherwise(F.concat("event_id", F.lit(":"), "event_type")).alias("text"),
+        (F.unix_micros("ts") / 1e6 % 86400 / 100).alias("x"), F.col("value").alias("y"), F.lit(5.0).alias("h"))
+    return J.field_value_at(tokens, ["user_id"], "signup", ["error"])
 
 
 @query("JOI-20", """
