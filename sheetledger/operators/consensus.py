@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder, write_down
 from .common import null_safe_join
 from .quantiles import exact_quantiles, median_by, small_median_by
 
@@ -102,9 +103,9 @@ def _fit_sources(df: DataFrame, agreed: DataFrame, group: str, source: str, labe
                             agreed.select(group, label, F.col("pos").alias("_g")), [group, label])
     shared = shared.withColumn("_diff", F.col("_g") - F.col(pos))
     offset = small_median_by(shared, [group, source], "_diff", "offset", "shared")
-    errors = null_safe_join(shared, offset.select(group, source, "offset"), [group, source])
+    errors = null_safe_join(shared, offset.select(group, source, "offset").hint("merge"), [group, source])
     residual = small_median_by(errors, [group, source], F.abs(F.col("offset") - F.col("_diff")), "residual")
-    return null_safe_join(offset, residual, [group, source])
+    return null_safe_join(offset, residual.hint("merge"), [group, source])
 
 
 def robust_consensus(df: DataFrame, group: str, source: str, label: str, pos: str,
@@ -141,33 +142,49 @@ def frames(df: DataFrame, group: str, source: str, label: str, pos: str, max_res
 
     A frame grows from its seed: sources that share labels with it and fit are taken in, the
     positions are agreed again, until none joins; the next frame starts on the rest.  All groups
-    grow at once, every round is checkpointed.
+    grow at once, each at its own frame.  Members of every round are added to one written table, so
+    plans stay short; tables with a row per source meet by merge join, so none passes the driver.
     """
-    rest = cut_lineage(df.select(group, source, label, pos))
-    done, frame = None, 0
-    while True:
-        seed = seed_sources(rest, group, source, pos)
-        members = cut_lineage(seed.withColumn("offset", F.lit(0.0)))
-        size = members.count()
-        if size == 0:
-            break
-        while True:
-            aligned = null_safe_join(rest, members, [group, source]).withColumn("_p", F.col(pos) + F.col("offset"))
-            agreed = axis_consensus(aligned, [group], label, "_p")
-            fit = _fit_sources(rest, agreed, group, source, label, pos).where(F.col("residual") <= max_residual)
-            joined = fit.join(members.select(group, source), [group, source], "left_anti").select(group, source, "offset")
-            members = cut_lineage(members.unionByName(joined))
-            grown = members.count()
-            if grown == size:
-                break
-            size = grown
-        taken = members.withColumn("frame", F.lit(frame))
-        done = taken if done is None else done.unionByName(taken)
-        rest = cut_lineage(rest.join(members, [group, source], "left_anti").select(group, source, label, pos))
-        frame += 1
-    if done is None:
-        return df.select(group, source, F.lit(0).alias("frame"), F.lit(0.0).alias("offset")).limit(0)
-    return done.select(group, source, "frame", "offset")
+    spark = df.sparkSession
+    rows = write_down(df.select(group, source, label, pos))
+    folder = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+
+    def add(found: DataFrame) -> DataFrame:
+        found = found.select(group, source, "frame", F.col("offset").cast("double").alias("offset"))
+        found.write.mode("append").parquet(folder)
+        return spark.read.schema(found.schema).parquet(folder)
+
+    def seeds(waiting: DataFrame, frame: Column) -> DataFrame:
+        return seed_sources(waiting, group, source, pos).withColumn("offset", F.lit(0.0)).withColumn("frame", frame)
+
+    keys = [group, source]
+    members = add(seeds(rows, F.lit(0)))
+    current = write_down(members.select(group, "frame"))  # a row per group, as is all that is made of it
+    while not current.isEmpty():
+        active = null_safe_join(members, current, [group, "frame"]).drop("frame")
+        aligned = null_safe_join(rows, active.hint("merge"), keys).withColumn("_p", F.col(pos) + F.col("offset"))
+        agreed = write_down(axis_consensus(aligned, [group], label, "_p"))
+        waiting = _without(rows, members, keys)
+        fit = _fit_sources(waiting, agreed, group, source, label, pos).where(F.col("residual") <= max_residual)
+        joined = write_down(null_safe_join(fit.select(*keys, "offset"), current, [group]))
+        busy = joined.select(group).distinct().withColumn("_busy", F.lit(True))
+        judged = write_down(null_safe_join(current, busy, [group], "left"))
+        members = add(joined)
+        quiet = judged.where("_busy is null").select(group, (F.col("frame") + 1).alias("_next"))
+        current = judged.where("_busy").select(group, "frame")
+        if quiet.isEmpty():
+            continue
+        left = null_safe_join(_without(rows, members, keys), quiet, [group])
+        fresh = write_down(null_safe_join(seeds(left.drop("_next"), F.lit(0)).drop("frame"), quiet.withColumnRenamed("_next", "frame"), [group]))
+        members = add(fresh)
+        current = current.unionByName(fresh.select(group, "frame"))
+    return members.select(group, source, "frame", "offset")
+
+
+def _without(rows: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys, null or not, are not among the members; a row per source never goes to the driver."""
+    seen = members.select(*keys).withColumn("_in", F.lit(True)).hint("merge")
+    return null_safe_join(rows, seen, keys, "left").where("_in is null").drop("_in")
 
 
 # Fixed values of the anomaly checks.
