@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_down
 from .common import null_safe_join
 from .quantiles import median_by
 
@@ -220,7 +221,8 @@ def align(a: DataFrame, b: DataFrame, key: str, label: str, pos_a: str, pos_b: s
 
 # Gap matching.
 MAX_MERGE_SPAN, SCALE_TOLERANCE, MIN_MATCH_GAPS = 3, 0.02, 5
-_STEP = 0.0203  # a little more than ln(1 / 0.98): close values fall in the same or the next bucket
+_STEP = 0.0806  # twice ln(1.02 / 0.98), so the sums close to a gap lie in two buckets at most, mostly in one
+_PREFIX = 5  # gaps that both sides meet by
 
 
 @F.pandas_udf(T.StructType([T.StructField("paths", T.LongType()), T.StructField("end", T.IntegerType()), T.StructField("spans", T.ArrayType(T.IntegerType()))]))
@@ -255,38 +257,33 @@ def match_gaps(targets: DataFrame, anchors: DataFrame, min_gaps: int = MIN_MATCH
 
     ``targets``: target_id, gaps; ``anchors``: anchor_id, gaps (arrays of positive numbers; adjacent
     anchor gaps may merge).  Equal sequences are folded first — two equal anchors make any hit
-    ambiguous — and places are found by the buckets of the first two target gaps.
+    ambiguous — and places are found by the buckets of the first five target gaps (fewer, if ``min_gaps`` is less).
     """
     clean = lambda df: df.where(F.expr("size(gaps) > 0 and forall(gaps, g -> g > 0)"))
-    wanted = clean(targets).where(F.size("gaps") >= min_gaps).select("gaps").distinct()
-    library = clean(anchors).groupBy("gaps").agg(F.count("*").alias("_copies"), F.min("anchor_id").alias("anchor_id"))
-    bucket = lambda c: F.floor(F.log(c) / _STEP)
-    near = lambda c: F.array(bucket(c) - 1, bucket(c), bucket(c) + 1)
-    probe = (wanted.withColumn("_b1", F.explode(near(F.element_at("gaps", 1))))
-             .withColumn("_b2", F.explode(near(F.element_at("gaps", 2)))))
-    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                      for i in range(1, MAX_MERGE_SPAN + 1) for j in range(1, MAX_MERGE_SPAN + 1)])
-    total = lambda start, n: F.aggregate(F.slice(F.col("gaps"), start, n), F.lit(0.0), lambda a, g: a + g)
-    places = (library.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("gaps") - 1)))
-              .withColumn("_sp", F.explode(spans)).where(F.col("start") + F.col("_sp.i") + F.col("_sp.j") <= F.size("gaps"))
-              .withColumn("_b1", bucket(total(F.col("start") + 1, F.col("_sp.i"))))
-              .withColumn("_b2", bucket(total(F.col("start") + F.col("_sp.i") + 1, F.col("_sp.j"))))
-              .withColumn("_s1", total(F.col("start") + 1, F.col("_sp.i")))
-              .withColumn("_s2", total(F.col("start") + F.col("_sp.i") + 1, F.col("_sp.j")))
-              .withColumn("_at", F.col("start") + F.col("_sp.i") + F.col("_sp.j"))
-              .select("anchor_id", F.col("gaps").alias("base"), "_copies", "start", "_b1", "_b2", "_s1", "_s2",
-                      *[F.when(F.col("_at") + w <= F.size("gaps"), total(F.col("_at") + 1, F.lit(w))).alias(f"_n{w}")
-                        for w in range(1, MAX_MERGE_SPAN + 1)]))
-    # the first three gaps are tested in the join itself, so few pairs reach the full walk
-    close = lambda i, c: F.abs(F.element_at("gaps", i) - F.col(c)) <= F.col(c) * SCALE_TOLERANCE
-    third = reduce(lambda a, b: a | b, [F.coalesce(close(3, f"_n{w}"), F.lit(False)) for w in range(1, MAX_MERGE_SPAN + 1)])
-    cands = (probe.join(places, ["_b1", "_b2"])
-             .where((F.size("gaps") <= F.size("base")) & close(1, "_s1") & close(2, "_s2") & ((F.size("gaps") < 3) | third))
-             .select("gaps", "base", "start", "anchor_id", "_copies").dropDuplicates(["gaps", "base", "start"]))
+    number = F.monotonically_increasing_id()  # fixed by writing it down
+    wanted = write_down(clean(targets).where(F.size("gaps") >= min_gaps).select("gaps").distinct().withColumn("_t", number))
+    library = write_down(clean(anchors).groupBy("gaps").agg(F.count("*").alias("_copies"), F.min("anchor_id").alias("anchor_id")).withColumn("_l", number))
+    depth = max(1, min(min_gaps, _PREFIX))
+    keys = [f"_b{i}" for i in range(depth)]
+    bucket = lambda c: F.floor(F.log(c) / _STEP).cast("int")
+    probe, places = wanted, library.select("gaps", "_l", F.explode(F.sequence(F.lit(0), F.size("gaps") - 1)).alias("start")).withColumn("_at", F.col("start"))
+    for i, key in enumerate(keys):
+        gap = F.element_at("gaps", i + 1)
+        ends = [bucket(gap / (1 + SCALE_TOLERANCE) * (1 - 1e-9)), bucket(gap / (1 - SCALE_TOLERANCE) * (1 + 1e-9))]
+        probe = probe.withColumn(key, F.explode(F.array_distinct(F.array(*ends))))
+        taken = F.aggregate(F.slice("gaps", F.col("_at") + 1, F.col("_w")), F.lit(0.0), lambda x, g: x + g)
+        # gaps that the rest of the prefix needs at least are left over
+        places = (places.withColumn("_w", F.explode(F.array(*[F.lit(w) for w in range(1, MAX_MERGE_SPAN + 1)])))
+                  .where(F.col("_at") + F.col("_w") + (depth - 1 - i) <= F.size("gaps"))
+                  .withColumn(key, bucket(taken)).withColumn("_at", F.col("_at") + F.col("_w")).drop("_w"))
+    # numbers only meet here; the sequences themselves come back for the candidates
+    cands = (probe.select("_t", F.size("gaps").alias("_need"), *keys).join(places.select("_l", "start", F.size("gaps").alias("_has"), *keys), keys)
+             .where("_need <= _has - start").select("_t", "_l", "start").distinct())
+    cands = cands.join(wanted, "_t").join(library.withColumnRenamed("gaps", "base"), "_l")
     hits = (cands.withColumn("_w", _walk("gaps", "base", "start")).where("_w.paths > 0")
-            .groupBy("gaps").agg(F.sum(F.col("_w.paths") * F.col("_copies")).alias("_n"), F.min("anchor_id").alias("anchor_id"),
-                                 F.min("start").alias("start"), F.min("_w.end").alias("end"), F.min("_w.spans").alias("spans"), F.min("base").alias("base"))
-            .where("_n = 1"))
+            .groupBy("_t").agg(F.sum(F.col("_w.paths") * F.col("_copies")).alias("_n"), F.min("anchor_id").alias("anchor_id"), F.min("start").alias("start"),
+                               F.min("_w.end").alias("end"), F.min("_w.spans").alias("spans"), F.min("_l").alias("_l"))
+            .where("_n = 1").join(wanted, "_t").join(library.select("_l", F.col("gaps").alias("base")), "_l"))
     whole = lambda c: F.aggregate(c, F.lit(0.0), lambda a, g: a + g)
     ratio = whole(F.col("gaps")) / whole(F.slice("base", F.col("start") + 1, F.col("end") - F.col("start")))
     return targets.join(hits, "gaps").select("target_id", "anchor_id", "start", "end", "spans", ratio.alias("scale_ratio"))
