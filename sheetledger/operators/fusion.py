@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import write_down
+from ..session import shared_folder, write_down
 from .common import null_safe_join
 from .retrieval import ESCALATE
 from .similarity import similar_texts
@@ -50,27 +51,35 @@ def merge_candidates(rows: DataFrame, keys: Sequence[str], order: str, threshold
     pairs are made within a reference or a text; pairs of similar distinct texts come from ``similar_texts``.
     """
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
-    given = write_down(rows.select(*keys, F.col(order).alias("_at"), blank("ref").alias("_ref"), F.coalesce("snippet", F.lit("")).alias("_text"), "severity", "source"))
+    given = rows.select(*keys, F.col(order).alias("_at"), blank("ref").alias("_ref"), F.coalesce("snippet", F.lit("")).alias("_text"), "severity", "source")
+    node = [*keys, "_ref", "_text", "_alone"]
     alone = F.when((F.col("_ref") == "") & (F.col("_text") == ""), F.col("_at"))
-    nodes = write_down(given.groupBy(*keys, "_ref", "_text", alone.alias("_alone")).agg(F.min("_at").alias("_o")).withColumn("_is", F.lit(0)))
+    # what later steps ask of the rows: per candidate and source the first place, with its severity
+    told = write_down(given.groupBy(*keys, "_ref", "_text", alone.alias("_alone"), "source").agg(F.min("_at").alias("_at"), F.min_by("severity", "_at").alias("severity")))
+    nodes = write_down(told.groupBy(*node).agg(F.min("_at").alias("_o"), F.min_by("severity", "_at").alias("severity")))
     texts = nodes.where("_text <> ''").select(F.col("_text").alias("text")).distinct()
     links = write_down(similar_texts(texts, texts, threshold).where("text_a <> text_b").select(F.col("text_a").alias("_text"), F.col("text_b").alias("_other")))
-    while True:
-        waiting = nodes.where("_is = 0")
-        if waiting.isEmpty():
-            break
-        seen = _around(waiting.select(*keys, "_o", "_ref", "_text"), nodes, links, keys)
-        judged = null_safe_join(nodes, seen, [*keys, "_o"], "left")
-        free = F.col("_is") == 0
+    # a round writes the candidates still open, and once those that it settles
+    folder = f"{shared_folder(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
+    waiting = nodes.withColumn("_is", F.lit(0))
+    read = lambda kind: rows.sparkSession.read.schema(waiting.schema).parquet(f"{folder}/{kind}")
+    for kind in (_LEADER, _FOLLOWER):
+        waiting.limit(0).write.parquet(f"{folder}/{kind}")
+    while not waiting.isEmpty():
+        seen = _around(waiting.select(*keys, "_o", "_ref", "_text"), read(_LEADER).unionByName(waiting), links, keys)
         follows, leads = F.col("_lead") < F.col("_o"), F.coalesce(F.col("_open") >= F.col("_o"), F.lit(True))
-        nodes = write_down(judged.withColumn("_is", F.when(free & follows, _FOLLOWER).when(free & leads, _LEADER).otherwise(F.col("_is"))).drop("_lead", "_open"))
-    found = _around(nodes.where(F.col("_is") == _FOLLOWER).select(*keys, "_o", "_ref", "_text"), nodes, links, keys)
-    group = F.when(F.col("_is") == _LEADER, F.col("_o")).otherwise(F.col("_lead"))
-    named = null_safe_join(nodes, found, [*keys, "_o"], "left").select(*keys, "_ref", "_text", "_alone", group.alias("_group"))
-    placed = write_down(null_safe_join(given.withColumn("_alone", alone), named, [*keys, "_ref", "_text", "_alone"]))
-    sources = placed.groupBy(*keys, "_group", "source").agg(F.min("_at").alias("_at")).groupBy(*keys, "_group").agg(
+        judged = write_down(null_safe_join(waiting, seen, [*keys, "_o"], "left").withColumn(
+            "_is", F.when(follows, _FOLLOWER).when(leads, _LEADER).otherwise(0)).drop("_lead", "_open"))
+        for kind in (_LEADER, _FOLLOWER):
+            judged.where(F.col("_is") == kind).write.mode("append").parquet(f"{folder}/{kind}")
+        waiting = judged.where("_is = 0")
+    leaders, followers = read(_LEADER), read(_FOLLOWER)
+    found = _around(followers.select(*keys, "_o", "_ref", "_text"), leaders, links, keys)
+    joined = null_safe_join(followers, found.select(*keys, "_o", F.col("_lead").alias("_group")), [*keys, "_o"]).select(*node, "_group")
+    named = leaders.select(*node, F.col("_o").alias("_group")).unionByName(joined)
+    sources = null_safe_join(told, named, node).groupBy(*keys, "_group", "source").agg(F.min("_at").alias("_at")).groupBy(*keys, "_group").agg(
         F.array_sort(F.collect_list(F.struct("_at", "source"))).alias("_s"))
-    heads = placed.where("_at = _group").select(*keys, "_group", "_ref", "_text", "severity")
+    heads = leaders.select(*keys, F.col("_o").alias("_group"), "_ref", "_text", "severity")
     out = null_safe_join(heads, sources, [*keys, "_group"])
     if most is not None:
         out = out.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_group"))).where(F.col("_n") <= most)
