@@ -130,7 +130,7 @@ def seed_sources(df: DataFrame, group: str, source: str, pos: str) -> DataFrame:
         F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")).alias("spacing"))
     typical = exact_quantiles(spacing, [group], "spacing", {"typical": 0.5}, method="index")
     sizes = df.groupBy(group, source).agg(F.count("*").alias("_n"))
-    joined = null_safe_join(null_safe_join(sizes, spacing, [group, source], "left"), typical, [group], "left")
+    joined = null_safe_join(null_safe_join(sizes, spacing.hint("merge"), [group, source], "left"), typical, [group], "left")
     away = F.abs(F.coalesce("spacing", F.col("typical") * 10) - F.col("typical"))
     return first_per_key(joined.withColumn("_away", away), [group], [F.asc_nulls_last("_away"), F.desc("_n"), F.asc(source)]
                   ).select(group, source)
