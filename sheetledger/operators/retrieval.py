@@ -7,6 +7,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,13 +32,13 @@ def vector_blocks(df: DataFrame, key: str, vector: str, label: str, size: int) -
         planes = np.random.default_rng(7).normal(size=(x.shape[1], _PLANES))
         return pd.Series((x @ planes > 0) @ (1 << np.arange(_PLANES)))
 
-    @F.pandas_udf("struct<centre:array<double>,radius:double>")
-    def ball(blocks: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<centre:array<double>,radius:double>")
+    def ball(blocks: pa.Array) -> pa.Array:
         out = []
         for rows in blocks:
-            x = _unit(rows)
-            out.append((x.mean(axis=0), float(np.linalg.norm(x - x.mean(axis=0), axis=1).max())))
-        return pd.DataFrame(out, columns=["centre", "radius"])
+            x = _unit(_held(rows)[1])
+            out.append({"centre": x.mean(axis=0), "radius": float(np.linalg.norm(x - x.mean(axis=0), axis=1).max())})
+        return pa.array(out, pa.struct([("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
 
     bits = F.least(F.lit(_PLANES), F.greatest(F.lit(0), F.floor(F.log2(F.count("*") / size)))).cast("int")
     counts = df.groupBy(label).agg(F.pow(F.lit(2), bits).cast("long").alias("_m"))
@@ -48,16 +49,23 @@ def vector_blocks(df: DataFrame, key: str, vector: str, label: str, size: int) -
     return write_down(packed.withColumn("_b", ball("rows")).select(label, "block", "rows", "_b.centre", "_b.radius"))
 
 
-def _unit(rows: Sequence) -> np.ndarray:
-    x = np.array([r["v"] for r in rows], dtype=np.float64)
+def _held(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a block, taken from the Arrow buffers: no Python object per row, which a batch of blocks would hold all at once."""
+    keys, vectors = rows.values.field("k"), rows.values.field("v")
+    sizes = np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))
+    if len(sizes) != 1 or vectors.null_count:
+        raise ValueError("vectors of one label must have one length")
+    return keys.to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1)[:, None]
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _scores(qs: Sequence, bs: Sequence, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scores(qs: pa.ListScalar, bs: pa.ListScalar, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of both blocks and all cosines, rounded; a query does not meet itself."""
-    qk, bk = np.array([q["k"] for q in qs]), np.array([b["k"] for b in bs])
-    qv, bv = np.array([q["v"] for q in qs], dtype=np.float64), np.array([b["v"] for b in bs], dtype=np.float64)
+    (qk, qv), (bk, bv) = _held(qs), _held(bs)
     norm = np.linalg.norm(qv, axis=1)[:, None] * np.linalg.norm(bv, axis=1)[None, :]
     score = np.round(np.divide(qv @ bv.T, norm, out=np.zeros_like(norm), where=norm > 0), 12)
     return qk, bk, np.where(qk[:, None] == bk[None, :], -np.inf, score) if skip_self else score
@@ -69,14 +77,14 @@ def meeting_blocks(queries: DataFrame, base: DataFrame, label: str, k: int, skip
     Every query block first meets the base block of the nearest centre.  The farthest k-th neighbour found there is its reach, and a base block whose
     ball lies beyond it, by the triangle inequality, is left out.
     """
-    @F.pandas_udf("double")
-    def reach(left: pd.Series, right: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def reach(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for qs, bs in zip(left, right):
             score = _scores(qs, bs, skip_self)[2]
             least = np.partition(score, -k, axis=1)[:, -k].min() if score.shape[1] >= k else -np.inf
             out.append(float(np.sqrt(max(0.0, 2 - 2 * least))))
-        return pd.Series(out)
+        return pa.array(out, pa.float64())
 
     gap = F.sqrt(F.aggregate(F.zip_with("_qc", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
     asked = queries.select(label, F.col("block").alias("_q"), F.col("centre").alias("_qc"))
@@ -96,20 +104,22 @@ def topk_cosine(queries: DataFrame, base: DataFrame, key: str, vector: str, labe
     at most k hits per query, so pairs of rows are never materialized; the last cut uses a rank limit
     that runs before the shuffle too.  A frequent label is many blocks, hence many tasks.  A table that asks for itself is packed once.
     """
-    @F.pandas_udf("array<struct<q:long,k:long,s:double>>")
-    def nearest(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
+    @F.arrow_udf("array<struct<q:long,k:long,s:double>>")
+    def nearest(left: pa.Array, right: pa.Array) -> pa.Array:
+        ends, found = [0], {"q": [], "k": [], "s": []}
         for qs, bs in zip(left, right):
             qk, bk, score = _scores(qs, bs, skip_self)
             least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(qk), -np.inf)
-            found = []
-            for i, q in enumerate(qk):
-                row = score[i]
-                near = np.flatnonzero((row >= least[i]) & np.isfinite(row))
-                order = near[np.lexsort((bk[near], -row[near]))[:k]]
-                found += [{"q": int(q), "k": int(bk[j]), "s": float(row[j])} for j in order]
-            out.append(found)
-        return pd.Series(out)
+            at, near = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            best = np.lexsort((bk[near], -score[at, near], at))
+            at, near = at[best], near[best]
+            kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+            at, near = at[kept], near[kept]
+            for name, values in (("q", qk[at]), ("k", bk[near]), ("s", score[at, near])):
+                found[name].append(values)
+            ends.append(ends[-1] + len(at))
+        parts = [pa.array(np.concatenate([np.empty(0, kind), *found[name]]), t) for name, kind, t in (("q", np.int64, pa.int64()), ("k", np.int64, pa.int64()), ("s", np.float64, pa.float64()))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=list(found)))
 
     blocks = vector_blocks(base, key, vector, label, base_block)
     asked = blocks if queries is base else vector_blocks(queries, key, vector, label, query_block)
