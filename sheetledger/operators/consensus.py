@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage, shared_folder, write_down
 from .common import null_safe_join
@@ -289,15 +292,46 @@ def fit_similarity(df: DataFrame, keys: Sequence[str], ax: str, ay: str, bx: str
 MIN_R_SQUARED, OUTLIER_RESIDUAL_M, MIN_INLIERS = 0.98, 0.5, 4
 
 
+_CELLS = 1 << 20
+
+
+def _line_of(x: np.ndarray, y: np.ndarray, w: np.ndarray, residual: float) -> tuple[float, float] | None:
+    """Slope and intercept of the first line through two points with the most votes; lines times points stay below ``_CELLS`` at once."""
+    best, line, n = -1, None, len(x)
+    step = max(1, _CELLS // max(1, n * n))  # first points at once; the second ones of a point come in slices too
+    for i in range(0, n, step):
+        for j in range(i + 1, n, max(1, _CELLS // n)):
+            p, q = (k.ravel() for k in np.meshgrid(np.arange(i, min(n, i + step)), np.arange(j, min(n, j + max(1, _CELLS // n))), indexing="ij"))
+            apart = (q > p) & (np.abs(x[q] - x[p]) >= 1e-6)
+            p, q = p[apart], q[apart]
+            if len(p):
+                slope = (y[q] - y[p]) / (x[q] - x[p])
+                start = y[p] - slope * x[p]
+                votes = (np.abs(y - (slope[:, None] * x + start[:, None])) <= residual) @ w
+                top = int(np.argmax(votes))
+                if votes[top] > best:
+                    best, line = votes[top], (float(slope[top]), float(start[top]))
+    return line
+
+
+@F.pandas_udf(T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())]))
+def _most_voted(xs: pd.Series, ys: pd.Series, ws: pd.Series, residual: pd.Series) -> pd.DataFrame:
+    with np.errstate(invalid="ignore", over="ignore"):
+        found = [_line_of(np.asarray(x), np.asarray(y), np.asarray(w, dtype=np.float64), r) for x, y, w, r in zip(xs, ys, ws, residual)]
+    return pd.DataFrame([line or (None, None) for line in found], columns=["a", "b"], dtype="float64")
+
+
 def fit_line(df: DataFrame, keys: Sequence[str], x: str, y: str, residual: float = OUTLIER_RESIDUAL_M) -> DataFrame:
     """Straight line per group by votes of point pairs: keys, points, inliers, slope, intercept, r_squared, ok.
 
     The line through each two points of a group counts the points within ``residual`` of it; the first one, by (x, y) of its points, with the most wins and
-    is fitted again to these points.  A single wrong reading cannot pull it away.  A group is one drawing's points, a short list that
-    stays an array in the JVM; points of one place are folded and count as often as they occur.  Points with a null side are left out.
+    is fitted again to these points.  A single wrong reading cannot pull it away.  A group is one drawing's points, a short list;
+    the votes are counted in numpy, some lines at a time; points of one place are folded and count as often as they occur.  Points with a null side are left out.
     """
     points = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    lists = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w")).groupBy(*keys).agg(
+    # a stated number, so that AQE does not fold the votes of many cores into a few partitions
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w")).repartition(spread, *keys).groupBy(*keys).agg(
         F.sum("w").alias("points"), F.array_sort(F.collect_list(F.struct("x", "y", "w"))).alias("_p"))
 
     def near(line: Column) -> Column:
@@ -306,13 +340,9 @@ def fit_line(df: DataFrame, keys: Sequence[str], x: str, y: str, residual: float
     def total(pts: Column, term) -> Column:
         return F.aggregate(pts, F.lit(0.0), lambda s, p: s + p["w"] * term(p))
 
-    def through(p: Column, q: Column) -> Column:
-        slope = (q["y"] - p["y"]) / (q["x"] - p["x"])
-        return F.when(F.abs(q["x"] - p["x"]) >= 1e-6, F.struct(slope.alias("a"), (p["y"] - slope * p["x"]).alias("b")))
-
-    pairs = F.flatten(F.transform("_p", lambda p, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda q: through(p, q))))
-    voted = F.transform(F.filter(pairs, lambda l: l.isNotNull()), lambda l, i: F.struct(total(near(l), lambda p: F.lit(1.0)).alias("n"), (-i).alias("i"), l.alias("l")))
-    chosen = lists.select(*keys, "points", F.array_max(voted)["l"].alias("_l"), "_p").withColumn("_in", F.coalesce(near(F.col("_l")), F.filter("_p", lambda p: F.lit(False))))
+    side = lambda name: F.transform("_p", lambda p: p[name])
+    best = _most_voted(side("x"), side("y"), side("w"), F.lit(float(residual)))
+    chosen = lists.withColumn("_l", best).withColumn("_in", near(F.col("_l")))
     n = lambda c: total(F.col("_in"), c)
     sums = chosen.select(*keys, "points", "_in", n(lambda p: F.lit(1.0)).alias("_n"), n(lambda p: p["x"]).alias("_sx"), n(lambda p: p["y"]).alias("_sy"))
     mean_x, mean_y = F.try_divide("_sx", "_n"), F.try_divide("_sy", "_n")
