@@ -62,6 +62,12 @@ def consolidate_years(spark, d):
     return S.consolidate(_refs(spark, d), "doc").select("doc", "std_no", "count")
 
 
+def _measured(texts):
+    """Kinds and totals over texts; a text is parsed once, however often it occurs."""
+    parsed = texts.groupBy("text").agg(F.count("*").alias("_n")).withColumn("m", S.parse_measures(F.col("text")))
+    return parsed.groupBy("m.kind").agg(F.sum("_n").alias("n"), F.round(F.sum(F.col("m.value") * F.col("_n")), 3).alias("total"))
+
+
 @query("STR-05", r"""
 with t as (select l_orderkey, l_linenumber, l_partkey, case l_linenumber when 1 then 'DN' || l_quantity::int when 2 then '1:' || l_quantity::int when 3 then (l_quantity::int - 20) || '.' || (l_partkey % 900 + 100)
   when 4 then 'KL' || l_quantity::int when 5 then 'h = ' || l_partkey when 6 then (l_partkey + 90)::varchar else 'F' || l_quantity::int end as t from lineitem),
@@ -75,8 +81,7 @@ def parse_measures(spark, d):
             .when(line == 3, F.concat((F.col("l_quantity").cast("int") - 20).cast("string"), F.lit("."), (part % 900 + 100).cast("string")))
             .when(line == 4, F.concat(F.lit("KL"), q)).when(line == 5, F.concat(F.lit("h = "), part.cast("string")))
             .when(line == 6, (part + 90).cast("string")).otherwise(F.concat(F.lit("F"), q)))
-    return (read_table(spark, d, "lineitem").select(S.parse_measures(text).alias("m")).groupBy("m.kind")
-            .agg(F.count("*").alias("n"), F.round(F.sum("m.value"), 3).alias("total")))
+    return _measured(read_table(spark, d, "lineitem").select(text.alias("text")))
 
 
 @query("STR-05", r"""
@@ -90,8 +95,7 @@ def short_texts(spark, d):
     say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     text = (F.when(line == 1, say("标高", q - 20, ".", part % 900 + 100)).when(line == 2, say("窗顶标高", q, ".100，窗底标高42.350")).when(line == 3, say("地下", q % 9 + 1, "层"))
             .when(line == 4, say("大厅", q, "F")).when(line == 5, F.when(part % 2 == 0, "审核").otherwise("Drawing  No.")).when(line == 6, say("办公室", part % 10)).otherwise(say(q, "厚防水层")))
-    return (read_table(spark, d, "lineitem").select(S.parse_measures(text).alias("m")).groupBy("m.kind")
-            .agg(F.count("*").alias("n"), F.round(F.sum("m.value"), 3).alias("total")))
+    return _measured(read_table(spark, d, "lineitem").select(text.alias("text")))
 
 
 @query("STR-06", r"""
