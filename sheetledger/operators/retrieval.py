@@ -218,12 +218,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def isolation(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Nodes, isolated ones, their share (0 without nodes), and edges that point at no node."""
-    ends = edges.select(F.col("src").alias(key)).union(edges.select("dst"))
+    """Nodes, isolated ones, their share (0 without nodes), and edges that point at no node.
+
+    Ends are folded before they meet the nodes, so one that very many edges share is a single row there.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias(key)).distinct()
     alone = nodes.select(key).join(ends, key, "left_anti")
-    dangling = edges.join(nodes.select(F.col(key).alias("dst")), "dst", "left_anti")
+    dangling = edges.groupBy("dst").agg(F.count("*").alias("_n")).join(nodes.select(F.col(key).alias("dst")), "dst", "left_anti")
     counts = (nodes.select(F.lit(1).alias("n"), F.lit(0).alias("i"), F.lit(0).alias("d"))
-              .union(alone.select(F.lit(0), F.lit(1), F.lit(0))).union(dangling.select(F.lit(0), F.lit(0), F.lit(1))))
+              .union(alone.select(F.lit(0), F.lit(1), F.lit(0))).union(dangling.select(F.lit(0), F.lit(0), "_n")))
     total, isolated = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("i"), F.lit(0))
     return counts.agg(total.alias("nodes"), isolated.alias("isolated"),
                       F.coalesce(F.round(F.try_divide(isolated, total), 4), F.lit(0.0)).alias("isolated_ratio"), F.coalesce(F.sum("d"), F.lit(0)).alias("dangling"))
