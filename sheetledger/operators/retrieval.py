@@ -187,6 +187,9 @@ def tree_paths(spark, nodes: DataFrame) -> DataFrame:
         walked = walked.unionByName(level)
 
 
+_LINKS = 1_000_000  # links of a task
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components (node, component = smallest node) by alternating large and small stars.
 
@@ -195,16 +198,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(b)).distinct()
     links = cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // _LINKS))
 
     def stars(frame: DataFrame, large: bool) -> DataFrame:
-        around = frame.select("u", "v").union(frame.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else frame
-        low = around.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        met = around.join(low, "u")
-        if large:
-            out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = frame.groupBy("u").agg(F.min("v").alias("_m"))
+        if large:  # an end without a smaller neighbour, as the hub of a finished star, keeps its links
+            out = frame.join(low.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("_m", "v").alias("v"))
         else:
-            out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+            out = frame.join(low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).union(low).where("u <> v")
+        # a number that grows with the links, not below the session's, so that a task's memory does not
+        return out.repartition(parts, "u", "v").distinct()
 
     before = None
     while True:
