@@ -48,9 +48,16 @@ def explode_keep(df: DataFrame, col: str, alias: str = "item") -> DataFrame:
 
 
 def collect_keep(df: DataFrame, keys: Sequence[str], pos: str = "pos", item: str = "item", alias: str = "items") -> DataFrame:
-    """Inverse of ``explode_keep``: rows of one former array back in order."""
-    present = F.when(F.col(pos).isNotNull(), F.struct(pos, item))
-    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(present)), lambda s: s[item]).alias(alias))
+    """Inverse of ``explode_keep``: rows of one former array back in order.
+
+    Positions and items travel as two plain lists, filled row by row alike, which take about half the room of a list of structs.
+    """
+    there, blank = F.col(pos).isNotNull(), F.col(item).isNull()
+    lists = df.groupBy(*keys).agg(F.collect_list(F.when(there & ~blank, F.col(pos))).alias("_p"), F.collect_list(F.when(there & ~blank, F.col(item))).alias("_i"),
+                                  F.collect_list(F.when(there & blank, F.col(pos))).alias("_b"))
+    nothing = F.lit(None).cast(df.schema[item].dataType)
+    rows = F.concat(F.zip_with("_p", "_i", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), F.transform("_b", lambda p: F.struct(p.alias("p"), nothing.alias("i"))))
+    return lists.select(*keys, F.transform(F.array_sort(rows), lambda s: s["i"]).alias(alias))
 
 
 def nest(parents: DataFrame, children: DataFrame, key: str, seq: str, cols: Sequence[str], page: int = 1000) -> DataFrame:
