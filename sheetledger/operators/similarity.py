@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -14,23 +14,46 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of a longest common subsequence, all columns of the table at once as the bits of one number.
+class Rails:
+    """Texts laid side by side as the bits of one number, a free bit behind each, so that a longest common subsequence with all of them comes
+    from one walk over the other text.
 
-    Matching blocks stand in the same order in both texts, so they are never longer together than this.
+    Matching blocks stand in the same order in both texts, so they are never longer together than such a subsequence.
     """
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def _tally(texts: list[str], letters: dict[str, int]) -> np.ndarray:
+
+    def __init__(self, texts: Sequence[str]):
+        self.sizes = [len(t) for t in texts]
+        self.widths = [n // 8 + 1 for n in self.sizes]  # whole bytes; a carry out of a text ends in a free bit
+        self.blank = [bytes(w) for w in self.widths]
+        self.full = [((1 << n) - 1).to_bytes(w, "little") for n, w in zip(self.sizes, self.widths)]
+        self.places: list[dict[str, bytes]] = []
+        for text, width in zip(texts, self.widths):
+            places: dict[str, int] = {}
+            for i, c in enumerate(text):
+                places[c] = places.get(c, 0) | 1 << i
+            self.places.append({c: bits.to_bytes(width, "little") for c, bits in places.items()})
+
+    def common(self, text: str, chosen: Sequence[int]) -> list[int]:
+        """Length of a longest common subsequence of ``text`` and each of the chosen texts."""
+        tables = [(self.places[j], self.blank[j]) for j in chosen]
+        places = {c: int.from_bytes(b"".join([t.get(c, none) for t, none in tables]), "little") for c in set(text)}
+        row = full = int.from_bytes(b"".join([self.full[j] for j in chosen]), "little")
+        for bits in map(places.__getitem__, text):
+            hit = row & bits
+            row = (row + hit | row ^ hit) & full
+        left, at, out = row.to_bytes(sum(self.widths[j] for j in chosen), "little"), 0, []
+        for j in chosen:
+            out.append(self.sizes[j] - int.from_bytes(left[at:at + self.widths[j]], "little").bit_count())
+            at += self.widths[j]
+        return out
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of a longest common subsequence."""
+    return Rails([a]).common(b, [0])[0]
+
+
+def _tally(texts: Sequence[Sequence[str]], letters: dict[str, int]) -> np.ndarray:
     out = np.zeros((len(texts), len(letters)), dtype=np.int32)
     for i, t in enumerate(texts):
         for c, n in Counter(t).items():
@@ -39,22 +62,47 @@ def _tally(texts: list[str], letters: dict[str, int]) -> np.ndarray:
     return out
 
 
+def _twos(text: str) -> list[str]:
+    return list(map("".join, zip(text, text[1:])))
+
+
+LONG = 200  # from this length of the second text on, SequenceMatcher begins no block at a character of over 1 % + 1 of its places
+
+
 def close_pairs(left: list[str], right: list[str], threshold: float) -> Iterator[tuple[str, str, float]]:
     """Pairs of two lists with ratio at or above the threshold.
 
-    Each bound is never below the ratio: lengths, then common characters, then the longest common subsequence.
+    Each bound is never below the ratio: lengths, then common characters, then neighbours (long texts), then the longest common subsequence.
+    Of a long text every matching block, but for one at the start of both, holds a rare character, so blocks are few and most of their
+    characters stand beside each other in both texts.
     """
     letters = {c: i for i, c in enumerate(sorted(set("".join(right))))}
-    theirs, sizes = _tally(right, letters), np.array([len(t) for t in right])
+    # by length, so that the texts within the reach of another are one slice
+    right = sorted(right, key=len)
+    theirs, sizes, rails = _tally(right, letters), np.array([len(t) for t in right]), Rails(right)
+    first = int(np.searchsorted(sizes, LONG))
+    beside = [_twos(t) for t in right[first:]]
+    twos = {g: i for i, g in enumerate(sorted(set().union(*beside)))}
+    pairs, rare = _tally(beside, twos), np.where(theirs <= sizes[:, None] // 100 + 1, theirs, 0)[first:]
     for x, own in zip(left, _tally(left, letters)):
         least = threshold * (len(x) + sizes) / 2 - 1e-9
-        shared = np.minimum(theirs, own).sum(axis=1)
-        for j in np.flatnonzero((np.minimum(len(x), sizes) >= least) & (shared >= least)).tolist():
-            y = right[j]
-            if x == y or common_length(x, y) >= least[j]:
-                ratio = SequenceMatcher(None, x, y).ratio()
-                if ratio >= threshold:
-                    yield x, y, ratio
+        fits = np.flatnonzero(np.minimum(len(x), sizes) >= least)
+        if len(fits) == 0:
+            continue
+        near = slice(fits[0], fits[-1] + 1)
+        chosen = np.flatnonzero(np.minimum(theirs[near], own).sum(axis=1) >= least[near]) + fits[0]
+        long = chosen[chosen >= first]
+        if len(long):
+            blocks = 1 + np.minimum(rare[long - first], own).sum(axis=1)
+            shared = np.minimum(pairs[long - first], _tally([_twos(x)], twos)).sum(axis=1)
+            chosen = np.concatenate([chosen[chosen < first], long[shared >= least[long] - blocks]])
+        chosen = chosen.tolist()
+        if chosen:
+            for j, length in zip(chosen, rails.common(x, chosen)):
+                if length >= least[j]:
+                    ratio = SequenceMatcher(None, x, right[j]).ratio()
+                    if ratio >= threshold:
+                        yield x, right[j], ratio
 
 
 def _tiles(texts: DataFrame, name: str, spread: float, tile: int) -> DataFrame:
@@ -73,7 +121,8 @@ def similar_texts(a: DataFrame, b: DataFrame, threshold: float, tile: int = 256)
     meet; the others meet tile by tile, so the work is the product of the distinct texts of a length.
     """
     spread = (2.0 - threshold) / threshold
-    left, right = cut_lineage(_tiles(a, "left", spread, tile)), cut_lineage(_tiles(b, "right", spread, tile))
+    # what a task makes of a right tile serves four times as many left texts
+    left, right = cut_lineage(_tiles(a, "left", spread, 4 * tile)), cut_lineage(_tiles(b, "right", spread, tile))
     near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
     there = right.select(F.col("band").alias("band_b"), F.col("chunk").alias("chunk_b"), near.alias("_d")).withColumn("band", F.col("band_b") + F.col("_d")).drop("_d")
     pairs = left.select("band", "chunk").join(there, "band")  # names of tiles only
