@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +34,21 @@ def _rank(severity: Column) -> Column:
     return level
 
 
-def _slim(df: DataFrame, keys: Sequence[str], id_col: str, text: str, tag: str) -> DataFrame:
+def _slim(df: DataFrame, keys: Sequence[str], id_col: str, text: str, tag: str, more: Mapping[str, Column] | None = None) -> DataFrame:
     ref = norm_ref(F.col("ref"))
-    return df.select(*keys, F.col(id_col).alias(f"_{tag}"), ref.alias(f"_ref_{tag}"), F.coalesce(F.col(text), F.lit("")).alias(f"_text_{tag}"))
+    return df.select(*keys, F.col(id_col).alias(f"_{tag}"), ref.alias(f"_ref_{tag}"), F.coalesce(F.col(text), F.lit("")).alias(f"_text_{tag}"),
+                     *[c.alias(n) for n, c in (more or {}).items()])
 
 
-def _alike(a: DataFrame, b: DataFrame, tags: tuple[str, str], keys: Sequence[str], threshold: float) -> DataFrame:
-    """Rows of two slim tables with similar texts within the same keys, with the ratio."""
+def _links(a: DataFrame, b: DataFrame, tags: tuple[str, str], threshold: float) -> DataFrame:
+    """Similar distinct texts of two slim tables, with the ratio."""
     left, right = (d.select(F.col(f"_text_{t}").alias("text")) for d, t in zip((a, b), tags))
-    pairs = similar_texts(left, right, threshold).select(F.col("text_a").alias(f"_text_{tags[0]}"), F.col("text_b").alias(f"_text_{tags[1]}"), "ratio")
-    return null_safe_join(a.join(pairs, f"_text_{tags[0]}"), b, [*keys, f"_text_{tags[1]}"])
+    return similar_texts(left, right, threshold).select(F.col("text_a").alias(f"_text_{tags[0]}"), F.col("text_b").alias(f"_text_{tags[1]}"), "ratio")
+
+
+def _alike(a: DataFrame, b: DataFrame, links: DataFrame, tags: tuple[str, str], keys: Sequence[str]) -> DataFrame:
+    """Rows of two slim tables with similar texts within the same keys, with the ratio."""
+    return null_safe_join(a.join(links, f"_text_{tags[0]}"), b, [*keys, f"_text_{tags[1]}"])
 
 
 def match_issues(gold: DataFrame, found: DataFrame, keys: Sequence[str], recalled: DataFrame | None = None, threshold: float = SIMILAR_TEXT,
@@ -57,30 +62,40 @@ def match_issues(gold: DataFrame, found: DataFrame, keys: Sequence[str], recalle
     issues without a match ``dropped`` (``recalled``, rows like ``found``, has its reference or a text like it) or ``missed``.  Null texts and references count as
     empty; empty texts are like none.
     """
-    g, p = cut_lineage(_slim(gold, keys, "gold_id", "snippet", "g")), cut_lineage(_slim(found, keys, "found_id", "description", "p"))
-    turn_g = numbered(g.where("_ref_g <> ''"), [*keys, "_ref_g"], ["_g"], "_n").select(*keys, F.col("_ref_g").alias("_ref"), "_n", "_g")
-    turn_p = numbered(p.where("_ref_p <> ''"), [*keys, "_ref_p"], ["_p"], "_n").select(*keys, F.col("_ref_p").alias("_ref"), "_n", "_p")
-    by_ref = cut_lineage(null_safe_join(turn_g, turn_p, [*keys, "_ref", "_n"]).select(*keys, "_g", "_p"))
-
-    def without(df: DataFrame, tag: str, *gone: DataFrame) -> DataFrame:
-        for other in gone:
-            taken = other.select(*keys, f"_{tag}").withColumn("_taken", F.lit(True))
-            df = null_safe_join(df, taken, [*keys, f"_{tag}"], "left").where("_taken is null").drop("_taken")
-        return df
-
-    pairs = _alike(without(g, "g", by_ref), without(p, "p", by_ref), ("g", "p"), keys, threshold).where("_ref_g = '' or _ref_p = ''")
+    level = F.upper(F.coalesce(F.col("obligation"), F.lit("SHOULD")))
+    of_gold = {"_rank_g": _rank(F.col("severity")), "gold_level": F.when(level.isin(*OBLIGATIONS), level).otherwise("SHOULD")}
+    of_found = {"_rank_p": _rank(F.col("severity")), "found_level": obligation_of(F.col("description"))}
+    g, p = cut_lineage(_slim(gold, keys, "gold_id", "snippet", "g", of_gold)), cut_lineage(_slim(found, keys, "found_id", "description", "p", of_found))
+    # both sides are numbered in one pass; rows of one number are a match, and a number that one side has alone is still open
+    ends = {t: [c for c in d.columns if c not in keys] for t, d in (("g", g), ("p", p))}
+    named = [d.where(f"_ref_{t} <> ''").withColumns({"_ref": F.col(f"_ref_{t}"), "_side": F.lit(t)}) for t, d in (("g", g), ("p", p))]
+    turns = numbered(named[0].unionByName(named[1], allowMissingColumns=True), [*keys, "_ref", "_side"], ["_g", "_p"], "_n")
+    met = cut_lineage(turns.groupBy(*keys, "_ref", "_n").agg(*[F.first(c, ignorenulls=True).alias(c) for c in (*ends["g"], *ends["p"])]))
+    by_ref = met.where("_g is not null and _p is not null").select(*keys, *ends["g"], *ends["p"])
+
+    def free(df: DataFrame, tag: str, other: str) -> DataFrame:
+        cols = [*keys, *ends[tag]]
+        return met.where(f"_{other} is null").select(cols).unionByName(df.where(f"_ref_{tag} = ''").select(cols))
+
+    def without(df: DataFrame, tag: str, other: DataFrame) -> DataFrame:
+        taken = other.select(*keys, f"_{tag}").withColumn("_taken", F.lit(True))
+        return null_safe_join(df, taken, [*keys, f"_{tag}"], "left").where("_taken is null").drop("_taken")
+
+    free_g, free_p = free(g, "g", "p"), free(p, "p", "g")
+    slim = {t: [*keys, f"_{t}", f"_ref_{t}", f"_text_{t}"] for t in "gp"}
+    # two that both name a reference never meet
+    links = cut_lineage(_links(free_g, free_p, ("g", "p"), threshold))
+    pairs = _alike(free_g.where("_ref_g = ''").select(slim["g"]), free_p.select(slim["p"]), links, ("g", "p"), keys).unionByName(
+        _alike(free_g.where("_ref_g <> ''").select(slim["g"]), free_p.where("_ref_p = ''").select(slim["p"]), links, ("g", "p"), keys))
     cost = F.struct((-F.col("ratio")).alias("r"), "_g", "_p")
     # null keys meet too, so matching goes by key as one value
     whole = F.to_json(F.struct(*keys)) if keys else F.lit("")
     by_text = one_to_one(pairs.withColumn("_key", whole), ["_key", "_g"], ["_key", "_p"], cost, cost).select(*keys, "_g", "_p")
-    matched = by_ref.withColumn("ref_exact", F.lit(True)).unionByName(by_text.withColumn("ref_exact", F.lit(False)))
-    level = F.upper(F.coalesce(F.col("obligation"), F.lit("SHOULD")))
-    of_gold = gold.select(*keys, F.col("gold_id").alias("_g"), _rank(F.col("severity")).alias("_rank_g"), F.when(level.isin(*OBLIGATIONS), level).otherwise("SHOULD").alias("gold_level"))
-    of_found = found.select(*keys, F.col("found_id").alias("_p"), _rank(F.col("severity")).alias("_rank_p"), obligation_of(F.col("description")).alias("found_level"))
-    judged = null_safe_join(null_safe_join(matched, of_gold, [*keys, "_g"]), of_found, [*keys, "_p"])
+    told = null_safe_join(null_safe_join(by_text, free_g, [*keys, "_g"]), free_p, [*keys, "_p"])
+    judged = by_ref.withColumn("ref_exact", F.lit(True)).unionByName(told.withColumn("ref_exact", F.lit(False)))
     judged = judged.withColumn("mark", F.when(F.abs(F.col("_rank_g") - F.col("_rank_p")) <= tolerance, "tp").otherwise("wrong_severity"))
-    open_p, open_g = without(p, "p", by_ref, by_text), without(g, "g", by_ref, by_text)
-    like_gold = _alike(open_p, g, ("p", "g"), keys, threshold).select(*keys, "_p").distinct().withColumn("mark", F.lit("wrong_ref"))
+    open_p, open_g = without(free_p.select(slim["p"]), "p", by_text), without(free_g.select(slim["g"]), "g", by_text)
+    like_gold = _alike(open_p, g.select(*keys, "_text_g").distinct(), cut_lineage(_links(open_p, g, ("p", "g"), threshold)), ("p", "g"), keys).select(*keys, "_p").distinct().withColumn("mark", F.lit("wrong_ref"))
     false = null_safe_join(open_p.select(*keys, "_p"), like_gold, [*keys, "_p"], "left").select(*keys, "_p", F.coalesce("mark", F.lit("spurious")).alias("mark"))
     missing = open_g.select(*keys, "_g")
     if recalled is None:
@@ -88,7 +103,7 @@ def match_issues(gold: DataFrame, found: DataFrame, keys: Sequence[str], recalle
     else:
         u = _slim(recalled, keys, "found_id", "description", "u")
         same = null_safe_join(open_g.where("_ref_g <> ''"), u.where("_ref_u <> ''").select(*keys, F.col("_ref_u").alias("_ref_g")).distinct(), [*keys, "_ref_g"])
-        like = _alike(open_g, u, ("g", "u"), keys, threshold)
+        like = _alike(open_g, u, cut_lineage(_links(open_g, u, ("g", "u"), threshold)), ("g", "u"), keys)
         there = same.select(*keys, "_g").unionByName(like.select(*keys, "_g")).distinct().withColumn("mark", F.lit("dropped"))
         missing = null_safe_join(missing, there, [*keys, "_g"], "left").select(*keys, "_g", F.coalesce("mark", F.lit("missed")).alias("mark"))
     full = judged.unionByName(false, allowMissingColumns=True).unionByName(missing, allowMissingColumns=True)

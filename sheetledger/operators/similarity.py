@@ -108,7 +108,7 @@ def close_pairs(left: list[str], right: list[str], threshold: float) -> Iterator
 def _tiles(texts: DataFrame, name: str, spread: float, tile: int) -> DataFrame:
     """Distinct texts in tiles of about ``tile``, by length: band (lengths within the reach of each other lie at most one
     band apart), chunk, list.  The number of bands grows with the logarithm of the longest text only, so their sizes may be broadcast."""
-    rows = texts.select("text").where(F.length("text") > 0).distinct().withColumn("band", F.floor(F.log(F.length("text")) / F.log(F.lit(spread))).cast("int"))
+    rows = cut_lineage(texts.select("text").where(F.length("text") > 0).distinct().withColumn("band", F.floor(F.log(F.length("text")) / F.log(F.lit(spread))).cast("int")))
     sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / tile).alias("_n"))
     return (rows.join(F.broadcast(sizes), "band").withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("_n")))
             .groupBy("band", "chunk").agg(F.collect_list("text").alias(name)))
