@@ -155,10 +155,10 @@ def match_values(pred: DataFrame, gold_values: DataFrame, keys: Sequence[str], t
     """Predictions in falling confidence take the nearest free gold value within the tolerance.
 
     ``pred``: keys, pred_id, value, confidence; ``gold_values``: keys, gold_id, gold.  Values meet by
-    cells of tolerance width.
+    cells of tolerance width; predictions, as a rule the fewer, go to three of them.
     """
-    near = gold_values.withColumn("_c", F.explode(F.array(*[F.floor(F.col("gold") / tol) + i for i in (-1, 0, 1)])))
-    pairs = (pred.withColumn("_c", F.floor(F.col("value") / tol)).join(near, [*keys, "_c"])
+    near = pred.withColumn("_c", F.explode(F.array(*[F.floor(F.col("value") / tol) + i for i in (-1, 0, 1)])))
+    pairs = (near.join(gold_values.withColumn("_c", F.floor(F.col("gold") / tol)), [*keys, "_c"])
              .withColumn("gap", F.abs(F.col("value") - F.col("gold"))).where(F.col("gap") <= tol).drop("_c"))
     return one_to_one(pairs, [*keys, "pred_id"], [*keys, "gold_id"], F.struct("gap", "gold_id"), F.struct((-F.col("confidence")).alias("c"), "pred_id"))
 

@@ -18,20 +18,19 @@ def one_to_one(pairs: DataFrame, a: Sequence[str], b: Sequence[str], cost_a: Col
 
     With one shared cost this is the greedy choice over all pairs in cost order; with ``cost_b``
     a rank of ``a`` it is the choice in which the ``a`` pick in rank order.  Costs must be total
-    (end them with a key).  Each round is two aggregations and one join; rounds end when no
-    offer is refused.
+    (end them with a key); they are read off the rows each time and not stored beside them.  A round is two aggregations, whose result
+    is written down with the number of offers, and one join; rounds end when no offer is refused.
     """
-    live = cut_lineage(pairs.select("*", cost_a.alias("_cost_a"), cost_b.alias("_cost_b")))
+    live = cut_lineage(pairs)
+    whole = F.struct(*live.columns)
     while True:
-        whole = F.struct(*live.columns)
-        offers = live.groupBy(*a).agg(F.min_by(whole, "_cost_a").alias("_o")).select("_o.*")
-        kept = offers.groupBy(*b).agg(F.min_by(whole, "_cost_b").alias("_o")).select("_o.*")
-        refused = offers.join(kept.select(*a, *b), [*a, *b], "left_anti")
-        if refused.isEmpty():
-            return kept.drop("_cost_a", "_cost_b")
-        best = kept.select(*b, F.col("_cost_b").alias("_best"))
+        offers = live.groupBy(*a).agg(F.min_by(whole, cost_a).alias("_o")).select("_o.*")
+        kept = cut_lineage(offers.groupBy(*b).agg(F.min_by(whole, cost_b).alias("_o"), F.count("*").alias("_offers")).select("_o.*", "_offers"))
+        if kept.where("_offers > 1").isEmpty():
+            return kept.drop("_offers")
+        best = kept.select(*b, cost_b.alias("_best"))
         live = cut_lineage(live.join(best, list(b), "left")
-                           .where(F.col("_best").isNull() | (F.col("_cost_b") <= F.col("_best"))).drop("_best"))
+                           .where(F.col("_best").isNull() | (cost_b <= F.col("_best"))).select(*live.columns))
 
 
 def shared_out(pairs: DataFrame, a: Sequence[str], b: Sequence[str], cost: Column, room_a: str, room_b: str) -> DataFrame:
