@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.aggs import noisy_or
 from ..session import cut_lineage
 from .common import each_block, null_safe_join
-from .consensus import vote
+from .consensus import first_per_key
 
 # Merge distance, confidence under which an entity needs review, types keyed by grid cell.
 MERGE_DIST_M, CONFLICT_CONFIDENCE, GRID_KEYED_TYPES = 1.0, 0.5, ("column", "pile")
@@ -111,7 +111,9 @@ def assemble(df: DataFrame, dist: float = MERGE_DIST_M) -> DataFrame:
               .withColumn("_node", F.coalesce("_square", "_grid", F.concat(F.lit("o|"), F.col("obs_id").cast("string")))))
     # one row per square or cell; read below for every row
     rows = marked.join(_islands(marked, dist), "_node", "left").withColumn("_block", F.coalesce("_c", "_node")).drop("_c", "_node", "_square", "_grid", "_sx", "_sy")
-    folded = rows.groupBy(*_SPOT).agg(F.count("*").alias("_n"), F.min("obs_id").alias("_first"))
+    # labels are tallied per spot in the pass that folds, so that the vote reads no rows again
+    tally = cut_lineage(rows.groupBy(*_SPOT, "type_label").agg(F.count("*").alias("_n"), F.max("confidence").alias("_c"), F.min("obs_id").alias("_first")))
+    folded = tally.groupBy(*_SPOT).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
     # read twice below (aggregates and label vote), so the Python pass is kept
     spots = cut_lineage(each_block(folded.withColumn("_turn", -F.col("_conf")), _BLOCK, ["_turn", "_first"], _greedy(dist), _SPOT, "_entity long"))
     joined = null_safe_join(rows, spots, _SPOT)
@@ -121,7 +123,9 @@ def assemble(df: DataFrame, dist: float = MERGE_DIST_M) -> DataFrame:
         F.round(F.avg("x"), 3).alias("cx"), F.round(F.avg("y"), 3).alias("cy"), noisy_or("confidence").alias("confidence"),
         F.max_by("outline", best).alias("outline"), F.count("*").alias("observations"),
         F.count_distinct("drawing_id").alias("drawings"), F.max("_full").alias("_full"), F.min("grid_cell").alias("grid_ref"))
-    labels = vote(joined, keys, "type_label", "confidence").select(*keys, "type_label")
+    told = tally.where(F.col("type_label").isNotNull() & (F.col("type_label") != ""))
+    votes = null_safe_join(told, spots, _SPOT).groupBy(*keys, "type_label").agg(F.sum("_n").alias("votes"), F.max("_c").alias("_c"))
+    labels = first_per_key(votes, keys, [F.desc("votes"), F.desc("_c"), F.asc("type_label")]).select(*keys, "type_label")
     named = null_safe_join(entities, labels, keys, "left")
     centre = F.when(F.col("cx").isNotNull(), F.concat(F.lit("@"), F.col("cx"), F.lit(","), F.col("cy"))).otherwise("")
     return named.select(
