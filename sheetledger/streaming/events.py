@@ -174,19 +174,24 @@ def reap(stream: DataFrame, item: str, ts: str, status: str, hours: float, max_a
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, tries = state.get if state.exists else (0, 0)
-        out = []
+        out = None  # most calls have nothing to tell, and a table for each would cost more than the fold
         if state.hasTimedOut:
             tries += 1
-            out.append((key[0], pd.Timestamp(since + limit_ms, unit="ms"), tries, tries <= max_attempts))
+            out = pd.DataFrame([(key[0], pd.Timestamp(since + limit_ms, unit="ms"), tries, tries <= max_attempts)], columns=["item", "reaped_at", "reap_attempts", "requeue"])
             since = 0
         else:
-            rows = pd.concat(list(batches)).sort_values("_ts")
-            last = rows.iloc[-1]
-            since = int(last["_ts"].value // 1_000_000) if last["_status"] == active else 0
+            last = None
+            for batch in batches:  # the latest row counts, of equal times the one that comes last
+                times = batch["_ts"].to_numpy()
+                at = len(times) - 1 - int(times[::-1].argmax())
+                if last is None or times[at] >= last[0]:
+                    last = times[at], batch["_status"].to_numpy()[at]
+            since = int(last[0].astype("datetime64[ms]").astype("int64")) if last[1] == active else 0
         state.update((since, tries))
         if since:
             state.setTimeoutTimestamp(max(since + limit_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["item", "reaped_at", "reap_attempts", "requeue"])
+        if out is not None:
+            yield out
 
     rows = stream.select(F.col(item).cast("long").alias("item"), F.col(ts).alias("_ts"), F.col(status).alias("_status")).withWatermark("_ts", late)
     return rows.groupBy("item").applyInPandasWithState(
