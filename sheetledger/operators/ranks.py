@@ -10,14 +10,13 @@ from bisect import bisect_left
 from typing import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import null_safe_join
+from .common import each_block, null_safe_join
 from .ordered import in_parts
 
 
@@ -66,7 +65,7 @@ def longest_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank:
     """keys, length: the longest strictly increasing run of ranks in the order, per key.
 
     Blocks of one part and one band are walked row by row.  A block needs the states of the block before it in its part and
-    in its band only, so all blocks of one diagonal run at once; a key that lies in one part is done in the first round.
+    in its band only, so all blocks of one diagonal run at once; keys of one block pass beside them in one stream.
     ``order`` is total within a key; ranks are not null.
     """
     ranged = df.select(*keys, *order, F.col(rank).alias("_r")).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
@@ -81,33 +80,48 @@ def longest_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank:
                            F.coalesce(F.col("_p1") - F.col("_p0"), F.lit(0)).alias("_pn"), F.coalesce(F.size("_lows") - 1, F.lit(0)).alias("_bn"))
     rank_type = df.schema[rank].dataType.simpleString()
     placed = cut_lineage(placed.withColumn("_t", F.col("_p") + F.col("_b")))
+    # a key of one block needs no state, so many small keys pass in one stream
+    alone = F.lit(bool(keys)) & (F.col("_pn") == 0) & (F.col("_bn") == 0)
+    small, placed = placed.where(alone).select(*keys, "_r", "_s"), placed.where(~alone)
     last = placed.agg(F.max(F.col("_pn") + F.col("_bn"))).first()[0]
     form = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + (
         ", " if keys else "") + f"_p int, _b int, _pn int, _bn int, _kind string, _at array<{rank_type}>, _place array<bigint>, _len array<bigint>"
     names = [*keys, "_p", "_b", "_pn", "_bn"]
 
-    def walk(block: pd.DataFrame) -> pd.DataFrame:
-        own = block[block["_kind"] == "row"].sort_values("_s")
-        states = {k: block[block["_kind"] == k] for k in ("left", "below")}
-        left = Stairs(*([list(states["left"][c].iloc[0]) for c in ("_place", "_len")] if len(states["left"]) else ()))
-        below = Stairs(*([list(states["below"][c].iloc[0]) for c in ("_at", "_len")] if len(states["below"]) else ()))
-        across, up, best = block_run(own["_s"].tolist(), own["_r"].tolist(), left, below)
-        head = block[names].iloc[0].to_dict()
+    def walk(block: pa.Table) -> pa.Table:
+        kinds = np.array(block.column("_kind").to_pylist(), dtype=object)
+        own = block.take(pa.array(np.flatnonzero(kinds == "row")))
+        seqs, ranks = own.column("_s").to_numpy(), own.column("_r").to_pylist()
+        order = np.argsort(seqs, kind="stable").tolist()
+
+        def state(kind: str, *cols: str) -> Stairs:
+            at = np.flatnonzero(kinds == kind).tolist()
+            return Stairs(*(block.column(c)[at[0]].as_py() for c in cols)) if at else Stairs()
+
+        across, up, best = block_run(seqs[order].tolist(), [ranks[i] for i in order], state("left", "_place", "_len"), state("below", "_at", "_len"))
+        head = {c: block.column(c)[0].as_py() for c in names}
         out = [head | {"_kind": "best", "_at": None, "_place": None, "_len": [best]}]
         if head["_b"] < head["_bn"]:
             out.append(head | {"_b": head["_b"] + 1, "_kind": "left", "_at": None, "_place": across.ranks, "_len": across.lengths})
         if head["_p"] < head["_pn"]:
             out.append(head | {"_p": head["_p"] + 1, "_kind": "below", "_at": up.ranks, "_place": None, "_len": up.lengths})
-        return pd.DataFrame(out, columns=[*names, "_kind", "_at", "_place", "_len"])
+        return pa.Table.from_pylist(out, schema=pa.schema([block.schema.field(c) for c in (*names, "_kind", "_at", "_place", "_len")]))
+
+    def rise(block: dict) -> dict:
+        ends: list = []
+        for rank in block["_r"].tolist():
+            at = bisect_left(ends, rank)
+            ends[at:at + 1] = [rank]
+        return {"_best": np.full(len(block["_r"]), len(ends), dtype=np.int64)}
 
-    best, states = [], None
-    for t in range((last or 0) + 1):
+    best, states = [each_block(small, keys, ["_s"], rise, keys, "_best long")] if keys else [], None
+    for t in range(0 if keys and last is None else (last or 0) + 1):
         turn = placed.where(F.col("_t") == t).drop("_t").withColumn("_kind", F.lit("row"))
         if states is not None:
             turn = turn.unionByName(states, allowMissingColumns=True)
         else:
             turn = turn.withColumns({"_at": F.lit(None).cast(f"array<{rank_type}>"), "_place": F.lit(None).cast("array<bigint>"), "_len": F.lit(None).cast("array<bigint>")})
-        walked = cut_lineage(turn.groupBy(*keys, "_p", "_b").applyInPandas(walk, form))
+        walked = cut_lineage(turn.groupBy(*keys, "_p", "_b").applyInArrow(walk, form))
         states = walked.where("_kind <> 'best'")
         best.append(walked.where("_kind = 'best'").select(*keys, F.col("_len")[0].alias("_best")))
     found = best[0]
