@@ -6,7 +6,7 @@ from bisect import bisect_left
 from typing import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,13 +163,15 @@ def match_values(pred: DataFrame, gold_values: DataFrame, keys: Sequence[str], t
     return one_to_one(pairs, [*keys, "pred_id"], [*keys, "gold_id"], F.struct("gap", "gold_id"), F.struct((-F.col("confidence")).alias("c"), "pred_id"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _lcs_share(found: pd.Series, wanted: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def _lcs_share(found: pa.Array, wanted: pa.Array) -> pa.Array:
+    """Items become Python objects a row at a time: a batch of long lists would hold many times its bytes."""
     out = []
     for a, b in zip(found, wanted):
-        if b is None or len(b) == 0 or a is None:
+        if not b.is_valid or len(b.values) == 0 or not a.is_valid:
             out.append(None)
             continue
+        a, b = (x.values.to_numpy(zero_copy_only=False) for x in (a, b))
         known = set(b)
         a = [x for x in a if x in known]
         if not a:
@@ -188,7 +190,7 @@ def _lcs_share(found: pd.Series, wanted: pd.Series) -> pd.Series:
             best = np.maximum(row[1:], np.where(goal == item, row[:-1] + 1, 0))
             row[1:] = np.maximum.accumulate(best)
         out.append(float(row[-1]) / len(b))
-    return pd.Series(out, dtype="float64")
+    return pa.array(out, pa.float64())
 
 
 def order_fidelity(df: DataFrame, found: str, wanted: str) -> DataFrame:
