@@ -212,16 +212,21 @@ def gap_anomaly(df: DataFrame, keys: Sequence[str], source: str, gap: str) -> Da
     """
     low, high = GAP_SANE_RANGE_M
     real = df.where(F.col(gap) > 0)
-    agreed = median_by(real, keys, gap, "consensus")
-    witness = (real.select(*keys, source, F.round(gap, 3).alias("_g")).distinct()
+    agreed = write_down(median_by(real, keys, gap, "consensus"))  # of true size, so that few groups meet all rows without a shuffle
+
+    def off(least: Column, most: Column) -> Column:
+        return (least / F.col("consensus") < 1 / DEVIATION_FACTOR) | (most / F.col("consensus") > DEVIATION_FACTOR)
+
+    judged = null_safe_join(real.withColumn("_g", F.round(gap, 3)), agreed, keys)
+    # gaps of one rounded value differ by 0.001 at most, so all witnesses of a gap that is off are among these
+    near = off(F.col(gap) - 0.002, F.col(gap) + 0.002)
+    witness = (judged.where(near).select(*keys, source, "_g").distinct()
                .groupBy(*keys, "_g").agg(F.count("*").alias("witnesses")))
-    rows = null_safe_join(null_safe_join(real.withColumn("_g", F.round(gap, 3)), witness, [*keys, "_g"]), agreed, keys)
-    ratio = F.col(gap) / F.col("consensus")
-    off = (ratio < 1 / DEVIATION_FACTOR) | (ratio > DEVIATION_FACTOR)
+    rows = null_safe_join(judged.where(off(F.col(gap), F.col(gap))), witness, [*keys, "_g"])
     waived = (F.col(gap) > high) & (F.col("witnesses") >= MIN_WITNESSES_TO_TRUST)
     cause = F.when(F.col(gap).between(low, high), "scale").otherwise("detection")
-    return rows.where(off & ~waived).select(*keys, source, gap, F.round("consensus", 2).alias("consensus"),
-                                            F.round(ratio, 3).alias("ratio"), "witnesses", cause.alias("cause"))
+    return rows.where(~waived).select(*keys, source, gap, F.round("consensus", 2).alias("consensus"),
+                                      F.round(F.col(gap) / F.col("consensus"), 3).alias("ratio"), "witnesses", cause.alias("cause"))
 
 
 def module_compliance(df: DataFrame, keys: Sequence[str], value: str, step: float = MODULE_STEP_M) -> DataFrame:

@@ -21,6 +21,7 @@ from .common import null_safe_join
 _ACCURACY = 10_000
 _MARGIN = 3.0 / _ACCURACY
 _SMALL = 10_000
+_FEW = 4  # partitions of merged sketches, of which one alone is over the share that Spark asks for
 
 
 def exact_quantiles(
@@ -54,7 +55,10 @@ def exact_quantiles(
         F.percentile_approx("_v", cuts, _ACCURACY).alias("_cuts"), *also)
     if also:
         sketch = cut_lineage(sketch)  # one row per group, read twice: the input is not
-    placed = null_safe_join(rows, sketch.select(*keys, "_n", "_cuts"), keys)
+    # Sketches are measured once they are merged: parts of them look too large to broadcast, and few groups spread over many
+    # partitions leave most of those empty, which keeps Spark from it too.  Rows of few groups would be sorted in as few tasks.
+    merged = sketch.repartition(_FEW, *keys) if keys else sketch
+    placed = null_safe_join(rows, merged.select(*keys, "_n", "_cuts"), keys)
     position = F.lit(0)
     inside = F.lit(False)
     for i in range(len(names)):
