@@ -6,6 +6,7 @@ its size, and split skewed sort-merge partitions.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Sequence
 
@@ -261,32 +262,46 @@ def match_gaps(targets: DataFrame, anchors: DataFrame, min_gaps: int = MIN_MATCH
     """
     clean = lambda df: df.where(F.expr("size(gaps) > 0 and forall(gaps, g -> g > 0)"))
     number = F.monotonically_increasing_id()  # fixed by writing it down
-    wanted = write_down(clean(targets).where(F.size("gaps") >= min_gaps).select("gaps").distinct().withColumn("_t", number))
+    asked = clean(targets).where(F.size("gaps") >= min_gaps)
+    wanted = write_down(asked.select("gaps").distinct().withColumn("_t", number))
     library = write_down(clean(anchors).groupBy("gaps").agg(F.count("*").alias("_copies"), F.min("anchor_id").alias("anchor_id")).withColumn("_l", number))
     depth = max(1, min(min_gaps, _PREFIX))
     keys = [f"_b{i}" for i in range(depth)]
-    bucket = lambda c: F.floor(F.log(c) / _STEP).cast("int")
-    probe, places = wanted, library.select("gaps", "_l", F.explode(F.sequence(F.lit(0), F.size("gaps") - 1)).alias("start")).withColumn("_at", F.col("start"))
+    meet = "".join(keys)
+    at = lambda c: F.log(c) / _STEP
+    # where a sum lies beside its bucket's start, in 32nds of a bucket; a gap's reach ends less than half a bucket beside it
+    beside = lambda c, key: F.floor((at(c) - F.col(key)) * 32).cast("int") + 16
+    ends = lambda gap: [at(gap / (1 + SCALE_TOLERANCE) * (1 - 1e-9)), at(gap / (1 - SCALE_TOLERANCE) * (1 + 1e-9))]
+    reach = wanted.agg(*[f(e).alias(f"{n}{i}") for i in range(depth) for n, f, e in zip("ab", (F.min, F.max), ends(F.element_at("gaps", i + 1)))]).first()
+    probe = wanted.withColumn("_fine", F.lit(0))
+    places = library.select("gaps", "_l", F.explode(F.sequence(F.lit(0), F.size("gaps") - 1)).alias("start")).withColumns({"_at": F.col("start"), "_fine": F.lit(0)})
     for i, key in enumerate(keys):
         gap = F.element_at("gaps", i + 1)
-        ends = [bucket(gap / (1 + SCALE_TOLERANCE) * (1 - 1e-9)), bucket(gap / (1 - SCALE_TOLERANCE) * (1 + 1e-9))]
-        probe = probe.withColumn(key, F.explode(F.array_distinct(F.array(*ends))))
-        taken = F.aggregate(F.slice("gaps", F.col("_at") + 1, F.col("_w")), F.lit(0.0), lambda x, g: x + g)
-        # gaps that the rest of the prefix needs at least are left over
+        probe = probe.withColumn(key, F.explode(F.array_distinct(F.array(*[F.floor(e).cast("int") for e in ends(gap)]))))
+        probe = probe.withColumn("_fine", F.col("_fine") + F.shiftleft(beside(gap, key), 6 * i))
+        more = [F.when(F.col("_w") > w, F.get("gaps", F.col("_at") + w)).otherwise(0.0) for w in range(1, MAX_MERGE_SPAN)]
+        taken = sum(more, F.get("gaps", F.col("_at")))
+        # gaps that the rest of the prefix needs at least are left over, and some target gap lies within reach
         places = (places.withColumn("_w", F.explode(F.array(*[F.lit(w) for w in range(1, MAX_MERGE_SPAN + 1)])))
                   .where(F.col("_at") + F.col("_w") + (depth - 1 - i) <= F.size("gaps"))
-                  .withColumn(key, bucket(taken)).withColumn("_at", F.col("_at") + F.col("_w")).drop("_w"))
-    # numbers only meet here; the sequences themselves come back for the candidates
-    cands = (probe.select("_t", F.size("gaps").alias("_need"), *keys).join(places.select("_l", "start", F.size("gaps").alias("_has"), *keys), keys)
-             .where("_need <= _has - start").select("_t", "_l", "start").distinct())
-    cands = cands.join(wanted, "_t").join(library.withColumnRenamed("gaps", "base"), "_l")
+                  .withColumn("_sum", taken).where(at(F.col("_sum")).between(reach[f"a{i}"], reach[f"b{i}"])).withColumn(key, F.floor(at(F.col("_sum"))).cast("int"))
+                  .withColumn("_fine", F.col("_fine") + F.shiftleft(beside(F.col("_sum"), key), 6 * i)).withColumn("_at", F.col("_at") + F.col("_w")).drop("_w", "_sum"))
+    # Numbers only meet here, by all buckets at once, and the places in the buckets rule most of them out; the sequences themselves come back for the candidates.
+    # A written table is small beside the rows made of it, so its size must not call for a broadcast.
+    probe = probe.select("_t", F.size("gaps").alias("_need"), F.hash(*keys).alias(meet), F.col("_fine").alias("_mine")).hint("merge")
+    places = places.select("_l", "start", (F.size("gaps") - F.col("start")).alias("_room"), F.hash(*keys).alias(meet), "_fine")
+    part = lambda c, i: F.shiftright(F.col(c), 6 * i).bitwiseAND(F.lit(63))
+    under, over = (math.floor(32 * math.log(1 + SCALE_TOLERANCE) / _STEP) + 2, math.floor(-32 * math.log(1 - SCALE_TOLERANCE) / _STEP) + 2)
+    close = reduce(lambda x, y: x & y, [(part("_fine", i) - part("_mine", i)).between(-under, over) for i in range(depth)])
+    cands = probe.join(places, meet).where((F.col("_need") <= F.col("_room")) & close).select("_t", "_l", "start").distinct()
+    cands = cands.join(wanted.hint("merge"), "_t").join(library.withColumnRenamed("gaps", "base").hint("merge"), "_l")
     hits = (cands.withColumn("_w", _walk("gaps", "base", "start")).where("_w.paths > 0")
             .groupBy("_t").agg(F.sum(F.col("_w.paths") * F.col("_copies")).alias("_n"), F.min("anchor_id").alias("anchor_id"), F.min("start").alias("start"),
-                               F.min("_w.end").alias("end"), F.min("_w.spans").alias("spans"), F.min("_l").alias("_l"))
-            .where("_n = 1").join(wanted, "_t").join(library.select("_l", F.col("gaps").alias("base")), "_l"))
+                               F.min("_w.end").alias("end"), F.min("_w.spans").alias("spans"), F.first("gaps").alias("gaps"), F.first("base").alias("base"))
+            .where("_n = 1"))
     whole = lambda c: F.aggregate(c, F.lit(0.0), lambda a, g: a + g)
     ratio = whole(F.col("gaps")) / whole(F.slice("base", F.col("start") + 1, F.col("end") - F.col("start")))
-    return targets.join(hits, "gaps").select("target_id", "anchor_id", "start", "end", "spans", ratio.alias("scale_ratio"))
+    return asked.join(hits.hint("merge"), "gaps").select("target_id", "anchor_id", "start", "end", "spans", ratio.alias("scale_ratio"))
 
 
 # A ratio further from 1 than this is to be looked at.
