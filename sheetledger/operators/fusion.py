@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, write_down
+from ..session import drop_written, shared_folder, write_down
 from .common import null_safe_join
 from .retrieval import ESCALATE
 from .similarity import similar_texts
@@ -17,7 +17,7 @@ from .similarity import similar_texts
 # How alike two texts must be, groups kept per recall.
 SIMILAR_TEXT, MAX_GROUPS = 0.72, 20
 
-_LEADER, _FOLLOWER = 1, 2
+_LEADER, _FOLLOWER, _LATER = 1, 2, 3  # the last: a follower whose leader is not known yet
 
 
 def _states(nodes: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
@@ -27,15 +27,15 @@ def _states(nodes: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 
 
 def _around(asking: DataFrame, nodes: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For candidates (keys, _o, _ref, _text): the first leader and the first open one among those that they match."""
-    by_ref = null_safe_join(asking, _states(nodes, keys, "_ref"), [*keys, "_ref"])
+    """Candidates (keys, _o, _ref, _text) with the first leader and the first open one among those that they match.
+
+    Similar texts are followed once per text of ``keys``, not per candidate.
+    """
     texts = _states(nodes, keys, "_text")
-    by_text = null_safe_join(asking, texts, [*keys, "_text"])
-    far = texts.withColumnRenamed("_text", "_other")
-    by_link = null_safe_join(asking.join(links, "_text"), far, [*keys, "_other"])
-    cols = [*keys, "_o", "_lead", "_open"]
-    return by_ref.select(cols).unionByName(by_text.select(cols)).unionByName(by_link.select(cols)).groupBy(*keys, "_o").agg(
-        F.min("_lead").alias("_lead"), F.min("_open").alias("_open"))
+    linked = texts.withColumnRenamed("_text", "_other").join(links, "_other").select(*keys, "_text", "_lead", "_open")
+    by_text = texts.unionByName(linked).groupBy(*keys, "_text").agg(F.min("_lead").alias("_lead_t"), F.min("_open").alias("_open_t"))
+    near = null_safe_join(null_safe_join(asking, _states(nodes, keys, "_ref"), [*keys, "_ref"], "left"), by_text, [*keys, "_text"], "left")
+    return near.select(*keys, "_o", "_ref", "_text", F.least("_lead", "_lead_t").alias("_lead"), F.least("_open", "_open_t").alias("_open"))
 
 
 def merge_candidates(rows: DataFrame, keys: Sequence[str], order: str, threshold: float = SIMILAR_TEXT, most: int | None = MAX_GROUPS) -> DataFrame:
@@ -52,38 +52,43 @@ def merge_candidates(rows: DataFrame, keys: Sequence[str], order: str, threshold
     """
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
     given = rows.select(*keys, F.col(order).alias("_at"), blank("ref").alias("_ref"), F.coalesce("snippet", F.lit("")).alias("_text"), "severity", "source")
-    node = [*keys, "_ref", "_text", "_alone"]
+    # what later steps ask of the rows: per candidate and source the first place, with its severity; then numbers in the order of all places
+    # stand for the places, which may be wide
     alone = F.when((F.col("_ref") == "") & (F.col("_text") == ""), F.col("_at"))
-    # what later steps ask of the rows: per candidate and source the first place, with its severity
-    told = write_down(given.groupBy(*keys, "_ref", "_text", alone.alias("_alone"), "source").agg(F.min("_at").alias("_at"), F.min_by("severity", "_at").alias("severity")))
-    nodes = write_down(told.groupBy(*node).agg(F.min("_at").alias("_o"), F.min_by("severity", "_at").alias("severity")))
+    first = write_down(given.groupBy(*keys, "_ref", "_text", alone.alias("_alone"), "source").agg(F.min(F.struct("_at", "severity")).alias("_m")))
+    told = write_down(first.select(*keys, "_ref", "_text", "source", "_m.*").orderBy("_at").withColumn("_n", F.monotonically_increasing_id()))
+    drop_written(first)
+    alone = F.when((F.col("_ref") == "") & (F.col("_text") == ""), F.col("_n"))
+    nodes = write_down(told.groupBy(*keys, "_ref", "_text", alone.alias("_alone")).agg(F.min("_n").alias("_o"), F.collect_list(F.struct("_n", "source")).alias("_s")).drop("_alone"))
     texts = nodes.where("_text <> ''").select(F.col("_text").alias("text")).distinct()
     links = write_down(similar_texts(texts, texts, threshold).where("text_a <> text_b").select(F.col("text_a").alias("_text"), F.col("text_b").alias("_other")))
     # a round writes the candidates still open, and once those that it settles
     folder = f"{shared_folder(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
-    waiting = nodes.withColumn("_is", F.lit(0))
+    waiting = nodes.drop("_s").withColumns({"_is": F.lit(0), "_group": F.lit(None).cast("long")}).select(*keys, "_o", "_ref", "_text", "_is", "_group")
     read = lambda kind: rows.sparkSession.read.schema(waiting.schema).parquet(f"{folder}/{kind}")
-    for kind in (_LEADER, _FOLLOWER):
+    for kind in (_LEADER, _FOLLOWER, _LATER):
         waiting.limit(0).write.parquet(f"{folder}/{kind}")
+    judged = None
     while not waiting.isEmpty():
         seen = _around(waiting.select(*keys, "_o", "_ref", "_text"), read(_LEADER).unionByName(waiting), links, keys)
         follows, leads = F.col("_lead") < F.col("_o"), F.coalesce(F.col("_open") >= F.col("_o"), F.lit(True))
-        judged = write_down(null_safe_join(waiting, seen, [*keys, "_o"], "left").withColumn(
-            "_is", F.when(follows, _FOLLOWER).when(leads, _LEADER).otherwise(0)).drop("_lead", "_open"))
-        for kind in (_LEADER, _FOLLOWER):
+        sure = F.coalesce(F.col("_open") > F.col("_lead"), F.lit(True))  # nothing that is still open can lead before its leader
+        before, judged = judged, write_down(seen.select(
+            *keys, "_o", "_ref", "_text", F.when(follows & sure, _FOLLOWER).when(follows, _LATER).when(leads, _LEADER).otherwise(0).alias("_is"), F.when(follows & sure, F.col("_lead")).alias("_group")))
+        for kind in (_LEADER, _FOLLOWER, _LATER):
             judged.where(F.col("_is") == kind).write.mode("append").parquet(f"{folder}/{kind}")
         waiting = judged.where("_is = 0")
-    leaders, followers = read(_LEADER), read(_FOLLOWER)
-    found = _around(followers.select(*keys, "_o", "_ref", "_text"), leaders, links, keys)
-    joined = null_safe_join(followers, found.select(*keys, "_o", F.col("_lead").alias("_group")), [*keys, "_o"]).select(*node, "_group")
-    named = leaders.select(*node, F.col("_o").alias("_group")).unionByName(joined)
-    sources = null_safe_join(told, named, node).groupBy(*keys, "_group", "source").agg(F.min("_at").alias("_at")).groupBy(*keys, "_group").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "source"))).alias("_s"))
-    heads = leaders.select(*keys, F.col("_o").alias("_group"), "_ref", "_text", "severity")
-    out = null_safe_join(heads, sources, [*keys, "_group"])
+        if before is not None:
+            drop_written(before)
+    leaders, followers, later = read(_LEADER), read(_FOLLOWER), read(_LATER)
+    found = _around(later.select(*keys, "_o", "_ref", "_text"), leaders, links, keys).select("_o", F.col("_lead").alias("_group"))
+    named = leaders.select("_o", F.col("_o").alias("_group")).unionByName(followers.select("_o", "_group")).unionByName(found)
+    source = named.join(nodes.select("_o", "_s"), "_o").select("_group", F.explode("_s").alias("_s")).groupBy("_group", "_s.source").agg(F.min("_s._n").alias("_n"))
+    sources = write_down(source.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("_n", "source"))).alias("_s")))
+    out = told.withColumnRenamed("_n", "_group").drop("source").join(sources, "_group")  # one group per leader, told of under its number
     if most is not None:
         out = out.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_group"))).where(F.col("_n") <= most)
-    return out.select(*keys, F.col("_group").alias(order), F.col("_ref").alias("ref"), F.col("_text").alias("snippet"),
+    return out.select(*keys, F.col("_at").alias(order), F.col("_ref").alias("ref"), F.col("_text").alias("snippet"),
                       _lifted(F.col("severity"), F.size("_s") > 1).alias("severity"), F.array_join(F.transform("_s", lambda s: s["source"]), "+").alias("sources"))
 
 
